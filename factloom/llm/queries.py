@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import rules
+from factloom.llm import rules, simhash
 from factloom.llm.common import table
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.judge(table(spark, sf_dir, "documents"))
     named = [f"{r}_vote" for r in rules.RULES]
@@ -19,6 +23,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
 
