@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import rules, simhash
+from factloom.llm import mixing, rules, simhash
 from factloom.llm.common import table
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.plan(table(spark, sf_dir, "documents"))
+    shards = F.array_sort(F.transform("draws", lambda d: d["shard"]))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), shards.alias("shards"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents"))
 
@@ -23,6 +29,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
