@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing, rules, simhash
+from factloom.llm import mixing, pii, rules, simhash
 from factloom.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), shards.alias("shards"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.rewrite(table(spark, sf_dir, "documents").select("doc_id", "text"), names=("n_mentions", "kinds"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_mixing": op3_mixing,
+    "op4_pii": op4_pii,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
