@@ -4,7 +4,8 @@ Every source gets a target number of words: its weight's share of all words, but
 three times what it has; what is cut off goes to the other sources by weight.  A source's documents
 are dealt by hash into blocks, and the blocks are permuted anew for each pass over the source.  The
 quota of a source is an exact number of blocks: all blocks once for each whole pass, and the first
-ones of one more permutation for the rest, of which the last block is taken in part.
+ones of one more permutation for the rest, of which the last block is taken in part: documents while
+they fit, and the one further document that brings the source nearest to its target.
 
 Output shards get their blocks from a tree.  At the root stands the vector of all quotas; a node
 hands its left child half of its blocks, drawn without replacement, so that the child's vector is
@@ -173,7 +174,7 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, bloc
     rows = checkpointed(rows)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n_docs"))
     sums = checkpointed(sums)
-    sources = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size"), F.count("*").alias("n_blocks")).select("source", "source_size", "n_blocks").drop("n_blocks"), weights, cap)
+    sources = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
     counted = sums.groupBy("source").agg(F.count("*").alias("n_blocks"))
     whole = F.least(F.floor(F.col("target") / F.greatest("source_size", F.lit(1))), F.lit(cap)).cast("int")
     per_source = sources.join(counted, sources["source"].eqNullSafe(counted["source"])).select(
@@ -205,13 +206,28 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, bloc
         dealt.withColumnsRenamed({"source": "s", "bucket": "b"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")), "left"
     ).drop("s", "b")
     decided = decided.withColumnsRenamed({"source": "s", "bucket": "b"})
-    # documents of a block that is taken in part, in the order of their hashes, up to the nearest total
+    # of a block that is taken in part: documents in the order of their hashes, while they fit
     inside = W.partitionBy("source", "bucket").orderBy(F.xxhash64(F.lit(seed), "doc_id", "row"), "row")
     met = rows.join(decided, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     upto = met.withColumn("upto", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    taken = (F.col("kind") != "part") | (F.col("upto") - F.col("size") / 2 <= F.col("room"))
+    fits = (F.col("kind") == "all") | (F.col("kind") == "part") & (F.col("upto") <= F.col("room"))
     draws = F.coalesce("draws", F.array().cast("array<struct<pass:int,shard:int>>"))
-    return upto.select("row", "doc_id", "size", "source_size", "target", F.when(taken, draws).otherwise(F.filter(draws, lambda d: d["pass"] < F.col("whole"))).alias("draws"))
+    chosen = upto.withColumns({"fits": fits, "draws": F.when(fits, draws).otherwise(F.filter(draws, lambda d: d["pass"] < F.col("whole")))})
+    chosen = checkpointed(chosen.select("row", "doc_id", "source", "bucket", "size", "source_size", "target", "whole", "fits", "draws"))
+    # what is still missing of a source's target is filled by the one further document that comes nearest
+    summed = chosen.groupBy("source", "target").agg(F.sum(F.col("size") * F.size("draws")).alias("taken"))
+    missing = summed.select(F.col("source").alias("s"), (F.col("target") - F.col("taken")).alias("missing")).where("missing > 0")
+    edge = decided.where("kind = 'part'").select(F.col("s").alias("e"), F.filter("draws", lambda d: d["pass"] == F.col("whole"))[0]["shard"].alias("shard"))
+    per_block = decided.where("whole < {}".format(cap)).select(F.col("s").alias("source"), F.col("b").alias("bucket")).join(missing, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    per_block = per_block.join(edge, F.col("source").eqNullSafe(F.col("e"))).drop("e").withColumnsRenamed({"source": "s", "bucket": "b"})
+    others = chosen.where(~F.col("fits")).join(per_block, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    nearest = others.where((F.col("size") > 0) & (F.col("size") < 2 * F.col("missing"))).groupBy("source").agg(
+        F.min(F.struct(F.abs(F.col("missing") - F.col("size")).alias("off"), F.xxhash64(F.lit(seed), "doc_id", "row").alias("h"), "row", "whole", "shard")).alias("best")
+    )
+    filler = nearest.select(F.col("best.row").alias("row"), F.array(F.struct(F.col("best.whole").alias("pass"), F.col("best.shard").alias("shard"))).alias("more"))
+    return chosen.join(filler, "row", "left").select(
+        "row", "doc_id", "size", "source_size", "target", F.when(F.col("more").isNull(), F.col("draws")).otherwise(F.concat("draws", "more")).alias("draws")
+    )
 
 
 def mix(docs: DataFrame, order: bool = False, **settings) -> DataFrame:
