@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing, pii, rules, simhash
+from factloom.llm import mixing, nbest, pii, rules, simhash
 from factloom.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.rewrite(table(spark, sf_dir, "documents").select("doc_id", "text"), names=("n_mentions", "kinds"))
 
 
+def op8_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.encode(table(spark, sf_dir, "documents"), check="exact", keep=["doc_id"])
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_pii": op4_pii,
+    "op8_nbest": op8_nbest,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
