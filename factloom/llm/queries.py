@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing, nbest, pii, rules, simhash
+from factloom.llm import licenses, mixing, nbest, pii, rules, simhash
 from factloom.llm.common import table
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.plan(table(spark, sf_dir, "documents"))
     shards = F.array_sort(F.transform("draws", lambda d: d["shard"]))
@@ -37,6 +41,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_licenses": op2_licenses,
     "op3_mixing": op3_mixing,
     "op4_pii": op4_pii,
     "op8_nbest": op8_nbest,
@@ -44,4 +49,6 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_licenses": licenses.oracle_sql(),
+}
