@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import licenses, mixing, nbest, pii, rules, simhash
+from factloom.llm import licenses, mixing, nbest, pii, rules, simhash, tokencount
 from factloom.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.rewrite(table(spark, sf_dir, "documents").select("doc_id", "text"), names=("n_mentions", "kinds"))
 
 
+def op5_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(tokencount.flatten(table(spark, sf_dir, "documents"))).select("doc_id", "n_tokens")
+
+
 def op8_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest.encode(table(spark, sf_dir, "documents"), check="exact", keep=["doc_id"])
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op2_licenses": op2_licenses,
     "op3_mixing": op3_mixing,
     "op4_pii": op4_pii,
+    "op5_tokencount": op5_tokencount,
     "op8_nbest": op8_nbest,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
