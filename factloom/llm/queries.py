@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import licenses, mixing, nbest, pii, rules, simhash, tokencount
+from factloom.llm import licenses, mixing, nbest, ordinal, pii, rules, simhash, tokencount
 from factloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(tokencount.flatten(table(spark, sf_dir, "documents"))).select("doc_id", "n_tokens")
 
 
+def op6_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest.encode(table(spark, sf_dir, "documents"), check="exact", keep=["doc_id"])
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_pii": op4_pii,
     "op5_tokencount": op5_tokencount,
+    "op6_ordinal": op6_ordinal,
     "op8_nbest": op8_nbest,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
