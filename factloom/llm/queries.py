@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import licenses, mixing, nbest, ordinal, pii, rules, simhash, tokencount
+from factloom.llm import chat, licenses, mixing, nbest, ordinal, pii, rules, simhash, tokencount, topk
 from factloom.llm.common import table
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,10 @@ def op6_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
 def op8_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest.encode(table(spark, sf_dir, "documents"), check="exact", keep=["doc_id"])
 
@@ -49,16 +58,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_licenses": op2_licenses,
     "op3_mixing": op3_mixing,
     "op4_pii": op4_pii,
     "op5_tokencount": op5_tokencount,
     "op6_ordinal": op6_ordinal,
+    "op7_chat": op7_chat,
     "op8_nbest": op8_nbest,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_topk": topk.ORACLE_SQL,
     "op2_licenses": licenses.oracle_sql(),
+    "op7_chat": chat.ORACLE_SQL,
 }
