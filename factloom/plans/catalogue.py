@@ -1,4 +1,11 @@
 """The registered queries and their DuckDB counterparts, collected by name."""
 
+from __future__ import annotations
+
+from factloom.plans import facts, graphs, ledgers, scores, words
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for module in (words, facts, ledgers, graphs, scores):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
