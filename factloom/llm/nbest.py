@@ -27,7 +27,6 @@ import re
 from collections.abc import Iterator, Sequence
 from heapq import heappop, heappush, nsmallest
 from itertools import chain, product
-from operator import itemgetter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +44,8 @@ NEVER = -1e300
 #: Stands for a text's own mark within the search; no text in UTF-8 holds a lone surrogate.
 OWN_MARK = "\ud800"
 UNKNOWN_PENALTY = 10
-#: A Python worker remembers up to twice so many atoms; others are searched again.
-REMEMBERED = 200_000
+#: A Python worker remembers so many atoms, and so many searches for the N best; others are done again.
+REMEMBERED, SEARCHED = 600_000, 50_000
 
 
 class Vocabulary:
@@ -59,11 +58,25 @@ class Vocabulary:
         self.prefixes = {p[:k] for p in self.usable for k in range(1, len(p) + 1)}
         self.unknown = min((s for _, s in self.usable.values()), default=0) - UNKNOWN_PENALTY
         self.in_bytes = {i: b for b, i in enumerate(byte_ids)}
+        # what each id adds to a text; a byte beyond ASCII is only a part of a character
+        self.shown = [p.replace(MARK, " ") for p, _, _ in pieces]
+        for b, i in enumerate(byte_ids):
+            self.shown[i] = chr(b)
+        self.partial = {i for b, i in enumerate(byte_ids) if b > 127}
         chained = not any(MARK in p.lstrip(MARK) or "\n" in p for p in self.usable)
         self.atoms = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n") if chained else re.compile("(?s).+")
+        self.prefixes = {p[:k] for p in self.usable for k in range(1, len(p) + 1)}
         self._trie()
-        self.known: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memory of atoms: a number for each, and by number score, loss and place among all ids."""
+        import numpy as np
+
+        self.numbers: dict[str, int] = {}
+        self.found = np.zeros((1024, 4))  # score, loss, start, length
+        self.flat, self.used = np.zeros(4096, np.int32), 0
+        self.searched: dict[tuple[str, int], list] = {}
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -94,8 +107,8 @@ class Vocabulary:
         for p, (i, score) in self.usable.items():
             self.piece_at[node[p]], self.score_at[node[p]] = i, score
 
-    def many(self, atoms: Sequence[str]) -> list[tuple]:
-        """:meth:`two` of atoms of one length, all at once."""
+    def many(self, atoms: Sequence[str]) -> tuple:
+        """:meth:`two` of atoms of one length, all at once: scores, losses, numbers of pieces, and all pieces (-1: unknown)."""
         import numpy as np
 
         m, size = len(atoms), len(atoms[0])
@@ -147,15 +160,10 @@ class Vocabulary:
             off = on[rows, end] != start
             rows = rows[off]
             other[rows] = np.maximum(other[rows], best[rows, start] + score[off] + after[rows, end])
-        paths: list[list[int]] = [[] for _ in atoms]
-        for rows, starts, pieces in steps:
-            for r, start, piece in zip(rows.tolist(), starts.tolist(), pieces.tolist()):
-                if piece >= 0:
-                    paths[r].append(piece)
-                else:
-                    paths[r] += [self.byte_ids[b] for b in reversed(self._raw(atoms[r][start]))]
+        of, starts, pieces = (np.concatenate([x[i] for x in steps]) for i in range(3))
+        by = np.lexsort((starts, of))
         top = best[:, size]
-        return list(zip((tuple(reversed(x)) for x in paths), top.tolist(), (top - other).tolist()))
+        return top, top - other, np.bincount(of, minlength=m), pieces[by]
 
     def _lattice(self, atom: str) -> tuple[list[list[tuple[int, int, float]]], list[float]]:
         """The arcs (start, piece, score) into each end, longest first, and the best score of each prefix."""
@@ -232,73 +240,118 @@ class Vocabulary:
     def _raw(char: str) -> bytes:
         return (MARK if char == OWN_MARK else char).encode()
 
+    def _remember(self, atoms: Sequence[str], scores, losses, lengths, ids) -> None:
+        import numpy as np
+
+        n, first = len(atoms), len(self.numbers)
+        while len(self.found) < first + n:
+            self.found = np.concatenate([self.found, np.zeros_like(self.found)])
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        starts = self.used + np.cumsum(lengths) - lengths
+        self.found[first : first + n] = np.stack([scores, losses, starts, lengths], axis=1)
+        self.used += len(ids)
+        self.numbers.update(zip(atoms, range(first, first + n)))
+
     def learn(self, atoms: set[str]) -> None:
-        """Have what :meth:`two` gives at hand for all ``atoms``.
+        """Have what :meth:`two` gives at hand for all ``atoms``; when memory is full, for these alone."""
+        import numpy as np
 
-        Beside them those stay that were used since the time before last that memory was full.
-        """
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+        if len(self.numbers) > REMEMBERED:
+            self.forget()
         lengths: dict[int, list[str]] = {}
         for atom in atoms:
-            if atom not in self.known:
-                found = self.older.get(atom)
-                if found is not None:
-                    self.known[atom] = found
-                else:
-                    lengths.setdefault(len(atom), []).append(atom)
-        for size, fresh_ones in lengths.items():
-            if size > 64 or len(fresh_ones) < 8:
-                self.known.update((a, self.two(a)) for a in fresh_ones)
+            if atom not in self.numbers:
+                lengths.setdefault(len(atom), []).append(atom)
+        alone: list[str] = []
+        for size, new in lengths.items():
+            if size > 64 or len(new) < 8:
+                alone += new
                 continue
-            for at in range(0, len(fresh_ones), 4096):
-                part = fresh_ones[at : at + 4096]
-                self.known.update(zip(part, self.many(part)))
+            for at in range(0, len(new), 4096):
+                part = new[at : at + 4096]
+                scores, losses, counts, pieces = self.many(part)
+                if (pieces < 0).any():
+                    whole = np.minimum.reduceat(pieces, np.cumsum(counts) - counts) >= 0
+                    alone += [a for a, w in zip(part, whole.tolist()) if not w]
+                    pieces = pieces[np.repeat(whole, counts)]
+                    part = [a for a, w in zip(part, whole.tolist()) if w]
+                    scores, losses, counts = scores[whole], losses[whole], counts[whole]
+                self._remember(part, scores, losses, counts, pieces)
+        if alone:
+            found = [self.two(a) for a in alone]
+            self._remember(alone, [f[1] for f in found], [f[2] for f in found], np.array([len(f[0]) for f in found]), [i for f in found for i in f[0]])
+
+    def _search(self, atom: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """:meth:`paths`, remembered."""
+        found = self.searched.get((atom, n))
+        if found is None:
+            if len(self.searched) >= SEARCHED:
+                self.searched.clear()
+            found = self.searched[atom, n] = self.paths(atom, n)
+        return found
 
     def split(self, text: str) -> list[str]:
         """The atoms of a text."""
         return self.atoms.findall(MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK)) if text else []
 
-    def segment(self, text: str, n: int) -> tuple[list[int], list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
-        """The ids of the best segmentation, and the ``n`` best as (score, changes).
+    def segment_all(self, texts: Sequence[str], n: int):
+        """(ids of all texts in one array, number of ids by text, the ``n`` best of each as (score, changes)).
 
         A change is (at, length, ids): so many pieces of the best segmentation from ``at`` on give way
         to these ids.
         """
-        atoms = self.split(text)
-        self.learn(set(atoms))
-        return self.combine(atoms, n)
-
-    def combine(self, atoms: list[str], n: int):
-        """:meth:`segment` of a text with these atoms, which have been learnt."""
-        if not atoms:
-            return [], [(0.0, [])]
-        parts = list(map(self.known.__getitem__, atoms))
-        ids = list(chain.from_iterable(map(itemgetter(0), parts)))
-        score = sum(map(itemgetter(1), parts))
-        losses = list(map(itemgetter(2), parts))
-        open_ = [i for x, i in nsmallest(n - 1, zip(losses, range(len(losses)))) if x < ALONE] if n > 1 else []
-        choices = [[(best[0][0] - s, i, ids_) for s, ids_ in best] for i in open_ for best in [self.paths(atoms[i], n)]]
+        import numpy as np
+
+        atoms = [self.split(t) for t in texts]
+        self.learn(set(chain.from_iterable(atoms)))
+        sizes = np.array([len(a) for a in atoms])
+        which = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(atoms)), np.int64, int(sizes.sum()))
+        scores, losses, starts, counts = self.found[which].T
+        starts, counts = starts.astype(np.int64), counts.astype(np.int64)
+        ends = np.cumsum(counts)
+        ids = self.flat[np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        out, lengths, at = [], [], 0
+        for own, size in zip(atoms, sizes.tolist()):
+            here = slice(at, at + size)
+            out.append(self._combine(own, float(scores[here].sum()), losses[here], counts[here], n) if own else [(0.0, [])])
+            lengths.append(int(counts[here].sum()))
+            at += size
+        return ids, lengths, out
+
+    def segment(self, text: str, n: int) -> tuple[list[int], list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
+        """The ids of the best segmentation of one text, and its ``n`` best as in :meth:`segment_all`."""
+        ids, _, (best,) = self.segment_all([text], n)
+        return ids.tolist(), best
+
+    def _combine(self, atoms: list[str], score: float, losses, counts, n: int) -> list:
+        """The ``n`` least sums of losses, over the n - 1 atoms that lose least (of equals the first ones)."""
+        import numpy as np
+
+        k = min(n - 1, len(atoms))
+        if k <= 0:
+            return [(score, [])]
+        bound = np.partition(losses, k - 1)[k - 1]
+        sure, ties = np.flatnonzero(losses < bound), np.flatnonzero(losses == bound)
+        open_ = [int(i) for i in sorted([*sure, *ties[: k - len(sure)]]) if losses[i] < ALONE]
+        choices = [[(best[0][0] - s, i, ids) for s, ids in best] for i in open_ for best in [self._search(atoms[i], n)]]
         ranked = nsmallest(n, product(*choices), key=lambda c: (sum(x[0] for x in c), sum(x[0] > 0 for x in c)))
-        first = choices and tuple(c[0] for c in choices)
+        first = tuple(c[0] for c in choices)
         out = []
         for combination in ranked:
-            changes = []
-            for chosen, base in zip(combination, first):
-                if chosen is not base:
-                    at = sum(len(p[0]) for p in parts[: chosen[1]])
-                    changes.append((at, len(parts[chosen[1]][0]), chosen[2]))
-            out.append((score - sum(x[0] for x in combination), sorted(changes)))
-        return ids, out
+            changed = [c for c, base in zip(combination, first) if c is not base]
+            out.append((score - sum(x[0] for x in combination), [(int(counts[:i].sum()), int(counts[i]), ids) for _, i, ids in changed]))
+        return out
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of the ids."""
-        raw, at, pieces, in_bytes = bytearray(), 0, self.pieces, self.in_bytes
-        if not any(i in in_bytes for i in ids):
-            return "".join([pieces[i][0] for i in ids]).replace(MARK, " ")[1:]
+        if self.partial.isdisjoint(ids):
+            return "".join([self.shown[i] for i in ids])[1:]
+        in_bytes, raw = self.in_bytes, bytearray()
         for i in ids:
             b = in_bytes.get(i)
-            raw += bytes((b,)) if b is not None else pieces[i][0].replace(MARK, " ").encode()
+            raw += bytes((b,)) if b is not None else self.shown[i].encode()
         return raw[1:].decode()
 
 
@@ -312,17 +365,6 @@ def _shared(spark: SparkSession, vocabulary: Vocabulary):
     return spark.sparkContext.broadcast(vocabulary)
 
 
-def _ragged(rows: list[Sequence[int] | None]):
-    """An Arrow array of lists of ids."""
-    import numpy as np
-    import pyarrow as pa
-
-    offsets = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r or ()) for r in rows], out=offsets[1:])
-    flat = pa.array(np.fromiter(chain.from_iterable(r or () for r in rows), np.int32, int(offsets[-1])))
-    return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([r is None for r in rows]))
-
-
 def encode(docs: DataFrame, path: str = MODEL, n: int = N_BEST, check: str | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all but the text, unless given) with the columns of :data:`SEGMENTED`.
 
@@ -337,6 +379,7 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = N_BEST, check: str | Non
     shared = _shared(docs.sparkSession, Vocabulary.load(path))
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -345,18 +388,19 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = N_BEST, check: str | Non
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 texts = part.column(part.num_columns - 1).to_pylist()
-                atoms = [vocabulary.split(t or "") for t in texts]
-                vocabulary.learn(set(chain.from_iterable(atoms)))
-                found = [vocabulary.combine(a, n) if t is not None else (None, None) for t, a in zip(texts, atoms)]
+                ids, lengths, found = vocabulary.segment_all([t or "" for t in texts], n)
+                null = [t is None for t in texts]
                 best = [
-                    None if b is None else [{"score": float(s), "changes": [{"at": x, "length": y, "ids": list(z)} for x, y, z in changes]} for s, changes in b]
-                    for _, b in found
+                    None if none else [{"score": float(s), "changes": [{"at": x, "length": y, "ids": list(z)} for x, y, z in changes]} for s, changes in b]
+                    for none, b in zip(null, found)
                 ]
-                columns = [*part.columns[:-1], _ragged([i for i, _ in found])]
-                columns += [pa.array([None if i is None else len(i) for i, _ in found], pa.int64()), pa.array([None if b is None else b[0]["score"] for b in best], pa.float64())]
+                offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int32)]).astype(np.int32)
+                columns = [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=pa.array(null))]
+                columns += [pa.array([None if x else k for x, k in zip(null, lengths)], pa.int64()), pa.array([None if b is None else b[0]["score"] for b in best], pa.float64())]
                 columns.append(pa.array(best, arrow.field(len(kept) + 3).type))
                 if check:
-                    columns.append(pa.array([None if t is None else vocabulary.decode(i) == t for t, (i, _) in zip(texts, found)], pa.bool_()))
+                    cut = zip(texts, offsets[:-1].tolist(), offsets[1:].tolist())
+                    columns.append(pa.array([None if t is None else vocabulary.decode(ids[a:b].tolist()) == t for t, a, b in cut], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return table.mapInArrow(run, schema)
