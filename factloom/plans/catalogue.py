@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.plans import facts, graphs, ledgers, scores, words
+from factloom.plans import facts, graphs, ledgers, reports, scores, words
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (words, facts, ledgers, graphs, scores):
+for module in (words, facts, ledgers, graphs, scores, reports):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
