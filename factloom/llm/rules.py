@@ -187,7 +187,10 @@ def keep(docs: DataFrame, at: float = KEEP_AT) -> DataFrame:
     The corpus is measured once for the estimates and again while it is filtered: carrying whole
     texts through a shuffle or a checkpoint would cost more than measuring twice.
     """
-    m = fresh(docs, "m")
-    params = fit(measure(docs, []).select(votes(F.col(m)).alias("v")))
+    m, here = fresh(docs, "m"), fresh(docs, "_here")
+    params = fit(measure(docs.select("text"), []).select(votes(F.col("m")).alias("v")))
     _, kept = _verdict(F.col(m), params, at)
-    return measure(docs, docs.columns).where(kept).drop(m)
+    # a row's number, which no filter is pushed below: else the optimizer would put the measurements' long
+    # expressions in the filter, once for each time that the verdict mentions one
+    numbered = measure(docs, docs.columns).withColumn(here, F.monotonically_increasing_id())
+    return numbered.where(kept & (F.col(here) >= 0)).drop(m, here)
