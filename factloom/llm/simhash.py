@@ -12,6 +12,14 @@ the first of the cells in which both meet.
 
 Equal fingerprints are merged before the join, so that thousands of copies are one point.
 
+With a ``similarity`` (the pipeline's stage: 0.8 over five-word shingles) :func:`keep_one` links by the
+Jaccard similarity of the sets of shingles instead.  64 bits that differ in at most two don't reach such
+pairs, so there is one fingerprint for each of 24 bands of five min-hashes, and sets meet that share one
+band's.  A pair of similarity s meets with probability 1 - (1 - s^5)^24, 0.99993 at 0.8; every pair that
+meets is decided by the exact similarity of the two sets (of 64-bit hashes).  Links are sought in turns:
+the sets of a band's cell meet its head, with another head each turn, and at last each other; all that
+a component already holds together is passed over, so that a large group of near copies is no square.
+
 Defined cases: a null or empty text, or one without words, has the fingerprint zero and links like
 any other; a text of one or two words has one shingle, all its words; repeated rows and rows that
 share a doc_id get a row each; a null doc_id is in its component but never its name unless all are
@@ -36,6 +44,9 @@ RADIUS = 2
 SHINGLE = 3
 #: Fixed masks: the lower bit of each two-bit segment.
 LOW = 0x5555555555555555
+#: Bands of min-hashes, and min-hashes of a band, for links by similarity.
+BANDS = 24
+WIDTH = 5
 
 
 def _fingerprints(raw: list[bytes | None], shingle: int):
@@ -59,6 +70,98 @@ def _fingerprints(raw: list[bytes | None], shingle: int):
     return out.view(np.int64)
 
 
+def _hashes(text: bytes | None, shingle: int):
+    """The distinct hashes of a text's shingles, in order."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxh64_intdigest, grams, repeat(SEED)), np.uint64, max(1, len(words) - shingle + 1)))
+
+
+def _bands(hashes):
+    """A 64-bit fingerprint of the min-hashes of each band; none for an empty set."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    draw = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, (2, BANDS * WIDTH), np.uint64)
+    flip, factor = draw[0], draw[1] << np.uint64(1) | np.uint64(1)
+    least = np.full(BANDS * WIDTH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        np.minimum(least, ((hashes[at : at + (1 << 12), None] ^ flip) * factor).min(0), out=least)
+    return np.array([xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, WIDTH))], np.uint64).view(np.int64)
+
+
+def shingle_sets(rows: DataFrame, shingle: int, bands: bool) -> DataFrame:
+    """doc_id and row of ``rows`` (doc_id, row, text), with ``f``, a 128-bit hash of the set of shingles, the
+    set's size ``n`` and its bands' fingerprints ``bands``; or else row and the set itself as ``hashes``."""
+    keep = ["doc_id", "row"] if bands else ["row"]
+    table = rows.select(*keep, F.col("text").cast("string").cast("binary").alias("text"))
+    longs = T.ArrayType(T.LongType())
+    more = [T.StructField("f", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bands", longs)] if bands else [T.StructField("hashes", longs)]
+    names = [*keep, *(f.name for f in more)]
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        from xxhash import xxh128_digest
+
+        def lists(parts):
+            ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+
+        for batch in batches:
+            sets = [_hashes(t, shingle) for t in batch.column("text").to_pylist()]
+            kept = [batch.column(c) for c in keep]
+            if bands:
+                found = [pa.array([xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64()), lists([_bands(s) for s in sets])]
+            else:
+                found = [lists([s.view(np.int64) for s in sets])]
+            yield pa.RecordBatch.from_arrays([*kept, *found], names=names)
+
+    return table.mapInArrow(run, T.StructType([*(f for f in table.schema if f.name != "text"), *more]))
+
+
+def similar(points: DataFrame, sets_of, similarity: float, turns: int = 3) -> DataFrame:
+    """(node, root) of the sets ``points`` (id, n, bands) that link to any other, by exact similarity.
+
+    ``sets_of`` gives the table (row, hashes) of the ids in a table (row).
+    """
+    cells = points.select("id", "n", F.explode("bands").alias("cell"))
+    shared = cells.groupBy("cell").agg(F.count("*").alias("c"), F.min("id").alias("one")).where("c > 1").select("cell")
+    cells = checkpointed(cells.join(shared, "cell"))
+    sets = checkpointed(sets_of(cells.select(F.col("id").alias("row")).distinct()))
+    first, second = (sets.select(F.col("row").alias(x), F.col("hashes").alias(f"of_{x}")) for x in "uv")
+    roots = links = None
+    for turn in range(turns + 1):
+        known = cells.withColumn("root", F.col("id")) if roots is None else cells.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        if turn:
+            mixed = known.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
+            known = checkpointed(known.join(mixed, "cell"))
+            if known.isEmpty():
+                break
+        if turn < turns:
+            heads = known.groupBy("cell").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "root").alias("h"), F.xxhash64(F.lit(turn), "id").alias("g"), "id", "n", "root")).alias("head"))
+            met = known.join(heads, "cell").select("id", "n", "root", F.col("head.id").alias("other"), F.col("head.n").alias("m"), F.col("head.root").alias("base"))
+        else:
+            b = known.select("cell", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("base"))
+            met = known.join(b, "cell").where("id < other")
+        met = met.where((F.col("root") != F.col("base")) & (F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")))
+        pairs = met.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct()
+        both = F.size(F.array_intersect("of_u", "of_v"))
+        near = both >= F.lit(similarity) * (F.size("of_u") + F.size("of_v") - both)
+        found = checkpointed(pairs.join(first, "u").join(second, "v").where(near).select("u", "v"))
+        # a component's links so far are those to its root
+        links = found if roots is None else found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        roots = checkpointed(components(links))
+    return roots
+
+
 def fingerprint(docs: DataFrame, keep: list[str], name: str, shingle: int = SHINGLE) -> DataFrame:
     """The columns ``keep`` of ``docs`` and each row's fingerprint as the long column ``name``."""
     text = fresh(docs, "_text")
@@ -153,10 +256,12 @@ def salted_join(rows: DataFrame, classes: DataFrame, key: str, salts: int = 16)
     return spread.join(copies, [key, salt], "left").drop(salt)
 
 
-def keep_one(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, broadcast_rows: int = 1_000_000, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """``docs`` without all but one document of each component: that with the least doc_id.
 
-    Of rows that repeat its doc_id, one stays; a component whose doc_ids are all null keeps one row.
+    Components are those of fingerprints at most two bits apart, or with a ``similarity`` those of sets of
+    shingles at least so similar.  Of rows that repeat its doc_id, one stays; a component whose doc_ids are
+    all null keeps one row.
     Rows are told apart by their number within the scan of ``docs``, so ``docs`` must come straight
     from stored files (as all stages here do).  The rows that go are found from fingerprints alone;
     up to ``broadcast_rows`` of them (eight bytes each) are broadcast, so that no text is shuffled;
@@ -164,10 +269,23 @@ def keep_one(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """
     row, f = fresh(docs, "_row"), fresh(docs, "_f")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    prints = checkpointed(fingerprint(numbered.select("doc_id", row, "text"), ["doc_id", row], f).select(F.col("doc_id"), F.col(row).alias("row"), F.col(f).alias("f")))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    points = checkpointed(prints.groupBy("f").agg(best.alias("best")))
-    named = points.join(_roots(points), "f", "left").select("best", F.coalesce("root", "f").alias("root"))
+    if similarity is None:
+        prints = checkpointed(fingerprint(numbered.select("doc_id", row, "text"), ["doc_id", row], f, shingle).select(F.col("doc_id"), F.col(row).alias("row"), F.col(f).alias("f")))
+        points = checkpointed(prints.groupBy("f").agg(best.alias("best")))
+        named = points.join(_roots(points), "f", "left").select("best", F.coalesce("root", "f").alias("root"))
+    else:
+        texts = numbered.select("doc_id", F.col(row).alias("row"), "text")
+        prints = checkpointed(shingle_sets(texts, shingle, True))
+        points = checkpointed(prints.groupBy("f").agg(best.alias("best"), F.min("row").alias("id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
+
+        def sets_of(rows: DataFrame) -> DataFrame:
+            rows = checkpointed(rows)
+            wanted = texts.join(F.broadcast(rows) if rows.count() <= broadcast_rows else rows, "row", "left_semi")
+            return shingle_sets(wanted, shingle, False)
+
+        roots = similar(points, sets_of, similarity).select(F.col("node").alias("id"), "root")
+        named = points.join(roots, "id", "left").select("best", F.coalesce("root", "id").alias("root"))
     kept = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
     gone = checkpointed(prints.select("row").join(kept, "row", "left_anti")).select(F.col("row").alias(row))
     few = gone.count() <= broadcast_rows

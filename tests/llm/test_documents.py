@@ -153,6 +153,59 @@ def test_simhash(request, which):
     assert ids(simhash.keep_one(df, broadcast_rows=0)) == ids(kept)
 
 
+def jaccard_groups(rows, least=0.8, k=5):
+    """The least doc_id of each row's component of texts with a Jaccard similarity of at least ``least``."""
+
+    def shingles(text):
+        w = words(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) or frozenset([tuple(w)] if w else [])
+
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and len(a & b) >= least * len(a | b):
+                root[find(i)] = find(j)
+    names = {}
+    for i, (d, _) in enumerate(rows):
+        r = find(i)
+        names[r] = d if names.get(r) is None else names[r] if d is None else min(d, names[r])
+    return collections.Counter(names.values())
+
+
+def test_near_copies_by_similarity(spark, docs, odd, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for n in range(90):  # near copies with one to three words changed, some 0.8 alike or more and some less
+        w = list(base) if n < 60 else [f"v{n % 5}_{i}" for i in range(120)]
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((10_000 + n, " ".join(w)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "near"))
+    odd.write.parquet(str(tmp_path / "odd"))
+    for df in (docs, spark.read.parquet(str(tmp_path / "near")), spark.read.parquet(str(tmp_path / "odd"))):
+        want = jaccard_groups([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
+        for rows_ in (1_000_000, 0):
+            kept = simhash.keep_one(df, broadcast_rows=rows_, shingle=5, similarity=0.8)
+            assert kept.columns == df.columns and ids(kept) == want
+    assert simhash.keep_one(docs.limit(0), shingle=5, similarity=0.8).count() == 0
+
+
+def test_near_duplicate_stage(spark, sf, docs):
+    import corpus_pipeline as cp
+
+    assert ids(cp.distinct(spark, docs, sf)) == jaccard_groups([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
 def test_links_of_near_fingerprints(spark):
     import random
 
