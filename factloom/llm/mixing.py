@@ -5,7 +5,9 @@ three times what it has; what is cut off goes to the other sources by weight.  A
 are dealt by hash into blocks, and the blocks are permuted anew for each pass over the source.  The
 quota of a source is an exact number of blocks: all blocks once for each whole pass, and the first
 ones of one more permutation for the rest, of which the last block is taken in part: documents while
-they fit, and the one further document that brings the source nearest to its target.
+they fit.  What is missing then is filled from all documents left, passing over those that are too large,
+until it is below the least of them, and by the one further document that brings the source nearer to its
+target (:func:`_filled`); these go to shards by hash.
 
 Output shards get their blocks from a tree.  At the root stands the vector of all quotas; a node
 hands its left child half of its blocks, drawn without replacement, so that the child's vector is
@@ -37,6 +39,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCKS = 4096
 SHARDS = 16
+#: Further prefixes over a source at most; each halves what is missing or leaves no document so small.
+ROUNDS = 8
 SEED = 7
 
 
@@ -213,23 +217,78 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, bloc
     fits = (F.col("kind") == "all") | (F.col("kind") == "part") & (F.col("upto") <= F.col("room"))
     draws = F.coalesce("draws", F.array().cast("array<struct<pass:int,shard:int>>"))
     chosen = upto.withColumns({"fits": fits, "draws": F.when(fits, draws).otherwise(F.filter(draws, lambda d: d["pass"] < F.col("whole")))})
-    chosen = checkpointed(chosen.select("row", "doc_id", "source", "bucket", "size", "source_size", "target", "whole", "fits", "draws"))
-    # what is still missing of a source's target is filled by the one further document that comes nearest
-    summed = chosen.groupBy("source", "target").agg(F.sum(F.col("size") * F.size("draws")).alias("taken"))
-    missing = summed.select(F.col("source").alias("s"), (F.col("target") - F.col("taken")).alias("missing")).where("missing > 0")
-    edge = decided.where("kind = 'part'").select(F.col("s").alias("e"), F.filter("draws", lambda d: d["pass"] == F.col("whole"))[0]["shard"].alias("shard"))
-    per_block = decided.where("whole < {}".format(cap)).select(F.col("s").alias("source"), F.col("b").alias("bucket")).join(missing, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    per_block = per_block.join(edge, F.col("source").eqNullSafe(F.col("e"))).drop("e").withColumnsRenamed({"source": "s", "bucket": "b"})
-    others = chosen.where(~F.col("fits")).join(per_block, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    nearest = others.where((F.col("size") > 0) & (F.col("size") < 2 * F.col("missing"))).groupBy("source").agg(
-        F.min(F.struct(F.abs(F.col("missing") - F.col("size")).alias("off"), F.xxhash64(F.lit(seed), "doc_id", "row").alias("h"), "row", "whole", "shard")).alias("best")
-    )
-    filler = nearest.select(F.col("best.row").alias("row"), F.array(F.struct(F.col("best.whole").alias("pass"), F.col("best.shard").alias("shard"))).alias("more"))
-    return chosen.join(filler, "row", "left").select(
-        "row", "doc_id", "size", "source_size", "target", F.when(F.col("more").isNull(), F.col("draws")).otherwise(F.concat("draws", "more")).alias("draws")
+    source_id = F.xxhash64(F.lit("source"), F.coalesce("source", F.lit("")), F.col("source").isNull())
+    chosen = checkpointed(chosen.select("row", "doc_id", "bucket", "size", "source_size", "target", "whole", "fits", "draws", source_id.alias("id")))
+    more = _filled(chosen, cap, shards, seed)
+    return chosen.join(more, "row", "left").select(
+        "row", "doc_id", "size", "source_size", "target", F.when(F.col("more").isNull(), F.col("draws")).otherwise(F.concat("draws", F.array(F.struct(F.col("whole").alias("pass"), F.col("more").alias("shard"))))).alias("draws")
     )
 
 
+def _filled(chosen: DataFrame, cap: int, shards: int, seed: int) -> DataFrame:
+    """(row, more): the documents that fill what is missing of the targets after the first prefix, and their shards.
+
+    A round takes one more prefix, in the same order, of documents of at most half of what is missing, so
+    that what is missing halves or all of these are taken; larger ones are passed over.  Rounds go on
+    while a hundredth of a target is missing.  Then each size, from the largest down, fills what it can,
+    after which every document left is larger than what is missing; and the one nearest to it goes in
+    if that brings the source nearer to its target.  Sizes are handled as counts, one row for each.
+    """
+    # documents that the part pass can still take, and what their sources miss
+    left = chosen.where(~F.col("fits") & (F.col("whole") < cap)).select("id", "row", "bucket", "size", F.xxhash64(F.lit(seed), "doc_id", "row").alias("h"))
+    short = chosen.groupBy("id", "target").agg(F.sum(F.col("size") * F.size("draws")).alias("taken"))
+    short = checkpointed(short.select("id", "target", (F.col("target") - F.col("taken")).alias("missing")).where("missing > 0"))
+    shard = F.pmod(F.xxhash64(F.lit(seed), F.lit("more"), "row"), F.lit(shards)).cast("int")
+    added = []
+
+    def take(rows: DataFrame) -> bool:
+        """Put ``rows`` (id, row, size) into the mix; whether there were any."""
+        nonlocal left, short
+        rows = checkpointed(rows.select("id", "row", "size"))
+        if rows.isEmpty():
+            return False
+        added.append(rows)
+        left = checkpointed(left.join(rows.select("row"), "row", "left_anti"))
+        sums = rows.groupBy("id").agg(F.sum("size").alias("words"))
+        short = checkpointed(short.join(sums, "id", "left").select("id", "target", (F.col("missing") - F.coalesce("words", F.lit(0))).alias("missing")).where("missing > 0"))
+        return True
+
+    blocks = W.partitionBy("id").orderBy(F.xxhash64(F.lit(seed), F.lit("whole"), "bucket"), "bucket").rowsBetween(W.unboundedPreceding, -1)
+    for _ in range(ROUNDS):
+        wide = short.where(F.col("missing") * 100 > F.col("target"))
+        if wide.isEmpty():
+            break
+        small = left.join(F.broadcast(wide), "id").where(2 * F.col("size") <= F.col("missing"))
+        sums = small.groupBy("id", "bucket").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(blocks), F.lit(0))).drop("words")
+        inside = W.partitionBy("id", "bucket").orderBy("h", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
+        met = small.join(sums, ["id", "bucket"]).where("before < missing").withColumn("upto", F.col("before") + F.sum("size").over(inside))
+        if not take(met.where("upto <= missing")):
+            break
+    fitting = left.join(F.broadcast(short), "id").where((F.col("size") > 0) & (F.col("size") <= F.col("missing")))
+    counts = fitting.groupBy("id", "missing", "size").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("id", "missing").agg(F.sort_array(F.collect_list(F.struct("size", "n")), False).alias("sizes"))
+    start = F.struct(F.col("missing").alias("m"), F.array().cast("array<struct<size:bigint,k:bigint>>").alias("out"))
+
+    def fill(a: Column, x: Column) -> Column:
+        k = F.least(x["n"], F.floor(a["m"] / x["size"])).cast("long")
+        grown = F.when(k > 0, F.concat(a["out"], F.array(F.struct(x["size"].alias("size"), k.alias("k"))))).otherwise(a["out"])
+        return F.struct((a["m"] - k * x["size"]).alias("m"), grown.alias("out"))
+
+    picks = checkpointed(counts.select("id", F.inline(F.aggregate("sizes", start, fill, lambda a: a["out"]))))
+    met = left.join(F.broadcast(picks), ["id", "size"])
+    parts = W.partitionBy("id", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = met.groupBy("id", "size", "bucket").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(parts), F.lit(0))).drop("c")
+    inside = W.partitionBy("id", "size", "bucket").orderBy("h", "row")
+    take(met.join(sums, ["id", "size", "bucket"]).where("before < k").withColumn("at", F.col("before") + F.row_number().over(inside)).where("at <= k"))
+    last = left.join(F.broadcast(short), "id").where((F.col("size") > 0) & (F.col("size") < 2 * F.col("missing")))
+    last = last.groupBy("id").agg(F.min(F.struct(F.abs(F.col("missing") - F.col("size")).alias("off"), "h", "row", "size")).alias("best"))
+    take(last.select("id", "best.row", "best.size"))
+    out = left.select("row").limit(0)
+    for rows in added:
+        out = out.unionByName(rows.select("row"))
+    return out.withColumn("more", shard)
+
+
 def mix(docs: DataFrame, order: bool = False, **settings) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken.
 

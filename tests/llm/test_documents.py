@@ -278,6 +278,21 @@ def test_mixing(request, which):
     assert sorted(map(str, got)) == sorted(map(str, mixing.plan(df).collect()))
 
 
+def test_mixing_passes_over_what_does_not_fit(spark):
+    # the first source has one document of more words than its target, for some seed ahead of all others
+    rows = [(i, "a", "w " * (30_000 if i == 0 else 1 + i % 40)) for i in range(900)] + [(1000 + i, "b", "w " * 8) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3).localCheckpoint()
+    for seed in (1, 2, 3):
+        for settings in ({"weights": (1, 4), "cap": 12}, {"weights": (1, 2), "cap": 3}):
+            got = mixing.plan(df, seed=seed, blocks=4, **settings).collect()
+            for least, ids_ in ((1, range(900)), (8, range(1000, 1160))):
+                of = [r for r in got if r.doc_id in ids_]
+                unused = [r.size for r in of if len(r.draws) <= int(of[0].target // of[0].source_size)]
+                if unused:
+                    assert abs(sum(r.size * len(r.draws) for r in of) - of[0].target) < min(unused)
+                assert all(len(r.draws) == len({d["pass"] for d in r.draws}) for r in of)
+
+
 def test_mix_rows(docs, odd):
     for df in (docs, odd):
         plan = mixing.plan(df).select("doc_id", F.size("draws").alias("k")).collect()
