@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,23 +24,48 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Plan nodes that keep rows where they are, and those that read stored rows.
+_IN_PLACE, _STORED = {"Project", "Filter", "Union", "Generate"}, {"LogicalRelation", "LogicalRDD", "LocalRelation", "DataSourceV2ScanRelation", "Range", "Relation"}
+
+
+def needs_stored(docs: DataFrame) -> None:
+    """Refuse input whose rows may come in another order when it is read again: row numbers would then not meet.
+
+    Stored files and checkpoints keep their order, also after a filter or a projection.
+    """
+    todo = [docs._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in _IN_PLACE | _STORED and not (node.children().isEmpty() and "Relation" in node.nodeName()):
+            raise ValueError(f"the rows must come straight from stored files, not from {node.nodeName()}: write them first")
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, a null as the empty string."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def lower_ascii(text: Column) -> Column:
+    """The text with A-Z as a-z, and nothing else changed."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def bind(value: Column, body) -> Column:
     """``body(v)`` with ``v`` evaluated once, also where lambdas inside ``body`` use it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the checkpoint folder that the session names; set one only where there is none (tests)."""
+    """Keep the checkpoint folder that the session names; where there is none, set one on a single machine (tests)
+    and refuse on a cluster."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         import tempfile
 
         named = tempfile.mkdtemp(prefix="spark-checkpoint-")
@@ -49,3 +76,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: a checkpoint of which single columns can be read."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
