@@ -3,9 +3,14 @@
 Every pair of neighbouring words of a document is looked up among the word pairs of a set of license
 templates.  A hit at word p of the document and word t of a template votes for the diagonal p - t, the
 place where the template would start; a template that stands in the text gets all its votes on one
-diagonal, and one with words put in or left out gets them on neighbouring diagonals, which are merged.
-The lookup compares the words themselves after their hashes, so that every vote is verified, and a
-span is accepted by the share of its template's pairs that are found in it.
+diagonal, and one with words put in or left out gets them on neighbouring diagonals.  Votes are counted by
+diagonal, and the diagonals from each one up to ``SLACK`` above it are merged.
+
+A merged span with enough votes is verified word by word: of its votes, whose words have been compared
+and not only their hashes, the longest chain is taken in which the places in the text and those in the
+template both increase.  So each word pair of the template counts once, in its order, and within a
+stretch of the text about as long as the template; the chain's share of all the template's pairs is the
+span's score, and a span is accepted from ``COVERAGE`` on.  Words that merely repeat make no chain.
 
 Everything is built from Spark SQL functions.  The templates are the only data that is broadcast; their
 number of words is bounded.  Pairs that hit nothing are dropped in the task that reads the text, and
@@ -20,11 +25,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm.common import whole_text
+from factloom.llm.common import bind, lower_ascii, whole_text
 
 #: Words are maximal runs of letters and digits of ASCII and of anything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -53,8 +58,8 @@ NOTICES = (
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
-#: Diagonals this near to each other are one span.
-SLACK = 3
+#: Diagonals up to so far above another one are merged with it; short templates must stand on one.
+SLACK = 6
 #: The share of a template's word pairs that a span must have.
 COVERAGE = 0.8
 #: The templates are broadcast; more words than this are refused.
@@ -75,38 +80,48 @@ def template_pairs(spark: SparkSession, templates: Sequence[tuple[str, str, bool
     return spark.range(1).select(F.inline(one)).withColumn("h", F.xxhash64("a", "b"))
 
 
-def spans(docs: DataFrame, templates: Sequence[tuple[str, str, bool]]) -> DataFrame:
-    """Merged votes: row, doc_id, n_words, template, label, base, start, end_start, places, found, pairs, share.
+def slack(pairs: Column) -> Column:
+    """How many diagonals a span of a template of so many word pairs may have beyond its first."""
+    return F.when(pairs > SLACK, SLACK).otherwise(0)
+
+
+def _chain(votes: Column) -> Column:
+    """The length of the longest chain of ``votes`` (t, back) that increases in t and in the place -back.
+
+    By ends: for each length the least place where a chain so long can end.  Votes come by t, and for
+    one t from the last place to the first, so that none follows another of its own t.
+    """
+
+    def step(ends: Column, v: Column) -> Column:
+        p = -v["back"]
+        return bind(F.size(F.filter(ends, lambda x: x < p)), lambda k: F.concat(F.slice(ends, 1, k), F.array(p), F.slice(ends, k + 2, F.size(ends) + 1)))
+
+    return F.aggregate(F.array_sort(votes), F.array().cast("array<bigint>"), step, F.size)
+
+
+def spans(docs: DataFrame, templates: Sequence[tuple[str, str, bool]], coverage: float = COVERAGE) -> DataFrame:
+    """Verified spans: row, doc_id, n_words, template, label, base, pairs, start, votes, found, share.
 
-    ``start`` and ``end_start`` are the first and last diagonal of a span, ``found`` its votes and
-    ``share`` their part of the template's ``pairs``; ``places`` counts diagonals that have them all.
-    Each document also has one row without a template.
+    ``start`` is a span's first diagonal, ``votes`` the number of votes on it, ``found`` the length of the
+    verified chain (0 where too few votes are merged to reach ``coverage``) and ``share`` its part of the
+    template's ``pairs``.  Each document also has one row without a template.
     """
-    words = F.regexp_extract_all(F.lower(whole_text()), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(lower_ascii(whole_text()), F.lit(WORD), F.lit(0))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words.alias("words"))
     each = rows.select("row", "doc_id", F.size("words").alias("n_words"), "words", F.posexplode_outer("words").alias("p", "w"))
     each = each.select("row", "doc_id", "n_words", "p", "w", F.get("words", F.col("p") + 1).alias("next"))
     known = F.broadcast(template_pairs(docs.sparkSession, templates))
     met = each.join(known, (F.xxhash64("w", "next") == F.col("h")) & (F.col("w") == F.col("a")) & (F.col("next") == F.col("b")), "left")
     hits = met.where(F.col("template").isNotNull() | (F.coalesce("p", F.lit(0)) == 0))
-    votes = hits.groupBy("row", "doc_id", "n_words", "template", "label", "base", "pairs", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.count("template").alias("votes"))
-    by_place = W.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.col("diagonal") - F.lag("diagonal").over(by_place) > F.when(F.col("pairs") > 2 * SLACK, SLACK).otherwise(0)
-    merged = votes.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("span", F.sum("apart").over(by_place))
-    whole = F.col("votes") == F.col("pairs")
-    return (
-        merged.groupBy("row", "doc_id", "n_words", "template", "label", "base", "pairs", "span")
-        .agg(
-            F.min("diagonal").alias("start"),
-            F.max("diagonal").alias("end_start"),
-            F.sum("votes").alias("found"),
-            F.count_if(whole).alias("places"),
-            F.min(F.when(whole, F.col("diagonal"))).alias("first_place"),
-            F.max(F.when(whole, F.col("diagonal"))).alias("last_place"),
-        )
-        .withColumn("share", F.least(F.col("found") / F.col("pairs"), F.lit(1.0)))
-        .drop("span")
-    )
+    # on one diagonal a template's pair has one vote at most, so that a list is no longer than the template
+    by_diagonal = hits.groupBy("row", "doc_id", "n_words", "template", "label", "base", "pairs", (F.col("p") - F.col("t")).cast("long").alias("start")).agg(F.collect_list("t").alias("ts"))
+    reach = W.partitionBy("row", "template").orderBy("start").rangeBetween(W.currentRow, SLACK)
+    near = F.filter(F.collect_list(F.struct("start", "ts")).over(reach), lambda g: g["start"] <= F.col("start") + slack(F.col("pairs")))
+    merged = by_diagonal.withColumn("near", near).withColumn("votes", F.size("ts"))
+    enough = F.aggregate("near", F.lit(0), lambda a, g: a + F.size(g["ts"])) >= coverage * F.col("pairs")
+    votes = F.flatten(F.transform("near", lambda g: F.transform(g["ts"], lambda t: F.struct(t.alias("t"), (-(g["start"] + t)).alias("back")))))
+    found = F.when(enough & F.col("template").isNotNull(), F.when(F.col("votes") == F.col("pairs"), F.col("pairs")).otherwise(_chain(votes))).otherwise(0)
+    return merged.select("row", "doc_id", "n_words", "template", "label", "base", "pairs", "start", "votes", found.alias("found")).withColumn("share", F.col("found") / F.col("pairs"))
 
 
 def default_templates() -> list[tuple[str, str, bool]]:
@@ -120,14 +135,15 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str, bool]] | None = No
     doc_id, n_words, n_base (places of base phrases), first_word and last_word (their least and largest
     start), base_labels, labels (with those of accepted spans) and score, the largest accepted share.
     """
-    found = spans(docs, default_templates() if templates is None else templates)
-    accepted = F.col("template").isNotNull() & F.when(F.col("base"), F.col("places") > 0).otherwise(F.col("share") >= coverage)
+    found = spans(docs, default_templates() if templates is None else templates, coverage)
+    whole = F.coalesce(F.col("votes") == F.col("pairs"), F.lit(False))
+    base = F.coalesce(F.col("base"), F.lit(False)) & whole
+    accepted = F.col("template").isNotNull() & F.when(F.col("base"), whole).otherwise(F.col("share") >= coverage)
     listed = lambda pick: F.array_join(F.array_sort(F.collect_set(F.when(pick, F.col("label")))), ",")
-    base = F.col("base") & (F.col("places") > 0)
     per_row = found.groupBy("row", "doc_id", "n_words").agg(
-        F.coalesce(F.sum(F.when(base, F.col("places"))), F.lit(0)).cast("long").alias("n_base"),
-        F.min(F.when(base, F.col("first_place"))).cast("long").alias("first_word"),
-        F.max(F.when(base, F.col("last_place"))).cast("long").alias("last_word"),
+        F.count_if(base).alias("n_base"),
+        F.min(F.when(base, F.col("start"))).alias("first_word"),
+        F.max(F.when(base, F.col("start"))).alias("last_word"),
         listed(base).alias("base_labels"),
         listed(accepted).alias("labels"),
         F.coalesce(F.max(F.when(accepted, F.col("share"))), F.lit(0.0)).alias("score"),
@@ -136,39 +152,33 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str, bool]] | None = No
 
 
 def oracle_sql() -> str:
-    """The default scan in DuckDB SQL."""
-    rows = []
-    for k, (phrase, label, base) in enumerate(default_templates()):
-        words = phrase.split(" ")
-        rows += [f"('{a}', '{b}', {t}, {k}, '{label}', {base}, {len(words) - 1})" for t, (a, b) in enumerate(zip(words, words[1:]))]
+    """The default scan in DuckDB SQL, from the definitions: a place of a base phrase is where its words stand, and
+    a notice's score is the best, over all starts, of the longest chains of its word pairs near that start."""
+    base = ", ".join(f"({p.split(' ')!r}, '{x}')" for p, x in BASE)
+    notices = ", ".join(f"({k}, {p.split(' ')!r}, '{x}')" for k, (p, x) in enumerate(NOTICES))
     return f"""
-WITH template_pairs(a, b, t, template, label, base, pairs) AS (VALUES {", ".join(rows)}),
+WITH base(phrase, label) AS (VALUES {base}), notices(k, phrase, label) AS (VALUES {notices}),
+pairs AS (SELECT k, phrase[t + 1] AS a, phrase[t + 2] AS b, t FROM (SELECT k, phrase, unnest(range(len(phrase) - 1)) AS t FROM notices)),
 docs AS (
-  SELECT row_number() OVER () AS row, doc_id,
-         regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
   FROM documents),
-placed AS (SELECT row, unnest(words) AS a, unnest(range(1, len(words) + 1)) AS p, words FROM docs),
-votes AS (
-  SELECT row, template, label, base, pairs, p - 1 - t AS diagonal, count(*) AS votes
-  FROM placed JOIN template_pairs ON placed.a = template_pairs.a AND placed.words[p + 1] = template_pairs.b
-  GROUP BY ALL),
-apart AS (
-  SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal)
-                     > CASE WHEN pairs > {2 * SLACK} THEN {SLACK} ELSE 0 END, true) AS apart FROM votes),
-numbered AS (SELECT *, sum(CAST(apart AS INT)) OVER (PARTITION BY row, template ORDER BY diagonal) AS span FROM apart),
-spans AS (
-  SELECT row, template, label, base, least(CAST(sum(votes) AS DOUBLE) / pairs, 1.0) AS share,
-         count(*) FILTER (votes = pairs) AS places,
-         min(diagonal) FILTER (votes = pairs) AS first_place, max(diagonal) FILTER (votes = pairs) AS last_place
-  FROM numbered GROUP BY row, template, label, base, pairs, span),
-accepted AS (SELECT * FROM spans WHERE CASE WHEN base THEN places > 0 ELSE share >= {COVERAGE} END),
+placed AS (SELECT row, p, words[p + 1] AS w, words FROM (SELECT row, words, unnest(range(len(words))) AS p FROM docs)),
+standing AS (SELECT row, p, label FROM placed JOIN base ON w = phrase[1] AND words[p + 1:p + len(phrase)] = phrase),
+based AS (SELECT row, count(*) AS n, min(p) AS first, max(p) AS last FROM standing GROUP BY row),
+hits AS (SELECT row, k, p, t FROM placed JOIN pairs ON w = a AND words[p + 2] = b),
+starts AS (SELECT DISTINCT row, k, p - t AS start, len(phrase) - 1 AS n FROM hits JOIN notices USING (k)),
+near AS (
+  SELECT s.row, s.k, s.start, s.n, list([h.p] ORDER BY h.t, h.p DESC) AS places FROM starts s JOIN hits h
+  ON s.row = h.row AND s.k = h.k AND h.p - h.t BETWEEN s.start AND s.start + CASE WHEN s.n > {SLACK} THEN {SLACK} ELSE 0 END GROUP BY ALL),
+chains AS (
+  SELECT row, k, len(list_reduce(places, lambda ends, v: list_concat(list_filter(ends, lambda x: x < v[1]), v, ends[len(list_filter(ends, lambda x: x < v[1])) + 2:]))) / n AS share
+  FROM near WHERE len(places) >= {COVERAGE} * n),
+noticed AS (SELECT row, label, max(share) AS share FROM chains JOIN notices USING (k) WHERE share >= {COVERAGE} GROUP BY ALL),
+labelled AS (SELECT row, label, true AS base, 1.0 AS share FROM standing UNION ALL SELECT row, label, false, share FROM noticed),
 per_row AS (
-  SELECT row, sum(places) FILTER (base) AS n_base, min(first_place) FILTER (base) AS first_word, max(last_place) FILTER (base) AS last_word,
-         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
-         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
-  FROM accepted GROUP BY row)
-SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
-       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM labelled GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(first AS BIGINT) AS first_word, CAST(last AS BIGINT) AS last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
-FROM docs LEFT JOIN per_row USING (row)
+FROM docs LEFT JOIN based USING (row) LEFT JOIN per_row USING (row)
 """
