@@ -2,27 +2,32 @@
 
 Every source gets a target number of words: its weight's share of all words, but never more than
 three times what it has; what is cut off goes to the other sources by weight.  A source's documents
-are dealt by hash into blocks, and the blocks are permuted anew for each pass over the source.  The
-quota of a source is an exact number of blocks: all blocks once for each whole pass, and the first
-ones of one more permutation for the rest, of which the last block is taken in part: documents while
-they fit.  What is missing then is filled from all documents left, passing over those that are too large,
-until it is below the least of them, and by the one further document that brings the source nearer to its
-target (:func:`_filled`); these go to shards by hash.
+are dealt into blocks by a hash of what they are, and the blocks are permuted anew for each pass over the
+source.  The quota of a source is an exact number of blocks: all blocks once for each whole pass, and the
+first ones of one more permutation for the rest, the part pass.  In the part pass documents of more than a
+sixteenth of the rest are passed over, and of the last block those documents are taken that come first.
+What is missing then is filled from all documents left, the largest that fit first, until it is below the
+least of them, and by the one further document that brings the source nearer to its target
+(:func:`_filled`); these go to shards by hash.
 
 Output shards get their blocks from a tree.  At the root stands the vector of all quotas; a node
 hands its left child half of its blocks, drawn without replacement, so that the child's vector is
 multivariate hypergeometric, and its right child the rest.  A leaf is a shard: it takes the next
 blocks of each source's permutation, as many as its vector says, so that shards are disjoint and
 together use up every quota exactly.  Inside a shard documents are in the order of a keyed hash.
+The number of shards follows the number of words, that of blocks the number of shards.
 
-Everything is built from Spark SQL functions, and all draws are functions of the seed and of hashes.
-Prefix sums run over at most ``blocks`` blocks of a source or over the documents of one block; both
-are spread over many tasks, however large a source is.
+Everything is built from Spark SQL functions, and all draws are functions of the seed and of hashes of
+doc_id, source and text: how the input is split over files or tasks changes nothing.  Prefix sums
+run over a source's blocks or over the documents of one block; both are spread over many tasks, however large
+a source is.  The vector of quotas has an entry for each source and is handled as one value, so sources must
+be few against documents (a million of them are 16 MB).
 
 Defined cases: a null or empty text has size 0 and is in every pass like any other; a null source is
-a source of its own, the last; repeated rows and rows that share a doc_id are documents of their own
-as far as the draw goes, and share their block; an empty table gives an empty mix; a source without
-words has the target 0; other columns pass through :func:`mix` whatever their names.
+a source of its own, the last; rows that share a doc_id are documents of their own; rows that are equal
+in doc_id, source and text share a block, and which of them is taken can't be told; an empty table gives
+an empty mix; a source without words has the target 0; other columns pass through :func:`mix` whatever their
+names.
 """
 
 from __future__ import annotations
@@ -33,14 +38,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm.common import SPACES, bind, checkpointed, fresh, whole_text
+from factloom.llm.common import SPACES, bind, checkpointed, fresh, needs_stored, whole_text
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-BLOCKS = 4096
-SHARDS = 16
-#: Further prefixes over a source at most; each halves what is missing or leaves no document so small.
-ROUNDS = 8
+#: Blocks of a source at least, and for each shard; shards at least, and the words of one.
+BLOCKS, BLOCKS_A_SHARD = 4096, 64
+SHARDS, WORDS_A_SHARD = 16, 1 << 24
+#: The part pass passes over documents of more than this part of what it is to take.
+SMALL = 16
+#: Nodes of the tree from which on they are spread over tasks.
+WIDE = 4096
+#: Up to so many rows of a few numbers are broadcast; more are joined through a shuffle.
+BROADCAST_ROWS = 200_000
 SEED = 7
 
 
@@ -162,109 +172,90 @@ def split(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFram
         )
         node = drawn.select(F.inline(halves))
         width //= 2
+        if shards // width == WIDE:
+            node = checkpointed(node.repartition("shard"))
     leaves = node.select("shard", F.inline("q"))
     before = W.partitionBy("id").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     return leaves.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
-def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it is small enough; it has been written already, so that counting is cheap."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, blocks: int | None = None, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """Which documents the mix takes: row, doc_id, size, source_size, target and ``draws``, for each row.
 
-    ``draws`` is an array of (pass, shard), one entry for each time the document is taken; ``row``
-    is the row's number within the scan of ``docs``.
+    ``draws`` is an array of (pass, shard, at), one entry for each time the document is taken; ``at`` orders
+    the documents of a shard.  ``row`` is the row's number within the scan of ``docs``.
     """
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks)).cast("int")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", bucket.alias("bucket"), size(whole_text()).alias("size"))
+    parts = ("doc_id", "source", "text")
+    key = F.xxhash64(F.lit(seed), *parts, *[F.col(c).isNull() for c in parts])
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", key.alias("key"), size(whole_text()).alias("size"))
     rows = checkpointed(rows)
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n_docs"))
-    sums = checkpointed(sums)
-    sources = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
-    counted = sums.groupBy("source").agg(F.count("*").alias("n_blocks"))
+    sizes = checkpointed(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    if shards is None:
+        words = sizes.agg(F.sum("source_size").alias("n")).first()["n"] or 0
+        shards = max(SHARDS, 1 << max(0, (words - 1) // WORDS_A_SHARD).bit_length())
+    blocks = blocks or max(BLOCKS, BLOCKS_A_SHARD * shards)
     whole = F.least(F.floor(F.col("target") / F.greatest("source_size", F.lit(1))), F.lit(cap)).cast("int")
-    per_source = sources.join(counted, sources["source"].eqNullSafe(counted["source"])).select(
-        sources["source"].alias("s"), "source_size", "target", "n_blocks", whole.alias("whole"),
+    per_source = targets(sizes, weights, cap).select(
+        F.col("source").alias("s"), "source_size", "target", whole.alias("whole"),
         F.when(whole >= cap, 0.0).otherwise(F.greatest(F.col("target") - whole * F.col("source_size"), F.lit(0.0))).alias("rest"),
-        F.xxhash64(F.lit("source"), F.coalesce(sources["source"], F.lit("")), sources["source"].isNull()).alias("id"),
+        F.xxhash64(F.lit("source"), F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("id"),
     )
+    per_source = checkpointed(per_source)
+    bucket = F.pmod("key", F.lit(blocks)).cast("int")
+    small = SMALL * F.col("size") <= F.col("rest")
+    rows = rows.join(_few(per_source), F.col("source").eqNullSafe(F.col("s"))).withColumns({"bucket": bucket, "small": small}).drop("s", "source")
+    sums = rows.groupBy("id", "bucket", "whole", "rest").agg(F.sum(F.when(F.col("small"), F.col("size")).otherwise(0)).alias("words"), F.count_if("small").alias("n_small"))
     # a source's blocks in the order of the part pass, with the words before each
-    order = W.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "whole", "bucket"), "bucket")
-    placed = (
-        sums.join(per_source, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("before", F.coalesce(F.sum("words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("part_rank", F.row_number().over(order) - 1)
-        .drop("s")
-    )
-    room = F.col("rest") - F.col("before")
-    kind = F.when(room <= 0, "none").when(room >= F.col("words"), "all").otherwise("part")
-    placed = checkpointed(placed.withColumn("room", room).withColumn("kind", kind))
+    order = W.partitionBy("id").orderBy(F.xxhash64(F.lit(seed), F.lit("whole"), "bucket"), "bucket")
+    room = F.col("rest") - F.coalesce(F.sum("words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    kind = F.when((room <= 0) | (F.col("n_small") == 0), "none").when(room >= F.col("words"), "all").otherwise("part")
+    placed = sums.select("id", "bucket", "whole", room.alias("room"), kind.alias("kind"), (F.row_number().over(order) - 1).alias("part_rank"), F.count("*").over(W.partitionBy("id")).alias("n_blocks"))
+    placed = checkpointed(placed)
     # the tree shares out block instances: each whole pass has all blocks, the part pass the first ones
-    per_pass = placed.select("source", "bucket", "id", "n_blocks", "kind", "part_rank", "whole", F.explode(F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>"))).alias("pass"))
-    ranked = per_pass.withColumn("rank", F.row_number().over(W.partitionBy("source", "pass").orderBy(F.xxhash64(F.lit(seed), "pass", "bucket"), "bucket")) - 1)
-    last = placed.where("kind <> 'none'").select("source", "bucket", "id", "n_blocks", F.col("whole").alias("pass"), F.col("part_rank").alias("rank"))
-    instances = ranked.select("source", "bucket", "id", "n_blocks", "pass", "rank").unionByName(last).withColumn("at", F.col("pass").cast("long") * F.col("n_blocks") + F.col("rank"))
+    passes = F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>"))
+    per_pass = placed.select("id", "bucket", "n_blocks", F.explode(passes).alias("pass"))
+    ranked = per_pass.withColumn("rank", F.row_number().over(W.partitionBy("id", "pass").orderBy(F.xxhash64(F.lit(seed), "pass", "bucket"), "bucket")) - 1)
+    last = placed.where("kind <> 'none'").withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("part_rank")) - 1).select("id", "bucket", "n_blocks", F.col("whole").alias("pass"), "rank")
+    instances = ranked.select("id", "bucket", "n_blocks", "pass", "rank").unionByName(last).select("id", "bucket", "pass", (F.col("pass").cast("long") * F.col("n_blocks") + F.col("rank")).alias("at"))
     instances = checkpointed(instances)
     shares = split(instances.groupBy("id").agg(F.count("*").alias("n")), shards, seed)
     slots = shares.where("n > 0").select("id", "shard", F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("n") - 1)).alias("at"))
-    dealt = instances.join(slots, ["id", "at"]).groupBy("source", "bucket").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
-    decided = placed.select("source", "bucket", "source_size", "target", "whole", "kind", "room").join(
-        dealt.withColumnsRenamed({"source": "s", "bucket": "b"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")), "left"
-    ).drop("s", "b")
-    decided = decided.withColumnsRenamed({"source": "s", "bucket": "b"})
-    # of a block that is taken in part: documents in the order of their hashes, while they fit
-    inside = W.partitionBy("source", "bucket").orderBy(F.xxhash64(F.lit(seed), "doc_id", "row"), "row")
-    met = rows.join(decided, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    upto = met.withColumn("upto", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    fits = (F.col("kind") == "all") | (F.col("kind") == "part") & (F.col("upto") <= F.col("room"))
+    dealt = instances.join(slots, ["id", "at"]).groupBy("id", "bucket").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
+    decided = placed.select("id", "bucket", "kind", "room").join(dealt, ["id", "bucket"], "left")
+    met = checkpointed(rows.join(decided.hint("shuffle_hash"), ["id", "bucket"]).select("row", "doc_id", "key", "id", "bucket", "size", "source_size", "target", "whole", "small", "kind", "room", "draws"))
+    # of a block that is taken in part the small documents, in the order of their hashes, while they fit; only these are sorted
+    in_part = (F.col("kind") == "part") & F.col("small")
+    inside = W.partitionBy("id", "bucket").orderBy(F.xxhash64(F.lit(seed), "key"), "row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    cut = met.where(in_part).withColumn("fits", F.sum("size").over(inside) <= F.col("room"))
+    others = met.where(~in_part).withColumn("fits", (F.col("kind") == "all") & F.col("small"))
     draws = F.coalesce("draws", F.array().cast("array<struct<pass:int,shard:int>>"))
-    chosen = upto.withColumns({"fits": fits, "draws": F.when(fits, draws).otherwise(F.filter(draws, lambda d: d["pass"] < F.col("whole")))})
-    source_id = F.xxhash64(F.lit("source"), F.coalesce("source", F.lit("")), F.col("source").isNull())
-    chosen = checkpointed(chosen.select("row", "doc_id", "bucket", "size", "source_size", "target", "whole", "fits", "draws", source_id.alias("id")))
-    more = _filled(chosen, cap, shards, seed)
-    return chosen.join(more, "row", "left").select(
-        "row", "doc_id", "size", "source_size", "target", F.when(F.col("more").isNull(), F.col("draws")).otherwise(F.concat("draws", F.array(F.struct(F.col("whole").alias("pass"), F.col("more").alias("shard"))))).alias("draws")
-    )
+    chosen = cut.unionByName(others).withColumn("draws", F.when(F.col("fits"), draws).otherwise(F.filter(draws, lambda d: d["pass"] < F.col("whole"))))
+    more = checkpointed(_filled(chosen.select("id", "row", "key", "bucket", "size", "target", "whole", "fits", "draws"), cap, shards, seed))
+    added = F.array(F.struct(F.col("whole").alias("pass"), F.col("more").alias("shard")))
+    both = F.when(F.col("more").isNull(), F.col("draws")).otherwise(F.concat("draws", added))
+    at = lambda d: F.xxhash64(F.lit(seed), F.lit("at"), "key", d["pass"])
+    listed = F.transform(both, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), at(d).alias("at")))
+    return chosen.join(_few(more), "row", "left").select("row", "doc_id", "size", "source_size", "target", listed.alias("draws"))
 
 
 def _filled(chosen: DataFrame, cap: int, shards: int, seed: int) -> DataFrame:
-    """(row, more): the documents that fill what is missing of the targets after the first prefix, and their shards.
+    """(row, more): the documents that fill what is missing of the targets after the part pass, and their shards.
 
-    A round takes one more prefix, in the same order, of documents of at most half of what is missing, so
-    that what is missing halves or all of these are taken; larger ones are passed over.  Rounds go on
-    while a hundredth of a target is missing.  Then each size, from the largest down, fills what it can,
-    after which every document left is larger than what is missing; and the one nearest to it goes in
-    if that brings the source nearer to its target.  Sizes are handled as counts, one row for each.
+    Each size, from the largest down, fills what it can, after which every document left is larger than what
+    is missing; and the one nearest to it goes in if that brings the source nearer to its target.  Sizes are
+    handled as counts, one row for each; of the documents of a size those with the least hashes are taken.
     """
     # documents that the part pass can still take, and what their sources miss
-    left = chosen.where(~F.col("fits") & (F.col("whole") < cap)).select("id", "row", "bucket", "size", F.xxhash64(F.lit(seed), "doc_id", "row").alias("h"))
+    left = chosen.where(~F.col("fits") & (F.col("whole") < cap)).select("id", "row", "key", "bucket", "size", F.xxhash64(F.lit(seed), F.lit("left"), "key").alias("h"))
     short = chosen.groupBy("id", "target").agg(F.sum(F.col("size") * F.size("draws")).alias("taken"))
-    short = checkpointed(short.select("id", "target", (F.col("target") - F.col("taken")).alias("missing")).where("missing > 0"))
-    shard = F.pmod(F.xxhash64(F.lit(seed), F.lit("more"), "row"), F.lit(shards)).cast("int")
-    added = []
-
-    def take(rows: DataFrame) -> bool:
-        """Put ``rows`` (id, row, size) into the mix; whether there were any."""
-        nonlocal left, short
-        rows = checkpointed(rows.select("id", "row", "size"))
-        if rows.isEmpty():
-            return False
-        added.append(rows)
-        left = checkpointed(left.join(rows.select("row"), "row", "left_anti"))
-        sums = rows.groupBy("id").agg(F.sum("size").alias("words"))
-        short = checkpointed(short.join(sums, "id", "left").select("id", "target", (F.col("missing") - F.coalesce("words", F.lit(0))).alias("missing")).where("missing > 0"))
-        return True
-
-    blocks = W.partitionBy("id").orderBy(F.xxhash64(F.lit(seed), F.lit("whole"), "bucket"), "bucket").rowsBetween(W.unboundedPreceding, -1)
-    for _ in range(ROUNDS):
-        wide = short.where(F.col("missing") * 100 > F.col("target"))
-        if wide.isEmpty():
-            break
-        small = left.join(F.broadcast(wide), "id").where(2 * F.col("size") <= F.col("missing"))
-        sums = small.groupBy("id", "bucket").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(blocks), F.lit(0))).drop("words")
-        inside = W.partitionBy("id", "bucket").orderBy("h", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
-        met = small.join(sums, ["id", "bucket"]).where("before < missing").withColumn("upto", F.col("before") + F.sum("size").over(inside))
-        if not take(met.where("upto <= missing")):
-            break
-    fitting = left.join(F.broadcast(short), "id").where((F.col("size") > 0) & (F.col("size") <= F.col("missing")))
+    short = checkpointed(short.select("id", (F.col("target") - F.col("taken")).alias("missing")).where("missing > 0"))
+    shard = F.pmod(F.xxhash64(F.lit(seed), F.lit("more"), "key"), F.lit(shards)).cast("int")
+    fitting = left.join(_few(short), "id").where((F.col("size") > 0) & (F.col("size") <= F.col("missing")))
     counts = fitting.groupBy("id", "missing", "size").agg(F.count("*").alias("n"))
     counts = counts.groupBy("id", "missing").agg(F.sort_array(F.collect_list(F.struct("size", "n")), False).alias("sizes"))
     start = F.struct(F.col("missing").alias("m"), F.array().cast("array<struct<size:bigint,k:bigint>>").alias("out"))
@@ -275,32 +266,35 @@ def _filled(chosen: DataFrame, cap: int, shards: int, seed: int) -> DataFrame:
         return F.struct((a["m"] - k * x["size"]).alias("m"), grown.alias("out"))
 
     picks = checkpointed(counts.select("id", F.inline(F.aggregate("sizes", start, fill, lambda a: a["out"]))))
-    met = left.join(F.broadcast(picks), ["id", "size"])
+    met = left.join(_few(picks), ["id", "size"])
     parts = W.partitionBy("id", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = met.groupBy("id", "size", "bucket").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(parts), F.lit(0))).drop("c")
     inside = W.partitionBy("id", "size", "bucket").orderBy("h", "row")
-    take(met.join(sums, ["id", "size", "bucket"]).where("before < k").withColumn("at", F.col("before") + F.row_number().over(inside)).where("at <= k"))
-    last = left.join(F.broadcast(short), "id").where((F.col("size") > 0) & (F.col("size") < 2 * F.col("missing")))
-    last = last.groupBy("id").agg(F.min(F.struct(F.abs(F.col("missing") - F.col("size")).alias("off"), "h", "row", "size")).alias("best"))
-    take(last.select("id", "best.row", "best.size"))
-    out = left.select("row").limit(0)
-    for rows in added:
-        out = out.unionByName(rows.select("row"))
-    return out.withColumn("more", shard)
+    first = met.join(sums, ["id", "size", "bucket"]).where("before < k").withColumn("at", F.col("before") + F.row_number().over(inside)).where("at <= k")
+    first = checkpointed(first.select("id", "row", "key", "size"))
+    filled = first.groupBy("id").agg(F.sum("size").alias("words"))
+    still = checkpointed(short.join(filled, "id", "left").select("id", (F.col("missing") - F.coalesce("words", F.lit(0))).alias("missing")).where("missing > 0"))
+    near = left.join(_few(still), "id").where((F.col("size") > 0) & (F.col("size") < 2 * F.col("missing"))).join(_few(first.select("row")), "row", "left_anti")
+    last = near.groupBy("id").agg(F.min(F.struct(F.abs(F.col("missing") - F.col("size")).alias("off"), "h", "row", "key")).alias("best"))
+    return first.select("row", "key").unionByName(last.select("best.row", "best.key")).select("row", shard.alias("more"))
 
 
-def mix(docs: DataFrame, order: bool = False, **settings) -> DataFrame:
+def mix(docs: DataFrame, order: bool = False, shuffle: bool = False, **settings) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken.
 
-    With ``order`` the columns _shard and _at say in which shard a row goes and where; write the rows
-    partitioned by _shard and sorted by _at.  ``docs`` must come straight from stored files.
+    With ``shuffle`` they come by shard, each shard in its own order, ready to be written; with ``order`` the
+    columns _shard and _at say in which shard a row goes and where.  Rows are met by their number in a second
+    scan of ``docs``, so ``docs`` must come straight from stored files; anything else is refused.
     """
+    needs_stored(docs)
     row, draws = fresh(docs, "_row"), fresh(docs, "_draws")
     chosen = plan(docs, **settings).where(F.size("draws") > 0).select(F.col("row").alias(row), F.col("draws").alias(draws))
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     shard, at, one = (fresh(docs, n) for n in ("_shard", "_at", "_one"))
     each = numbered.join(chosen, row).withColumn(one, F.explode(draws))
-    if not order:
+    if not (order or shuffle):
         return each.drop(row, draws, one)
-    seed = settings.get("seed", SEED)
-    return each.withColumns({shard: F.col(one)["shard"], at: F.xxhash64(F.lit(seed), row, F.col(one)["pass"])}).drop(row, draws, one)
+    placed = each.withColumns({shard: F.col(one)["shard"], at: F.col(one)["at"]}).drop(row, draws, one)
+    if shuffle:
+        placed = placed.repartition(F.col(shard)).sortWithinPartitions(shard, at)
+    return placed if order else placed.drop(shard, at)
