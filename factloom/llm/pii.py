@@ -2,17 +2,24 @@
 
 Entities are found by pattern (and checksum, where the kind has one) and get keyed replacements of
 their own kind: the same entity gets the same surrogate wherever it stands (coreference), written in
-the format of the mention; two entities never share a surrogate, and no surrogate is an entity of
-the corpus (distinctness).
+the format of the mention and, for names, in its script and gender; two entities never share a surrogate, and no
+surrogate is an entity of the corpus (distinctness).  For names this holds over given names and surnames together.
 
-Three steps.  *Find* reduces the corpus to its distinct entities.  *Settle* computes every entity's
-first surrogate and groups by it: where several entities meet, or a surrogate is itself an entity of
-the corpus, the least entity keeps it and the others go on to their next one, until all are settled.
-*Rewrite* computes first surrogates on the spot and looks up only the entities that had to go on.
+Names are found after a title or a label (:data:`TITLES`, :data:`LABELS`), before a title that follows
+(:data:`AFTER`), as a given name of :data:`GIVEN` with a capitalised word behind it, and then wherever they stand
+in the same text; other names are not found.  What is a given name anywhere is one in all the corpus; its gender is
+that of the list, else the one that titles all over the corpus agree on, else unknown.  A surname's is told by its
+own ending.
+
+Three steps.  *Find* reduces the corpus to its distinct entities, and settles the genders of given names.
+*Settle* computes every entity's first surrogate and groups by it: where several entities meet, or a
+surrogate is itself an entity of the corpus, the least entity keeps it and the others go on to their next one,
+until all are settled; later ones widen the choice.  *Rewrite* computes first surrogates on the spot and looks
+up only entities that had to go on and genders that a text alone doesn't tell.
 
 Defined cases: a null text stays null; an empty text stays empty; repeated rows are rewritten alike;
 an empty table gives an empty result; other columns pass through :func:`rewrite` unchanged, whatever
-their names.
+their names.  Time grows with a text's length, however many entities it has.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import checkpointed, fresh
+from factloom.llm.common import checkpointed, fresh, needs_stored
 
 KEY = "corpus-surrogates-1"
 #: Up to so many entities that had to go on are broadcast; more are joined through a shuffle.
@@ -44,10 +51,14 @@ BARE_SECRET = re.compile(r"(?<![\w])(?:[0-9a-f]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_
 
 #: Titles before names, with the gender that they tell (u: none).
 TITLES = {
-    "Mr": "m", "Mr.": "m", "Sir": "m", "Mrs": "f", "Mrs.": "f", "Ms": "f", "Ms.": "f", "Miss": "f", "Lady": "f", "Dr.": "u", "Prof.": "u",
+    "Mr": "m", "Mr.": "m", "Sir": "m", "Mrs": "f", "Mrs.": "f", "Ms": "f", "Ms.": "f", "Miss": "f", "Lady": "f", "Dr.": "u", "Prof.": "u", "Doctor": "u", "Professor": "u",
     "Herr": "m", "Frau": "f", "Señor": "m", "Sr.": "m", "Señora": "f", "Sra.": "f", "Monsieur": "m", "Madame": "f", "Mme": "f",
-    "господин": "m", "госпожа": "f", "κύριος": "m", "κυρία": "f",
+    "господин": "m", "госпожа": "f", "κύριος": "m", "κυρία": "f", "السيد": "m", "السيدة": "f",
 }
+#: Titles behind names.
+AFTER = {"先生": "m", "女士": "f", "小姐": "f"}
+#: Labels before names.
+LABELS = ("Name:", "name:", "name is", "Nombre:", "Nom:")
 #: Given names by script and gender, and the syllables of surnames by script.
 GIVEN = {
     ("latin", "m"): "Adrian Anton Bruno Carlos Daniel David Edgar Emil Felix Gustav Henry Hugo Ivan Jakob James John Karl Leon Louis Marco Martin Oliver Oscar Paul Peter Robert Simon Thomas Victor Walter".split(),
@@ -56,16 +67,36 @@ GIVEN = {
     ("cyrillic", "f"): "Алина Анна Вера Дарья Елена Ирина Мария Надежда Ольга Светлана Софья Татьяна".split(),
     ("greek", "m"): "Ανδρέας Γιώργος Δημήτρης Κώστας Νίκος Παύλος Πέτρος Σταύρος".split(),
     ("greek", "f"): "Άννα Βασιλική Ελένη Ειρήνη Κατερίνα Μαρία Σοφία Χριστίνα".split(),
+    ("arabic", "m"): "أحمد حسن خالد سعيد علي عمر محمد يوسف".split(),
+    ("arabic", "f"): "زينب سارة عائشة فاطمة ليلى مريم نور هدى".split(),
 }
+#: Characters of Han names, which are one word: of surnames, and of given names by gender.
+HAN = {"surname": "王李张刘陈杨赵黄周吴徐孙", "m": "伟强军勇杰涛明超刚平", "f": "芳娜敏静丽艳娟霞燕玲"}
 SYLLABLES = {
     "latin": "bal ber bran cor dal del dor fal fen gar hal har kel lan lor mar mel mor nor pel ral ren ros sal sel tal ter val ven wal".split(),
     "cyrillic": "бал бер вал вер гал дал дор зор кал кор лав лор мал мел нор пол рад сав тал яр".split(),
     "greek": "βαλ γαλ δαλ δορ καλ κορ λαμ λορ μαλ μελ νορ παλ ραλ σαλ ταλ φαλ".split(),
+    "arabic": "بد حد خل رش سل شم صب عم فر كر مج نج".split(),
 }
-ENDINGS = {"latin": "son man ford ley ton er ini".split(), "cyrillic": "ко ин ов".split(), "greek": "ης ος ίδης".split()}
-
-_NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]+"
-TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))}) ({_NAME}(?: {_NAME}){{0,2}})(?!\w)")
+#: The endings of surnames by script and gender (u: either), and those that tell a gender.
+ENDINGS = {
+    ("latin", "u"): "son man ford ley ton er ini".split(), ("cyrillic", "m"): "ов ин ев".split(), ("cyrillic", "f"): "ова ина ева".split(), ("cyrillic", "u"): ["ко"],
+    ("greek", "m"): "ης ος ίδης".split(), ("greek", "f"): "ου ίδου".split(), ("greek", "u"): ["ης"], ("arabic", "u"): "ان ي".split(),
+}
+TELLING = {"cyrillic": (("f", ("ова", "ева", "ёва", "ина", "ая")), ("m", ("ов", "ев", "ёв", "ин", "ий", "ый"))), "greek": (("f", ("ου", "ά", "ή")), ("m", ("ης", "ος", "ας")))}
+#: Scripts by code points, from and below.
+SCRIPTS = (
+    ("cyrillic", 0x400, 0x530), ("greek", 0x370, 0x400), ("armenian", 0x531, 0x590), ("hebrew", 0x5D0, 0x5EB), ("arabic", 0x620, 0x6D4), ("devanagari", 0x904, 0x93A), ("bengali", 0x985, 0x9BA),
+    ("thai", 0xE01, 0xE2F), ("georgian", 0x10D0, 0x10FB), ("hiragana", 0x3041, 0x3097), ("katakana", 0x30A1, 0x30FB), ("han", 0x4E00, 0x9FF0), ("hangul", 0xAC00, 0xD7A4),
+)
+
+_NAME = r"[^\W\d_a-zß-öø-ÿа-яёα-ωά-ώ][^\W\d_]+"
+TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(map(re.escape, (*TITLES, *LABELS)), key=len, reverse=True))}) ({_NAME}(?: {_NAME}){{0,2}})(?!\w)")
+BEFORE = re.compile(rf"(?<!\w)([一-鿯]{{2,3}})({'|'.join(AFTER)})")
+LISTED = {x.lower(): g for (_, g), names in GIVEN.items() for x in names}
+GIVEN_NAMES = {x for names in GIVEN.values() for x in names}
+CAPITALISED = re.compile(rf"(?<!\w)({_NAME}) (?=({_NAME})(?!\w))")
+_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
 
 
 def _luhn(digits: str) -> bool:
@@ -78,16 +109,30 @@ def _iban_remainder(text: str) -> int:
 
 
 def _script(word: str) -> str:
-    c = word[0]
-    return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
+    c = ord(word[0])
+    return next((name for name, low, high in SCRIPTS if low <= c < high), "latin" if c < 0x370 or 0x1E00 <= c < 0x1F00 else "other")
+
+
+def _surname_gender(script: str, canon: str) -> str:
+    return next((g for g, ends in TELLING.get(script, ()) if canon.endswith(ends)), "u")
+
+
+def plain_kind(kind: str) -> str:
+    """A kind without what a text tells of a name, its part and gender: what makes an entity, together with its canonical form."""
+    return f"name:{kind.split(':')[1]}" if ":" in kind else kind
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of the entities in ``text``, in order, without overlaps."""
     found: list[tuple[int, int, str, str]] = []
+    taken = bytearray()
 
     def add(start: int, end: int, kind: str, canon: str) -> None:
-        if all(end <= a or start >= b for a, b, _, _ in found):
+        nonlocal taken
+        if not taken:
+            taken = bytearray(len(text))
+        if taken.find(1, start, end) < 0:
+            taken[start:end] = b"\1" * (end - start)
             found.append((start, end, kind, canon))
 
     digits = re.search(r"\d", text) is not None
@@ -119,26 +164,38 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             plain = re.sub(r"\D", "", m[0])
             if 7 <= len(plain) <= 15:
                 add(*m.span(), "phone", ("+" if m[0][0] == "+" else "") + plain)
-    if any(x + " " in text for x in TITLES):
-        _names(text, add)
+    _names(text, add)
     return sorted(found)
 
 
 def _names(text: str, add) -> None:
-    """Names after a title, and further mentions of these names in the same text."""
-    people: dict[str, tuple[str, str]] = {}
-    for m in TITLED.finditer(text):
-        parts, at, gender = m[2].split(" "), m.start(2), TITLES[m[1]]
-        known = next((g for s, g in GIVEN if parts[0] in GIVEN[s, g]), gender)
+    """Names by their titles, labels or given names, and further mentions of these names in the same text."""
+    people: dict[str, str] = {}
+
+    def person(parts: list[str], gender: str) -> None:
         for i, part in enumerate(parts):
-            surname = i == len(parts) - 1
-            kind = f"{'surname' if surname else 'given'}:{_script(part)}:{'u' if surname else known if gender == 'u' else gender}"
-            people.setdefault(part, (kind, part))
-            add(at, at + len(part), kind, part.lower())
-            at += len(part) + 1
-    for part, (kind, _) in people.items():
-        for m in re.finditer(rf"(?<!\w){re.escape(part)}(?!\w)", text):
-            add(*m.span(), kind, part.lower())
+            script = _script(part)
+            if script != "han" and i == len(parts) - 1 and (len(parts) > 1 or part.lower() not in LISTED):
+                kind = f"surname:{script}:{_surname_gender(script, part.lower())}"
+            else:
+                kind = f"given:{script}:{LISTED.get(part.lower(), gender)}"
+            people.setdefault(part, kind)
+
+    if any(x + " " in text for x in TITLES) or any(x + " " in text for x in LABELS):
+        for m in TITLED.finditer(text):
+            person(m[2].split(" "), TITLES.get(m[1], "u"))
+    if any(x in text for x in AFTER):
+        for m in BEFORE.finditer(text):
+            add(*m.span(1), f"given:han:{AFTER[m[2]]}", m[1])
+            people.setdefault(m[1], f"given:han:{AFTER[m[2]]}")
+    for m in CAPITALISED.finditer(text):
+        if m[1] in GIVEN_NAMES:
+            person([m[1], m[2]], "u")
+    if people:
+        for m in _WORD.finditer(text):
+            kind = people.get(m[0])
+            if kind:
+                add(*m.span(), kind, m[0].lower())
 
 
 class _Stream:
@@ -160,16 +217,29 @@ class _Stream:
         return items[self.below(len(items))]
 
     def like(self, text: str) -> str:
-        """Letters for letters and digits for digits, hexadecimal ones if all are."""
+        """Letters for letters of their script and digits for digits, hexadecimal ones if all are."""
         hexadecimal = len(text) >= 16 and not set(text) - set("0123456789abcdef")
 
         def one(c: str) -> str:
             if hexadecimal:
                 return self.of("0123456789abcdef")
-            return self.of("0123456789") if c.isdigit() else self.of("abcdefghijklmnopqrstuvwxyz") if c.islower() else self.of("ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c.isupper() else c
+            if c.isdigit():
+                return self.of("0123456789")
+            if c.isascii():
+                return self.of("abcdefghijklmnopqrstuvwxyz") if c.islower() else self.of("ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c.isupper() else c
+            return self.letter(_script(c), c)
 
         return "".join(map(one, text))
 
+    def letter(self, script: str, like: str) -> str:
+        """A letter of a script, of the category of ``like``; of an unknown script one of the same 64 code points."""
+        low, high = next(((a, b) for name, a, b in SCRIPTS if name == script), (ord(like) & ~63, (ord(like) | 63) + 1))
+        for _ in range(64):
+            c = chr(low + self.below(high - low))
+            if c.isalpha() and c.islower() == like.islower():
+                return c
+        return like
+
 
 def surrogate(kind: str, canon: str, attempt: int, key: str = KEY) -> str:
     """The canonical form of an entity's surrogate.  Later attempts widen the choice where it could run out."""
@@ -184,23 +254,32 @@ def surrogate(kind: str, canon: str, attempt: int, key: str = KEY) -> str:
         return canon[:keep] + s.of("23456789") + rest[1:]
     if kind == "address":
         first, second, *_ = map(int, canon.split("."))
-        head = [first] if first == 10 else [first, second] if (first, second) == (192, 168) or first == 172 and 16 <= second < 32 else []
-        return ".".join(map(str, [*head, *(1 + s.below(223 if i + len(head) == 0 else 254) for i in range(4 - len(head)))]))
+        private = 1 if (first, second) == (192, 168) else 2 if first == 172 and 16 <= second < 32 else 3 if first == 10 else 0
+        if private:  # a private network that is used up gives way to the next larger one, and the last to the reserved addresses
+            private = min(4, private + extra // 4)
+            head = [[192, 168], [172, 16 + s.below(16)], [10], [240 + s.below(15)]][private - 1]
+            return ".".join(map(str, [*head, *(s.below(256) for _ in range(4 - len(head)))]))
+        return ".".join(map(str, [1 + s.below(223), *(1 + s.below(254) for _ in range(3))]))
     if kind == "card":
         body = canon[0] + "".join(s.of("0123456789") for _ in canon[2:])
         return next(body + c for c in "0123456789" if _luhn(body + c))
     if kind == "national":
-        return "9" + "".join(s.of("0123456789") for _ in canon[1:])
+        return ("9" if extra < 4 else s.of("0123456789")) + "".join(s.of("0123456789") for _ in canon[1:])
     if kind == "iban":
         body = s.like(canon[4:])
         return f"{canon[:2]}{98 - _iban_remainder(canon[:2] + '00' + body):02d}{body}"
     if kind == "secret":
         return s.like(canon)
     part, script, gender = kind.split(":")
+    if script == "han":
+        given = HAN[gender] if gender != "u" else HAN["m"] + HAN["f"]
+        return s.of(HAN["surname"]) + "".join(s.of(given) for _ in range(max(1, len(canon) - 1) + attempt // 6))
+    if script not in SYLLABLES:
+        return s.like(canon) + "".join(s.letter(script, canon[-1]) for _ in range(extra))
     if part == "given":
         names = GIVEN[script, gender] if gender != "u" else GIVEN[script, "m"] + GIVEN[script, "f"]
         return (s.of(names) + "".join("-" + s.of(names) for _ in range((attempt + 1) // 3))).lower()
-    return "".join(s.of(SYLLABLES[script]) for _ in range(2 + attempt // 4)) + s.of(ENDINGS[script])
+    return "".join(s.of(SYLLABLES[script]) for _ in range(2 + attempt // 4)) + s.of(ENDINGS.get((script, gender)) or ENDINGS[script, "u"])
 
 
 def render(mention: str, kind: str, new: str) -> str:
@@ -215,68 +294,100 @@ def render(mention: str, kind: str, new: str) -> str:
     return new
 
 
-def _private(text: str | None, later: dict, key: str) -> tuple[str | None, int, str]:
-    """The text with surrogates, the number of mentions and their kinds."""
+def _private(text: str | None, known: dict, key: str) -> tuple[str | None, int, str]:
+    """The text with surrogates, the number of mentions and their kinds; ``known``: (kind, attempt) where it isn't plain."""
     found = find(text) if text else []
     if not found:
         return text, 0, ""
-    out, at = [], 0
+    out, at, made = [], 0, {}
     for start, end, kind, canon in found:
-        out += [text[at:start], render(text[start:end], kind, surrogate(kind, canon, later.get((kind, canon), 0), key))]
+        plain = plain_kind(kind)
+        new = made.get((plain, canon))
+        if new is None:
+            real, attempt = known.get((plain, canon)) or (_settled_kind(kind, canon), 0)
+            new = made[plain, canon] = surrogate(real, canon, attempt, key)
+        out += [text[at:start], render(text[start:end], kind, new)]
         at = end
     return "".join([*out, text[at:]]), len(found), ",".join(sorted({k.partition(":")[0] for _, _, k, _ in found}))
 
 
-ENTITY = "kind string, canon string"
+def _settled_kind(kind: str, canon: str) -> str:
+    """The kind that surrogates are made by where the corpus tells no more: a given name's gender is the list's or unknown."""
+    return f"{kind[:-1]}{LISTED.get(canon, 'u')}" if kind.startswith("given:") else kind
+
+
+ENTITY = "plain string, canon string"
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """The distinct entities (kind, canon) of the corpus; each task sends each of its entities once a batch."""
+    """The distinct entities (plain, canon, kind, told) of the corpus; each task sends each of its entities once a batch.
+
+    ``kind`` is what surrogates are made by.  A name that is a given name anywhere is one, with the gender of the
+    list, or the one that all titles before it agree on.  ``told`` says that a text alone might not tell this.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            here = sorted({(k, c) for t in batch.column(0).to_pylist() if t for _, _, k, c in find(t)})
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in here], pa.string()) for i in (0, 1)], names=["kind", "canon"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, ENTITY).distinct()
+            here = sorted({(plain_kind(k), c, k) for t in batch.column(0).to_pylist() if t for _, _, k, c in find(t)})
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in here], pa.string()) for i in range(3)], names=["plain", "canon", "kind"])
+
+    each = docs.select(F.col("text").cast("string")).mapInArrow(run, f"{ENTITY}, kind string")
+    given = F.col("kind").startswith("given:")
+    gender = F.when(given & ~F.col("kind").endswith(":u"), F.right("kind", F.lit(1)))
+    found = each.groupBy("plain", "canon").agg(
+        F.min(gender).alias("a"), F.max(gender).alias("b"), F.min(F.when(given, F.col("kind"))).alias("given"), F.min(F.when(~given, F.col("kind"))).alias("other")
+    )
+    listed = F.create_map(*[F.lit(x) for pair in LISTED.items() for x in pair])
+    known = F.try_element_at(listed, F.col("canon"))
+    agreed = F.coalesce(known, F.when(F.col("a") == F.col("b"), F.col("a")), F.lit("u"))
+    kind = F.when(F.col("given").isNull(), F.col("other")).otherwise(F.concat(F.expr("left(given, length(given) - 1)"), agreed))
+    told = F.col("given").isNotNull() & (F.col("other").isNotNull() | known.isNull() & (agreed != "u"))
+    return found.select("plain", "canon", kind.alias("kind"), told.alias("told"))
 
 
 def _with_surrogates(found: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, attempt) with the surrogate of that attempt."""
+    """(plain, canon, kind, attempt, class) with the surrogate of that attempt; names are one class."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(3)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(*r, key) for r in rows], pa.string())], names=["kind", "canon", "attempt", "new"])
+            rows = zip(*(batch.column(i).to_pylist() for i in range(1, 4)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(kind, canon, attempt, key) for canon, kind, attempt in rows], pa.string())], names=["plain", "canon", "kind", "attempt", "new"])
+
+    made = found.select("plain", "canon", "kind", "attempt").mapInArrow(run, f"{ENTITY}, kind string, attempt int, new string")
+    return made.withColumn("class", _class())
+
 
-    return found.select("kind", "canon", "attempt").mapInArrow(run, "kind string, canon string, attempt int, new string")
+def _class():
+    """Names of all parts, scripts and genders are one class; other kinds are their own."""
+    return F.when(F.col("plain").startswith("name:"), "name").otherwise(F.col("plain"))
 
 
 def settle(found: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, canon, attempt) for the entities whose surrogate is not their first one."""
+    """(plain, canon, kind, attempt) for the entities whose surrogate is not their first one."""
     real = checkpointed(found)
+    taken = real.select(_class().alias("class"), F.col("canon").alias("new")).distinct()
     open_ = _with_surrogates(real.withColumn("attempt", F.lit(0)), key)
     settled = None
     for _ in range(MAX_ROUNDS):
         open_ = checkpointed(open_)
-        ranked = open_.groupBy("kind", "new").agg(F.min("canon").alias("canon"))
-        free = ranked.join(real.select("kind", F.col("canon").alias("new")), ["kind", "new"], "left_anti")
+        ranked = open_.groupBy("class", "new").agg(F.min(F.struct("canon", "plain")).alias("first"))
+        free = ranked.join(taken, ["class", "new"], "left_anti")
         if settled is not None:
-            free = free.join(settled.select("kind", "new"), ["kind", "new"], "left_anti")
-        won = open_.join(free, ["kind", "new", "canon"], "left_semi")
+            free = free.join(settled.select("class", "new"), ["class", "new"], "left_anti")
+        won = open_.join(free.select("class", "new", "first.canon", "first.plain"), ["class", "new", "canon", "plain"], "left_semi")
         settled = checkpointed(won if settled is None else settled.unionByName(won))
-        lost = checkpointed(open_.join(settled, ["kind", "canon"], "left_anti"))
+        lost = checkpointed(open_.join(settled, ["plain", "canon"], "left_anti"))
         if lost.isEmpty():
-            return settled.where("attempt > 0").select("kind", "canon", "attempt")
+            return settled.where("attempt > 0").select("plain", "canon", "kind", "attempt")
         open_ = _with_surrogates(lost.withColumn("attempt", F.col("attempt") + 1), key)
     raise RuntimeError(f"{lost.count()} entities have no surrogate after {MAX_ROUNDS} rounds")
 
 
-def _apply(docs: DataFrame, text: str, names: tuple[str, str], extra: str | None, later, key: str) -> DataFrame:
+def _apply(docs: DataFrame, text: str, names: tuple[str, str], extra: str | None, known, key: str) -> DataFrame:
     """``docs`` with surrogates in ``text`` and the two columns ``names``; ``extra``: a row's own table of attempts."""
     inputs = [f.name for f in docs.schema if f.name != extra]
     schema = T.StructType([*(f for f in docs.schema if f.name != extra), T.StructField(names[0], T.LongType()), T.StructField(names[1], T.StringType())])
@@ -284,10 +395,10 @@ def _apply(docs: DataFrame, text: str, names: tuple[str, str], extra: str | None
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known = later.value if later is not None else {}
+        shared = known.value if known is not None else {}
         for batch in batches:
             own = batch.column(batch.schema.get_field_index(extra)).to_pylist() if extra else [None] * batch.num_rows
-            done = [_private(t, {(x["kind"], x["canon"]): x["attempt"] for x in o} if o else known, key) for t, o in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), own)]
+            done = [_private(t, {(x["plain"], x["canon"]): (x["kind"], x["attempt"]) for x in o} if o else shared, key) for t, o in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), own)]
             made = {text: pa.array([d[0] for d in done], pa.string()), names[0]: pa.array([d[1] for d in done], pa.int64()), names[1]: pa.array([d[2] for d in done], pa.string())}
             yield pa.RecordBatch.from_arrays([made.get(n) if n in made else batch.column(batch.schema.get_field_index(n)) for n in [*inputs, *names]], names=[*inputs, *names])
 
@@ -295,32 +406,37 @@ def _apply(docs: DataFrame, text: str, names: tuple[str, str], extra: str | None
 
 
 def _per_row(numbered: DataFrame, row: str, again: DataFrame) -> DataFrame:
-    """For each row that mentions any of the entities ``again``: the array of their attempts."""
+    """For each row that mentions any of the entities ``again``: the array of their kinds and attempts."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            here = [(r, k, c) for r, t in zip(*(batch.column(i).to_pylist() for i in range(2))) if t for k, c in {x[2:] for x in find(t)}]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in here], pa.int64()), *(pa.array([x[i] for x in here], pa.string()) for i in (1, 2))], names=["row", "kind", "canon"])
+            here = [(r, k, c) for r, t in zip(*(batch.column(i).to_pylist() for i in range(2))) if t for k, c in {(plain_kind(x[2]), x[3]) for x in find(t)}]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in here], pa.int64()), *(pa.array([x[i] for x in here], pa.string()) for i in (1, 2))], names=["row", "plain", "canon"])
 
     mentions = numbered.select(row, F.col("text").cast("string")).mapInArrow(run, f"row long, {ENTITY}")
-    return mentions.join(again, ["kind", "canon"]).groupBy("row").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("own"))
+    return mentions.join(again, ["plain", "canon"]).groupBy("row").agg(F.collect_list(F.struct("plain", "canon", "kind", "attempt")).alias("own"))
 
 
 def rewrite(docs: DataFrame, key: str = KEY, names: tuple[str, str] | None = None, broadcast_entities: int = BROADCAST_ENTITIES) -> DataFrame:
     """``docs`` with surrogates for private data in ``text``.
 
     ``names`` adds two columns, the number of mentions and their kinds.  Entities that had to go on to
-    a later surrogate are few; up to ``broadcast_entities`` of them are broadcast, and beyond that each
-    row gets its own through joins.
+    a later surrogate or whose gender the corpus tells are few; up to ``broadcast_entities`` of them are
+    broadcast, and beyond that each row gets its own through joins.  ``docs`` must come straight from stored
+    files, since the rows are numbered for these joins; anything else is refused.
     """
-    again = checkpointed(settle(entities(docs), key))
+    needs_stored(docs)
+    found = checkpointed(entities(docs))
+    told = found.where("told").select("plain", "canon", "kind", F.lit(0).alias("attempt"))
+    again = settle(found, key)
+    again = checkpointed(again.unionByName(told.join(again, ["plain", "canon"], "left_anti")))
     added = names or (fresh(docs, "_n"), fresh(docs, "_kinds"))
     typed = docs.withColumn("text", F.col("text").cast("string"))
     if again.count() <= broadcast_entities:
-        later = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["canon"]): r["attempt"] for r in again.toLocalIterator()})
-        out = _apply(typed, "text", added, None, later, key)
+        known = docs.sparkSession.sparkContext.broadcast({(r["plain"], r["canon"]): (r["kind"], r["attempt"]) for r in again.toLocalIterator()})
+        out = _apply(typed, "text", added, None, known, key)
     else:
         row, own = fresh(docs, "_row"), fresh(docs, "_own")
         numbered = typed.withColumn(row, F.monotonically_increasing_id())
