@@ -3,13 +3,14 @@
 A flat token file is nothing but the identifiers of its documents one after the other, each document
 ended by a separator; there is no index.  The file is cut into blocks of equal size, wherever documents
 begin or end.  Each block is searched for separators as a whole vector, which gives the lengths of the
-documents inside it; the document that crosses into a block gets its length from a prefix scan over
-the blocks: the running position and the last separator before the block.
+documents inside it; what a document that crosses into a block has before it comes from a prefix scan over
+the blocks.
 
 :func:`flatten` writes such files from texts, one for each partition of the input, and a manifest of the
-documents' order; :func:`read_files` reads them from storage; :func:`count` scans.  Blocks are searched in
-the task that has them; only the separators' positions are shuffled, by file, and files are as
-large as one partition.
+documents' order; :func:`read_files` reads them from storage, a file in as many tasks as it has ranges;
+:func:`count` scans.  A block is searched in the task that has it, and becomes one row: its size, what follows
+its last separator, and the lengths in it.  The prefix scan runs over sizes and tails alone, one row of a few
+numbers for each block of a file, and its offsets are joined back to the blocks.
 
 Defined cases: a null or empty text has 0 tokens; repeated rows and rows that share a doc_id are counted
 one by one; tokens after the last separator of a file are a document that was cut off and are not
@@ -19,12 +20,15 @@ counted; an empty table or file gives an empty result; other columns are ignored
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.llm.common import checkpointed, stored
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split of texts that this vocabulary was made for, and its free identifier, as separator.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -52,7 +56,8 @@ def flatten(docs: DataFrame, path: str = VOCABULARY, separator: int = SEPARATOR,
     """Flat token files from texts, in blocks, with their manifest: rows of :data:`FLAT`.
 
     Rows with ``ids`` are blocks of ``block`` identifiers (the last of a file may be shorter); rows
-    with an ``ordinal`` say which document is the file's nth.  A partition of ``docs`` is one file.
+    with an ``ordinal`` say which document is the file's nth.  A partition of ``docs`` is one file.  All of it is
+    written to the shared folder before it is read.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(vocabulary(path))  # a vocabulary file: a few MB
 
@@ -92,51 +97,60 @@ def flatten(docs: DataFrame, path: str = VOCABULARY, separator: int = SEPARATOR,
             ordinal += n
         yield from blocks(True)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FLAT)
+    return stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FLAT))
 
 
-def read_files(spark: SparkSession, path: str, block: int = BLOCK, width: int = 2) -> DataFrame:
+def read_files(spark: SparkSession, path: str, block: int = BLOCK, width: int = 2, blocks_a_range: int = 512) -> DataFrame:
     """The flat token files under ``path``, in blocks, as rows of :data:`FLAT` without a manifest.
 
-    A file is one row of the reader, so it must be smaller than 2 GB.
+    Spark lists the files and deals out their ranges; a task opens a file at its range and holds one block, so that
+    a file may have any size.  The store must be one that pyarrow's file systems reach (local and shared folders,
+    object stores, HDFS).  A last identifier that is cut off is left out.
     """
-    files = spark.read.format("binaryFile").load(path)
     size = block * width
-    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.col("length") - 1) / size), F.lit(0)).cast("int"))
-    cut = files.where("length > 0").select(F.col("path").alias("file"), "content", F.explode(starts).alias("block"))
-    ids = F.substring(F.col("content"), F.col("block") * size + 1, F.lit(size))
-    return cut.select("file", F.col("block").cast("long").alias("block"), ids.alias("ids"), F.lit(None).cast("long").alias("ordinal"), F.lit(None).cast("long").alias("doc_id"))
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "length")  # contents are not read
+    starts = F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(size * blocks_a_range)))
+    ranges = files.select("path", "length", starts.alias("start")).repartition("path", "start")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                store, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", row["path"]))
+                with store.open_input_file(name) as file:
+                    for at in range(row["start"], min(row["start"] + size * blocks_a_range, row["length"]), size):
+                        raw = file.read_at(size, at)
+                        raw = raw[: len(raw) - len(raw) % width]
+                        yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([at // size], pa.int64()), pa.array([raw], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=["file", "block", "ids", "ordinal", "doc_id"])
+
+    return ranges.mapInArrow(run, FLAT)
 
 
-SCANNED = "file string, block long, at long, ids_in long, ordinal long, doc_id long"
+SCANNED = "file string, block long, size long, tail long, lengths array<long>"
 
 
 def _scan(flat: DataFrame, separator: int, dtype: str) -> DataFrame:
-    """For each block a row with its size, and a row for the place of each separator; manifest rows go through."""
+    """For each block its size, the identifiers after its last separator (null without one), and before each separator:
+    since the one before it, or for the first since the block's begin."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for i, raw in enumerate(batch.column(2)):
-                if not raw.is_valid:
-                    continue
+            for name, block, raw in zip(batch.column(0), batch.column(1), batch.column(2)):
                 ids = np.frombuffer(raw.as_buffer(), dtype)
                 places = np.flatnonzero(ids == separator)
-                n = len(places) + 1
+                lengths = np.diff(places, prepend=-1) - 1
+                tail = len(ids) - 1 - int(places[-1]) if len(places) else None
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[i]] * n), pa.array(np.full(n, batch.column(1)[i].as_py())), pa.array(np.append(places, -1)), pa.array([None] * (n - 1) + [len(ids)], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
-                    names=["file", "block", "at", "ids_in", "ordinal", "doc_id"],
+                    [pa.array([name.as_py()]), pa.array([block.as_py()], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([tail], pa.int64()), pa.array([lengths], pa.list_(pa.int64()))],
+                    names=["file", "block", "size", "tail", "lengths"],
                 )
-            listed = batch.column(3).is_valid()
-            if listed.true_count:
-                manifest = batch.filter(listed)
-                nothing = pa.nulls(manifest.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([manifest.column(0), nothing, nothing, nothing, manifest.column(3), manifest.column(4)], names=["file", "block", "at", "ids_in", "ordinal", "doc_id"])
 
-    return flat.mapInArrow(run, SCANNED)
+    return flat.where("ids is not null").select("file", "block", "ids").mapInArrow(run, SCANNED)
 
 
 def count(flat: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE) -> DataFrame:
@@ -144,13 +158,15 @@ def count(flat: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE) -> Da
 
     doc_id is null where the files come without a manifest.
     """
-    found = _scan(flat, separator, dtype).repartition("file")
-    # the prefix scan: a block's own row comes before its separators
-    order = W.partitionBy("file").orderBy(F.col("block").asc_nulls_last(), "at", "ordinal")
-    so_far = order.rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("ids_in").over(so_far), F.lit(0)) + F.when(F.col("at") >= 0, -F.last("ids_in", True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).otherwise(0)
-    place = found.withColumn("place", F.when(F.col("at") >= 0, start + F.col("at")))
-    n_tokens = F.col("place") - F.coalesce(F.last("place", True).over(so_far), F.lit(-1)) - 1
-    nth = F.coalesce(F.col("ordinal"), F.count("place").over(so_far))
-    rows = place.withColumns({"n_tokens": F.when(F.col("place").isNotNull(), n_tokens), "nth": nth}).where("place is not null or ordinal is not null")
-    return rows.groupBy("file", F.col("nth").alias("ordinal")).agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"))
+    scanned = checkpointed(_scan(flat, separator, dtype))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = scanned.select("file", "block", "size", "tail", F.size("lengths").alias("n"))
+    ends = blocks.withColumns({"start": F.coalesce(F.sum("size").over(before), F.lit(0)), "first": F.coalesce(F.sum("n").over(before), F.lit(0))})
+    # where the document begins that is open after a block: the largest such place so far is the last one
+    opened = ends.withColumn("open", F.when(F.col("tail").isNotNull(), F.col("start") + F.col("size") - F.col("tail")))
+    carried = opened.select("file", "block", "first", (F.col("start") - F.coalesce(F.max("open").over(before), F.lit(0))).alias("carried"))
+    met = scanned.select("file", "block", "lengths").join(carried, ["file", "block"])
+    each = met.select("file", "first", "carried", F.posexplode("lengths").alias("at", "length"))
+    found = each.select("file", (F.col("first") + F.col("at")).alias("ordinal"), F.lit(None).cast("long").alias("doc_id"), (F.col("length") + F.when(F.col("at") == 0, F.col("carried")).otherwise(0)).alias("n_tokens"))
+    manifest = flat.where("ordinal is not null").select("file", "ordinal", "doc_id", F.lit(None).cast("long").alias("n_tokens"))
+    return found.unionByName(manifest).groupBy("file", "ordinal").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"))
