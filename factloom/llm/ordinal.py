@@ -9,12 +9,14 @@ Features are words, their first four letters (stems carry over to forms never se
 classes of the text's length, of its share of distinct words and of its share of repeated lines.
 
 The model is fitted on a sample of at most ``sample`` labelled documents, taken by the hash of doc_id,
-whose features alone reach the driver.  All documents are scored where they are read.
+whose features alone reach the driver; of rows that share such a doc_id one counts.  All documents are scored
+where they are read.
 
 Defined cases: a null or empty text has only the coarse features and is graded by them; labels whose
 quality is null don't count, a null ``toxic`` counts as 0; repeated rows and rows that share a doc_id are
-scored one by one; an empty table gives an empty result; labels with a single grade or none give
-an error that says so; other columns are ignored, whatever their names.
+scored one by one; an empty table of documents gives an empty result, whatever the labels are; else labels
+of documents with a single grade or none give an error that says so; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -104,22 +106,53 @@ def grade(quality: Column, toxic: Column) -> Column:
 def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(grade, slots, values) of at most ``sample`` labelled documents.
 
-    The sample is a list of ids, small enough to be broadcast; no text leaves its task.
+    The sample is a list of ids, small enough to be broadcast; no text leaves its task.  A doc_id that very many
+    rows have is one row after a partial aggregation in the tasks.
     """
     graded = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("id"), grade(F.col("quality"), F.col("toxic")).alias("grade"))
     once = graded.groupBy("id").agg(F.min("grade").alias("grade"))
     few = once.orderBy(F.xxhash64("id"), "id").limit(sample)
-    met = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(few), F.col("doc_id") == F.col("id")).select("grade", "text")
+    met = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(few), F.col("doc_id") == F.col("id")).select("id", "grade", "text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         slots = _Slots()
         for batch in batches:
-            found = [features(t, slots) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1))], names=["grade", "slots", "values"])
+            found = [features(t, slots) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1))], names=["id", "grade", "slots", "values"])
 
-    return met.mapInArrow(run, "grade int, slots binary, values binary")
+    made = met.mapInArrow(run, f"id {labels.schema['doc_id'].dataType.simpleString()}, grade int, slots binary, values binary")
+    return made.groupBy("id").agg(F.min(F.struct("grade", "slots", "values")).alias("one")).select("one.*")
+
+
+def _cuts(p):
+    """The thresholds of the parameters ``p``: the first one, and the others by the logarithms of their gaps."""
+    import numpy as np
+
+    return np.concatenate([p[SLOTS : SLOTS + 1], p[SLOTS] + np.cumsum(np.exp(p[SLOTS + 1 :]))])
+
+
+def loss_and_gradient(p, y, at, values, starts, of, shrink: float):
+    """The mean negative logarithm of the likelihood of the grades ``y`` with the weights' penalty, and its gradient.
+
+    ``at`` and ``values`` hold the features of all rows, a row's from ``starts`` on; ``of`` is the row of each.
+    """
+    import numpy as np
+
+    k, w, cuts, rows = len(p) - SLOTS, p[:SLOTS], _cuts(p), np.arange(len(y))
+    place = np.add.reduceat(w[at] * values, starts)
+    tail = np.concatenate([np.ones((len(y), 1)), 1 / (1 + np.exp(np.clip(cuts[None, :] - place[:, None], -500, 500))), np.zeros((len(y), 1))], axis=1)
+    upper, lower = tail[rows, y], tail[rows, y + 1]
+    chance = np.maximum(upper - lower, 1e-12)
+    up, down = upper * (1 - upper), lower * (1 - lower)  # slopes of the two tails of a row's grade
+    d_place = -(up - down) / chance / len(y)
+    d_cuts = np.zeros(k)
+    np.add.at(d_cuts, y[y > 0] - 1, (up / chance)[y > 0] / len(y))
+    np.add.at(d_cuts, y[y < k], -(down / chance)[y < k] / len(y))
+    later = np.cumsum(d_cuts[::-1])[::-1]
+    gradient = np.concatenate([np.bincount(at, d_place[of] * values, SLOTS) + shrink * w, [d_cuts.sum()], later[1:] * np.exp(p[SLOTS + 1 :])])
+    return -np.log(chance).mean() + shrink * (w @ w) / 2, gradient
 
 
 def fit_rows(rows: list, grades: int = GRADES, rounds: int = 250, rate: float = 0.3, shrink: float = 2e-6) -> Model:
@@ -134,31 +167,16 @@ def fit_rows(rows: list, grades: int = GRADES, rounds: int = 250, rate: float =
     of = np.repeat(np.arange(len(rows)), list(map(len, at)))
     at = np.concatenate(at)
     values = np.concatenate([np.frombuffer(r[2], np.float32) for r in rows]).astype(np.float64)
-    k = grades - 1
-    share = np.clip([(y >= j + 1).mean() for j in range(k)], 0.005, 0.995)
+    share = np.clip([(y >= j + 1).mean() for j in range(grades - 1)], 0.005, 0.995)
     first = np.sort(np.log((1 - share) / share))
     gaps = np.log(np.maximum(np.diff(first), 0.1))
     p = np.concatenate([np.zeros(SLOTS), first[:1], gaps])  # weights, first threshold, logs of gaps
     m, v = np.zeros_like(p), np.zeros_like(p)
-    rows_ = np.arange(len(y))
     for t in range(1, rounds + 1):
-        w = p[:SLOTS]
-        cuts = np.concatenate([p[SLOTS : SLOTS + 1], p[SLOTS] + np.cumsum(np.exp(p[SLOTS + 1 :]))])
-        place = np.add.reduceat(w[at] * values, starts)
-        tail = np.concatenate([np.ones((len(y), 1)), 1 / (1 + np.exp(np.clip(cuts[None, :] - place[:, None], -500, 500))), np.zeros((len(y), 1))], axis=1)
-        upper, lower = tail[rows_, y], tail[rows_, y + 1]
-        chance = np.maximum(upper - lower, 1e-12)
-        up, down = upper * (1 - upper), lower * (1 - lower)  # slopes of the two tails of a row's grade
-        d_place = -(up - down) / chance / len(y)
-        d_cuts = np.zeros(k)
-        np.add.at(d_cuts, y[y > 0] - 1, (up / chance)[y > 0] / len(y))
-        np.add.at(d_cuts, y[y < k], -(down / chance)[y < k] / len(y))
-        later = np.cumsum(d_cuts[::-1])[::-1]
-        g = np.concatenate([np.bincount(at, d_place[of] * values, SLOTS) + shrink * w, [d_cuts.sum()], later[1:] * np.exp(p[SLOTS + 1 :])])
+        _, g = loss_and_gradient(p, y, at, values, starts, of, shrink)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    cuts = np.concatenate([p[SLOTS : SLOTS + 1], p[SLOTS] + np.cumsum(np.exp(p[SLOTS + 1 :]))])
-    return Model(p[:SLOTS].copy(), cuts)
+    return Model(p[:SLOTS].copy(), _cuts(p))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -184,7 +202,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def select(docs: DataFrame, labels: DataFrame, at: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """:func:`score` with the most likely ``grade`` and ``kept``: whether the highest grade reaches ``at``."""
-    scored = score(docs, fit(docs, labels, sample))
+    empty = docs.limit(1).count() == 0
+    scored = score(docs, Model(None, None) if empty else fit(docs, labels, sample))
     middle = 1 - F.col("p_upper") - F.col("p_lowest")
     likely = F.when((F.col("p_upper") >= middle) & (F.col("p_upper") >= F.col("p_lowest")), GRADES - 1).when(F.col("p_lowest") > middle, 0).otherwise(1)
     return scored.withColumns({"grade": likely, "kept": F.col("p_upper") >= at})
