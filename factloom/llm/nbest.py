@@ -1,9 +1,16 @@
 """SentencePiece encoding and decoding with N-best segmentation.
 
-The lattice of a text has an arc for every place where a piece of the vocabulary stands, with the
-score of the piece.  Forward Viterbi gives the best score of every prefix; a backward A* search from
-the end uses these as its heuristic, which is exact, so that the segmentations come out in the order
-of their scores and nothing is expanded twice without need.
+The ids of a text are those of the model's own encoder.  Beside them stand the N best segmentations, the
+model's own first: the lattice of a text has an arc for every place where a piece of the vocabulary stands;
+forward Viterbi gives the best score of every prefix, and a backward A* search from the end uses these as its
+heuristic, which is exact, so that the segmentations come out in the order of their scores and nothing is
+expanded twice without need.
+
+A merge model has no scores that may be summed, only the ranks of its merges.  A piece of rank r scores
+-log(r + 2), as if words were as frequent as Zipf's law has it, and an arc that is not on the model's own path
+loses ``OFF`` for each of its characters besides.  No piece costs as much as that, so the model's own path is
+the best one and the others follow by how far they leave it, then by how likely their pieces are.  A unigram
+model's scores are its own, and its best path is the best anyway.
 
 No piece has a space mark after another character or holds a line end, so the lattice of a text is a
 chain of the lattices of its atoms (a run of space marks with what follows, or a line end).  Atoms are
@@ -11,20 +18,23 @@ searched one by one and remembered within a task; the N best of the text are the
 its atoms lose against their best.  Only the N - 1 atoms that lose least can be changed in them.  A
 vocabulary for which this does not hold is searched over the whole text at once.
 
-Where no piece covers a character it counts as unknown, ten below the lowest score, and is written as
-the byte pieces of its UTF-8 form.  The space mark itself (U+2581), standing in a text, is written in
-bytes too, so that decoding gives back the text exactly.  Equal scores come out in the order of the
-search, which is fixed.
+Where no piece covers a character it counts as unknown and is written as the byte pieces of its UTF-8
+form.  The space mark itself (U+2581), standing in a text, is written in bytes too, where the model's encoder
+would turn it into a space, so that decoding gives back the text exactly.  Equal scores come out in the order
+of the search, which is fixed.
 
 Defined cases: a null text gives nulls; an empty text has no pieces, score 0 and itself as the only
 segmentation; repeated rows get equal results; an empty table gives an empty result; other columns
-are ignored by :func:`segment` and passed through by :func:`encode` whatever their names.
+are ignored by :func:`segment` and passed through by :func:`encode` whatever their names.  A very long word is
+one atom; time and memory grow with its length in proportion.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from heapq import heappop, heappush, nsmallest
 from itertools import chain, product
 
@@ -44,28 +54,41 @@ NEVER = -1e300
 #: Stands for a text's own mark within the search; no text in UTF-8 holds a lone surrogate.
 OWN_MARK = "\ud800"
 UNKNOWN_PENALTY = 10
+#: What an arc off a merge model's own path loses for each character: more than any piece does by its rank.
+OFF = 24.0
 #: A Python worker remembers so many atoms, and so many searches for the N best; others are done again.
 REMEMBERED, SEARCHED = 600_000, 50_000
 
 
 class Vocabulary:
-    """Pieces with ids and scores, and the search over their lattice."""
+    """A model's pieces with ids and scores, its own encoder, and the search over the lattice of its pieces."""
 
-    def __init__(self, pieces: Sequence[tuple[str, float, bool]], byte_ids: Sequence[int]):
-        """``pieces``: (piece, score, whether texts may use it) by id; ``byte_ids``: the ids of the 256 byte pieces."""
-        self.pieces, self.byte_ids = pieces, byte_ids
-        self.usable = {p: (i, s) for i, (p, s, ok) in enumerate(pieces) if ok}
+    def __init__(self, model: bytes):
+        """``model`` is the content of a model file that encodes what it doesn't know in bytes."""
+        import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as pb
+
+        proto = pb.ModelProto()
+        proto.ParseFromString(model)
+        self.model, self.merges = model, proto.trainer_spec.model_type == pb.TrainerSpec.BPE
+        self.encoder = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        ids = range(sp.get_piece_size())
+        usable = [not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) for i in ids]
+        score = (lambda x: -math.log(2 - x)) if self.merges else float
+        self.pieces = [(sp.id_to_piece(i), score(sp.get_score(i)) if ok else 0.0, ok) for i, ok in zip(ids, usable)]
+        self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.off = OFF if self.merges else 0.0
+        self.usable = {p: (i, s) for i, (p, s, ok) in enumerate(self.pieces) if ok}
         self.prefixes = {p[:k] for p in self.usable for k in range(1, len(p) + 1)}
         self.unknown = min((s for _, s in self.usable.values()), default=0) - UNKNOWN_PENALTY
-        self.in_bytes = {i: b for b, i in enumerate(byte_ids)}
+        self.in_bytes = {i: b for b, i in enumerate(self.byte_ids)}
         # what each id adds to a text; a byte beyond ASCII is only a part of a character
-        self.shown = [p.replace(MARK, " ") for p, _, _ in pieces]
-        for b, i in enumerate(byte_ids):
+        self.shown = [p.replace(MARK, " ") for p, _, _ in self.pieces]
+        for b, i in enumerate(self.byte_ids):
             self.shown[i] = chr(b)
-        self.partial = {i for b, i in enumerate(byte_ids) if b > 127}
+        self.partial = {i for b, i in enumerate(self.byte_ids) if b > 127}
         chained = not any(MARK in p.lstrip(MARK) or "\n" in p for p in self.usable)
         self.atoms = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n") if chained else re.compile("(?s).+")
-        self.prefixes = {p[:k] for p in self.usable for k in range(1, len(p) + 1)}
         self._trie()
         self.forget()
 
@@ -80,20 +103,55 @@ class Vocabulary:
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        ids = range(sp.get_piece_size())
-        special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i) for i in ids]
-        return cls([(sp.id_to_piece(i), sp.get_score(i), not special[i]) for i in ids], [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+        with open(path, "rb") as f:
+            return cls(f.read())
 
     def __reduce__(self):
-        return Vocabulary, (self.pieces, self.byte_ids)
+        return Vocabulary, (self.model,)
+
+    def own(self, atoms: Sequence[str]) -> list[list[int]]:
+        """The model's own ids of each atom."""
+        # the encoder puts a space mark in front: it stands for the atom's first one, or is taken off again with the line end behind it
+        texts = [a[1:].replace(MARK, " ") if a[0] == MARK else "\n" + a for a in atoms]
+        lone = [OWN_MARK in t for t in texts]
+        found = self.encoder.encode([" " if odd or not t else t for t, odd in zip(texts, lone)])
+        mark = [self.usable[MARK][0]] if MARK in self.usable else [self.byte_ids[b] for b in MARK.encode()]
+        out = []
+        for atom, text, odd, ids in zip(atoms, texts, lone, found):
+            if odd:  # what stands between the text's own marks is encoded apart
+                parts = [p if i == 0 else "" if not p else p for i, p in enumerate(atom.split(OWN_MARK))]
+                ids = []
+                for i, p in enumerate(parts):
+                    ids += [self.byte_ids[b] for b in MARK.encode()] if i else []
+                    ids += self.own([p])[0] if p else []
+                out.append(ids)
+            else:
+                out.append(mark if not text else ids if atom[0] == MARK else ids[2:])
+        return out
+
+    def _steps(self, ids: Sequence[int]) -> list[tuple[int, int, int]]:
+        """The arcs (start, end, piece) of ids, a character in bytes as one arc of an unknown piece."""
+        arcs, at, waiting = [], 0, 0
+        for i in ids:
+            b = self.in_bytes.get(i)
+            if b is None:
+                end = at + len(self.pieces[i][0])
+                arcs.append((at, end, i))
+                at = end
+                continue
+            waiting = waiting - 1 if waiting else 3 if b >= 0xF0 else 2 if b >= 0xE0 else 1 if b >= 0xC0 else 0
+            if not waiting:
+                arcs.append((at, at + 1, -1))
+                at += 1
+        return arcs
 
     def _trie(self) -> None:
         """The prefixes of the pieces as sorted transitions (node, character), for searches in bulk."""
         import numpy as np
 
+        self.length = np.array([len(p) for p, _, _ in self.pieces], np.int64)
+        self.is_byte = np.zeros(len(self.pieces), bool)
+        self.is_byte[self.byte_ids] = True
         node = {"": 0} | {p: i for i, p in enumerate(sorted(self.prefixes), 1)}
         self.chars = np.zeros(0x110000, np.int32)  # 0: in no piece
         alphabet = sorted({c for p in self.prefixes for c in p})
@@ -107,24 +165,23 @@ class Vocabulary:
         for p, (i, score) in self.usable.items():
             self.piece_at[node[p]], self.score_at[node[p]] = i, score
 
-    def many(self, atoms: Sequence[str]) -> tuple:
-        """:meth:`two` of atoms of one length, all at once: scores, losses, numbers of pieces, and all pieces (-1: unknown)."""
+    def many(self, atoms: Sequence[str], ids, counts):
+        """:meth:`two` of atoms of one length, all at once: scores and losses, given the own ``ids`` of all and their ``counts``."""
         import numpy as np
 
         m, size = len(atoms), len(atoms[0])
         text = self.chars[np.frombuffer("".join(atoms).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, size)]
         best, after = np.full((m, size + 1), NEVER), np.full((m, size + 1), NEVER)
-        came, by = np.zeros((m, size + 1), np.int64), np.full((m, size + 1), -1, np.int64)
         best[:, 0], after[:, size] = 0, 0
+        on = np.full((m, size + 1), -1, np.int64)  # where the own path's arc into a place begins
+        ends = np.cumsum(self.length[ids]) - np.repeat(np.arange(m) * size, counts)
+        on[np.repeat(np.arange(m), counts), ends] = ends - self.length[ids]
         arcs = []
 
-        def arc(rows, start: int, end: int, piece, score) -> None:
+        def arc(rows, start: int, end: int, score) -> None:
+            score = score - np.where(on[rows, end] == start, 0.0, self.off * (end - start))
             arcs.append((rows, start, end, score))
-            reached = best[rows, start] + score
-            more = reached > best[rows, end]
-            up = rows[more]
-            best[up, end], came[up, end] = reached[more], start
-            by[up, end] = piece[more]
+            best[rows, end] = np.maximum(best[rows, end], best[rows, start] + score)
 
         everyone = np.arange(m)
         for start in range(size):
@@ -134,56 +191,48 @@ class Vocabulary:
                 found = np.searchsorted(self.moves, key)
                 there = self.moves[found] == key
                 rows, at = rows[there], self.to[found[there]]
-                piece = self.piece_at[at]
-                hit = piece >= 0
+                hit = self.piece_at[at] >= 0
                 if end == start + 1:
                     bare = np.ones(m, bool)
                     bare[rows[hit]] = False
                     if bare.any():
-                        unknown = everyone[bare]
-                        arc(unknown, start, end, np.full(len(unknown), -1), np.full(len(unknown), float(self.unknown)))
+                        arc(everyone[bare], start, end, np.full(int(bare.sum()), float(self.unknown)))
                 if not len(rows):
                     break
                 if hit.any():
-                    arc(rows[hit], start, end, piece[hit], self.score_at[at[hit]])
+                    arc(rows[hit], start, end, self.score_at[at[hit]])
         for rows, start, end, score in reversed(arcs):
             after[rows, start] = np.maximum(after[rows, start], after[rows, end] + score)
-        on = np.full((m, size + 1), -1, np.int64)  # where the best path's arc into a place begins
-        steps, rows, at = [], everyone, np.full(m, size)
-        while len(rows):
-            start = came[rows, at]
-            on[rows, at] = start
-            steps.append((rows, start, by[rows, at]))
-            rows, at = rows[start > 0], start[start > 0]
-        other = np.full(m, NEVER)
+        other, top = np.full(m, NEVER), np.zeros(m)
         for rows, start, end, score in arcs:
             off = on[rows, end] != start
+            np.add.at(top, rows[~off], score[~off])
             rows = rows[off]
             other[rows] = np.maximum(other[rows], best[rows, start] + score[off] + after[rows, end])
-        of, starts, pieces = (np.concatenate([x[i] for x in steps]) for i in range(3))
-        by = np.lexsort((starts, of))
-        top = best[:, size]
-        return top, top - other, np.bincount(of, minlength=m), pieces[by]
-
-    def _lattice(self, atom: str) -> tuple[list[list[tuple[int, int, float]]], list[float]]:
-        """The arcs (start, piece, score) into each end, longest first, and the best score of each prefix."""
-        usable, prefixes, size = self.usable, self.prefixes, len(atom)
+        return top, top - other
+
+    def _lattice(self, atom: str, path: Sequence[tuple[int, int, int]]) -> tuple[list[list[tuple[int, int, float]]], list[float]]:
+        """The arcs (start, piece, score) into each end, longest first, and the best score of each prefix; ``path`` is the own one."""
+        usable, prefixes, size, off = self.usable, self.prefixes, len(atom), self.off
         arcs: list[list[tuple[int, int, float]]] = [[] for _ in range(size + 1)]
         best: list[float] = [NEVER] * (size + 1)
         best[0] = 0.0
+        on = {end: start for start, end, _ in path}
         for start in range(size):
             before, end = best[start], start + 1
             piece = atom[start]
             if piece not in usable:
-                arcs[end].append((start, -1, self.unknown))
-                if before + self.unknown > best[end]:
-                    best[end] = before + self.unknown
+                score = self.unknown - (0.0 if on.get(end) == start else off)
+                arcs[end].append((start, -1, score))
+                if before + score > best[end]:
+                    best[end] = before + score
             while piece in prefixes:
                 hit = usable.get(piece)
                 if hit is not None:
-                    arcs[end].append((start, *hit))
-                    if before + hit[1] > best[end]:
-                        best[end] = before + hit[1]
+                    score = hit[1] - (0.0 if on.get(end) == start else off * (end - start))
+                    arcs[end].append((start, hit[0], score))
+                    if before + score > best[end]:
+                        best[end] = before + score
                 if end == size:
                     break
                 end += 1
@@ -194,31 +243,29 @@ class Vocabulary:
         """The ids along (start, end, piece) arcs, unknown characters in bytes."""
         return tuple(chain.from_iterable([piece] if piece >= 0 else [self.byte_ids[b] for b in self._raw(atom[start:end])] for start, end, piece in path))
 
-    def two(self, atom: str) -> tuple[tuple[int, ...], float, float]:
-        """Of an atom: the ids and the score of the best path, and what the second best loses.
+    def two(self, atom: str, path: Sequence[tuple[int, int, int]]) -> tuple[float, float]:
+        """Of an atom with the own ``path``: that path's score, and what the second best loses.
 
-        Any other path has an arc off the best one; forward and backward scores give the best path
-        through each.
+        Any other path has an arc off it; forward and backward scores give the best path through each.
         """
-        arcs, best = self._lattice(atom)
-        size = at = len(atom)
+        arcs, best = self._lattice(atom, path)
+        size, on = len(atom), {end: start for start, end, _ in path}
         after = [NEVER] * size + [0.0]
-        other, path = NEVER, []
+        other, top = NEVER, 0.0
         for end in range(size, 0, -1):
-            rest, first = after[end], at == end
-            for start, piece, score in arcs[end]:
+            rest = after[end]
+            for start, _, score in arcs[end]:
                 if rest + score > after[start]:
                     after[start] = rest + score
-                if first and best[start] + score == best[end]:
-                    path.append((start, end, piece))
-                    at, first = start, False
+                if on.get(end) == start:
+                    top += score
                 elif best[start] + score + rest > other:
                     other = best[start] + score + rest
-        return self._ids(atom, reversed(path)), best[size], best[size] - other
+        return top, top - other
 
-    def paths(self, atom: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    def paths(self, atom: str, n: int, own: Sequence[int] | None = None) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best (score, ids) of an atom, in order, by A* from its end."""
-        arcs, best = self._lattice(atom)
+        arcs, best = self._lattice(atom, self._steps(self.own([atom])[0] if own is None else own))
         out: list[tuple[float, tuple[int, ...]]] = []
         heap = [(-best[-1], 0, len(atom), 0.0, None)]
         count = 0
@@ -232,7 +279,7 @@ class Vocabulary:
                 out.append((-least, self._ids(atom, steps)))
                 continue
             for start, piece, score in arcs[at]:
-                count += 1
+                count -= 1  # of equals the last one found, so that a long atom is walked straight to its start
                 heappush(heap, (-(best[start] + score + after), count, start, score + after, ((start, at, piece), path)))
         return out
 
@@ -255,7 +302,7 @@ class Vocabulary:
         self.numbers.update(zip(atoms, range(first, first + n)))
 
     def learn(self, atoms: set[str]) -> None:
-        """Have what :meth:`two` gives at hand for all ``atoms``; when memory is full, for these alone."""
+        """Have ids, scores and losses at hand for all ``atoms``; when memory is full, for these alone."""
         import numpy as np
 
         if len(self.numbers) > REMEMBERED:
@@ -264,24 +311,22 @@ class Vocabulary:
         for atom in atoms:
             if atom not in self.numbers:
                 lengths.setdefault(len(atom), []).append(atom)
-        alone: list[str] = []
         for size, new in lengths.items():
-            if size > 64 or len(new) < 8:
-                alone += new
-                continue
             for at in range(0, len(new), 4096):
                 part = new[at : at + 4096]
-                scores, losses, counts, pieces = self.many(part)
-                if (pieces < 0).any():
-                    whole = np.minimum.reduceat(pieces, np.cumsum(counts) - counts) >= 0
-                    alone += [a for a, w in zip(part, whole.tolist()) if not w]
-                    pieces = pieces[np.repeat(whole, counts)]
-                    part = [a for a, w in zip(part, whole.tolist()) if w]
-                    scores, losses, counts = scores[whole], losses[whole], counts[whole]
-                self._remember(part, scores, losses, counts, pieces)
-        if alone:
-            found = [self.two(a) for a in alone]
-            self._remember(alone, [f[1] for f in found], [f[2] for f in found], np.array([len(f[0]) for f in found]), [i for f in found for i in f[0]])
+                own = self.own(part)
+                counts = np.fromiter(map(len, own), np.int64, len(own))
+                ids = np.fromiter(chain.from_iterable(own), np.int64, int(counts.sum()))
+                scores, losses = np.zeros(len(part)), np.zeros(len(part))
+                # in bulk where the atoms are short and many, and no character stands in bytes
+                alone = np.full(len(part), size > 64 or len(part) < 8)
+                alone[np.repeat(np.arange(len(part)), counts)[self.is_byte[ids]]] = True
+                bulk = ~alone
+                if bulk.any():
+                    scores[bulk], losses[bulk] = self.many([part[i] for i in np.flatnonzero(bulk)], ids[np.repeat(bulk, counts)], counts[bulk])
+                for i in np.flatnonzero(alone).tolist():
+                    scores[i], losses[i] = self.two(part[i], self._steps(own[i]))
+                self._remember(part, scores, losses, counts, ids)
 
     def _search(self, atom: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """:meth:`paths`, remembered."""
@@ -289,7 +334,9 @@ class Vocabulary:
         if found is None:
             if len(self.searched) >= SEARCHED:
                 self.searched.clear()
-            found = self.searched[atom, n] = self.paths(atom, n)
+            i = self.numbers[atom]
+            start, length = self.found[i, 2:].astype(int)
+            found = self.searched[atom, n] = self.paths(atom, n, self.flat[start : start + length].tolist())
         return found
 
     def split(self, text: str) -> list[str]:
@@ -336,12 +383,12 @@ class Vocabulary:
         sure, ties = np.flatnonzero(losses < bound), np.flatnonzero(losses == bound)
         open_ = [int(i) for i in sorted([*sure, *ties[: k - len(sure)]]) if losses[i] < ALONE]
         choices = [[(best[0][0] - s, i, ids) for s, ids in best] for i in open_ for best in [self._search(atoms[i], n)]]
-        ranked = nsmallest(n, product(*choices), key=lambda c: (sum(x[0] for x in c), sum(x[0] > 0 for x in c)))
+        ranked = nsmallest(n, (tuple(c[j] for c, j in zip(choices, at)) for at in _ranks(n, tuple(map(len, choices)))), key=lambda c: (sum([x[0] for x in c]), sum([x[0] > 0 for x in c])))
         first = tuple(c[0] for c in choices)
         out = []
         for combination in ranked:
-            changed = [c for c, base in zip(combination, first) if c is not base]
-            out.append((score - sum(x[0] for x in combination), [(int(counts[:i].sum()), int(counts[i]), ids) for _, i, ids in changed]))
+            changed = [(int(counts[:c[1]].sum()), base[2], c[2]) for c, base in zip(combination, first) if c is not base]
+            out.append((score - sum(x[0] for x in combination), [_difference(*c) for c in changed]))
         return out
 
     def decode(self, ids: Sequence[int]) -> str:
@@ -355,6 +402,21 @@ class Vocabulary:
         return raw[1:].decode()
 
 
+@lru_cache(4096)
+def _ranks(n: int, lengths: tuple[int, ...]) -> list[tuple[int, ...]]:
+    """The places in lists of these lengths, each in order, that can make one of the ``n`` least sums: a choice has
+    as many others before it as the product of its places, from 1, less one."""
+    return [at for at in product(*map(range, lengths)) if math.prod([j + 1 for j in at]) <= n]
+
+
+def _difference(at: int, old: Sequence[int], new: Sequence[int]) -> tuple[int, int, tuple[int, ...]]:
+    """The change from ``old`` ids, from ``at`` on, to ``new`` ones without what both begin and end with."""
+    least = min(len(old), len(new))
+    head = next((i for i in range(least) if old[i] != new[i]), least)
+    tail = next((i for i in range(least - head) if old[-1 - i] != new[-1 - i]), least - head)
+    return at + head, len(old) - head - tail, tuple(new[head : len(new) - tail])
+
+
 SEGMENTED = "ids array<int>, n_pieces long, score double, n_best array<struct<score:double,changes:array<struct<at:int,length:int,ids:array<int>>>>>"
 #: Rows that are searched before their results leave a task.
 ROWS = 512
