@@ -1,12 +1,23 @@
 """Quality rules as weak supervision.
 
-Each rule looks at a few exact measurements of a document and votes *good* (1), *bad* (-1) or
-abstains (0).  Nobody says how far a rule can be trusted: expectation-maximisation over the counts
-of vote patterns in the whole corpus estimates every rule's accuracy and the share of good
-documents, and a document is kept when its posterior probability of being good reaches a bound.
+Each rule looks at a few measurements of a document and votes *good* (1), *bad* (-1) or abstains (0).
+Nobody says how far a rule can be trusted: expectation-maximisation over the counts of vote patterns in the
+whole corpus estimates it, and a document is kept when its posterior probability of being good reaches a
+bound.
+
+Junk is of several kinds, and a rule sees only its own, so that rules aren't independent given that a document
+is junk.  The model therefore has one class of good documents and one for each kind of junk in :data:`KINDS`;
+within a class votes are independent, and each rule has its own chance to vote bad when it votes.  These
+chances and the sizes of the classes have Beta and Dirichlet priors of stated strength (:data:`FALSE_ALARM`,
+:data:`SEEN`, :data:`UNSEEN`, :data:`STRENGTH`, :data:`CLASSES`) and no bounds: enough documents move
+them anywhere.  A single bad vote against several good ones does not reject a document unless the corpus
+has many such documents whose other votes are bad as well.
 
 Everything is built from Spark SQL functions.  Measuring needs no shuffle; the corpus is reduced to
-at most 3^rules vote patterns, and the estimation is one expression over those.
+vote patterns, at most 3^rules and in practice some hundreds, and the estimation is one expression over those.
+
+Repeated windows of words are told by 64-bit hashes; in a text of a million words two different ones fall
+together with a probability of 3e-8.
 
 Defined cases: a null text counts as the empty text, which has no words and fails the base rule;
 repeated rows and rows with a null or repeated doc_id each get their own result; an empty table
@@ -16,18 +27,34 @@ by :func:`keep`, whatever their names.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import SPACES, bind, checkpointed, fresh, whole_text
+from factloom.llm.common import SPACES, bind, checkpointed, fresh, stored, whole_text
 
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 KEEP_AT = 0.5
-ROUNDS = 40
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_ends")
-RULES = ("length", "word_length", "symbols", "dup_lines", "repeats", "capitals", "sentences")
+ROUNDS = 25
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_ends", "n_marks", "n_letters", "n_distinct", "n_echoes", "n_bullets", "n_ellipses")
+RULES = ("length", "word_length", "symbols", "dup_lines", "repeats", "capitals", "sentences", "marks", "letters", "variety", "echoes", "bullets", "ellipses")
+#: Kinds of junk, each with the rules that are expected to see it.
+KINDS = {
+    "brief": ("length",),
+    "signs": ("symbols", "marks", "letters"),
+    "repetition": ("repeats", "echoes", "variety"),
+    "lists": ("dup_lines", "bullets", "ellipses"),
+    "shape": ("word_length", "capitals", "sentences"),
+}
+#: Prior means: how often a rule's vote is bad on a good document, on junk that it is expected to see, and on other junk.
+FALSE_ALARM, SEEN, UNSEEN = 0.01, 0.6, 0.15
+#: Prior strengths in votes: of the false alarms and of the others.
+STRENGTH = (100.0, 20.0)
+#: Prior documents of each class: good ones, and of each kind of junk.
+CLASSES = (80.0, 4.0)
 
 
 def _repeat_words(windows: Column) -> Column:
@@ -67,7 +94,13 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
         "n_repeat_words": _repeat_words(F.col(windows)),
         "n_lines": F.size(lines),
         "n_upper": F.char_length(F.regexp_replace(text, "[^A-Z]+", "")),
-        "n_ends": F.regexp_count(text, F.lit(r"[.!?](?=[\x20\x0A]|$)")),
+        "n_ends": F.regexp_count(text, F.lit(r"""[.!?](?=[\s"')\]]|$)|[。！？؟।]""")),
+        "n_marks": F.regexp_count(text, F.lit("[#*$%&|<>]+")),
+        "n_letters": F.char_length(F.regexp_replace(text, r"[^\p{L}\p{M}]+", "")),
+        "n_distinct": F.size(F.array_distinct(w)),
+        "n_echoes": F.size(F.filter(w, lambda x, i: F.coalesce(x == F.get(w, i + 1), F.lit(False)))),
+        "n_bullets": F.regexp_count(text, F.lit(r"(?m)^[\x20\x09]*[•▪‣●*+–-][\x20\x09]")),
+        "n_ellipses": F.regexp_count(text, F.lit(r"(?m)(?:\.\.\.|…)[\x20\x09]*$")),
     }
     return second.select(*[F.col(f"`{c}`") for c in keep], F.struct(*[v.cast("long").alias(k) for k, v in values.items()]).alias(m))
 
@@ -78,7 +111,7 @@ def base_failed(m: Column) -> Column:
 
 
 def votes(m: Column) -> Column:
-    """An array with the vote of each of :data:`RULES`: 1 good, -1 bad, 0 abstains."""
+    """An array with the vote of each of :data:`RULES`: 1 good, -1 bad, 0 abstains (an unclear measure, or too short a text)."""
     n = F.greatest(m["n_words"], F.lit(1)).cast("double")
 
     def vote(bad: Column, good: Column) -> Column:
@@ -86,88 +119,112 @@ def votes(m: Column) -> Column:
 
     length = m["word_chars"] / n
     symbols = m["n_symbols"] / n
-    dups = m["n_dup_lines"] / F.greatest(m["n_lines"], F.lit(1))
+    lines = F.greatest(m["n_lines"], F.lit(1))
+    dups = m["n_dup_lines"] / lines
     repeats = m["n_repeat_words"] / n
-    upper = m["n_upper"] / F.greatest(m["word_chars"], F.lit(1))
+    chars = F.greatest(m["word_chars"], F.lit(1))
+    upper = m["n_upper"] / chars
     ends = m["n_ends"] / n
+    letters = m["n_letters"] / chars
+    long_enough = m["n_words"] >= MIN_WORDS
     return F.array(
-        vote(m["n_words"] < MIN_WORDS, m["n_words"] >= 40),
+        vote(~long_enough, m["n_words"] >= 40),
         vote((length < 2) | (length > 15), length.between(3, 11)),
         vote(symbols > 0.1, symbols <= 0.01),
         vote((dups > 0.3) & (m["n_dup_lines"] >= 3), (m["n_dup_lines"] == 0) & (m["n_lines"] >= 2)),
         vote(repeats > 0.2, (m["n_repeat_words"] == 0) & (m["n_words"] >= 40)),
         vote(upper > 0.4, upper < 0.1),
         vote((ends > 0.5) | ((ends == 0) & (m["n_words"] >= 60)), ends.between(0.01, 0.3)),
+        vote(m["n_marks"] > 0.1 * n, m["n_marks"] <= 0.01 * n),
+        vote(letters < 0.7, letters > 0.85),
+        # different words against a power of their number: texts of any length have more than the first, most more than the second
+        vote(long_enough & (m["n_distinct"] < F.pow(n, F.lit(0.8))), long_enough & (m["n_distinct"] > F.pow(n, F.lit(0.87)))),
+        vote(m["n_echoes"] > 0.2 * n, long_enough & (m["n_echoes"] <= 0.02 * n)),
+        vote((m["n_bullets"] > 0.9 * lines) & (m["n_lines"] >= 3), (m["n_bullets"] == 0) & (m["n_lines"] >= 2)),
+        vote((m["n_ellipses"] > 0.3 * lines) & (m["n_lines"] >= 3), (m["n_ellipses"] == 0) & (m["n_lines"] >= 2)),
     )
 
 
-def _logit(p: Column) -> Column:
-    return F.log(p / (1 - p))
-
-
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def log_odds(v: Column, params: Column) -> Column:
-    """Log-odds of *good* for votes ``v``; ``params`` is an array of the prior and then, for each
-    rule, its chances to say good of good documents and bad of bad ones, when it votes."""
+def priors() -> list[list[float]]:
+    """For each class, the good one first: its prior documents, and each rule's prior bad and good votes."""
+    rows = [[CLASSES[0], *[x for _ in RULES for x in (STRENGTH[0] * FALSE_ALARM, STRENGTH[0] * (1 - FALSE_ALARM))]]]
+    for seen in KINDS.values():
+        means = [SEEN if r in seen else UNSEEN for r in RULES]
+        rows.append([CLASSES[1], *[x for p in means for x in (STRENGTH[1] * p, STRENGTH[1] * (1 - p))]])
+    return rows
+
 
-    def weight(x: Column, j: Column) -> Column:
-        good, bad = F.get(params, 2 * j + 1), F.get(params, 2 * j + 2)
-        return F.when(x == 1, F.log(good / (1 - bad))).when(x == -1, F.log((1 - good) / bad)).otherwise(0.0)
+def _places(v: Column) -> Column:
+    """Where the votes ``v`` stand in a class's row; abstentions stand nowhere."""
+    at = F.transform(v, lambda x, j: F.when(x == -1, 2 * j + 1).when(x == 1, 2 * j + 2))
+    return F.filter(at, lambda x: x.isNotNull())
 
-    return _logit(F.get(params, 0)) + _sum(F.transform(v, weight))
 
+def _table(counts: Column) -> Column:
+    """The logarithms of a model's chances, one row for each class, from its counts with those of the priors."""
+    total = _sum(F.transform(counts, lambda c: F.get(c, 0)))
+    other = lambda c, k: F.get(c, k + F.when(k % 2 == 1, 1).otherwise(-1))
+    chance = lambda c: F.transform(c, lambda x, k: F.log(F.when(k == 0, x / total).otherwise(x / (x + other(c, k)))))
+    return F.transform(counts, chance)
 
-def estimate(patterns: Column, n_rules: int, rounds: int = ROUNDS) -> Column:
-    """Prior and accuracies by expectation-maximisation, in the layout that :func:`log_odds` takes.
 
-    ``patterns`` is an array of (v, n): a vote pattern and its number of documents.  Each rule has
-    two accuracies, since junk is of many kinds and a rule sees only its own.  Two bounds say so: a
-    rule is wrong about at most one good document in five hundred (else a kind of junk that one rule
-    alone sees would pass for a whim of that rule), and it names at most half of the junk and at
-    least a tenth (else the commonest kind of junk, which several rules see, would become the only
-    one).  No vote ever counts against what it says.
+def _posteriors(at: Column, table: Column) -> Column:
+    """The probabilities of the classes for votes at the places ``at``."""
+    odds = F.transform(table, lambda t: F.aggregate(at, F.get(t, 0), lambda a, k: a + F.get(t, k)))
+    scaled = bind(odds, lambda o: F.transform(o, lambda x: F.exp(x - F.array_max(o))))
+    return bind(scaled, lambda e: F.transform(e, lambda x: x / _sum(e)))
+
+
+def estimate(patterns: Column, rounds: int = ROUNDS) -> Column:
+    """The counts of the fitted model, those of the priors included, in the layout of :func:`priors`.
+
+    ``patterns`` is an array of (v, n): a vote pattern and its number of documents.
     """
+    prior = F.array(*[F.array(*map(F.lit, row)) for row in priors()])
+    classes = len(KINDS) + 1
 
-    def step(params: Column) -> Column:
-        def from_posteriors(ps: Column) -> Column:
-            share = lambda pick: _sum(F.transform(ps, lambda x: x["n"] * pick(x)))
-            prior = (share(lambda x: x["p"]) + 8) / (share(lambda x: F.lit(1.0)) + 10)
+    def step(counts: Column) -> Column:
+        def gathered(table: Column) -> Column:
+            weighed = F.transform(patterns, lambda x: bind(_places(x["v"]), lambda at: F.struct(at.alias("at"), F.transform(_posteriors(at, table), lambda p: p * x["n"]).alias("w"))))
 
-            def accuracies(j: Column) -> Column:
-                said = lambda x, v: (F.get(x["v"], j) == v).cast("double")
-                good = (share(lambda x: x["p"] * said(x, 1)) + 19) / (share(lambda x: x["p"] * (1 - said(x, 0))) + 20)
-                bad = (share(lambda x: (1 - x["p"]) * said(x, -1)) + 2) / (share(lambda x: (1 - x["p"]) * (1 - said(x, 0))) + 5)
-                held = F.least(F.greatest(good, F.lit(0.998)), F.lit(0.9995))
-                return bind(held, lambda g: F.array(g, F.least(F.greatest(bad, 1 - g + 0.0005, F.lit(0.1)), F.lit(0.5))))
+            def of_class(ws: Column, c: Column) -> Column:
+                start = F.get(prior, c)
+                return F.aggregate(ws, start, lambda acc, x: F.transform(acc, lambda a, k: a + F.when((k == 0) | F.array_contains(x["at"], k), F.get(x["w"], c)).otherwise(0.0)))
 
-            bounded = F.least(F.greatest(prior, F.lit(0.02)), F.lit(0.98))
-            return F.concat(F.array(bounded), F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n_rules - 1)), accuracies)))
+            return bind(weighed, lambda ws: F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: of_class(ws, c)))
 
-        posteriors = F.transform(patterns, lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), (1 / (1 + F.exp(-log_odds(x["v"], params)))).alias("p")))
-        return bind(posteriors, from_posteriors)
+        return bind(_table(counts), gathered)
 
-    start = F.array(F.lit(0.8), *[F.lit(x) for _ in range(n_rules) for x in (0.998, 0.3)])
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda params, _: step(params))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), prior, lambda counts, _: step(counts))
 
 
-def fit(votes_table: DataFrame, column: str = "v") -> list[float]:
-    """The estimated prior and accuracies over all rows of ``votes_table``.
+def fit(votes_table: DataFrame, column: str = "v") -> list[list[float]]:
+    """The fitted counts over all rows of ``votes_table``.
 
     At most 3^rules patterns meet in the one row that is estimated; its few numbers are all that
     the driver sees.
     """
     counts = votes_table.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
     one = counts.agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("patterns"))
-    row = one.select(estimate(F.col("patterns"), len(RULES)).alias("params")).first()
-    return [float(x) for x in row["params"]]
+    row = one.select(estimate(F.col("patterns")).alias("counts")).first()
+    return [list(map(float, c)) for c in row["counts"]]
+
+
+def accuracies(counts: list[list[float]]) -> dict[str, dict[str, float]]:
+    """What has been learned: for each class each rule's chance to vote bad when it votes, and the class's share."""
+    total = sum(c[0] for c in counts)
+    return {k: {"share": c[0] / total} | {r: c[2 * j + 1] / (c[2 * j + 1] + c[2 * j + 2]) for j, r in enumerate(RULES)} for k, c in zip(("good", *KINDS), counts)}
 
 
-def _verdict(m: Column, params: list[float], at: float) -> tuple[Column, Column]:
-    fitted = F.array(*[F.lit(x) for x in params])
-    p = 1 / (1 + F.exp(-log_odds(votes(m), fitted)))
+def _verdict(m: Column, counts: list[list[float]], at: float) -> tuple[Column, Column]:
+    total = sum(c[0] for c in counts)
+    rows = [[log(c[0] / total)] + [log(x / (c[j] + c[j + 1])) for j in range(1, len(c), 2) for x in (c[j], c[j + 1])] for c in counts]
+    fitted = F.array(*[F.array(*map(F.lit, r)) for r in rows])
+    p = F.get(_posteriors(_places(votes(m)), fitted), 0)
     return p, ~base_failed(m) & (p >= at)
 
 
@@ -176,21 +233,18 @@ def judge(docs: DataFrame, at: float = KEEP_AT) -> DataFrame:
     table = docs.select("doc_id", "text")
     measured = checkpointed(measure(table, ["doc_id"]))
     m = F.col("m")
-    params = fit(measured.select(votes(m).alias("v")))
-    p, kept = _verdict(m, params, at)
+    counts = fit(measured.select(votes(m).alias("v")))
+    p, kept = _verdict(m, counts, at)
     return measured.select("doc_id", "m.*", base_failed(m).alias("base_failed"), votes(m).alias("votes"), p.alias("p_good"), kept.alias("kept"))
 
 
 def keep(docs: DataFrame, at: float = KEEP_AT) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
 
-    The corpus is measured once for the estimates and again while it is filtered: carrying whole
-    texts through a shuffle or a checkpoint would cost more than measuring twice.
+    The corpus is measured once: rows and measurements are written as Parquet to the shared folder, where the
+    estimation reads the measurements alone.
     """
-    m, here = fresh(docs, "m"), fresh(docs, "_here")
-    params = fit(measure(docs.select("text"), []).select(votes(F.col("m")).alias("v")))
-    _, kept = _verdict(F.col(m), params, at)
-    # a row's number, which no filter is pushed below: else the optimizer would put the measurements' long
-    # expressions in the filter, once for each time that the verdict mentions one
-    numbered = measure(docs, docs.columns).withColumn(here, F.monotonically_increasing_id())
-    return numbered.where(kept & (F.col(here) >= 0)).drop(m, here)
+    m = fresh(docs, "m")
+    measured = stored(measure(docs, docs.columns))
+    counts = fit(measured.select(votes(F.col(m)).alias("v")))
+    return measured.where(_verdict(F.col(m), counts, at)[1]).drop(m)
