@@ -1,42 +1,53 @@
 """Exact top-k search by inner product, score at a time over an impact-ordered index.
 
-Components are quantised to integers.  A block of candidates has an index of two terms for each
-dimension, with the impacts x - least and greatest - x, which are never negative; a query weighs the
-first with its positive part and the second with its negative part.  Impacts are quantised into levels,
-and a posting segment is the candidates that have a term at a level.  Segments are processed by descending
-level, for all queries of a block at once, adding each candidate's weight times impact to its score.
+Components are quantised to integers.  A block of candidates has an index: the impact of a candidate in
+a dimension is how far its component lies from the block's mean there, impacts are quantised into levels, and
+a posting segment lists the candidates whose impact in one dimension is of one level.  The segments of a level
+are processed together, from the highest level down, for a tile of queries at once; each adds its
+candidates' deviation times the query's component to their scores, which begin at the product with the mean.
 
-After a level, a candidate's final score lies between what it has and that plus its unseen weight
-times the greatest impact of the levels to come.  Once few candidates can still reach a query's kth
-lower bound, the search stops: that bound is the proof that all others are out, and those that are left are
-scored exactly.  Without such proof all levels are processed, and the scores are exact anyway.
+What a candidate still lacks is the product of the query with what is left of the candidate's deviation, so it
+is at most the product of their two lengths; those of the candidates are in the index, by level.  A candidate
+is out for a query once its score and that bound together stay below the kth best score that is sure.  The
+search of a block stops when scoring those that can still be in costs less than the postings to come, or before the
+first level if none can: that bound is the proof for all others, and those that are left are scored exactly, in
+integers.
+Without such proof all levels are processed, and what the bounds then leave open by rounding is scored exactly.
 
-Queries and candidates are dealt into blocks by hash, and every block of queries meets every block of
-candidates as one group of bounded size; the best of the groups are merged by a limited window.
+The index of all candidates is built once, in the tasks that read them, and written.  Queries pass over it in
+blocks of bounded size, which are broadcast; a task keeps the ``k`` best of each query over all its
+candidate blocks, and the bests of the tasks are merged by a limited window.
 
 Defined cases: vectors that are null or hold null or non-finite components and rows without vec_id take
 no part; a query meets candidates of its own length only; rows that repeat a vec_id are candidates of
-their own, but never for a query of that vec_id; repeated query rows count once; ties go to the smaller
-vec_id; an empty table gives an empty result; other columns are ignored.  Quantised components must
-be below 2^25, else the search fails and says so.
+their own, but never for a query of that vec_id; query rows that repeat in full count once, and rows of one
+vec_id with different vectors are queries of their own; ties go to the smaller vec_id; an empty table gives an
+empty result; other columns are ignored.  Components and scores beyond 64 bits count as the largest or
+smallest 64-bit number.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.llm.common import checkpointed, ensure_checkpoint_dir, stored
+
 SCALE = 64
 K = 20
-LEVELS = 6
-QUERY_BLOCK = 8192
+LEVELS = 8
+QUERY_BLOCK = 16_384
 CANDIDATE_BLOCK = 4096
 #: Queries whose scores are held at once.
 TILE = 512
-#: The search stops once so small a share of the pairs is possible.
-STOP_AT = 0.04
-LIMIT = 1 << 25
+#: Scoring a pair exactly costs so many times as much, for each dimension, as adding a posting; the search of a block
+#: stops once the possible pairs cost less than the postings that are left.
+RESCORE = 4
+MOST = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -46,76 +57,188 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     there = whole.where("vec_id is not null and e is not null and size(e) > 0").where(~F.exists("e", bad))
 
     def one(x: Column) -> Column:
-        q = F.floor(scale * x)
-        return F.when(F.abs(scale * x) < LIMIT, q).otherwise(F.raise_error(F.lit("a component is too large for exact scores"))).cast("int")
+        return F.when(scale * x >= 2.0**63, MOST).when(scale * x <= -(2.0**63), -MOST).otherwise(F.floor(scale * x)).cast("long")
 
     return there.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("e", one).alias("v"))
 
 
-def _index(x, levels: int):
-    """The least and greatest component by dimension, the impacts of both terms and the width of a level."""
+class Index:
+    """The postings of one block of candidates."""
+
+    def __init__(self, ids, x, mean, postings, bounds, left):
+        """``postings``: positions by level, from the highest, and dimension, cut at ``bounds``; ``left``: what remains by level."""
+        self.ids, self.x, self.mean, self.postings, self.bounds, self.left = ids, x, mean, postings, bounds, left
+
+    @classmethod
+    def of(cls, ids, x, levels: int = LEVELS) -> Index:
+        """The index of candidates ``ids`` with the rows of ``x`` (int64)."""
+        import numpy as np
+
+        mean = x.mean(axis=0)
+        off = x - mean
+        impact = np.abs(off)
+        level = np.minimum(impact * (levels / max(impact.max(initial=0.0), 1e-300)), levels - 1).astype(np.int64)
+        dims = x.shape[1]
+        group = ((levels - 1 - level) * dims + np.arange(dims)).ravel()
+        by = np.argsort(group, kind="stable")
+        bounds = np.searchsorted(group[by], np.arange(levels * dims + 1))
+        square = off * off
+        # after all levels nothing is left; a little is added for rounding
+        left = np.stack([np.sqrt((square * (level < levels - n)).sum(axis=1)) for n in range(levels + 1)]) * (1 + 1e-9)
+        return cls(ids, x, mean, (by // dims).astype(np.int32), bounds.astype(np.int64), left)
+
+    def parts(self) -> dict[str, bytes]:
+        """The arrays as bytes, to be stored."""
+        return {k: getattr(self, k).tobytes() for k in ("ids", "x", "mean", "postings", "bounds", "left")}
+
+    @classmethod
+    def from_parts(cls, dims: int, p: dict[str, bytes]) -> Index:
+        import numpy as np
+
+        ids = np.frombuffer(p["ids"], np.int64)
+        return cls(ids, np.frombuffer(p["x"], np.int64).reshape(-1, dims), np.frombuffer(p["mean"]), np.frombuffer(p["postings"], np.int32), np.frombuffer(p["bounds"], np.int64), np.frombuffer(p["left"]).reshape(-1, len(ids)))
+
+
+def exact_scores(q, x):
+    """The integer inner products of the rows of ``q`` with those of ``x``, kept within 64 bits."""
     import numpy as np
 
-    low, high = x.min(axis=0), x.max(axis=0)
-    impacts = np.concatenate([x - low, high - x], axis=1).T  # (terms, candidates)
-    width = max(1, -(-(int(impacts.max(initial=0)) + 1) // levels))
-    return low, high, impacts, width
+    if float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(x.astype(float)).max(initial=0)) * x.shape[1] < 2.0**62:
+        return np.einsum("ij,ij->i", q, x)
+    sums = (q.astype(object) * x.astype(object)).sum(axis=1)
+    return np.array([min(max(s, -MOST), MOST) for s in sums], np.int64)
 
 
-def search_block(queries, query_ids, x, ids, k: int, levels: int = LEVELS):
-    """The ``k`` best of one block of candidates for each query: arrays of (query, candidate, score) by position.
+def search_block(index: Index, queries, query_ids, k: int, sure=None):
+    """(query, candidate, score) by position: all candidates that can be among the ``k`` best of a query.
 
-    Also the number of levels that were processed for each tile of queries.
+    ``sure`` holds for each query the kth best score that is known from elsewhere.  Also the number of levels that
+    were processed.
     """
     import numpy as np
 
-    low, high, impacts, width = _index(x, levels)
-    exact = int(np.abs(queries).max(initial=0)) * (int(impacts.max(initial=0)) + int(np.abs(x).max(initial=0)) + 1) * x.shape[1]
-    kind = np.float32 if exact < 1 << 23 else np.float64
-    if exact >= 1 << 52:
-        raise ValueError("scores are too large to be exact")
-    level_of = impacts // width
-    segments = []
-    for level in range(levels - 1, -1, -1):
-        member = level_of == level
-        segments.append((level, (impacts * member).astype(kind), member.astype(kind)))
-    order = np.argsort(ids, kind="stable")
-    results, used = [], []
-    for at in range(0, len(queries), TILE):
-        q = queries[at : at + TILE]
-        weights = np.concatenate([np.maximum(q, 0), np.maximum(-q, 0)], axis=1).astype(kind)
-        base = np.maximum(q, 0) @ low - np.maximum(-q, 0) @ high
-        lower = np.repeat(base.astype(kind)[:, None], len(x), axis=1)
-        unseen = np.repeat(weights.sum(axis=1)[:, None], len(x), axis=1)
-        first = np.searchsorted(ids[order], query_ids[at : at + TILE], "left")
-        last = np.searchsorted(ids[order], query_ids[at : at + TILE], "right")
-        own = [(i, order[j]) for i, (a, b) in enumerate(zip(first, last)) for j in range(a, b)]
-        own = (np.array([o[0] for o in own], int), np.array([o[1] for o in own], int))
-        lower[own] = -np.inf
-        possible = None
-        for n, (level, values, members) in enumerate(segments, 1):
-            lower += weights @ values
-            if level == 0:
-                bound = np.partition(lower, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(q), -np.inf)
-                possible = lower >= bound[:, None]
-                break
-            unseen -= weights @ members
-            if n * 2 < levels or len(x) <= k:  # too early for proof to be worth the looking
-                continue
-            bound = np.partition(lower, len(x) - k, axis=1)[:, len(x) - k]
-            possible = lower + unseen * (level * width - 1) >= bound[:, None]
-            if possible.mean() <= STOP_AT:
-                break
-        used.append(n)
-        possible[own] = False
-        who, what = np.nonzero(possible)
-        score = np.concatenate([np.einsum("ij,ij->i", q[who[i : i + 65536]], x[what[i : i + 65536]]) for i in range(0, max(len(who), 1), 65536)])
-        by = np.lexsort((ids[what], -score, who))
-        who, what, score = who[by], what[by], score[by]
+    n, dims = index.x.shape
+    q = queries.T.astype(float)
+    scores = np.repeat((index.mean @ q)[None, :], n, axis=0)  # a row for each candidate
+    # doubles err by a part in 2^52 of what is summed
+    span = np.sqrt((q * q).sum(axis=0)) * (1 + 1e-9)
+    most = np.abs(index.mean) @ np.abs(q) + span * index.left[0].max(initial=0.0)
+    slack = most * (dims + 8) * 2.0**-51
+    by_id = np.argsort(index.ids, kind="stable")
+    first, last = (np.searchsorted(index.ids[by_id], query_ids, side) for side in ("left", "right"))
+    own = np.array([(by_id[j], i) for i in np.flatnonzero(first < last) for j in range(first[i], last[i])], np.int64).reshape(-1, 2)
+    levels, unsure = len(index.left) - 1, n > k and (sure is None or not np.isfinite(sure).all())
+    bound = np.full(len(query_ids), -np.inf) if sure is None else sure.astype(float) - np.abs(sure.astype(float)) * 2.0**-51
+    for level in range(levels + 1):
+        reach = index.left[level][:, None] * span[None, :] + slack
+        if unsure:
+            low = scores - reach
+            low[own[:, 0], own[:, 1]] = -np.inf
+            bound = np.maximum(bound, np.partition(low, n - k, axis=0)[n - k])
+        possible = scores + reach >= bound
+        possible[own[:, 0], own[:, 1]] = False
+        if level == levels or RESCORE * dims * possible.sum() <= (index.bounds[-1] - index.bounds[level * dims]) * len(query_ids):
+            break
+        for d in range(dims):
+            a, b = index.bounds[level * dims + d], index.bounds[level * dims + d + 1]
+            if a < b:
+                there = index.postings[a:b]
+                scores[there] += np.multiply.outer(index.x[there, d] - index.mean[d], q[d])
+    what, who = np.nonzero(possible)
+    score = np.concatenate([exact_scores(queries[who[i : i + 65536]], index.x[what[i : i + 65536]]) for i in range(0, max(len(who), 1), 65536)])
+    return who, what, score, level
+
+
+class Best:
+    """The k best (score, vec_id) of each of a tile of queries so far, best first."""
+
+    def __init__(self, n: int, k: int):
+        import numpy as np
+
+        self.k, self.who, self.ids, self.scores = k, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.sure = np.full(n, -np.inf)
+
+    def add(self, who, ids, scores) -> None:
+        import numpy as np
+
+        who, ids, scores = (np.concatenate(x) for x in ((self.who, who), (self.ids, ids), (self.scores, scores)))
+        by = np.lexsort((ids, -scores, who))
+        who = who[by]
         rank = np.arange(len(who)) - np.searchsorted(who, who, "left")
-        best = rank < k
-        results.append((who[best] + at, what[best], score[best]))
-    return tuple(np.concatenate([r[i] for r in results]) for i in range(3)), used
+        keep = rank < self.k
+        self.who, self.ids, self.scores = who[keep], ids[by][keep], scores[by][keep]
+        full = rank[keep] == self.k - 1
+        self.sure[self.who[full]] = self.scores[full]
+
+
+INDEXED = "dims int, ids binary, x binary, mean binary, postings binary, bounds binary, left binary"
+
+
+def build(vectors: DataFrame, scale: int = SCALE, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+    """The index of ``vectors`` (vec_id, embedding), one row for each block of candidates."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        held: dict[int, list] = {}
+
+        def block(dims: int, size: int):
+            ids, x = (np.concatenate(a) for a in zip(*held[dims]))
+            held[dims] = [(ids[size:], x[size:])]
+            index = Index.of(ids[:size], x[:size])
+            return pa.RecordBatch.from_pylist([{"dims": dims} | index.parts()], schema=_indexed())
+
+        for batch in batches:
+            ids, lists = batch.column(0).to_numpy(), batch.column(1)
+            lengths, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+            ends = np.cumsum(lengths)
+            for dims in np.unique(lengths).tolist():
+                rows = lengths == dims
+                x = flat[np.repeat(rows, lengths)].reshape(-1, dims) if len(ends) else flat.reshape(0, dims)
+                held.setdefault(dims, []).append((ids[rows], x))
+                while sum(len(i) for i, _ in held[dims]) >= candidate_block:
+                    yield block(dims, candidate_block)
+        for dims in held:
+            if sum(len(i) for i, _ in held[dims]):
+                yield block(dims, candidate_block)
+
+    return quantised(vectors, scale).select("vec_id", "v").mapInArrow(run, INDEXED)
+
+
+def _indexed():
+    import pyarrow as pa
+
+    return pa.schema([("dims", pa.int32()), *((n, pa.binary()) for n in ("ids", "x", "mean", "postings", "bounds", "left"))])
+
+
+def search(index: DataFrame, queries: list[tuple[int, int, list[int]]], k: int) -> DataFrame:
+    """(q, vec_id, score): for each of ``queries`` (q, vec_id, v), a block that fits in memory, the best of each task."""
+    import numpy as np
+
+    by_dims: dict[int, tuple] = {}
+    for dims in {len(v) for _, _, v in queries}:
+        rows = [r for r in queries if len(r[2]) == dims]
+        by_dims[dims] = tuple(np.array([r[i] for r in rows], np.int64) for i in range(3))
+    shared = index.sparkSession.sparkContext.broadcast(by_dims)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        bests: dict[tuple[int, int], Best] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                numbers, ids, v = shared.value.get(row["dims"], ([], [], []))
+                block = Index.from_parts(row["dims"], row) if len(ids) else None
+                for at in range(0, len(ids), TILE):
+                    best = bests.setdefault((row["dims"], at), Best(len(ids[at : at + TILE]), k))
+                    who, what, score, _ = search_block(block, v[at : at + TILE], ids[at : at + TILE], k, best.sure)
+                    best.add(who, block.ids[what], score)
+        for (dims, at), best in bests.items():
+            numbers = shared.value[dims][0][at : at + TILE]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[best.who]), pa.array(best.ids), pa.array(best.scores)], names=["q", "vec_id", "score"])
+
+    return index.mapInArrow(run, "q long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
@@ -123,32 +246,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
 
     Both have vec_id and embedding.
     """
-    wanted, all_ = quantised(queries, scale).distinct(), quantised(vectors, scale)
-    n_queries = -(-max(1, wanted.count()) // query_block)
-    n_candidates = -(-max(1, all_.count()) // candidate_block)
-    copies = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = wanted.select(F.lit(True).alias("query"), "vec_id", "v", block(n_queries).alias("qb"), copies(n_candidates, "cb"))
-    right = all_.select(F.lit(False).alias("query"), "vec_id", "v", copies(n_queries, "qb"), block(n_candidates).alias("cb"))
-
-    def run(group):
-        import numpy as np
-        import pyarrow as pa
-
-        is_query = group.column("query").to_numpy()
-        ids = group.column("vec_id").to_numpy()
-        flat = group.column("v").combine_chunks().flatten().to_numpy().astype(np.int64).reshape(len(ids), -1)
-        if is_query.all() or not is_query.any():
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        by = np.argsort(ids[~is_query], kind="stable")
-        q_ids, c_ids = ids[is_query], ids[~is_query][by]
-        (who, what, score), _ = search_block(flat[is_query], q_ids, flat[~is_query][by], c_ids, k)
-        return pa.table({"query_id": q_ids[who], "vec_id": c_ids[what], "score": score})
-
-    sized = left.unionByName(right).withColumn("dim", F.size("v"))
-    found = sized.groupBy("dim", "qb", "cb").applyInArrow(run, "query_id long, vec_id long, score long")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    wanted = checkpointed(quantised(queries, scale).distinct().withColumn("q", F.monotonically_increasing_id()))
+    index = stored(build(vectors, scale, candidate_block))
+    blocks = -(-wanted.count() // query_block)
+    best = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    ensure_checkpoint_dir(vectors.sparkSession)
+    path = f"{vectors.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/best-{uuid.uuid4().hex}"
+    found = None
+    for b in range(max(1, blocks)):
+        rows = [(r["q"], r["vec_id"], r["v"]) for r in wanted.where(F.pmod(F.xxhash64("q"), F.lit(max(1, blocks))) == b).collect()]  # about query_block rows
+        found = search(index, rows, k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        if blocks > 1:
+            found.write.mode("append").parquet(path)
+    if blocks > 1:
+        found = vectors.sparkSession.read.schema(found.schema).parquet(path)
+    return found.join(wanted.select("q", F.col("vec_id").alias("query_id")), "q").select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE_SQL = f"""
