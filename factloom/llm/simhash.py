@@ -16,9 +16,15 @@ With a ``similarity`` (the pipeline's stage: 0.8 over five-word shingles) :func:
 Jaccard similarity of the sets of shingles instead.  64 bits that differ in at most two don't reach such
 pairs, so there is one fingerprint for each of 24 bands of five min-hashes, and sets meet that share one
 band's.  A pair of similarity s meets with probability 1 - (1 - s^5)^24, 0.99993 at 0.8; every pair that
-meets is decided by the exact similarity of the two sets (of 64-bit hashes).  Links are sought in turns:
-the sets of a band's cell meet its head, with another head each turn, and at last each other; all that
-a component already holds together is passed over, so that a large group of near copies is no square.
+is decided is decided by the exact similarity of the two sets (of 64-bit hashes).
+
+Groups of near copies are never compared all with all (:func:`similar`).  In a few turns each set meets one
+other set: the head of one of its bands' cells, at first the set that shares most cells with others, which
+for edited copies of one text is that text.  What a component holds together already is passed over from then
+on.  Of the pairs that are left, two kinds can still be similar enough: those that share a rare shingle, one that
+at most ``RARE`` of these sets have, and those whose other shingles alone could be enough.  The first are
+listed by shingle, the second are few, since a set that is linked to nothing differs from all others by
+shingles that are rare.  So no pair is lost, and a group of m copies costs a multiple of m.
 
 Defined cases: a null or empty text, or one without words, has the fingerprint zero and links like
 any other; a text of one or two words has one shingle, all its words; repeated rows and rows that
@@ -36,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import checkpointed, fresh
+from factloom.llm.common import checkpointed, fresh, needs_stored
 from factloom.llm.components import components
 
 SEED = 42
@@ -47,6 +53,10 @@ LOW = 0x5555555555555555
 #: Bands of min-hashes, and min-hashes of a band, for links by similarity.
 BANDS = 24
 WIDTH = 5
+#: Turns in which a set meets one other.
+TURNS = 3
+#: A shingle is rare if at most so many sets have it, of those that are still to be compared.
+RARE = 8
 
 
 def _fingerprints(raw: list[bytes | None], shingle: int):
@@ -127,32 +137,61 @@ def shingle_sets(rows: DataFrame, shingle: int, bands: bool) -> DataFrame:
     return table.mapInArrow(run, T.StructType([*(f for f in table.schema if f.name != "text"), *more]))
 
 
-def similar(points: DataFrame, sets_of, similarity: float, turns: int = 3) -> DataFrame:
+def _rooted(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``cells`` (id, cell, ...) with each id's ``root``; later only cells with several roots."""
+    if roots is None:
+        return cells.withColumn("root", F.col("id"))
+    known = cells.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = known.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
+    return checkpointed(known.join(mixed, "cell", "left_semi"))
+
+
+def _left_over(known: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): the pairs of ``known`` (id, n, root, cell), of different roots, that may be similar enough."""
+    points = checkpointed(known.select("id", "n", "root").distinct())
+    each = sets.join(points, sets["row"] == points["id"], "left_semi").select("row", F.explode("hashes").alias("h"))
+    rare = each.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") <= RARE)
+    rows = checkpointed(each.join(rare, "h"))
+    numbered = points.join(rows.groupBy(F.col("row").alias("id")).agg(F.count("*").alias("rare")), "id", "left")
+    numbered = checkpointed(numbered.select("id", "n", "root", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("rest")))
+    # at most RARE sets share a rare shingle
+    lists = rows.where("c > 1").join(points.select(F.col("id").alias("row"), "root"), "row").groupBy("h").agg(F.array_sort(F.collect_list(F.struct("row", "root"))).alias("all"))
+    after = lambda x: F.filter("all", lambda y: (y["row"] > x["row"]) & (y["root"] != x["root"]))
+    listed = F.flatten(F.transform("all", lambda x: F.transform(after(x), lambda y: F.struct(x["row"].alias("u"), y["row"].alias("v")))))
+    by_rare = lists.select(F.inline(listed))
+    cells = known.select("id", "cell").join(numbered, "id")
+    a, b = cells.alias("a"), cells.alias("b")
+    n, m, rest = F.col("a.n"), F.col("b.n"), F.least("a.rest", "b.rest")
+    enough = (1 + similarity) * rest >= similarity * (n + m) - 1e-6
+    sized = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
+    by_rest = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & sized & enough)
+    return by_rare.unionByName(by_rest.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))).distinct()
+
+
+def similar(points: DataFrame, sets_of, similarity: float, turns: int = TURNS) -> DataFrame:
     """(node, root) of the sets ``points`` (id, n, bands) that link to any other, by exact similarity.
 
     ``sets_of`` gives the table (row, hashes) of the ids in a table (row).
     """
     cells = points.select("id", "n", F.explode("bands").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.count("*").alias("c"), F.min("id").alias("one")).where("c > 1").select("cell")
-    cells = checkpointed(cells.join(shared, "cell"))
+    cells = cells.join(cells.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1"), "cell")
+    cells = checkpointed(cells)
+    cells = checkpointed(cells.join(cells.groupBy("id").agg(F.sum("c").alias("degree")), "id").select("id", "n", "degree", "cell"))
     sets = checkpointed(sets_of(cells.select(F.col("id").alias("row")).distinct()))
     first, second = (sets.select(F.col("row").alias(x), F.col("hashes").alias(f"of_{x}")) for x in "uv")
-    roots = links = None
+    roots = None
     for turn in range(turns + 1):
-        known = cells.withColumn("root", F.col("id")) if roots is None else cells.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        if turn:
-            mixed = known.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
-            known = checkpointed(known.join(mixed, "cell"))
-            if known.isEmpty():
-                break
+        known = _rooted(cells, roots)
+        if roots is not None and known.isEmpty():
+            break
         if turn < turns:
-            heads = known.groupBy("cell").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "root").alias("h"), F.xxhash64(F.lit(turn), "id").alias("g"), "id", "n", "root")).alias("head"))
-            met = known.join(heads, "cell").select("id", "n", "root", F.col("head.id").alias("other"), F.col("head.n").alias("m"), F.col("head.root").alias("base"))
+            rank = F.struct(F.when(F.lit(turn == 0), F.col("degree")).otherwise(F.xxhash64(F.lit(turn), "root")).alias("a"), F.xxhash64(F.lit(turn), "id").alias("b"), "id", "n", "root")
+            heads = known.groupBy("cell").agg(F.max(rank).alias("head"))
+            met = known.join(heads, "cell").where((F.col("root") != F.col("head.root")) & (F.least("n", "head.n") >= similarity * F.greatest("n", "head.n") - 1e-6))
+            best = met.groupBy("id").agg(F.max("head").alias("head"))
+            pairs = best.select(F.least("id", "head.id").alias("u"), F.greatest("id", "head.id").alias("v")).distinct()
         else:
-            b = known.select("cell", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("base"))
-            met = known.join(b, "cell").where("id < other")
-        met = met.where((F.col("root") != F.col("base")) & (F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")))
-        pairs = met.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct()
+            pairs = _left_over(known, sets, similarity)
         both = F.size(F.array_intersect("of_u", "of_v"))
         near = both >= F.lit(similarity) * (F.size("of_u") + F.size("of_v") - both)
         found = checkpointed(pairs.join(first, "u").join(second, "v").where(near).select("u", "v"))
@@ -263,10 +302,11 @@ def keep_one(docs: DataFrame, broadcast_rows: int = 1_000_000, shingle: int = SH
     shingles at least so similar.  Of rows that repeat its doc_id, one stays; a component whose doc_ids are
     all null keeps one row.
     Rows are told apart by their number within the scan of ``docs``, so ``docs`` must come straight
-    from stored files (as all stages here do).  The rows that go are found from fingerprints alone;
+    from stored files (as all stages here do); anything else is refused.  The rows that go are found from fingerprints alone;
     up to ``broadcast_rows`` of them (eight bytes each) are broadcast, so that no text is shuffled;
     beyond that they are joined through a shuffle.
     """
+    needs_stored(docs)
     row, f = fresh(docs, "_row"), fresh(docs, "_f")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
