@@ -20,8 +20,8 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.plan(table(spark, sf_dir, "documents"))
-    shards = F.array_sort(F.transform("draws", lambda d: d["shard"]))
-    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), shards.alias("shards"))
+    places = F.array_sort(F.transform("draws", lambda d: F.struct(d["shard"].alias("shard"), d["at"].alias("at"))))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), places.alias("places"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,39 +73,70 @@ def test_rules_keep(docs, odd):
 
 def test_rules_against_labels(docs, spark, sf):
     met = rules.judge(docs).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").collect()
-    good = [r.kept for r in met if r.quality == 1]
-    assert sum(good) / len(good) > 0.97
+    good, junk = ([r.kept for r in met if r.quality == q] for q in (1, 0))
+    assert sum(good) / len(good) > 0.98
+    assert not junk or sum(junk) / len(junk) < 0.15
 
 
-def em(patterns, n_rules, rounds):
-    """Expectation-maximisation in plain Python."""
+def test_rules_on_more_documents(spark):
+    path = "/root/testdata/sf0.01"
+    met = rules.judge(spark.read.parquet(f"{path}/documents.parquet")).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    good, junk = ([r.kept for r in met if r.quality == q] for q in (1, 0))
+    assert len(junk) > 20 and sum(good) / len(good) > 0.99 and sum(junk) / len(junk) < 0.1
+    # several good votes outweigh a single bad one, so that this isn't all-must-pass filtering
+    assert any(r.kept and -1 in r.votes for r in met) or not any(r.votes.count(-1) == 1 for r in met)
+
+
+def test_one_bad_vote_among_good_ones(spark):
+    n = len(rules.RULES)
+    good, odd, junk = [1] * n, [1] * n, [1] * n
+    odd[rules.RULES.index("sentences")] = -1  # prose of a script without these stops
+    for r in ("symbols", "marks"):
+        junk[rules.RULES.index(r)] = -1
+    df = spark.createDataFrame([(v,) for v, k in ((good, 900), (odd, 15), (junk, 60)) for _ in range(k)], "v array<int>")
+    counts = rules.fit(df)
+    p = lambda v: posterior(counts, v)[0]
+    assert p(good) > 0.99 and p(odd) > 0.5 > 0.05 > p(junk)
+    assert rules.accuracies(counts)["signs"]["marks"] > 0.7 and rules.accuracies(counts)["good"]["marks"] < 0.02
+
+
+def posterior(counts, v):
     import math
 
-    prior, acc = 0.8, [(0.998, 0.3)] * n_rules
+    total = sum(c[0] for c in counts)
+    odds = []
+    for c in counts:
+        one = math.log(c[0] / total)
+        for j, x in enumerate(v):
+            if x:
+                one += math.log(c[2 * j + (1 if x == -1 else 2)] / (c[2 * j + 1] + c[2 * j + 2]))
+        odds.append(one)
+    e = [math.exp(o - max(odds)) for o in odds]
+    return [x / sum(e) for x in e]
+
+
+def em(patterns, rounds):
+    """Expectation-maximisation in plain Python."""
+    prior = rules.priors()
+    counts = prior
     for _ in range(rounds):
-        post = []
+        new = [list(row) for row in prior]
         for v, n in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(g / (1 - b)) if x == 1 else math.log((1 - g) / b) if x == -1 else 0 for x, (g, b) in zip(v, acc))
-            post.append(1 / (1 + math.exp(-odds)))
-        total = sum(n for _, n in patterns)
-        prior = min(max((sum(n * p for (_, n), p in zip(patterns, post)) + 8) / (total + 10), 0.02), 0.98)
-        new = []
-        for j in range(n_rules):
-            up = sum(n * p for (v, n), p in zip(patterns, post) if v[j] == 1)
-            voted = sum(n * p for (v, n), p in zip(patterns, post) if v[j])
-            down = sum(n * (1 - p) for (v, n), p in zip(patterns, post) if v[j] == -1)
-            voted_bad = sum(n * (1 - p) for (v, n), p in zip(patterns, post) if v[j])
-            g = min(max((up + 19) / (voted + 20), 0.998), 0.9995)
-            new.append((g, min(max((down + 2) / (voted_bad + 5), 1 - g + 0.0005, 0.1), 0.5)))
-        acc = new
-    return [prior, *[x for pair in acc for x in pair]]
+            for row, p in zip(new, posterior(counts, v)):
+                row[0] += n * p
+                for j, x in enumerate(v):
+                    if x:
+                        row[2 * j + (1 if x == -1 else 2)] += n * p
+        counts = new
+    return counts
 
 
 def test_rules_estimates(spark):
     n = len(rules.RULES)
     patterns = [([1] * n, 500), ([1, 1, -1] + [1] * (n - 3), 40), ([0] * n, 7), ([-1] * n, 20), ([1, 0, 0, -1] + [1] * (n - 4), 33)]
     df = spark.createDataFrame([(v,) for v, k in patterns for _ in range(k)], "v array<int>")
-    assert rules.fit(df) == pytest.approx(em(patterns, n, rules.ROUNDS), rel=1e-9)
+    for got, want in zip(rules.fit(df), em(patterns, rules.ROUNDS)):
+        assert got == pytest.approx(want, rel=1e-9)
 
 
 # --- SimHash
@@ -192,7 +223,15 @@ def test_near_copies_by_similarity(spark, docs, odd, tmp_path):
         rows.append((10_000 + n, " ".join(w)))
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "near"))
     odd.write.parquet(str(tmp_path / "odd"))
-    for df in (docs, spark.read.parquet(str(tmp_path / "near")), spark.read.parquet(str(tmp_path / "odd"))):
+    far = []  # edits of one text by so many words that only some reach it, and some only each other
+    for n in range(260):
+        w = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            w[rng.randrange(len(w))] = rng.choice(["the", "and", "of", f"y{rng.randrange(10**6)}"])
+        far.append((20_000 + n, " ".join(w)))
+    far += [(21_000 + n, t.replace(" the ", " a ", 1)) for n, (_, t) in enumerate(far[:80])]
+    spark.createDataFrame(far, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "far"))
+    for df in (docs, *(spark.read.parquet(str(tmp_path / x)) for x in ("near", "odd", "far"))):
         want = jaccard_groups([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
         for rows_ in (1_000_000, 0):
             kept = simhash.keep_one(df, broadcast_rows=rows_, shingle=5, similarity=0.8)
@@ -278,14 +317,15 @@ def test_mixing(request, which):
     assert sorted(map(str, got)) == sorted(map(str, mixing.plan(df).collect()))
 
 
-def test_mixing_passes_over_what_does_not_fit(spark):
+def test_mixing_passes_over_what_does_not_fit(spark, tmp_path):
     # the first source has one document of more words than its target, for some seed ahead of all others
     rows = [(i, "a", "w " * (30_000 if i == 0 else 1 + i % 40)) for i in range(900)] + [(1000 + i, "b", "w " * 8) for i in range(160)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3).localCheckpoint()
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3).write.parquet(str(tmp_path / "mix"))
+    df = spark.read.parquet(str(tmp_path / "mix"))
     for seed in (1, 2, 3):
         for settings in ({"weights": (1, 4), "cap": 12}, {"weights": (1, 2), "cap": 3}):
             got = mixing.plan(df, seed=seed, blocks=4, **settings).collect()
-            for least, ids_ in ((1, range(900)), (8, range(1000, 1160))):
+            for ids_ in (range(900), range(1000, 1160)):
                 of = [r for r in got if r.doc_id in ids_]
                 unused = [r.size for r in of if len(r.draws) <= int(of[0].target // of[0].source_size)]
                 if unused:
@@ -293,6 +333,30 @@ def test_mixing_passes_over_what_does_not_fit(spark):
                 assert all(len(r.draws) == len({d["pass"] for d in r.draws}) for r in of)
 
 
+def test_mixing_is_the_same_under_any_split(spark, docs, tmp_path):
+    many = docs.select("doc_id", "source", "text").unionByName(docs.select((F.col("doc_id") + 100_000).alias("doc_id"), "source", F.lit("some few words").alias("text"))).unionByName(docs.select(F.lit(None).cast("long").alias("doc_id"), "source", "text"))
+    many.coalesce(1).write.parquet(str(tmp_path / "one"))
+    many.repartition(23, F.rand(5)).write.parquet(str(tmp_path / "split"))
+    of = lambda name: sorted(map(str, mixing.plan(spark.read.parquet(str(tmp_path / name)), blocks=8).drop("row").collect()))
+    assert of("one") == of("split")
+    rows = lambda name: sorted((str(r.doc_id), r.source, r.text) for r in mixing.mix(spark.read.parquet(str(tmp_path / name)), blocks=8).collect())
+    assert rows("one") == rows("split")
+
+
+def test_mix_by_shard(docs):
+    placed = mixing.mix(docs, order=True)
+    whole = [r.doc_id for r in placed.orderBy("_shard", "_at").collect()]
+    assert sorted(whole) == sorted(r.doc_id for r in mixing.mix(docs, shuffle=True).collect())
+    by = collections.defaultdict(list)
+    for r in placed.collect():
+        by[r._shard].append(r.doc_id)
+    assert len(by) > 8 and all(x != sorted(x) for x in [[r.doc_id for r in placed.where(F.col("_shard") == s).orderBy("_at").collect()] for s in list(by)[:2]])
+    with pytest.raises(ValueError, match="stored files"):
+        mixing.mix(docs.repartition(3))
+    with pytest.raises(ValueError, match="stored files"):
+        simhash.keep_one(docs.distinct())
+
+
 def test_mix_rows(docs, odd):
     for df in (docs, odd):
         plan = mixing.plan(df).select("doc_id", F.size("draws").alias("k")).collect()
@@ -342,7 +406,8 @@ def test_hypergeometric_is_exact(spark):
 def test_pii_kinds():
     text = 'mail Bob.Ray+x@site.example.com now, ring +1 (743) 555-3824 from 10.1.2.3 with 4716 0597 8394 8264? token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" id 078-05-1120, Mrs. Anna Weber met Dr. Weber. Version 2.0.1 of 1234567890123456'
     found = pii.find(text)
-    assert [k for _, _, k, _ in found] == ["email", "phone", "address", "card", "secret", "national", "given:latin:f", "surname:latin:f", "surname:latin:f"] or "card" not in [k for _, _, k, _ in found]
+    cards = ["card"] * pii._luhn("4716059783948264")
+    assert [k for _, _, k, _ in found][: 5 + len(cards)] == ["email", "phone", "address", *cards, "secret", "national"] and [k for _, _, k, _ in found][-3:] == ["given:latin:f", "surname:latin:u", "surname:latin:u"][:3]
     new, n, kinds = pii._private(text, {}, "k")
     for secret in ("Bob.Ray", "743) 555-3824", "10.1.2.3", "24be64439e", "078-05-1120", "Anna", "Weber"):
         assert secret not in new
@@ -364,13 +429,71 @@ def test_pii_formats():
     assert host("a.b@corp.com") == host("cd@corp.com") != host("cd@other.com")
 
 
+ENTITY = "plain string, canon string, kind string"
+
+
+def settled(spark, found):
+    return {(r.plain, r.canon): r.attempt for r in pii.settle(spark.createDataFrame(found, ENTITY)).collect()}
+
+
 def test_pii_collisions_are_settled(spark):
     # 26 one-letter addresses can't keep distinct one-letter surrogates without going on
-    found = spark.createDataFrame([("email", f"{c}@x.com") for c in "abcdefghijklmnopqrstuvwxyz"], "kind string, canon string")
-    later = {(r.kind, r.canon): r.attempt for r in pii.settle(found).collect()}
-    final = [pii.surrogate("email", f"{c}@x.com", later.get(("email", f"{c}@x.com"), 0)) for c in "abcdefghijklmnopqrstuvwxyz"]
+    found = [("email", f"{c}@x.com", "email") for c in "abcdefghijklmnopqrstuvwxyz"]
+    later = settled(spark, found)
+    final = [pii.surrogate(k, c, later.get((p, c), 0)) for p, c, k in found]
     assert len(set(final)) == 26 and later
-    assert pii.settle(found.limit(0)).count() == 0
+    assert pii.settle(spark.createDataFrame(found, ENTITY).limit(0)).count() == 0
+
+
+def test_pii_names_are_distinct_over_genders_and_parts(spark):
+    import random
+
+    rng = random.Random(4)
+    found = {("name:latin", f"n{rng.randrange(10**6)}", f"given:latin:{g}") for g in "mfu" for _ in range(60)}
+    found |= {("name:latin", "paul", "given:latin:m"), ("name:latin", "anna", "given:latin:f"), ("name:cyrillic", "paul", "surname:cyrillic:u"), ("name:latin", "moor", "surname:latin:u")}
+    later = settled(spark, sorted(found))
+    new = [pii.surrogate(k, c, later.get((p, c), 0)) for p, c, k in found]
+    assert len(set(new)) == len(found) and not set(new) & {c for _, c, _ in found}
+
+
+def test_pii_full_private_network(spark):
+    found = [("address", f"192.168.{i}.{j}", "address") for i in range(256) for j in range(0, 256, 2)] + [("address", f"172.{i}.0.9", "address") for i in range(16, 32)]
+    later = settled(spark, found)
+    new = [pii.surrogate(k, c, later.get((p, c), 0)) for p, c, k in found]
+    assert len(set(new)) == len(found) and not set(new) & {c for _, c, _ in found}
+
+
+def test_pii_scripts_and_genders():
+    one = lambda text: pii._private(text, {}, "k")[0]
+    script = lambda text: {pii._script(c) for c in text if c.isalpha()}
+    for text, own in (("Dr. 王小明", "han"), ("Mr. يوسف", "arabic"), ("Prof. 김철수", "hangul"), ("Prof. Σταύρος", "greek"), ("Mrs. Петрова", "cyrillic"), ("Dr. שרה", "hebrew"), ("Dr. Zoë", "latin")):
+        new = one(text).split(" ", 1)[1]
+        assert script(new) == {own} and new != text.split(" ", 1)[1]
+    assert one("госпожа Петрова").split()[1].endswith(("ова", "ина", "ева")) and one("господин Петров").split()[1].endswith(("ов", "ин", "ев"))
+    assert one("王小明先生 came").endswith("先生 came") and "王小明" not in one("王小明先生 came, and 王小明 left")
+    assert one("Then Anna Weber came and Weber left.") != "Then Anna Weber came and Weber left." and "Weber" not in one("Then Anna Weber came and Weber left.")
+    assert "Quill" not in one("my name is Jonah Quill") and one("Nothing of Anna here. Then Weber.") == "Nothing of Anna here. Then Weber."
+    assert one("MRS. Anna WEBER or Mrs. WEBER").split()[-1].isupper()
+
+
+def test_pii_coreference_over_documents(spark):
+    # Alex is Dr. here, Mr. there, and without a title elsewhere: one entity, a man by the titles of the corpus
+    rows = [(1, "Dr. Alex Moor came"), (2, "Mr. Alex Moor went"), (3, "Mr. Alex went"), (4, "Ms. Kim Moor"), (5, "Mr. Kim Lund"), (6, "Prof. Kim Lund")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (100_000, 0):
+        got = {r.doc_id: r.text.split() for r in pii.rewrite(df, broadcast_entities=limit).collect()}
+        assert got[1][1] == got[2][1] == got[3][1] and got[1][2] == got[2][2] == got[4][2] and got[4][1] == got[5][1] == got[6][1] and got[5][2] == got[6][2]
+        assert set(got[1][1].split("-")) <= set(pii.GIVEN["latin", "m"])
+        assert len({got[1][1], got[1][2], got[4][1], got[5][2]}) == 4
+
+
+def test_pii_many_entities_in_one_text():
+    import time
+
+    text = " ".join(f"a{i}@mail.net 10.{i % 256}.{i // 256}.7 Mr. Name{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(20_000))
+    began = time.perf_counter()
+    found = pii.find(text)
+    assert len(found) >= 55_000 and time.perf_counter() - began < 10
 
 
 def test_pii_rewrites(docs, odd, texts):
@@ -413,50 +536,73 @@ def test_pieces_round_trip(docs, odd):
     assert nbest.encode(docs.limit(0)).count() == 0
 
 
+def test_ids_are_the_model_s(vocabulary, docs, texts):
+    got = {r.doc_id: r for r in nbest.encode(docs, keep=["doc_id"]).collect()}
+    for d, t in texts.items():
+        assert got[d].ids == vocabulary.encoder.encode(t), t[:80]
+        assert got[d].n_pieces == len(got[d].ids) and got[d].n_best[0].changes == [] and got[d].n_best[0].score == got[d].score
+    for t in ["a  b\nc", " ", "\n\n", "日本 x", "\n a\n\nfoo  ", "x\0y é😀", "<s> </s> <0x41>", "x" * 100_000, "ab" * 60_000]:
+        ids_, best = vocabulary.segment(t, 3)
+        assert ids_ == vocabulary.encoder.encode(t) and vocabulary.decode(ids_) == t and len(best) <= 3
+        assert all(vocabulary.decode(changed(ids_, c)) == t for _, c in best)
+    marked, _ = vocabulary.segment("a▁b ▁", 2)
+    assert vocabulary.decode(marked) == "a▁b ▁"
+
+
+def changed(ids_, changes):
+    path = list(ids_)
+    for at, n, new in reversed(changes):
+        path[at : at + n] = new
+    return path
+
+
+def path_score(vocabulary, path, own):
+    """The score of ids: their pieces' scores, less what arcs off the own path lose."""
+    steps = vocabulary._steps(path)
+    kept = {(a, b) for a, b, _ in vocabulary._steps(own)}
+    return sum((vocabulary.pieces[i][1] if i >= 0 else vocabulary.unknown) - (0 if (a, b) in kept else nbest.OFF * (b - a)) for a, b, i in steps)
+
+
 def test_n_best_is_that_of_the_whole_text(vocabulary, texts):
-    whole = nbest.Vocabulary(vocabulary.pieces, vocabulary.byte_ids)
+    whole = nbest.Vocabulary(vocabulary.model)
     whole.atoms = re.compile("(?s).+")
-    for t in [t[:50] for t in list(texts.values())[:40]] + ["a  b\nc", " ", "\n\n", "日本 x"]:
+    for t in sorted(texts.values(), key=len)[:60] + ["a  b\nc", " ", "\n\n", "日本 x", "no idea, tokens!\n in here: 12.5%"]:
         ids_, best = vocabulary.segment(t, 5)
         exact = whole.paths(nbest.MARK + t.replace(" ", nbest.MARK), 5) if t else [(0.0, ())]
-        assert [s for s, _ in best] == [s for s, _ in exact]
+        assert [s for s, _ in best] == pytest.approx([s for s, _ in exact])
         for score, changes in best:
-            path = list(ids_)
-            for at, n, new in reversed(changes):
-                path[at : at + n] = new
-            assert vocabulary.decode(path) == t
-            if "日" not in t and "\n" not in t:
-                assert sum(vocabulary.pieces[i][1] for i in path) == score
-
-
-def test_best_is_the_library_s(vocabulary, texts):
-    """The library's own search, told that the vocabulary's scores are to be summed."""
-    import sentencepiece
-    from sentencepiece import sentencepiece_model_pb2 as pb
-
-    model = pb.ModelProto()
-    with open(nbest.MODEL, "rb") as f:
-        model.ParseFromString(f.read())
-    model.trainer_spec.model_type = 1
-    sp = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-    for t in list(texts.values())[:30]:
-        line = " ".join(x for x in t.split()[:12] if x.isascii())
-        if line:
-            got = vocabulary.segment(line, 3)
-            score = lambda path: sum(vocabulary.pieces[i][1] for i in path)
-            assert [s for s, _ in got[1]] == [score(p) for p in sp.nbest_encode_as_ids(line, 3)]
+            path = changed(ids_, changes)
+            assert vocabulary.decode(path) == t and path_score(vocabulary, path, ids_) == pytest.approx(score)
+        assert len({tuple(changed(ids_, c)) for _, c in best}) == len(best)
+
+
+def test_n_best_by_brute_force(vocabulary):
+    """All segmentations of short atoms, each scored apart."""
+
+    def all_of(atom):
+        if not atom:
+            return [[]]
+        heads = [k for k in range(1, len(atom) + 1) if atom[:k] in vocabulary.usable]
+        return [[vocabulary.usable[atom[:k]][0], *rest] for k in heads for rest in all_of(atom[k:])]
+
+    for atom in ["▁the", "▁quick", "▁▁a", "tokens", "▁1,25", "▁hello!"]:
+        own = vocabulary.own([atom])[0]
+        every = all_of(atom)
+        scores = sorted((path_score(vocabulary, p, own) for p in every), reverse=True)
+        found = vocabulary.paths(atom, 6)
+        assert list(found[0][1]) == own
+        assert [s for s, _ in found] == pytest.approx(scores[:6])
+        assert len({p for _, p in found}) == len(found)
 
 
 def test_bulk_search_is_the_single_one(vocabulary):
-    atoms = ["▁abc", "▁the", "▁xyz", "▁zzz", "▁日本語"[:4], "▁a-b", "▁1,2", "▁é!x"]
-    scores, losses, counts, pieces = vocabulary.many(atoms)
-    at = 0
-    for a, s, loss, n in zip(atoms, scores, losses, counts):
-        ids_, score, lost = vocabulary.two(a)
-        assert (score, lost) == (s, loss)
-        if (pieces[at : at + n] >= 0).all():
-            assert tuple(pieces[at : at + n]) == ids_
-        at += n
+    import numpy as np
+
+    atoms = ["▁abc", "▁the", "▁xyz", "▁zzz", "▁a-b", "▁1,2", "▁é!x", "▁▁▁q"]
+    own = vocabulary.own(atoms)
+    scores, losses = vocabulary.many(atoms, np.array([i for o in own for i in o]), np.array(list(map(len, own))))
+    for a, o, s, loss in zip(atoms, own, scores, losses):
+        assert (s, loss) == pytest.approx(vocabulary.two(a, vocabulary._steps(o)))
 
 
 # --- licenses
@@ -485,6 +631,46 @@ def test_licenses_with_changes(spark):
     assert licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
 
 
+def noticed(text):
+    """Scores of the notices in a text, by definition: for each start the longest chain of the word pairs near it."""
+    w = re.findall(licenses.WORD, re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    out = {}
+    for phrase, label in licenses.NOTICES:
+        n = phrase.split()
+        hits = [(t, p) for t in range(len(n) - 1) for p in range(len(w) - 1) if w[p : p + 2] == n[t : t + 2]]
+        width = licenses.SLACK if len(n) - 1 > licenses.SLACK else 0
+        for start in {p - t for t, p in hits}:
+            near = sorted((t, p) for t, p in hits if start <= p - t <= start + width)
+            best = []
+            for i, (t, p) in enumerate(near):
+                best.append(1 + max([best[j] for j in range(i) if near[j][0] < t and near[j][1] < p], default=0))
+            share = max(best) / (len(n) - 1)
+            if share >= licenses.COVERAGE:
+                out[label] = max(out.get(label, 0), share)
+    return out
+
+
+ADVERSARIAL = [
+    "you may " * 30, "the license " * 20, "copy of the " * 40, "guava: Apache License; jackson: Apache License; " * 6, "under the X " * 9,
+    "file except in compliance with the license you may not use this you may obtain a copy of the license at", "license the at obtain may you", "of the terms of the " * 12,
+    "Licensed under the Apache License, Version 2.0", "licensed under the apache apache license really version 2 0", "Released under the MIT license. " * 3,
+    "you may not use this file, except in full compliance with this license: you may obtain a copy of the license at", "LICENSED UNDER CC BY-NC 4.0", "licensed under cc by sa 3 0",
+    "\u0130icensed under the apache license version 2 0 \u212a", "redistribution and use in source and binary forms, with or without modification are permitted if the following conditions are met",
+]
+
+
+def test_licenses_by_brute_force(spark, docs):
+    rows = [(i, t) for i, t in enumerate(ADVERSARIAL)] + [(1000 + r.doc_id, r.text) for r in docs.where("length(text) < 20000").collect()]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows:
+        want = noticed(text)
+        r = got[d]
+        assert set(r.labels.split(",")) - {""} == set(want) | set(r.base_labels.split(",")) - {""}, text[:80]
+        assert r.score == pytest.approx(max([1.0] * (r.n_base > 0) + list(want.values()), default=0.0))
+    assert [got[i].labels for i in range(3)] == [""] * 3 and got[3].labels == "apache" and got[4].labels == got[5].labels == got[6].labels == got[7].labels == ""
+    assert got[8].labels == "apache,apache-2.0" and got[10].labels == "mit" and got[12].labels == "cc-by,cc-by-nc-4.0"
+
+
 # --- token counts
 
 
@@ -507,6 +693,32 @@ def test_token_files(spark, tmp_path):
         assert sorted((r.ordinal, r.n_tokens, r.doc_id) for r in got) == [(0, 2, None), (1, 0, None), (2, 1, None)]
 
 
+def test_token_files_of_many_ranges(spark, tmp_path):
+    import numpy as np
+
+    (tmp_path / "t").mkdir()
+    rng = np.random.default_rng(1)
+    want = collections.Counter()
+    for name, n, share in (("long", 50_000, 0.01), ("few", 9_001, 0.0003), ("none", 777, 0), ("only", 64, 1)):
+        ids_ = np.where(rng.random(n) < share, 9, 10 + rng.integers(0, 50, n)).astype("<u2")
+        ids_.tofile(tmp_path / "t" / f"{name}.bin")
+        ends = np.flatnonzero(ids_ == 9)
+        for k, length in enumerate(np.diff(ends, prepend=-1) - 1):
+            want[name, k, int(length)] += 1
+    got = tokencount.count(tokencount.read_files(spark, str(tmp_path / "t"), 64, blocks_a_range=5), separator=9).collect()
+    assert collections.Counter((r.file.split("/")[-1][:-4], r.ordinal, r.n_tokens) for r in got) == want
+
+
+def test_token_counts_of_nothing(docs):
+    assert tokencount.count(tokencount.flatten(docs.limit(0))).count() == 0
+
+
+def test_tokens_without_spaces(spark):
+    df = spark.createDataFrame([(1, "x" * 50_000), (2, "日本" * 20_000), (3, "a")], "doc_id long, text string")
+    encode = tokencount.encoding(tokencount.vocabulary()).encode_ordinary
+    assert {r.doc_id: r.n_tokens for r in tokencount.count(tokencount.flatten(df)).collect()} == {r.doc_id: len(encode(r.text)) for r in df.collect()}
+
+
 # --- classifier
 
 
@@ -545,3 +757,30 @@ def test_ordinal_odd(spark, odd):
     assert ordinal.score(odd.limit(0), ordinal.fit(odd, labels)).count() == 0
     with pytest.raises(ValueError):
         ordinal.select(odd, labels.limit(0))
+    for empty in (odd.limit(0), odd.where("doc_id = 77")):
+        for given in (labels, labels.limit(0)):
+            assert ordinal.select(empty, given).count() == 0
+
+
+def test_ordinal_counts_a_repeated_document_once(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    many = spark.createDataFrame([(1, "fine and clear words")] * 50 + [(2, "spam spam")] * 3, "doc_id long, text string")
+    assert ordinal.sampled(many, labels).count() == 2
+
+
+def test_ordinal_gradient():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    y = np.array([0, 1, 2, 2, 1, 0, 2])
+    at = rng.integers(0, 40, 7 * 5)
+    values, starts, of = rng.random(35), np.arange(0, 35, 5), np.repeat(np.arange(7), 5)
+    p = np.concatenate([rng.normal(0, 0.5, ordinal.SLOTS), [-0.4, 0.3]])
+    _, gradient = ordinal.loss_and_gradient(p, y, at, values, starts, of, 0.01)
+    for i in [*sorted(set(at.tolist()))[:12], ordinal.SLOTS, ordinal.SLOTS + 1]:
+        ends = []
+        for step in (1e-5, -1e-5):
+            q = p.copy()
+            q[i] += step
+            ends.append(ordinal.loss_and_gradient(q, y, at, values, starts, of, 0.01)[0])
+        assert gradient[i] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-4, abs=1e-7)

@@ -1,5 +1,6 @@
 """Exact top-k and chat formatting."""
 
+import math
 import random
 
 import pytest
@@ -14,8 +15,6 @@ def test_query(spark, sf, name):
 
 
 def brute(rows, wanted, k):
-    import math
-
     def whole(v):
         return None if v is None or not v or any(x is None or math.isnan(x) or math.isinf(x) for x in v) else [math.floor(64 * x) for x in v]
 
@@ -38,8 +37,28 @@ def test_top_k(spark):
         got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, qs, 20, **blocks).collect())
         assert got == brute(rows, wanted, 20)
     assert topk.top_k(df.limit(0), qs).count() == 0 and topk.top_k(df, qs.limit(0)).count() == 0
-    with pytest.raises(Exception, match="too large"):
-        topk.top_k(spark.createDataFrame([(1, [1e9]), (2, [1.0])], "vec_id long, embedding array<double>"), qs).collect()
+
+
+def test_large_components(spark):
+    rows = [(1, [1e9, -3e8]), (2, [1.0, 2.0]), (3, [4e5] * 2), (4, [1e300, -1e300]), (5, [-1e300, 7.0]), (20, [2e9, 1.0]), (40, [-1e300, 1e17])] + [(100 + i, [i * 1e6, 3.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    most = (1 << 63) - 1
+    clip = lambda x: min(max(x, -most), most)
+    whole = {i: [clip(math.floor(64 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in (20, 40):
+        best = sorted((-clip(sum(a * b for a, b in zip(whole[q], v))), i) for i, v in whole.items() if i != q)[:20]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    for block in (4, 4096):
+        got = topk.top_k(df, df.where("vec_id in (20, 40)"), candidate_block=block).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_queries_of_one_id(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    qs = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, qs).collect()))
+    assert got == sorted([(1, 1, 3, 4096), (1, 2, 2, 0), (1, 1, 2, 4096), (1, 2, 3, 4096)])
 
 
 def test_search_stops_on_proof():
@@ -49,13 +68,34 @@ def test_search_stops_on_proof():
     centres = rng.integers(-30, 30, (8, 32))
     x = centres[rng.integers(0, 8, 3000)] + rng.integers(-2, 3, (3000, 32))
     ids = np.arange(3000)
-    (who, what, score), used = topk.search_block(x[:64], ids[:64], x, ids, 20)
-    assert max(used) < topk.LEVELS
     exact = x[:64] @ x.T
     exact[np.arange(64), np.arange(64)] = -(10**9)
+    best, used = topk.Best(64, 20), []
+    for block in (np.arange(0, 1500), np.arange(1500, 3000)):
+        index = topk.Index.of(ids[block], x[block])
+        again = topk.Index.from_parts(32, index.parts())
+        who, what, score, level = topk.search_block(again, x[:64], ids[:64], 20, best.sure)
+        assert (score == exact[who, block[what]]).all() and len(who) < 0.25 * 64 * 1500
+        best.add(who, index.ids[what], score)
+        used.append(level)
+    assert min(used) < topk.LEVELS
     for i in range(64):
-        best = np.lexsort((ids, -exact[i]))[:20]
-        assert (what[who == i] == best).all() and (score[who == i] == exact[i][best]).all()
+        assert (best.ids[best.who == i] == np.lexsort((ids, -exact[i]))[:20]).all()
+
+
+def test_postings_are_in_the_order_of_impact():
+    import numpy as np
+
+    x = np.random.default_rng(3).integers(-40, 41, (500, 6))
+    index = topk.Index.of(np.arange(500), x)
+    impact = np.abs(x - index.mean)
+    assert sorted((int(p), d) for s in range(topk.LEVELS * 6) for d in [s % 6] for p in index.postings[index.bounds[s] : index.bounds[s + 1]]) == [(i, d) for i in range(500) for d in range(6)]
+    lows = []
+    for level in range(topk.LEVELS):
+        seen = [impact[p, d] for d in range(6) for p in index.postings[index.bounds[level * 6 + d] : index.bounds[level * 6 + d + 1]]]
+        assert not seen or not lows or max(seen) <= min(lows) + 1e-9
+        lows += seen
+    assert np.allclose(index.left[0] ** 2, (impact**2).sum(axis=1)) and (index.left[-1] == 0).all()
 
 
 def test_chats(spark):
