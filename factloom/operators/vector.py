@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.functions.frames import checkpointed
+
+#: The relations whose vectors are written into a plan; more are refused.
+MAX_RELATIONS = 1000
+
 
 def inner_product(a: Column, b: Column) -> Column:
     """The inner product of two arrays."""
@@ -21,7 +26,8 @@ def dense_top(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 
 def sparse_top(terms: DataFrame, query_terms: DataFrame, k: int) -> DataFrame:
     """(id, score, rank): the ``k`` documents of ``terms`` (id, term, w) with the highest product with ``query_terms`` (term, qw)."""
-    score = terms.join(query_terms, "term").groupBy("id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+    # rounded: sums of doubles differ in their last digits with the order of the rows
+    score = terms.join(query_terms, "term").groupBy("id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
     best = score.orderBy(F.desc("score"), "id").limit(k)
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")).cast("long"))
 
@@ -34,6 +40,14 @@ def fuse(rankings: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     return all_.groupBy("id").agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def known_relations(relations: DataFrame) -> list[tuple[str, list[float]]]:
+    """The few (relation, v) of a model, in order; more than :data:`MAX_RELATIONS` are refused."""
+    rows = relations.select("relation", "v").orderBy("relation").limit(MAX_RELATIONS + 1).collect()
+    if len(rows) > MAX_RELATIONS:
+        raise ValueError(f"there are more than {MAX_RELATIONS} relations")
+    return [(r["relation"], list(r["v"])) for r in rows]
+
+
 def translation_scores(pairs: DataFrame, nodes: DataFrame, relations: list[tuple[str, list[float]]]) -> DataFrame:
     """(src, dst, relation, score): minus the distance from head plus relation to tail, for each relation.
 
@@ -56,22 +70,28 @@ def translation_vectors(triples: DataFrame, dim: int = 16, rounds: int = 3, rate
     """(nodes, relations) with vectors in which a relation leads from subjects to objects.
 
     Starts from hashes; a round sets each relation to the mean step over its triples and moves each node
-    towards where its triples say it should be.  Both are averages, computed by shuffled aggregation.
+    towards where its triples say it should be.  Both are averages over plain columns, summed before the
+    shuffle, so that a hub or a frequent relation is no large group.  Every round's tables are written to the
+    checkpoint folder: the plan stays as long as one round.
     """
-    start = lambda c: F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.sin(F.pmod(F.xxhash64(c, i), F.lit(1_000_003)).cast("double")))
-    mean = lambda c: F.array(*[F.avg(F.get(c, i)) for i in range(dim)])
-    t = triples.select("subject", "predicate", "object").distinct()
-    nodes = t.select(F.explode(F.array("subject", "object")).alias("node")).distinct().withColumn("v", start(F.col("node")))
+    places = range(dim)
+    start = [F.conv(F.substring(F.md5(F.concat(F.col("node"), F.lit(f":{i}"))), 1, 8), 16, 10).cast("double") / (1 << 31) - 1 for i in places]
+    columns = lambda name: [f"{name}{i}" for i in places]
+    listed = lambda name: F.array(*columns(name))
+    named = lambda df, key, new, name: df.select(F.col(key).alias(new), *[F.col(f"v{i}").alias(f"{name}{i}") for i in places])
+    t = checkpointed(triples.select("subject", "predicate", "object").distinct())
+    nodes = t.select(F.explode(F.array("subject", "object")).alias("node")).distinct()
+    nodes = checkpointed(nodes.select("node", *[v.alias(c) for v, c in zip(start, columns("v"))]))
     relations = None
     for _ in range(rounds):
-        h, o = nodes.select(F.col("node").alias("subject"), F.col("v").alias("h")), nodes.select(F.col("node").alias("object"), F.col("v").alias("t"))
-        met = t.join(h, "subject").join(o, "object")
-        relations = met.groupBy("predicate").agg(mean(F.zip_with("t", "h", lambda x, y: x - y)).alias("r"))
+        met = checkpointed(t.join(named(nodes, "node", "subject", "h"), "subject").join(named(nodes, "node", "object", "t"), "object"))
+        relations = checkpointed(met.groupBy("predicate").agg(*[F.avg(F.col(f"t{i}") - F.col(f"h{i}")).alias(f"r{i}") for i in places]))
         full = met.join(relations, "predicate")
-        wants = full.select(F.col("object").alias("node"), F.zip_with("h", "r", lambda x, y: x + y).alias("w")).unionByName(full.select(F.col("subject").alias("node"), F.zip_with("t", "r", lambda x, y: x - y).alias("w")))
-        aim = wants.groupBy("node").agg(mean(F.col("w")).alias("w"))
-        nodes = nodes.join(aim, "node").select("node", F.zip_with("v", "w", lambda x, y: (1 - rate) * x + rate * y).alias("v"))
-    return nodes, relations.select(F.col("predicate").alias("relation"), F.col("r").alias("v"))
+        wants = full.select(F.col("object").alias("node"), *[(F.col(f"h{i}") + F.col(f"r{i}")).alias(f"w{i}") for i in places])
+        wants = wants.unionByName(full.select(F.col("subject").alias("node"), *[(F.col(f"t{i}") - F.col(f"r{i}")).alias(f"w{i}") for i in places]))
+        aim = wants.groupBy("node").agg(*[F.avg(f"w{i}").alias(f"w{i}") for i in places])
+        nodes = checkpointed(nodes.join(aim, "node").select("node", *[((1 - rate) * F.col(f"v{i}") + rate * F.col(f"w{i}")).alias(f"v{i}") for i in places]))
+    return nodes.select("node", listed("v").alias("v")), relations.select(F.col("predicate").alias("relation"), listed("r").alias("v"))
 
 
 def linked_pairs(edges: DataFrame) -> DataFrame:

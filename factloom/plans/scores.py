@@ -20,8 +20,9 @@ FROM embeddings e JOIN (SELECT embedding FROM embeddings WHERE vec_id = 0) q ON
 
 def _dense(spark: SparkSession, d: str, k: int) -> DataFrame:
     e = table(spark, d, "embeddings")
-    first = e.where("vec_id = 0").select("embedding").first()
-    return vector.dense_top(e.select(F.col("vec_id").alias("id"), "embedding"), list(first[0]), k)
+    first = e.where("vec_id = 0 and embedding is not null").select("embedding").first()
+    vectors = e.select(F.col("vec_id").alias("id"), "embedding")
+    return vector.dense_top(vectors, list(first[0]), k) if first else vector.dense_top(vectors.limit(0), [], k)
 
 
 @query(f"WITH {_DENSE} SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM dense ORDER BY score DESC, id LIMIT 20")
@@ -38,15 +39,7 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     terms = e.select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("term", "w")).where("w > 0.2").withColumn("w", F.round(F.col("w").cast("double"), 1))
     query_terms = terms.where("id = 0").select("term", F.col("w").alias("qw"))
-    score = terms.join(query_terms, "term").groupBy("id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
-    sparse = score.orderBy(F.desc("score"), "id").limit(50).withColumn("rank", F.row_number().over(_by_score()).cast("long"))
-    return vector.fuse([_dense(spark, d, 50), sparse], 20).select("id", F.round("score", 9).alias("score"))
-
-
-def _by_score():
-    from pyspark.sql import Window as W
-
-    return W.orderBy(F.desc("score"), "id")
+    return vector.fuse([_dense(spark, d, 50), vector.sparse_top(terms, query_terms, 50)], 20).select("id", F.round("score", 9).alias("score"))
 
 
 _SETS = """p AS (SELECT o_custkey, list(DISTINCT o_orderstatus || o_orderpriority) FILTER (o_totalprice > 200000) AS found, list(DISTINCT o_orderstatus || o_orderpriority) FILTER (o_orderstatus <> 'P') AS truth FROM orders GROUP BY o_custkey),
@@ -92,14 +85,30 @@ def link_candidates(spark: SparkSession, d: str) -> DataFrame:
     return vector.link_candidates(edges, 20)
 
 
-@query(None)
+def _transe_sql(dim: int = 16, rounds: int = 3) -> str:
+    """The rounds of the translation model, one node and dimension a row."""
+    parts = [
+        "t AS (SELECT DISTINCT subject, predicate, object FROM star)",
+        f"""n0 AS (SELECT node, i, CAST(('0x' || substr(md5(node || ':' || i), 1, 8)) AS BIGINT) / 2147483648.0::DOUBLE - 1 AS v
+FROM (SELECT subject AS node FROM t UNION SELECT object FROM t), range({dim}) AS d(i))""",
+    ]
+    for k in range(rounds):
+        parts.append(f"m{k} AS (SELECT subject, predicate, object, h.i, h.v AS h, o.v AS t FROM t JOIN n{k} h ON subject = h.node JOIN n{k} o ON object = o.node AND h.i = o.i)")
+        parts.append(f"r{k} AS (SELECT predicate, i, avg(t - h) AS r FROM m{k} GROUP BY ALL)")
+        parts.append(f"w{k} AS (SELECT node, i, avg(w) AS w FROM (SELECT object AS node, i, h + r AS w FROM m{k} JOIN r{k} USING (predicate, i) UNION ALL SELECT subject, i, t - r FROM m{k} JOIN r{k} USING (predicate, i)) GROUP BY ALL)")
+        parts.append(f"n{k + 1} AS (SELECT node, i, 0.5 * v + 0.5 * w AS v FROM n{k} JOIN w{k} USING (node, i))")
+    parts.append(f"s AS (SELECT src, dst, predicate AS relation, -sqrt(sum((h.v + r - o.v) * (h.v + r - o.v))) AS score FROM (SELECT DISTINCT subject AS src, object AS dst FROM t) JOIN n{rounds} h ON src = h.node JOIN n{rounds} o ON dst = o.node AND h.i = o.i JOIN r{rounds - 1} r ON r.i = h.i GROUP BY ALL)")
+    return f"WITH {fx.STAR}, " + ", ".join(parts) + " SELECT src, dst, relation, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY score DESC, relation) AS rank FROM s) WHERE rank <= 2"
+
+
+@query(_transe_sql())
 def transe_scores(spark: SparkSession, d: str) -> DataFrame:
     """The two best relations for each pair of the star."""
     t = fx.star_triples(spark, d)
     nodes, relations = vector.translation_vectors(t)
-    few = [(r["relation"], list(r["v"])) for r in relations.orderBy("relation").collect()]  # one row for each predicate
     pairs = t.select(F.col("subject").alias("src"), F.col("object").alias("dst")).distinct()
-    return vector.best_relations(vector.translation_scores(pairs, nodes, few), 2)
+    best = vector.best_relations(vector.translation_scores(pairs, nodes, vector.known_relations(relations)), 2)
+    return best.withColumn("score", F.round("score", 6))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
