@@ -40,12 +40,21 @@ def delta(obj: Column, valid_from: Column, head_obj: Column, head_valid_from: Co
 
 
 def malformed(drafts: DataFrame) -> Column:
-    """The first reason why a draft can't be judged (null: none)."""
+    """The first reason why a draft can't be judged (null: none).
+
+    Where ``drafts`` has them, ``writer`` must not be blank, and ``missing_parent`` and ``lost_head`` name a record that
+    isn't stored (:mod:`factloom.operators.commit`).
+    """
     missing = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    return (
-        F.when(missing("semantic_key") | missing("predicate") | missing("source_id") | F.col("obj").isNull() | F.coalesce(~F.col("tier").between(0, 4), F.lit(True)), "required field missing")
-        .when(F.col("valid_from").isNull(), "no instant")
+    reason = F.when(
+        missing("semantic_key") | missing("predicate") | missing("source_id") | F.col("obj").isNull() | F.coalesce(~F.col("tier").between(0, 4), F.lit(True)), "required field missing"
     )
+    if "writer" in drafts.columns:
+        reason = reason.when(missing("writer"), "no writer identity")
+    if "missing_parent" in drafts.columns:
+        reason = reason.when(F.col("missing_parent").isNotNull(), F.concat(F.lit("missing parent "), "missing_parent"))
+    reason = reason.when(F.col("valid_from").isNull(), "no instant")
+    return reason.when(F.col("lost_head").isNotNull(), F.concat(F.lit("lost head "), "lost_head")) if "lost_head" in drafts.columns else reason
 
 
 def judge(drafts: DataFrame, heads: DataFrame) -> DataFrame:

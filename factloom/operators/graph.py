@@ -26,13 +26,17 @@ def direct_dependents(edges: DataFrame) -> DataFrame:
 
 
 def corroboration(triples: DataFrame) -> DataFrame:
-    """(entity, corroboration): the number of other subjects that point at each object."""
-    return triples.where("subject <> object").groupBy(F.col("object").alias("entity")).agg(F.countDistinct("subject").alias("corroboration"))
+    """(entity, corroboration): the number of other subjects that point at each object.
+
+    Where ``triples`` has states, only active ones count.
+    """
+    live = triples.where("state = 'ACTIVE'") if "state" in triples.columns else triples
+    return live.where("subject <> object").groupBy(F.col("object").alias("entity")).agg(F.countDistinct("subject").alias("corroboration"))
 
 
 def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
     """(root, node, depth): all that ``roots`` (root) reach over edges (src, dst), at the least depth; a root reaches itself at 0."""
-    step = edges.select("src", "dst").where("src <> dst").distinct()
+    step = checkpointed(edges.select("src", "dst").where("src <> dst").distinct())
     front = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
     seen = front
     for depth in range(1, max_depth + 1):
@@ -74,7 +78,7 @@ def bounded_distances(edges: DataFrame, root: str, threshold: float, max_rounds:
     the threshold before it is shuffled.  A root without edges is there at 0 if it is a node at all.
     """
     spark: SparkSession = edges.sparkSession
-    cheap = edges.where(F.col("distance") <= threshold).groupBy("src", "dst").agg(F.min("distance").alias("w"))
+    cheap = checkpointed(edges.where(F.col("distance") <= threshold).groupBy("src", "dst").agg(F.min("distance").alias("w")))
     known = edges.where((F.col("src") == root) | (F.col("dst") == root)).limit(1).select(F.lit(root).alias("node"), F.lit(0.0).alias("distance"))
     known = checkpointed(known)
     front = known
@@ -96,7 +100,7 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def bfs_edges(edges: DataFrame, root: str, depth: int) -> DataFrame:
     """(src, dst, hop) of a breadth-first tree from ``root``: each new node under its least parent."""
-    step = edges.select("src", "dst").where("src <> dst").distinct()
+    step = checkpointed(edges.select("src", "dst").where("src <> dst").distinct())
     front = edges.sparkSession.createDataFrame([(root,)], "node string")
     seen, tree = front, None
     for hop in range(1, depth + 1):
@@ -119,3 +123,16 @@ def styled(nodes: DataFrame) -> DataFrame:
     """``nodes`` (kind, state) with the colour and size that they are drawn with."""
     colour = F.when(F.col("kind") == "entity", "#4C78A8").when(F.col("state") == "ACTIVE", "#54A24B").when(F.col("state") == "FLAGGED", "#E45756").when(F.col("state") == "TBD", "#F2CF5B").otherwise("#BAB0AC")
     return nodes.withColumns({"colour": colour, "size": F.when(F.col("kind") == "entity", 18).otherwise(10)})
+
+
+def incomplete(roots: DataFrame, dependencies: DataFrame, found: DataFrame) -> DataFrame:
+    """(root, missing): the keys that ``dependencies`` (root, semantic_key) ask for and a frontier ``found`` (root, semantic_key)
+    lacks, for those of ``roots`` (root) whose lineage is incomplete."""
+    lost = dependencies.select("root", "semantic_key").distinct().join(found.select("root", "semantic_key"), ["root", "semantic_key"], "left_anti")
+    return lost.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.array_sort(F.collect_set("semantic_key")).alias("missing"))
+
+
+def derives_from_all(reached: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(root, derives): whether each root of ``wanted`` (root, node) reaches all that it names there, by its closure ``reached``."""
+    met = wanted.select("root", "node").distinct().join(reached.select("root", "node", F.lit(True).alias("there")), ["root", "node"], "left")
+    return met.groupBy("root").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("derives"))

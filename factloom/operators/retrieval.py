@@ -105,14 +105,22 @@ def resolve_seeds(names: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def statistics(records: DataFrame, edges: DataFrame, queue: DataFrame, n_entities: DataFrame) -> DataFrame:
-    """(name, value): the counters of a knowledge base as one long table."""
-    one = lambda df, name, value=F.count("*"): df.agg(value.alias("value")).select(F.lit(name).alias("name"), F.col("value").cast("long").alias("value"))
-    by = lambda df, prefix, c: df.groupBy(c).agg(F.count("*").alias("value")).select(F.concat(F.lit(prefix), F.col(c).cast("string")).alias("name"), "value")
-    parts = [
-        one(records, "records_total"), one(records, "semantic_keys", F.countDistinct("semantic_key")), one(records, "documents_ingested", F.countDistinct("source_id")),
-        by(records, "records_by_tier:T", "tier"), by(records, "nodes_by_state:", "state"), one(edges, "edges_total"), by(edges, "edges_by_kind:", "kind"),
-        one(queue, "queue_pending"), by(queue, "queue_by_kind:", "kind"), one(n_entities, "entities_total"),
-    ]
+    """(name, value): the counters of a knowledge base as one long table.
+
+    Each table is read once: records are counted by tier and state, edges and queue by kind, and totals are summed from
+    these few rows.
+    """
+
+    def rolled(df: DataFrame, total: str, **prefixes: str) -> DataFrame:
+        counted = df.groupBy(*prefixes).agg(F.count("*").alias("n"))
+        names = [F.struct(F.concat(F.lit(p), F.col(c).cast("string")).alias("name"), "n") for c, p in prefixes.items()]
+        each = counted.select(F.inline(F.array(F.struct(F.lit(total).alias("name"), "n"), *names)))
+        return each.groupBy("name").agg(F.sum("n").cast("long").alias("value"))
+
+    distinct = records.agg(F.countDistinct("semantic_key").alias("semantic_keys"), F.countDistinct("source_id").alias("documents_ingested"))
+    distinct = distinct.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("value")) for c in distinct.columns])))
+    entities = n_entities.agg(F.count("*").alias("value")).select(F.lit("entities_total").alias("name"), "value")
+    parts = [rolled(records, "records_total", tier="records_by_tier:T", state="nodes_by_state:"), rolled(edges, "edges_total", kind="edges_by_kind:"), rolled(queue, "queue_pending", kind="queue_by_kind:"), distinct, entities]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

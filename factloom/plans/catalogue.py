@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.plans import facts, graphs, ledgers, reports, scores, words
+from factloom.plans import facts, graphs, ledgers, reports, scores, words, writes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (words, facts, ledgers, graphs, scores, reports):
+for module in (words, facts, ledgers, graphs, scores, reports, writes):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

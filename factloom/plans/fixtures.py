@@ -64,9 +64,8 @@ ORDER_DRAFTS = f"""drafts AS (
          CAST(epoch(o_orderdate) AS BIGINT) * {1 << 32} + o_orderkey AS arrival, 'order:' || o_orderkey AS source_id
   FROM orders)"""
 
-FOLD = (
-    ORDER_DRAFTS
-    + """,
+#: The gate's fold over the table drafts (semantic_key, clean, obj, tier, auto, valid_from, arrival, source_id).
+FOLD_STEPS = """
 ranked AS (SELECT *, row_number() OVER (PARTITION BY semantic_key ORDER BY arrival) AS rn FROM drafts),
 folded AS (
   SELECT semantic_key, arrival, rn, 'first version' AS reason, CAST(NULL AS BIGINT) AS head_arrival, CAST(0 AS BIGINT) AS owner_seq,
@@ -84,7 +83,7 @@ folded AS (
         FROM folded f JOIN ranked r ON r.semantic_key = f.semantic_key AND r.rn = f.rn + 1)),
 decided AS (SELECT *, CASE WHEN reason IN ('first version', 'superseded') THEN 'AUTO_COMMIT' WHEN reason IN ('identical', 'precedence') THEN 'NO_OP'
                            WHEN reason = 'contradiction' THEN 'FLAG_CONTRADICTION' ELSE 'QUEUE_SYSTEM_2' END AS disposition FROM folded)"""
-)
+FOLD = f"{ORDER_DRAFTS},{FOLD_STEPS}"
 
 
 def event_drafts(spark: SparkSession, d: str) -> DataFrame:

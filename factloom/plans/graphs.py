@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.operators import graph, retrieval, triples
+from factloom.operators import commit, graph, retrieval, triples
 from factloom.plans import fixtures as fx
 from factloom.plans.registry import registry
 
@@ -40,17 +40,19 @@ def direct_dependents(spark: SparkSession, d: str) -> DataFrame:
     return graph.direct_dependents(fx.lineage(spark, d))
 
 
-@query(f"WITH {fx.STAR} SELECT object AS entity, count(DISTINCT subject) AS corroboration FROM star WHERE subject <> object GROUP BY object")
+@query(f"WITH {fx.STAR} SELECT object AS entity, count(DISTINCT subject) AS corroboration FROM star WHERE subject <> object AND ordinal % 5 <> 0 GROUP BY object")
 def corroboration(spark: SparkSession, d: str) -> DataFrame:
-    return graph.corroboration(fx.star_triples(spark, d))
+    t = fx.star_triples(spark, d)
+    return graph.corroboration(t.withColumn("state", F.when(F.col("ordinal") % 5 == 0, "ARCHIVED").otherwise("ACTIVE")))
 
 
-@query(f"""WITH {fx.STAR}, c AS (SELECT object AS entity, count(DISTINCT subject) AS n FROM star GROUP BY object)
-SELECT ordinal, round((CASE predicate WHEN 'Produce' THEN 5 WHEN 'Operate_In' THEN 3 ELSE 2 END) / sqrt(1 + n), 6) AS distance FROM star JOIN c ON object = entity""")
+@query(f"""WITH {fx.STAR}, c AS (SELECT *, count(DISTINCT subject) FILTER (subject <> object) OVER (PARTITION BY object ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM star)
+SELECT ordinal, round((CASE predicate WHEN 'Produce' THEN 5 WHEN 'Operate_In' THEN 3 ELSE 2 END) / sqrt(1 + n), 6) AS distance FROM c""")
 def commit_distance(spark: SparkSession, d: str) -> DataFrame:
-    t = fx.star_triples(spark, d)
+    """How far each fact is when it is committed: by its tier and the subjects that have pointed at its object so far."""
+    t = commit.corroboration_so_far(fx.star_triples(spark, d).withColumn("seq", F.col("ordinal")))
     tier = F.when(F.col("predicate") == "Produce", 4).when(F.col("predicate") == "Operate_In", 2).otherwise(1)
-    return t.join(graph.corroboration(t), t["object"] == F.col("entity")).select("ordinal", F.round(tx.distance(tier, F.col("corroboration")), 6).alias("distance"))
+    return t.select("ordinal", F.round(tx.distance(tier, F.col("corroboration")), 6).alias("distance"))
 
 
 _CLOSURE = f"""WITH RECURSIVE {fx.LINEAGE},
@@ -71,8 +73,8 @@ def lineage_closure(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_CLOSURE} SELECT root, left(node, 1) AS semantic_key, arg_min(node, depth) AS record_id FROM reach GROUP BY root, left(node, 1)")
 def frontier(spark: SparkSession, d: str) -> DataFrame:
     reached = _closure(spark, d)
-    records = reached.select(F.col("node").alias("record_id")).distinct().select("record_id", F.substring("record_id", 1, 1).alias("semantic_key"), F.lit(0).alias("owner_seq"))
-    return graph.frontier(reached, records)
+    nodes = fx.lineage(spark, d).select(F.explode(F.array("src", "dst")).alias("record_id")).distinct()
+    return graph.frontier(reached, nodes.select("record_id", F.substring("record_id", 1, 1).alias("semantic_key"), F.lit(0).alias("owner_seq")))
 
 
 @query("SELECT 'X-' || c_nationkey AS node FROM customer GROUP BY c_nationkey UNION ALL SELECT 'Y-' || c_nationkey FROM customer GROUP BY c_nationkey")

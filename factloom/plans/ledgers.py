@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.frames import checkpointed
 from factloom.operators import gate, graph, lifecycle, retrieval
 from factloom.plans import fixtures as fx
 from factloom.plans.registry import registry
@@ -114,7 +115,7 @@ AND semantic_key NOT IN (SELECT semantic_key FROM r WHERE state = 'TBD')""")
 def gc_evictable(spark: SparkSession, d: str) -> DataFrame:
     r = fx.order_records(spark, d)
     now = r.join(lifecycle.states(_audit(spark, d)).withColumnRenamed("node_id", "record_id"), "record_id")
-    waiting = now.where("state = 'TBD'").select("semantic_key", F.col("record_id").alias("child"))
+    waiting = now.where("state = 'TBD'").groupBy("semantic_key").agg(F.min("record_id").alias("child"))  # one is enough to hold a key's versions
     deps = now.select("record_id", "semantic_key").join(waiting, "semantic_key").select(F.col("record_id").alias("parent"), "child")
     return lifecycle.evictable(now, deps, r.where("tier = 0"), _now(), 365).select("record_id", "semantic_key")
 
@@ -142,6 +143,7 @@ UNION ALL SELECT 'queue_pending', count(*) FROM q UNION ALL SELECT 'queue_by_kin
 UNION ALL SELECT 'entities_total', count(*) FROM (SELECT subject FROM star UNION SELECT object FROM star)""")
 def kb_stats(spark: SparkSession, d: str) -> DataFrame:
     r = fx.order_records(spark, d).join(lifecycle.states(_audit(spark, d)).withColumnRenamed("node_id", "record_id"), "record_id")
+    r = checkpointed(r.select("semantic_key", "source_id", "tier", "state"))
     queue = r.where("state in ('FLAGGED', 'TBD')").select(F.when(F.col("state") == "FLAGGED", "CONTRADICTION").otherwise("REDERIVE").alias("kind"))
     names = fx.star_triples(spark, d).select(F.explode(F.array("subject", "object")).alias("name")).distinct()
     return retrieval.statistics(r, fx.lineage(spark, d), queue, names)
