@@ -136,3 +136,10 @@ def derives_from_all(reached: DataFrame, wanted: DataFrame) -> DataFrame:
     """(root, derives): whether each root of ``wanted`` (root, node) reaches all that it names there, by its closure ``reached``."""
     met = wanted.select("root", "node").distinct().join(reached.select("root", "node", F.lit(True).alias("there")), ["root", "node"], "left")
     return met.groupBy("root").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("derives"))
+
+
+def knowledge(triples: DataFrame, root: str, depth: int) -> DataFrame:
+    """(src, relation, dst, hop): the tree of :func:`bfs_edges` with the least relation of each of its edges."""
+    tree = bfs_edges(triples.select(F.col("subject").alias("src"), F.col("object").alias("dst")), root, depth)
+    named = triples.groupBy(F.col("subject").alias("src"), F.col("object").alias("dst")).agg(F.min("predicate").alias("relation"))
+    return tree.join(named, ["src", "dst"]).select("src", "relation", "dst", "hop")

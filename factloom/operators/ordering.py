@@ -37,3 +37,13 @@ def ratio_split(df: DataFrame, order, shares: tuple[float, ...], names: tuple[st
     for name, cut in reversed(list(zip(names, cuts))):
         split = F.when(F.col("_place") < cut, name).otherwise(split)
     return ranged.join(offsets, "_range").withColumn("_place", place).withColumn("split", split).drop("_range", "_before", "_place")
+
+
+def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``n`` rows of ``df`` without replacement, the same ones each time: those with the least digests of ``key``."""
+    return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
+
+
+def first_in_order(df: DataFrame, ordinal: str, n: int) -> DataFrame:
+    """The first ``n`` rows by ``ordinal``, as a file would give them."""
+    return df.orderBy(ordinal).limit(n)

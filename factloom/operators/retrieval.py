@@ -125,3 +125,19 @@ def statistics(records: DataFrame, edges: DataFrame, queue: DataFrame, n_entitie
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def in_blocks(facts: DataFrame) -> DataFrame:
+    """Facts (text), those that hold before archived ones, each block by text."""
+    return facts.orderBy(F.col("text").startswith("[ARCHIVED"), "text")
+
+
+def answer(outcomes: DataFrame, facts: DataFrame, answers: DataFrame) -> DataFrame:
+    """(root, reply) of questions by their plan's outcome (root, outcome), their facts (root, text) and a model's answers (root, answer).
+
+    Nothing is said without authority, and nothing is made up without facts.
+    """
+    n = facts.groupBy("root").agg(F.count("*").alias("n"))
+    met = outcomes.join(n, "root", "left").join(answers, "root", "left")
+    reply = F.when(F.col("outcome") != "AUTHORIZED", F.concat(F.lit("withheld: "), "outcome")).when(F.coalesce("n", F.lit(0)) == 0, "no facts").otherwise(F.col("answer"))
+    return met.select("root", reply.alias("reply"))

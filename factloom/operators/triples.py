@@ -85,3 +85,12 @@ def apply_edge_changes(edges: DataFrame, changes: DataFrame) -> DataFrame:
     stay = edges.join(last.where("op = 'delete'"), "key", "left_anti")
     new = last.where("op = 'insert'").drop("op").join(edges, "key", "left_anti")
     return stay.unionByName(new.select(*edges.columns))
+
+
+def multigraph(triples: DataFrame) -> DataFrame:
+    """(src, dst, key, relation, file): all edges of triples (subject, predicate, object, file, ordinal), parallel ones numbered."""
+    from pyspark.sql import Window as W
+
+    whole = triples.where("subject is not null and predicate is not null and object is not null")
+    key = F.row_number().over(W.partitionBy("subject", "object").orderBy("ordinal")) - 1
+    return whole.select(F.col("subject").alias("src"), F.col("object").alias("dst"), key.cast("long").alias("key"), F.col("predicate").alias("relation"), "file")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.plans import facts, graphs, ledgers, reports, scores, words, writes
+from factloom.plans import facts, graphs, ledgers, prose, reports, scores, views, words, writes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (words, facts, ledgers, graphs, scores, reports, writes):
+for module in (words, facts, ledgers, graphs, scores, reports, writes, prose, views):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

@@ -71,7 +71,7 @@ def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, text) of each file."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def visible_text(html: Column) -> Column:
@@ -91,3 +91,34 @@ def tag_text(html: Column, tag: str) -> Column:
 def tagged_value(html: Column, name: str) -> Column:
     """The value of the inline element with this name, null without one."""
     return F.nullif(F.regexp_extract(html, rf"""(?is)<ix:nonNumeric\b[^>]*name=["']{name}["'][^>]*>([^<]*)<""", 1), F.lit(""))
+
+
+TRIPLE_FILE = "filename string, item_1a array<array<string>>, item_7 array<array<string>>"
+
+
+def triple_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, subject, subject_type, predicate, object, object_type) of files of triples, one JSON document each.
+
+    Files that can't be read, or lack one of the two lists, are left out, and so are triples without a head,
+    relation or tail.
+    """
+    files = spark.read.schema(TRIPLE_FILE).options(multiLine=True, mode="DROPMALFORMED").json(path)
+    each = files.select(F.col("filename").alias("file"), F.explode(F.concat("item_1a", "item_7")).alias("t"))
+    part = lambda i: F.get("t", F.lit(i))
+    named = each.select("file", *[part(i).alias(n) for i, n in enumerate(("subject", "subject_type", "predicate", "object", "object_type"))])
+    return named.where("subject is not null and predicate is not null and object is not null")
+
+
+def section(filings: DataFrame, names: DataFrame, column: str) -> DataFrame:
+    """``names`` (file, ...) with the section ``column`` of the filing of that name, trimmed; empty where there is none."""
+    raw = filings.select("file", F.col(column).alias("_section"))
+    return names.join(raw, "file", "left").withColumn(column, F.trim(F.coalesce("_section", F.lit("")))).drop("_section")
+
+
+def ticker_filings(spark: SparkSession, path: str, tickers: list[str]) -> DataFrame:
+    """(ticker, file, form, text) of the text files under a folder for each of ``tickers``; the form is told by the file's name."""
+    found = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    named = found.select(parts.alias("_parts"), F.element_at(parts, -1).alias("file"), F.col("value").alias("text"))
+    ticker = F.try_element_at(F.filter("_parts", lambda x: x.isin(tickers)), F.lit(-1))
+    return named.select(ticker.alias("ticker"), "file", F.when(F.col("file").contains("10-K"), "10-K").otherwise("10-Q").alias("form"), "text").where("ticker is not null")
