@@ -4,11 +4,12 @@ A 64-bit fingerprint is cut into segments of two bits and mapped to the vector o
 counts.  The Manhattan distance of two such vectors is never above the Hamming distance of the
 fingerprints, so a range join over the vectors finds every link, and the exact distance decides.
 
-The grid: the segments fall into four groups.  Vectors at most two apart differ in two groups at
-most and agree in at least two, so the cells are the vectors' values on the six pairs of groups; two
-fingerprints that link meet in at least one of the six.  The join compares whole vectors (the lower
-bound) and then fingerprints inside its condition, so that only links leave it, each once: from
-the first of the cells in which both meet.
+The grid: the segments fall into six groups.  Vectors at most two apart differ in two groups at
+most and agree in at least four, so the cells are the vectors' values on the fifteen choices of four groups; two
+fingerprints that link meet in at least one of the fifteen.  A cell holds two thirds of the segments, so that
+fingerprints that have nothing in common share one with a probability of one in a thousand million.  The join
+compares whole vectors (the lower bound) and then fingerprints inside its condition, so that only links leave it,
+each once: from the first of the cells in which both meet.
 
 Equal fingerprints are merged before the join, so that thousands of copies are one point.
 
@@ -50,6 +51,8 @@ RADIUS = 2
 SHINGLE = 3
 #: Fixed masks: the lower bit of each two-bit segment.
 LOW = 0x5555555555555555
+#: Where the grid's groups of segments begin and end.
+GROUPS = (0, 5, 11, 16, 21, 27, 32)
 #: Bands of min-hashes, and min-hashes of a band, for links by similarity.
 BANDS = 24
 WIDTH = 5
@@ -240,11 +243,11 @@ def _manhattan(a: Column, b: Column) -> Column:
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v) for all pairs of the distinct fingerprints ``prints`` (f) at most two bits apart, u < v."""
     if not 0 <= radius <= 2:
-        raise ValueError("the four groups of the grid prove links of up to two bits")
+        raise ValueError("the groups of the grid prove links of up to two bits")
     counted = prints.select("f", _pairs_of_two(F.col("f")).alias("c"))
-    masks = [0xFFFF << 16 * g for g in range(4)]
+    masks = [(1 << 2 * b) - (1 << 2 * a) for a, b in zip(GROUPS, GROUPS[1:])]
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    pairs = [signed(masks[a] | masks[b]) for a, b in combinations(range(4), 2)]
+    pairs = [signed(sum(four)) for four in combinations(masks, len(masks) - 2)]
 
     def cells(c: Column) -> Column:
         return F.array(*[F.struct(F.lit(k).alias("k"), c.bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(pairs)])

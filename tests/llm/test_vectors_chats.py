@@ -104,11 +104,14 @@ def test_chats(spark):
         (2, 0, "user", "hi", "x"), (2, 1, "assistant", "yes", "x"), (2, 2, "user", "more <|im_end|>", "x"),
         (3, 0, "user", "hi", "x"), (4, 0, "user", "yes", "x"), (4, 1, "assistant", "hi", "x"),
         (5, 0, "user", "yes", "x"), (5, 1, "assistant", "hi", "x"), (5, 1, "assistant", "hi", "x"),
-        (6, 0, None, None, "x"), (7, 3, "user", "late", "x"), (7, 3, "assistant", "tie", "x"), (None, 0, "user", "lost", "x"), (8, None, "user", "n" * 100000, "x"),
+        (6, 0, None, None, "x"), (7, 3, "user", "late", "x"), (7, 3, "assistant", "tie", "x"), (None, 0, "user", "lost", "x"), (None, 3, "user", "lost", "x"), (None, 0, "user", "hi", "x"), (None, 1, "user", "alone", "x"), (8, None, "user", "n" * 100000, "x"),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n long".replace("n long", "n string"))
-    got = {r.conv_id: (r.n_turns, r.n_copies, r.rendered) for r in chat.collapse(df).collect()}
-    assert set(got) == {2, 4, 6, 7, None, 8}
+    rows = chat.collapse(df).collect()
+    got = {r.conv_id: (r.n_turns, r.n_copies, r.rendered) for r in rows}
+    assert set(got) == {2, 4, 6, 7, None, 8} and len(rows) == 7
+    # rows without a conversation are conversations of one turn, and go where one begins like them
+    assert sorted((r.n_turns, r.rendered) for r in rows if r.conv_id is None) == [(1, f"<|im_start|>user\n{x}<|im_end|>\n") for x in ("alone", "lost")]
     assert got[2] == (3, 1, "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyes<|im_end|>\n<|im_start|>user\nmore < |im_end|><|im_end|>\n")
     assert got[4][:2] == (2, 2) and got[4][2].count("<|im_start|>") == 2
     assert got[6][2] == "<|im_start|>\n<|im_end|>\n" and got[7][2].startswith("<|im_start|>assistant\ntie")
