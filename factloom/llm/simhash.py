@@ -19,13 +19,14 @@ pairs, so there is one fingerprint for each of 24 bands of five min-hashes, and
 band's.  A pair of similarity s meets with probability 1 - (1 - s^5)^24, 0.99993 at 0.8; every pair that
 is decided is decided by the exact similarity of the two sets (of 64-bit hashes).
 
-Groups of near copies are never compared all with all (:func:`similar`).  In a few turns each set meets one
-other set: the head of one of its bands' cells, at first the set that shares most cells with others, which
-for edited copies of one text is that text.  What a component holds together already is passed over from then
-on.  Of the pairs that are left, two kinds can still be similar enough: those that share a rare shingle, one that
-at most ``RARE`` of these sets have, and those whose other shingles alone could be enough.  The first are
-listed by shingle, the second are few, since a set that is linked to nothing differs from all others by
-shingles that are rare.  So no pair is lost, and a group of m copies costs a multiple of m.
+Here too a popcount is a lower bound: each set has a bitmap of 512 bits in which every shingle flips one, and two
+sets differ in at least as many shingles as their bitmaps do in bits.  At first each set meets one other set,
+the head of one of its bands' cells: in the first turn the set that shares most cells with others, which for edited
+copies of one text is that text, in the next one a random set.  What a component holds together already is passed
+over from then on, and of the rest those pairs of a cell come out of its join whose sizes and bitmaps leave a
+similarity of 0.8 possible (:func:`similar`).  No pair is lost, and those that come out are few, so that a group of m
+near copies costs a multiple of m in rows; within the join of a cell whose sets aren't all linked, pairs of
+bitmaps are still compared one by one.
 
 Defined cases: a null or empty text, or one without words, has the fingerprint zero and links like
 any other; a text of one or two words has one shingle, all its words; repeated rows and rows that
@@ -57,9 +58,9 @@ GROUPS = (0, 5, 11, 16, 21, 27, 32)
 BANDS = 24
 WIDTH = 5
 #: Turns in which a set meets one other.
-TURNS = 3
-#: A shingle is rare if at most so many sets have it, of those that are still to be compared.
-RARE = 8
+TURNS = 2
+#: The words of 64 bits of a set's bitmap.
+WORDS = 8
 
 
 def _fingerprints(raw: list[bytes | None], shingle: int):
@@ -110,14 +111,22 @@ def _bands(hashes):
     return np.array([xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, WIDTH))], np.uint64).view(np.int64)
 
 
+def _bitmap(hashes):
+    """A bitmap in which each hash flips one bit."""
+    import numpy as np
+
+    odd = np.bincount((hashes >> np.uint64(20) & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def shingle_sets(rows: DataFrame, shingle: int, bands: bool) -> DataFrame:
     """doc_id and row of ``rows`` (doc_id, row, text), with ``f``, a 128-bit hash of the set of shingles, the
-    set's size ``n`` and its bands' fingerprints ``bands``; or else row and the set itself as ``hashes``."""
+    set's size ``n``, its bands' fingerprints ``bands`` and its bitmap ``bits``; or else row and the set itself as ``hashes``."""
     keep = ["doc_id", "row"] if bands else ["row"]
     table = rows.select(*keep, F.col("text").cast("string").cast("binary").alias("text"))
     longs = T.ArrayType(T.LongType())
-    more = [T.StructField("f", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bands", longs)] if bands else [T.StructField("hashes", longs)]
-    names = [*keep, *(f.name for f in more)]
+    more = [("f", T.BinaryType()), ("n", T.LongType()), ("bands", longs), ("bits", longs)] if bands else [("hashes", longs)]
+    names = [*keep, *(n for n, _ in more)]
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -132,12 +141,12 @@ def shingle_sets(rows: DataFrame, shingle: int, bands: bool) -> DataFrame:
             sets = [_hashes(t, shingle) for t in batch.column("text").to_pylist()]
             kept = [batch.column(c) for c in keep]
             if bands:
-                found = [pa.array([xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64()), lists([_bands(s) for s in sets])]
+                found = [pa.array([xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64()), lists([_bands(s) for s in sets]), lists([_bitmap(s) for s in sets])]
             else:
                 found = [lists([s.view(np.int64) for s in sets])]
             yield pa.RecordBatch.from_arrays([*kept, *found], names=names)
 
-    return table.mapInArrow(run, T.StructType([*(f for f in table.schema if f.name != "text"), *more]))
+    return table.mapInArrow(run, T.StructType([*(f for f in table.schema if f.name != "text"), *(T.StructField(*x) for x in more)]))
 
 
 def _rooted(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -149,55 +158,43 @@ def _rooted(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
     return checkpointed(known.join(mixed, "cell", "left_semi"))
 
 
-def _left_over(known: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): the pairs of ``known`` (id, n, root, cell), of different roots, that may be similar enough."""
-    points = checkpointed(known.select("id", "n", "root").distinct())
-    each = sets.join(points, sets["row"] == points["id"], "left_semi").select("row", F.explode("hashes").alias("h"))
-    rare = each.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") <= RARE)
-    rows = checkpointed(each.join(rare, "h"))
-    numbered = points.join(rows.groupBy(F.col("row").alias("id")).agg(F.count("*").alias("rare")), "id", "left")
-    numbered = checkpointed(numbered.select("id", "n", "root", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("rest")))
-    # at most RARE sets share a rare shingle
-    lists = rows.where("c > 1").join(points.select(F.col("id").alias("row"), "root"), "row").groupBy("h").agg(F.array_sort(F.collect_list(F.struct("row", "root"))).alias("all"))
-    after = lambda x: F.filter("all", lambda y: (y["row"] > x["row"]) & (y["root"] != x["root"]))
-    listed = F.flatten(F.transform("all", lambda x: F.transform(after(x), lambda y: F.struct(x["row"].alias("u"), y["row"].alias("v")))))
-    by_rare = lists.select(F.inline(listed))
-    cells = known.select("id", "cell").join(numbered, "id")
-    a, b = cells.alias("a"), cells.alias("b")
-    n, m, rest = F.col("a.n"), F.col("b.n"), F.least("a.rest", "b.rest")
-    enough = (1 + similarity) * rest >= similarity * (n + m) - 1e-6
-    sized = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
-    by_rest = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & sized & enough)
-    return by_rare.unionByName(by_rest.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))).distinct()
+def _possible(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets with sizes ``n`` and bitmaps ``bits`` may be so similar: they differ in no more than a share of all."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    apart = sum((F.bit_count(F.get(F.col(f"{a}bits"), i).bitwiseXOR(F.get(F.col(f"{b}bits"), i))) for i in range(1, WORDS)), F.bit_count(F.get(F.col(f"{a}bits"), 0).bitwiseXOR(F.get(F.col(f"{b}bits"), 0))))
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & ((1 + similarity) * apart <= (1 - similarity) * (n + m) + 1e-6)
 
 
 def similar(points: DataFrame, sets_of, similarity: float, turns: int = TURNS) -> DataFrame:
-    """(node, root) of the sets ``points`` (id, n, bands) that link to any other, by exact similarity.
+    """(node, root) of the sets ``points`` (id, n, bands, bits) that link to any other, by exact similarity.
 
     ``sets_of`` gives the table (row, hashes) of the ids in a table (row).
     """
-    cells = points.select("id", "n", F.explode("bands").alias("cell"))
-    cells = cells.join(cells.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1"), "cell")
-    cells = checkpointed(cells)
-    cells = checkpointed(cells.join(cells.groupBy("id").agg(F.sum("c").alias("degree")), "id").select("id", "n", "degree", "cell"))
-    sets = checkpointed(sets_of(cells.select(F.col("id").alias("row")).distinct()))
-    first, second = (sets.select(F.col("row").alias(x), F.col("hashes").alias(f"of_{x}")) for x in "uv")
+    cells = points.select("id", F.explode("bands").alias("cell"))
+    cells = checkpointed(cells.join(cells.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1"), "cell"))
+    degrees = cells.groupBy("id").agg(F.sum("c").alias("degree")).join(points.select("id", "n", "bits"), "id")
+    cells = checkpointed(cells.join(degrees, "id").select("id", "n", "bits", "degree", "cell"))
     roots = None
     for turn in range(turns + 1):
         known = _rooted(cells, roots)
         if roots is not None and known.isEmpty():
             break
         if turn < turns:
-            rank = F.struct(F.when(F.lit(turn == 0), F.col("degree")).otherwise(F.xxhash64(F.lit(turn), "root")).alias("a"), F.xxhash64(F.lit(turn), "id").alias("b"), "id", "n", "root")
+            rank = F.struct(F.when(F.lit(turn == 0), F.col("degree")).otherwise(F.xxhash64(F.lit(turn), "root")).alias("a"), F.xxhash64(F.lit(turn), "id").alias("b"), "id", "n", "root", "bits")
             heads = known.groupBy("cell").agg(F.max(rank).alias("head"))
-            met = known.join(heads, "cell").where((F.col("root") != F.col("head.root")) & (F.least("n", "head.n") >= similarity * F.greatest("n", "head.n") - 1e-6))
-            best = met.groupBy("id").agg(F.max("head").alias("head"))
+            met = known.join(heads, "cell").where((F.col("root") != F.col("head.root")) & _possible("", "head.", similarity))
+            best = met.groupBy("id").agg(F.max(F.struct("head.a", "head.b", "head.id")).alias("head"))
             pairs = best.select(F.least("id", "head.id").alias("u"), F.greatest("id", "head.id").alias("v")).distinct()
         else:
-            pairs = _left_over(known, sets, similarity)
+            a, b = known.alias("a"), known.alias("b")
+            met = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & _possible("a.", "b.", similarity))
+            pairs = met.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+        pairs = checkpointed(pairs)
+        sets = checkpointed(sets_of(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()))
+        first, second = (sets.select(F.col("row").alias(x), F.col("hashes").alias(f"of_{x}")) for x in "uv")
         both = F.size(F.array_intersect("of_u", "of_v"))
         near = both >= F.lit(similarity) * (F.size("of_u") + F.size("of_v") - both)
-        found = checkpointed(pairs.join(first, "u").join(second, "v").where(near).select("u", "v"))
+        found = pairs.join(first, "u").join(second, "v").where(near).select("u", "v")
         # a component's links so far are those to its root
         links = found if roots is None else found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
         roots = checkpointed(components(links))
@@ -320,7 +317,7 @@ def keep_one(docs: DataFrame, broadcast_rows: int = 1_000_000, shingle: int = SH
     else:
         texts = numbered.select("doc_id", F.col(row).alias("row"), "text")
         prints = checkpointed(shingle_sets(texts, shingle, True))
-        points = checkpointed(prints.groupBy("f").agg(best.alias("best"), F.min("row").alias("id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
+        points = checkpointed(prints.groupBy("f").agg(best.alias("best"), F.min("row").alias("id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")))
 
         def sets_of(rows: DataFrame) -> DataFrame:
             rows = checkpointed(rows)
