@@ -4,12 +4,13 @@ Components are quantised to integers.  A block of candidates has an index: the i
 a dimension is how far its component lies from the block's mean there, impacts are quantised into levels, and
 a posting segment lists the candidates whose impact in one dimension is of one level.  The segments of a level
 are processed together, from the highest level down, for a tile of queries at once; each adds its
-candidates' deviation times the query's component to their scores, which begin at the product with the mean.
+candidates' deviation times the query's component to their scores, which begin at the product with the mean.  The
+lowest levels list most candidates in most dimensions, and are held as matrices.
 
 What a candidate still lacks is the product of the query with what is left of the candidate's deviation, so it
 is at most the product of their two lengths; those of the candidates are in the index, by level.  A candidate
-is out for a query once its score and that bound together stay below the kth best score that is sure.  The
-search of a block stops when scoring those that can still be in costs less than the postings to come, or before the
+is out for a query once its score and that bound together stay below the kth best score that is sure: of the
+candidates of earlier blocks, or for the first block of its own after all levels.  The search of a block stops when scoring those that can still be in costs less than the postings to come, or before the
 first level if none can: that bound is the proof for all others, and those that are left are scored exactly, in
 integers.
 Without such proof all levels are processed, and what the bounds then leave open by rounding is scored exactly.
@@ -39,7 +40,9 @@ from factloom.llm.common import checkpointed, ensure_checkpoint_dir, stored
 
 SCALE = 64
 K = 20
-LEVELS = 8
+LEVELS = 4
+#: A level that lists more than one in so many candidates and dimensions is held as a matrix instead of lists.
+DENSE = 8
 QUERY_BLOCK = 16_384
 CANDIDATE_BLOCK = 4096
 #: Queries whose scores are held at once.
@@ -68,6 +71,7 @@ class Index:
     def __init__(self, ids, x, mean, postings, bounds, left):
         """``postings``: positions by level, from the highest, and dimension, cut at ``bounds``; ``left``: what remains by level."""
         self.ids, self.x, self.mean, self.postings, self.bounds, self.left = ids, x, mean, postings, bounds, left
+        self.matrices: dict = {}
 
     @classmethod
     def of(cls, ids, x, levels: int = LEVELS) -> Index:
@@ -84,9 +88,28 @@ class Index:
         bounds = np.searchsorted(group[by], np.arange(levels * dims + 1))
         square = off * off
         # after all levels nothing is left; a little is added for rounding
-        left = np.stack([np.sqrt((square * (level < levels - n)).sum(axis=1)) for n in range(levels + 1)]) * (1 + 1e-9)
+        left = np.stack([np.sqrt((square * (level < levels - n)).sum(axis=1)) for n in range(levels + 1)]) * (1 + 1e-6)
         return cls(ids, x, mean, (by // dims).astype(np.int32), bounds.astype(np.int64), left)
 
+    def add(self, level: int, q, scores) -> None:
+        """Add what the segments of a level (0: the highest) give for the queries ``q``, a column each, to ``scores``."""
+        import numpy as np
+
+        dims = self.x.shape[1]
+        cuts = self.bounds[level * dims : (level + 1) * dims + 1]
+        lists = [self.postings[a:b] for a, b in zip(cuts, cuts[1:])]
+        if DENSE * (cuts[-1] - cuts[0]) > self.x.size:
+            if (level, q.dtype) not in self.matrices:
+                m = np.zeros(self.x.shape, q.dtype)
+                for d, there in enumerate(lists):
+                    m[there, d] = self.x[there, d] - self.mean[d]
+                self.matrices[level, q.dtype] = m
+            scores += self.matrices[level, q.dtype] @ q
+            return
+        for d, there in enumerate(lists):
+            if len(there):
+                scores[there] += np.multiply.outer((self.x[there, d] - self.mean[d]).astype(q.dtype), q[d])
+
     def parts(self) -> dict[str, bytes]:
         """The arrays as bytes, to be stored."""
         return {k: getattr(self, k).tobytes() for k in ("ids", "x", "mean", "postings", "bounds", "left")}
@@ -118,32 +141,32 @@ def search_block(index: Index, queries, query_ids, k: int, sure=None):
     import numpy as np
 
     n, dims = index.x.shape
-    q = queries.T.astype(float)
-    scores = np.repeat((index.mean @ q)[None, :], n, axis=0)  # a row for each candidate
-    # doubles err by a part in 2^52 of what is summed
-    span = np.sqrt((q * q).sum(axis=0)) * (1 + 1e-9)
-    most = np.abs(index.mean) @ np.abs(q) + span * index.left[0].max(initial=0.0)
-    slack = most * (dims + 8) * 2.0**-51
+    size = float(np.abs(index.x.astype(float)).max(initial=0)) * float(np.abs(queries.astype(float)).max(initial=0)) * dims
+    kind, err = (np.float32, 2.0**-21) if size < 1e30 else (np.float64, 2.0**-50)
+    exact = queries.T.astype(float)
+    q = np.ascontiguousarray(exact, kind)
+    scores = np.repeat((index.mean @ exact).astype(kind)[None, :], n, axis=0)  # a row for each candidate
+    span = np.sqrt((exact * exact).sum(axis=0)) * (1 + 1e-6)
+    # what rounding can add up to
+    slack = (np.abs(index.mean) @ np.abs(exact) + span * index.left[0].max(initial=0.0)) * (dims + 8) * err
     by_id = np.argsort(index.ids, kind="stable")
     first, last = (np.searchsorted(index.ids[by_id], query_ids, side) for side in ("left", "right"))
     own = np.array([(by_id[j], i) for i in np.flatnonzero(first < last) for j in range(first[i], last[i])], np.int64).reshape(-1, 2)
     levels, unsure = len(index.left) - 1, n > k and (sure is None or not np.isfinite(sure).all())
-    bound = np.full(len(query_ids), -np.inf) if sure is None else sure.astype(float) - np.abs(sure.astype(float)) * 2.0**-51
+    bound = np.full(len(query_ids), -np.inf) if sure is None else sure - np.abs(sure) * 2.0**-50
     for level in range(levels + 1):
-        reach = index.left[level][:, None] * span[None, :] + slack
-        if unsure:
-            low = scores - reach
+        if unsure and level == levels:
+            low = scores - slack.astype(kind)
             low[own[:, 0], own[:, 1]] = -np.inf
             bound = np.maximum(bound, np.partition(low, n - k, axis=0)[n - k])
-        possible = scores + reach >= bound
-        possible[own[:, 0], own[:, 1]] = False
-        if level == levels or RESCORE * dims * possible.sum() <= (index.bounds[-1] - index.bounds[level * dims]) * len(query_ids):
-            break
-        for d in range(dims):
-            a, b = index.bounds[level * dims + d], index.bounds[level * dims + d + 1]
-            if a < b:
-                there = index.postings[a:b]
-                scores[there] += np.multiply.outer(index.x[there, d] - index.mean[d], q[d])
+        if level == levels or not unsure:
+            # upper bounds against the bound, less what the comparison itself may round off
+            need = (bound - slack - np.abs(bound) * err).astype(kind)
+            possible = scores + np.multiply.outer(index.left[level].astype(kind), span.astype(kind)) >= need
+            possible[own[:, 0], own[:, 1]] = False
+            if level == levels or RESCORE * dims * possible.sum() <= (index.bounds[-1] - index.bounds[level * dims]) * len(query_ids):
+                break
+        index.add(level, q, scores)
     what, who = np.nonzero(possible)
     score = np.concatenate([exact_scores(queries[who[i : i + 65536]], index.x[what[i : i + 65536]]) for i in range(0, max(len(who), 1), 65536)])
     return who, what, score, level
