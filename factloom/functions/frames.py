@@ -12,16 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut.
-
-    The session names the folder; where it names none, a temporary one is taken on a single machine (tests),
-    and a cluster is refused.
-    """
-    sc = df.sparkSession.sparkContext
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; where it names none, a temporary one is set on a single machine
+    (tests), and a cluster is refused."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, its lineage cut, so that lost executors cost no recomputation."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

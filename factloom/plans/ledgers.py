@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom import schemas
 from factloom.functions.frames import checkpointed
 from factloom.operators import gate, graph, lifecycle, retrieval
 from factloom.plans import fixtures as fx
@@ -67,12 +68,23 @@ def state_from_audit(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.states(_audit(spark, d))
 
 
-@query(f"""WITH {_AUDIT} SELECT node_id, 'TBD' AS from_state, to_state, CAST(seq AS BIGINT) AS seq FROM audit WHERE from_state = 'FLAGGED' AND to_state NOT IN ('TBD', 'ACTIVE', 'FLAGGED', 'ARCHIVED', 'DELETED')
-UNION ALL SELECT node_id, from_state, to_state, CAST(seq AS BIGINT) FROM audit WHERE from_state = 'FLAGGED' AND to_state NOT IN ('FLAGGED', 'ACTIVE', 'ARCHIVED', 'DELETED')
-UNION ALL SELECT record_id, 'DELETED', 'TBD', CAST(owner_seq AS BIGINT) FROM n WHERE obj = 'O'""")
+#: What kind of event moves a user to which state.
+_MOVES = {"signup": "ACTIVE", "click": "TBD", "error": "FLAGGED", "view": "ARCHIVED", "purchase": "DELETED"}
+
+
+@query(f"""WITH m(kind, state) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in _MOVES.items())}), ok(a, b) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, to in schemas.TRANSITIONS.items() for b in to)}),
+t AS (SELECT 'u' || user_id AS node_id, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state, state AS to_state, event_id AS seq FROM events JOIN m ON event_type = kind)
+SELECT node_id, from_state, to_state, seq FROM t LEFT JOIN ok ON from_state = a AND to_state = b
+WHERE CASE WHEN from_state IS NULL THEN to_state NOT IN ('ACTIVE', 'ARCHIVED') ELSE from_state <> to_state AND a IS NULL END""")
 def illegal_transitions(spark: SparkSession, d: str) -> DataFrame:
-    wrong = fx.order_records(spark, d).where("obj = 'O'").select(F.col("record_id").alias("node_id"), F.lit("DELETED").alias("from_state"), F.lit("TBD").alias("to_state"), F.col("owner_seq").alias("seq"))
-    return lifecycle.illegal_transitions(_audit(spark, d).unionByName(wrong))
+    """The users' events as moves between states, and those that no node may make."""
+    from pyspark.sql import Window as W
+
+    kind = F.create_map(*[F.lit(x) for pair in _MOVES.items() for x in pair])
+    e = fx.table(spark, d, "events").withColumn("to_state", F.try_element_at(kind, F.col("event_type"))).where("to_state is not null")
+    before = F.lag("to_state").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    audit = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("node_id"), before.alias("from_state"), "to_state", F.col("event_id").alias("seq"))
+    return lifecycle.illegal_transitions(audit)
 
 
 @query(f"""WITH {fx.LINEAGE}, {_AUDIT},

@@ -62,10 +62,11 @@ def log_filter(spark: SparkSession, d: str) -> DataFrame:
     return e.orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "event_type", "user_id")
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) >= 1997)""")
 def resume_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Customers of which nothing has been ingested yet."""
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    """Customers of which nothing has been ingested since a year."""
+    done = table(spark, d, "orders").where(F.year("o_orderdate") >= 1997).select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(done, "c_custkey", "left_anti").select("c_custkey")
 
 
 @query(f"WITH {fx.STAR} SELECT node, count(*) AS degree FROM (SELECT subject AS node FROM star UNION ALL SELECT object FROM star) GROUP BY node")
@@ -115,8 +116,7 @@ def supersession_pairs(spark: SparkSession, d: str) -> DataFrame:
     return done.select("semantic_key", F.col("arrival").cast("string").alias("new_version"), F.col("head_arrival").cast("string").alias("old_version"))
 
 
-@query("SELECT event_id FROM events WHERE value > 100")
+@query(f"""SELECT doc_id, regexp_matches(lower(replace(text, ' and ', ' previously ')), '\\b({'|'.join(tx.HISTORY_WORDS)})\\b') AS asks FROM documents""")
 def historical_intent(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    asked = F.when(F.col("value") > 100, F.lit("What was it before?")).otherwise(F.lit("What is it?"))
-    return e.where(tx.asks_for_history(asked)).select("event_id")
+    """Which texts, as questions, ask for what no longer holds."""
+    return table(spark, d, "documents").select("doc_id", tx.asks_for_history(F.replace("text", F.lit(" and "), F.lit(" previously "))).alias("asks"))

@@ -69,12 +69,14 @@ def qa_scores(spark: SparkSession, d: str) -> DataFrame:
     return metrics.answer_scores(rows)
 
 
-@query("""SELECT doc_id, CASE WHEN lang = 'en' THEN 'no match found' ELSE source END AS evaluation, CASE WHEN lang = 'en' THEN 0.0 ELSE CAST(n_chars AS DOUBLE) + 0.5 END AS score FROM documents""")
+@query("""SELECT doc_id, md5(CASE WHEN lang = 'en' THEN 'no match found' ELSE trim(text || ' because', ' ' || chr(9) || chr(10) || chr(13)) END) AS evaluation, CASE WHEN lang = 'en' OR n_chars % 3 = 0 THEN 0.0 ELSE CAST(n_chars AS DOUBLE) + 0.5 END AS score FROM documents""")
 def judge_parse(spark: SparkSession, d: str) -> DataFrame:
+    """What replies about whole texts say, and the ratings of those that have one."""
     docs = table(spark, d, "documents")
-    reply = F.when(F.col("lang") == "en", F.lit("nothing of the kind")).otherwise(F.concat(F.lit("Evaluation: "), "source", F.lit("\nTotal rating: "), F.col("n_chars").cast("string"), F.lit(".5 of all")))
+    rating = F.when(F.col("n_chars") % 3 == 0, "none").otherwise(F.concat(F.col("n_chars").cast("string"), F.lit(".5 of all")))
+    reply = F.when(F.col("lang") == "en", F.col("text")).otherwise(F.concat(F.lit("Evaluation: "), "text", F.lit(" because\nTotal rating: "), rating))
     r = docs.select("doc_id", reply.alias("reply"))
-    return r.select("doc_id", tx.judge_evaluation(F.col("reply")).alias("evaluation"), tx.judge_score(F.col("reply")).alias("score"))
+    return r.select("doc_id", F.md5(tx.judge_evaluation(F.col("reply"))).alias("evaluation"), tx.judge_score(F.col("reply")).alias("score"))
 
 
 @query(None)
