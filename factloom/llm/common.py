@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: ASCII white space, [\x20\x09-\x0D]; words are maximal runs of anything else.
-SPACES = " \t\n\x0b\x0c\r"
+from factloom.functions.frames import checkpointed, ensure_checkpoint_dir, table
 
+__all__ = ["SPACES", "bind", "checkpointed", "ensure_checkpoint_dir", "fresh", "lower_ascii", "needs_stored", "stored", "table", "whole_text"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the corpus tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: ASCII white space, [\x20\x09-\x0D]; words are maximal runs of anything else.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -56,31 +55,8 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the checkpoint folder that the session names; where there is none, set one on a single machine (tests)
-    and refuse on a cluster."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named is None:
-        if not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    sc.setCheckpointDir(named)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: a checkpoint of which single columns can be read."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

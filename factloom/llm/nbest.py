@@ -115,15 +115,14 @@ class Vocabulary:
         texts = [a[1:].replace(MARK, " ") if a[0] == MARK else "\n" + a for a in atoms]
         lone = [OWN_MARK in t for t in texts]
         found = self.encoder.encode([" " if odd or not t else t for t, odd in zip(texts, lone)])
-        mark = [self.usable[MARK][0]] if MARK in self.usable else [self.byte_ids[b] for b in MARK.encode()]
+        mark = [self.usable[MARK][0]]
         out = []
         for atom, text, odd, ids in zip(atoms, texts, lone, found):
             if odd:  # what stands between the text's own marks is encoded apart
-                parts = [p if i == 0 else "" if not p else p for i, p in enumerate(atom.split(OWN_MARK))]
                 ids = []
-                for i, p in enumerate(parts):
+                for i, part in enumerate(atom.split(OWN_MARK)):
                     ids += [self.byte_ids[b] for b in MARK.encode()] if i else []
-                    ids += self.own([p])[0] if p else []
+                    ids += self.own([part])[0] if part else []
                 out.append(ids)
             else:
                 out.append(mark if not text else ids if atom[0] == MARK else ids[2:])

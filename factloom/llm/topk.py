@@ -273,8 +273,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     index = stored(build(vectors, scale, candidate_block))
     blocks = -(-wanted.count() // query_block)
     best = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    ensure_checkpoint_dir(vectors.sparkSession)
-    path = f"{vectors.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/best-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(vectors.sparkSession)}/best-{uuid.uuid4().hex}"
     found = None
     for b in range(max(1, blocks)):
         rows = [(r["q"], r["vec_id"], r["v"]) for r in wanted.where(F.pmod(F.xxhash64("q"), F.lit(max(1, blocks))) == b).collect()]  # about query_block rows
