@@ -35,7 +35,7 @@ import math
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from heapq import heappop, heappush, nsmallest
+from heapq import heappop, heappush
 from itertools import chain, product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -382,12 +382,16 @@ class Vocabulary:
         sure, ties = np.flatnonzero(losses < bound), np.flatnonzero(losses == bound)
         open_ = [int(i) for i in sorted([*sure, *ties[: k - len(sure)]]) if losses[i] < ALONE]
         choices = [[(best[0][0] - s, i, ids) for s, ids in best] for i in open_ for best in [self._search(atoms[i], n)]]
-        ranked = nsmallest(n, (tuple(c[j] for c, j in zip(choices, at)) for at in _ranks(n, tuple(map(len, choices)))), key=lambda c: (sum([x[0] for x in c]), sum([x[0] > 0 for x in c])))
-        first = tuple(c[0] for c in choices)
+        lost = [[x[0] for x in c] for c in choices]
+        ranked = []
+        for at in _ranks(n, tuple(map(len, choices))):
+            sums = [one[j] for one, j in zip(lost, at)]
+            ranked.append((sum(sums), len(sums) - sums.count(0), at))
+        ranked.sort()
         out = []
-        for combination in ranked:
-            changed = [(int(counts[:c[1]].sum()), base[2], c[2]) for c, base in zip(combination, first) if c is not base]
-            out.append((score - sum(x[0] for x in combination), [_difference(*c) for c in changed]))
+        for loss, _, at in ranked[:n]:
+            changed = [(int(counts[: c[0][1]].sum()), c[0][2], c[j][2]) for c, j in zip(choices, at) if j]
+            out.append((score - loss, [_difference(*c) for c in changed]))
         return out
 
     def decode(self, ids: Sequence[int]) -> str:
