@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, licenses, mixing, nbest, ordinal, pii, rules, simhash, tokencount, topk
+from factloom.llm import audit, chat, licenses, mixing, nbest, ordinal, pii, rules, simhash, tokencount, topk
 from factloom.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_licenses": op2_licenses,
@@ -68,10 +72,12 @@ QUERIES = {
     "op8_nbest": op8_nbest,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op1_topk": topk.ORACLE_SQL,
     "op2_licenses": licenses.oracle_sql(),
     "op7_chat": chat.ORACLE_SQL,
+    "op11_filter_audit": audit.ORACLE_SQL,
 }
