@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import audit, chat, licenses, mixing, nbest, ordinal, pii, rules, simhash, tokencount, topk
+from factloom.llm import audit, chat, hardneg, licenses, mixing, nbest, ordinal, pii, rules, simhash, tokencount, topk
 from factloom.llm.common import table
 
 
@@ -61,6 +61,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hardneg.mine(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_licenses": op2_licenses,
@@ -73,6 +79,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
     "op11_filter_audit": op11_filter_audit,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -80,4 +87,5 @@ ORACLES: dict[str, str] = {
     "op2_licenses": licenses.oracle_sql(),
     "op7_chat": chat.ORACLE_SQL,
     "op11_filter_audit": audit.ORACLE_SQL,
+    "op13_hard_negatives": hardneg.ORACLE_SQL,
 }
