@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import audit, chat, hardneg, licenses, mixing, nbest, ordinal, pii, rules, simhash, tokencount, topk
+from factloom.llm import audit, chat, hardneg, licenses, mixing, nbest, ordinal, passages, pii, rules, simhash, tokencount, topk
 from factloom.llm.common import table
 
 
@@ -61,6 +61,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = passages.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
@@ -79,6 +84,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
     "op11_filter_audit": op11_filter_audit,
+    "op12_passages": op12_passages,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
