@@ -1,4 +1,4 @@
-"""Vector and term search, and the fusion of ranks."""
+"""Vector and term search, the fusion of ranks, and scores of relations."""
 
 from __future__ import annotations
 
@@ -92,43 +92,3 @@ def translation_vectors(triples: DataFrame, dim: int = 16, rounds: int = 3, rate
         aim = wants.groupBy("node").agg(*[F.avg(f"w{i}").alias(f"w{i}") for i in places])
         nodes = checkpointed(nodes.join(aim, "node").select("node", *[((1 - rate) * F.col(f"v{i}") + rate * F.col(f"w{i}")).alias(f"v{i}") for i in places]))
     return nodes.select("node", listed("v").alias("v")), relations.select(F.col("predicate").alias("relation"), listed("r").alias("v"))
-
-
-def linked_pairs(edges: DataFrame) -> DataFrame:
-    """(a, b, n): the pairs that ``edges`` (src, dst) link in either direction, a < b, and how often."""
-    return edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a < b").groupBy("a", "b").agg(F.count("*").cast("float").alias("n"))
-
-
-def new_links(model, both: DataFrame, k: int) -> DataFrame:
-    """(src, dst, score): the ``k`` best pairs by the factors of ``model`` that aren't in ``both`` (a, b).
-
-    A pair's score is the higher of its two directions'.  A node gets as many recommendations as it has
-    links, itself, and ``k`` more, so that its ``k`` best new ones are among them; nodes are asked by
-    classes of degree, and a class has the bound of its highest degree.
-    """
-    degrees = both.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("degree"))
-    classed = degrees.withColumn("class", F.length(F.bin("degree"))).persist()
-    bounds = {r["class"]: r["most"] for r in classed.groupBy("class").agg(F.max("degree").alias("most")).collect()}  # one row for each power of two
-    top = both.select("a", "b", F.col("n").alias("rating")).limit(0)
-    for c, most in sorted(bounds.items()):
-        best = model.recommendForUserSubset(classed.where(F.col("class") == c).select("a"), k + 1 + most)
-        top = top.unionByName(best.select("a", F.inline("recommendations")))
-    pairs = top.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("rating").alias("score"))
-    return pairs.join(both, ["a", "b"], "left_anti").select(F.col("a").alias("src"), F.col("b").alias("dst"), "score").orderBy(F.desc("score"), "src", "dst").limit(k)
-
-
-def link_model(both: DataFrame, rank: int = 8):
-    """Factors of the adjacency ``both`` (a, b, n), by Spark's own alternating least squares."""
-    from pyspark.ml.recommendation import ALS
-
-    sided = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    return ALS(rank=rank, userCol="a", itemCol="b", ratingCol="n", nonnegative=True, implicitPrefs=True, seed=42).fit(sided)
-
-
-def link_candidates(edges: DataFrame, k: int, rank: int = 8) -> DataFrame:
-    """(src, dst, score): the ``k`` most likely new edges by factors of the adjacency.
-
-    Those that ``edges`` (src, dst over integers) hold already, in either direction, are left out.
-    """
-    both = linked_pairs(edges)
-    return new_links(link_model(both, rank), both, k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
 from factloom.functions.frames import table
-from factloom.operators import metrics, vector
+from factloom.operators import embedding, factors, metrics, vector
 from factloom.plans import fixtures as fx
 from factloom.plans.registry import registry
 from factloom.streaming import windows
@@ -79,12 +79,30 @@ def judge_parse(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", F.md5(tx.judge_evaluation(F.col("reply"))).alias("evaluation"), tx.judge_score(F.col("reply")).alias("score"))
 
 
-@query(None)
+_EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 10000000 AS dst FROM lineitem)"
+
+
+def _supplies(spark: SparkSession, d: str) -> DataFrame:
+    """Who supplies which part, as edges between numbers."""
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 10_000_000).alias("dst")).distinct()
+
+
+@query(f"WITH {_EDGES}, {factors.sql('e', 4, 2)} SELECT side, node, CAST(i AS INTEGER) AS i, round(v, 6) AS v FROM (SELECT 'row' AS side, * FROM w2 UNION ALL SELECT 'column', * FROM h2)")
+def link_factors(spark: SparkSession, d: str) -> DataFrame:
+    """Both factors of the normalised adjacency after two rounds."""
+    found = factors.factorise(factors.adjacency(_supplies(spark, d)), 4, 2)
+    sides = [df.select(F.lit(side).alias("side"), "node", F.posexplode(F.array(*[f"v{i}" for i in range(4)])).alias("i", "v")) for side, df in zip(("row", "column"), found)]
+    return sides[0].unionByName(sides[1]).withColumn("v", F.round("v", 6))
+
+
+@query(f"""WITH {_EDGES}, {factors.sql('e', 6, 4)}, a AS (SELECT node, list(v ORDER BY i) AS v FROM w4 GROUP BY node), b AS (SELECT node, list(v ORDER BY i) AS v FROM h4 GROUP BY node),
+s AS (SELECT a.node AS src, b.node AS dst, list_inner_product(a.v, b.v) AS score FROM a JOIN b ON a.node < b.node)
+SELECT src, dst, round(score, 6) AS score FROM s ANTI JOIN adj USING (src, dst) ORDER BY s.score DESC, src, dst LIMIT 50""")
 def link_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The most likely further suppliers of parts."""
-    li = table(spark, d, "lineitem")
-    edges = li.select(F.col("l_suppkey").cast("int").alias("src"), (F.col("l_partkey") + 10_000_000).cast("int").alias("dst")).distinct()
-    return vector.link_candidates(edges, 20)
+    """The fifty likeliest pairs of suppliers and parts that aren't linked."""
+    entries = factors.adjacency(_supplies(spark, d))
+    rows, columns = factors.factorise(entries, 6, 4)
+    return factors.new_edges(entries, rows, columns, 50, 6).withColumn("score", F.round("score", 6))
 
 
 def _transe_sql(dim: int = 16, rounds: int = 3) -> str:
@@ -113,6 +131,29 @@ def transe_scores(spark: SparkSession, d: str) -> DataFrame:
     return best.withColumn("score", F.round("score", 6))
 
 
+def _held_out_ranks(spark: SparkSession, d: str, model: embedding.Model, epochs: int) -> DataFrame:
+    """The ranks of a tenth of the star's triples after training on eight tenths."""
+    nodes, relations, triples = embedding.indexed(fx.star_triples(spark, d))
+    part = F.pmod(F.xxhash64("r", "t", "h"), F.lit(10))
+    train, test = triples.where(part < 8), triples.where(part == 9)
+    found, _ = embedding.train(train, nodes, relations, model, epochs)
+    ranks = embedding.ranks(test, triples, found, model)
+    name = lambda df, key, id_, new: df.select(F.col(key).alias(new), F.col("id").alias(id_))
+    return ranks.join(name(nodes, "node", "h", "subject"), "h").join(name(relations, "relation", "r", "predicate"), "r").join(name(nodes, "node", "t", "object"), "t").select("subject", "predicate", "object", "rank")
+
+
+@query(None)
+def transe_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Filtered ranks of held-out triples under a trained translation model."""
+    return _held_out_ranks(spark, d, embedding.Model(), 4)
+
+
+@query(None)
+def transr_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a space for each relation."""
+    return _held_out_ranks(spark, d, embedding.Model(dim=8, projected=True), 3)
+
+
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_daily(spark: SparkSession, d: str) -> DataFrame:
     return windows.tumbling(table(spark, d, "events"), "1 day").withColumn("total", F.round("total", 4))

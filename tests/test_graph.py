@@ -155,22 +155,3 @@ def test_snapshots(spark, tmp_path):
     for v in (1, 2):
         sinks.publish({"t": spark.range(v)}, root, v)
     assert sinks.load(spark, root, "t").count() == 2
-
-
-def test_new_links_of_hubs(spark):
-    import random
-
-    from factloom.operators import vector
-
-    rng = random.Random(2)
-    pairs = {(h, 100 + i) for h in range(4) for i in range(200) if rng.random() < 0.95} | {(h, 100 + rng.randrange(200)) for h in range(10, 50) for _ in range(2)}
-    both = vector.linked_pairs(spark.createDataFrame(sorted(pairs), "src int, dst int")).cache()
-    model = vector.link_model(both)
-    users, items = ({r.id: r.features for r in f.collect()} for f in (model.userFactors, model.itemFactors))
-    score = lambda a, b: sum(x * y for x, y in zip(users[a], items[b]))
-    want = sorted((-max(score(a, b), score(b, a)), a, b) for a in users for b in users if a < b and (a, b) not in pairs)[:20]
-    got = vector.new_links(model, both, 20).collect()
-    assert [r.score for r in got] == pytest.approx([-s for s, _, _ in want], abs=1e-5)
-    assert {(r.src, r.dst) for r in got[:10]} <= {(a, b) for _, a, b in want}
-    old = model.recommendForAllUsers(20).select("a", F.inline("recommendations")).where("a < b").join(both, ["a", "b"], "left_anti")
-    assert len({(r.a, r.b) for r in old.collect()} & {(a, b) for _, a, b in want}) < 20  # what leaving out afterwards found
