@@ -108,7 +108,7 @@ def age_text(raw: Column) -> Column:
     """``[[60.0, 'year']]`` as ``60 years``, one as ``1 year``; anything else trimmed."""
     n = F.regexp_extract(raw, r"^\[\[\s*(\d+)(?:\.\d*)?\s*,\s*'(\w+)'", 1)
     unit = F.regexp_extract(raw, r"^\[\[\s*(\d+)(?:\.\d*)?\s*,\s*'(\w+)'", 2)
-    return F.when(n == "", F.trim(raw)).when(n == "1", F.concat(F.lit("1 "), unit)).otherwise(F.concat(n.cast("bigint").cast("string"), F.lit(" "), unit, F.lit("s")))
+    return F.when(n == "", F.trim(raw)).when(n == "1", F.concat(F.lit("1 "), unit)).otherwise(F.concat(F.coalesce(F.nullif(F.ltrim(n, F.lit("0")), F.lit("")), F.lit("0")), F.lit(" "), unit, F.lit("s")))
 
 
 def gender_text(raw: Column) -> Column:
@@ -140,8 +140,11 @@ def judge_score(reply: Column) -> Column:
 
 
 def reward_map(reply: Column) -> Column:
-    """``name:value,name:value`` as a map of doubles."""
-    return F.transform_values(F.str_to_map(reply, F.lit(","), F.lit(":")), lambda _, v: F.trim(v).cast("double"))
+    """``name:value,name:value`` as a map of doubles; of a repeated name the last counts, and what is no number is null."""
+    pairs = F.transform(F.split(reply, ","), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)).alias("name"), F.trim(F.split_part(x, F.lit(":"), F.lit(2))).try_cast("double").alias("value")))
+    named = F.filter(pairs, lambda x: F.trim(x["name"]) != "")
+    last = F.filter(named, lambda x, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda y: y["name"] == x["name"]))
+    return F.map_from_entries(last)
 
 
 def record_id(key: Column, obj: Column, predicate: Column, owner: Column, parents: Column, seq: Column) -> Column:

@@ -122,6 +122,27 @@ def plan_outcomes(frontier: DataFrame, head_table: DataFrame, dependencies: Data
     return met.groupBy("root").agg(stale.alias("stale")).select("root", F.when(F.col("stale") == 0, "AUTHORIZED").otherwise("BLOCKED" if replanned else "REPLAN_REQUIRED").alias("outcome"))
 
 
+def plan_checks(frontier: DataFrame, head_table: DataFrame, dependencies: DataFrame, reached: DataFrame, replanned: bool = False) -> DataFrame:
+    """(root, outcome, reason, stale): the whole check of plans, with the test that they derive from what they say they used.
+
+    As :func:`plan_outcomes`, and ``reached`` (root, node) is the closure of the lineage.  The first of these decides: a dependency
+    without a version in the frontier and one without a head block the plan; another version than the head's (``stale`` lists
+    the keys), or a version that the root doesn't reach, asks for a new plan, and blocks it if this is one.
+    """
+    d = dependencies.select("root", "semantic_key").distinct()
+    met = d.join(frontier.select("root", "semantic_key", F.col("record_id").alias("used")), ["root", "semantic_key"], "left").join(head_table.select("semantic_key", F.col("record_id").alias("held")), "semantic_key", "left")
+    met = met.join(reached.select("root", F.col("node").alias("used"), F.lit(True).alias("derives")).distinct(), ["root", "used"], "left")
+    keys = lambda when: F.array_sort(F.collect_set(F.when(when, F.col("semantic_key"))))  # noqa: E731  a plan's own dependencies
+    by_root = met.groupBy("root").agg(
+        keys(F.col("used").isNull()).alias("lost"), keys(F.col("held").isNull()).alias("headless"),
+        keys(F.col("used") != F.col("held")).alias("stale"), F.bool_and(F.coalesce("derives", F.lit(False))).alias("derives"),
+    )
+    again, some = F.lit("BLOCKED" if replanned else "REPLAN_REQUIRED"), lambda c: F.size(c) > 0
+    outcome = F.when(some("lost") | some("headless"), "BLOCKED").when(some("stale") | ~F.col("derives"), again).otherwise("AUTHORIZED")
+    reason = F.when(some("lost"), "incomplete lineage").when(some("headless"), "no head").when(some("stale"), "stale dependencies").when(~F.col("derives"), "does not derive").otherwise("validated")
+    return by_root.select("root", outcome.alias("outcome"), reason.alias("reason"), "stale")
+
+
 def replan(root: str, validate, recompute) -> tuple[str, str]:
     """(root, outcome) of a plan that may be computed anew once.
 

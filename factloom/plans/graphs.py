@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.operators import commit, graph, retrieval, triples
+from factloom.functions.frames import checkpointed
+from factloom.operators import commit, graph, lineage, retrieval, triples
 from factloom.plans import fixtures as fx
 from factloom.plans.registry import registry
 
@@ -87,6 +88,32 @@ def acyclicity_check(spark: SparkSession, d: str) -> DataFrame:
     return graph.cyclic_nodes(edges.unionByName(wrong))
 
 
+@query(f"""WITH b AS (SELECT 'C-' || xor(o_custkey, 1) AS src, 'O-' || o_orderkey AS dst, o_orderkey AS seq, o_custkey AS owner, o_custkey // 2 AS pair FROM orders WHERE o_orderkey % 3 = 0),
+f AS (SELECT *, arg_min(owner, seq) OVER (PARTITION BY pair) AS first_owner FROM b)
+SELECT src, dst, CAST(seq AS BIGINT) AS seq, 'cycle' AS reason FROM f WHERE owner <> first_owner""")
+def refused_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring customers are said to derive from each other's orders: the first such edge of a pair holds, those the other way are refused."""
+    edges = fx.lineage(spark, d).select("src", "dst")
+    o = fx.table(spark, d, "orders").where("o_orderkey % 3 = 0")
+    batch = o.select(F.concat(F.lit("C-"), F.col("o_custkey").bitwiseXOR(F.lit(1)).cast("string")).alias("src"), F.concat(F.lit("O-"), F.col("o_orderkey").cast("string")).alias("dst"), F.col("o_orderkey").alias("seq"))
+    return lineage.admit(edges, lineage.ranks(edges), batch)[1]
+
+
+@query(f"""WITH RECURSIVE {fx.LINEAGE}, nodes AS (SELECT src AS node FROM lineage UNION SELECT dst FROM lineage),
+reach AS (SELECT node AS root, node, 0 AS depth FROM nodes UNION SELECT root, dst, depth + 1 FROM reach JOIN lineage ON node = src)
+SELECT root, node, min(depth) AS depth FROM reach GROUP BY root, node""")
+def closure_after_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The closure of all nodes, after a tenth of the orders and a few customers have come in two later batches."""
+    edges = checkpointed(fx.lineage(spark, d).select("src", "dst"))
+    number = F.split_part("src", F.lit("-"), F.lit(2)).cast("long")
+    late = F.when(F.col("src").rlike("^[LO]-") & (number % 10 == 0), 1).when(F.col("src").startswith("C-") & (number % 50 == 0), 2).otherwise(0)
+    first = edges.where(late == 0)
+    reached = graph.closure(first, first.select(F.explode(F.array("src", "dst")).alias("root")).distinct())
+    for k in (1, 2):
+        reached = checkpointed(reached.unionByName(lineage.closure_delta(reached, edges.where(late == k))))
+    return lineage.nearest(reached)
+
+
 _REACH = f"""WITH RECURSIVE {fx.WEIGHTED},
 cheap AS (SELECT src, dst, min(distance) AS w FROM weighted GROUP BY src, dst),
 walk AS (SELECT 'AFRICA' AS node, CAST(0 AS DOUBLE) AS distance UNION SELECT dst, distance + w FROM walk JOIN cheap ON node = src WHERE distance + w <= 4),

@@ -171,6 +171,21 @@ def planfence_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.plan_outcomes(used, lifecycle.heads(r), needs)
 
 
+@query(f"""WITH {fx.ORDER_RECORDS},
+f AS (SELECT semantic_key AS root, arg_max(record_id, owner_seq) FILTER (year(created_at) < 1997) AS used, arg_max(record_id, owner_seq) FILTER (owner_seq >= 2) AS held FROM records GROUP BY semantic_key),
+c AS (SELECT f.*, coalesce(t.tier <> 0, false) AS derives FROM f LEFT JOIN records t ON used = t.record_id)
+SELECT root, CASE WHEN used IS NULL OR held IS NULL THEN 'BLOCKED' WHEN used <> held OR NOT derives THEN 'REPLAN_REQUIRED' ELSE 'AUTHORIZED' END AS outcome,
+CASE WHEN used IS NULL THEN 'incomplete lineage' WHEN held IS NULL THEN 'no head' WHEN used <> held THEN 'stale dependencies' WHEN NOT derives THEN 'does not derive' ELSE 'validated' END AS reason,
+CASE WHEN used <> held THEN [root] ELSE [] END AS stale FROM c""")
+def plan_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Plans that rest on each key's last version before a year; heads are known from the third version on, and plans derive from what isn't of the first tier."""
+    r = fx.order_records(spark, d)
+    used = lifecycle.heads(r.where(F.year("created_at") < 1997)).select(F.col("semantic_key").alias("root"), "semantic_key", "record_id")
+    needs = r.select(F.col("semantic_key").alias("root"), "semantic_key").distinct()
+    reached = r.where("tier <> 0").select(F.col("semantic_key").alias("root"), F.col("record_id").alias("node"))
+    return lifecycle.plan_checks(used, lifecycle.heads(r.where("owner_seq >= 2")), needs, reached)
+
+
 @query(f"""WITH {_AUDIT},
 s AS (SELECT semantic_key, state, obj FROM records JOIN states USING (record_id) WHERE state IN ('ACTIVE', 'ARCHIVED', 'FLAGGED'))
 SELECT semantic_key, state, count(*) AS n, string_agg(obj, ',' ORDER BY obj) AS objects FROM s GROUP BY ALL""")

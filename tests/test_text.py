@@ -72,6 +72,9 @@ def test_hints(spark):
     assert one(spark, tx.judge_evaluation(F.lit("Evaluation:\n fine \nTotal rating: 4"))) == "fine"
     assert one(spark, tx.judge_evaluation(F.lit("?"))) == "no match found"
     assert one(spark, tx.reward_map(F.lit("help:1.5,true:2"))) == {"help": 1.5, "true": 2.0}
+    assert one(spark, tx.reward_map(F.lit("helpfulness:abc,a:1,a: 2 ,b,,c:1:2"))) == {"helpfulness": None, "a": 2.0, "b": None, "c": 1.0}
+    assert one(spark, tx.reward_map(F.lit(""))) == {} and one(spark, tx.reward_map(F.lit(None).cast("string"))) is None
+    assert one(spark, tx.age_text(F.lit("[[99999999999999999999999.5, 'year']]"))) == "99999999999999999999999 years" and one(spark, tx.age_text(F.lit("[[007, 'day']]"))) == "7 days"
 
 
 @pytest.mark.parametrize("tier, c, want", [(0, 0, 1.0), (4, 0, 5.0), (4, 3, 2.5), (2, 8, 1.0), (0, -1, 1.0)])
