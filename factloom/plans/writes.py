@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.functions.frames import table
+from factloom.functions.frames import ensure_checkpoint_dir, table
 from factloom.operators import commit, gate, lifecycle
 from factloom.plans import fixtures as fx
 from factloom.plans import ledgers, words
 from factloom.plans.registry import registry
+from factloom.sources import keyed
 
 QUERIES, ORACLES, query = registry()
 
@@ -213,3 +216,30 @@ def _ingested(spark: SparkSession, d: str) -> DataFrame:
 def ingest_chain(spark: SparkSession, d: str) -> DataFrame:
     """Documents to facts to drafts, drafts to known keys, and these through the gate: what became of them."""
     return _ingested(spark, d).groupBy("semantic_key", "disposition", "reason").agg(F.count("*").alias("n"), F.max("arrival").alias("last"))
+
+
+@query(f"""WITH {fx.ORDER_RECORDS},
+m AS (SELECT semantic_key, max(owner_seq) FILTER (owner_seq % 2 = 1) AS held FROM records GROUP BY semantic_key),
+j AS (SELECT r.*, CASE WHEN owner_seq % 2 = 1 THEN 'added' WHEN tier = 4 THEN 'other owner' WHEN owner_seq < held THEN 'head has moved' ELSE 'added' END AS outcome FROM records r JOIN m USING (semantic_key))
+SELECT semantic_key, arg_max(record_id, owner_seq) AS record_id, max(owner_seq) AS owner_seq, 'head' AS outcome FROM j WHERE outcome = 'added' GROUP BY semantic_key
+UNION ALL SELECT semantic_key, record_id, owner_seq, outcome FROM j WHERE outcome <> 'added'""")
+def head_commits(spark: SparkSession, d: str) -> DataFrame:
+    """The heads after two writers have committed every other version each, and the moves that were refused."""
+    heads = keyed.KeyedTable(spark, f"{ensure_checkpoint_dir(spark)}/heads-{uuid.uuid4().hex}", "semantic_key string, record_id string, owner string, owner_seq long", ("semantic_key",), "owner_seq", buckets=16)
+    writer = F.when((F.col("owner_seq") % 2 == 0) & (F.col("tier") == 4), "web").otherwise("sales")
+    moves = fx.order_records(spark, d).select("semantic_key", "record_id", F.lit("sales").alias("owner"), "owner_seq", writer.alias("writer"))
+    refused = [heads.commit(moves.where(F.col("owner_seq") % 2 == odd), keyed.judge_heads)[1] for odd in (1, 0)]
+    told = refused[0].unionByName(refused[1]).select("semantic_key", "record_id", "owner_seq", F.col("fault").alias("outcome"))
+    return heads.read().select("semantic_key", "record_id", "owner_seq", F.lit("head").alias("outcome")).unionByName(told)
+
+
+@query("SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+def stream_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """The last event of each user and kind, from a stream that is run to its end into a keyed table."""
+    folder = f"{ensure_checkpoint_dir(spark)}/upserts-{uuid.uuid4().hex}"
+    events = table(spark, d, "events")
+    kind = dict(events.dtypes)
+    last = keyed.KeyedTable(spark, f"{folder}/table", f"user_id {kind['user_id']}, event_type {kind['event_type']}, value {kind['value']}, event_id {kind['event_id']}", ("user_id", "event_type"), "event_id", buckets=16)
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*").select("user_id", "event_type", "value", "event_id")
+    last.follow(stream, "events").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return last.read()
