@@ -107,6 +107,13 @@ def overlapping_chunks(spark: SparkSession, d: str) -> DataFrame:
     return each.select("doc_id", F.col("piece_no").cast("long").alias("piece_no"), F.char_length("piece").cast("long").alias("n_chars"))
 
 
+@query(None)
+def recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """All texts in chunks that end at paragraphs, lines or words."""
+    each = table(spark, d, "documents").select("doc_id", F.posexplode(extract.recursive_chunks(F.col("text"), 2000, 200)).alias("chunk_no", "chunk"))
+    return each.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "chunk")
+
+
 @query(f"""WITH RECURSIVE {fx.FOLD},
 v AS (SELECT semantic_key, arrival, lag(arrival) OVER (PARTITION BY semantic_key ORDER BY arrival) AS prior FROM decided WHERE disposition = 'AUTO_COMMIT')
 SELECT semantic_key, CAST(arrival AS VARCHAR) AS new_version, CAST(prior AS VARCHAR) AS old_version FROM v WHERE prior IS NOT NULL""")
