@@ -79,6 +79,23 @@ def disposition_of(reason: Column) -> Column:
     )
 
 
+def step(head: tuple | None, bad: str | None, clean: str | None, tier: int, auto: bool, at, arrival: int) -> tuple[str, tuple | None]:
+    """(reason, head afterwards) of one draft after the others of its key; a head is (clean object, tier, auto, instant, arrival, owner_seq)."""
+    if bad:
+        return bad, head
+    if head is None:
+        return "first version", (clean, tier, auto, at, arrival, 0)
+    if clean == head[0]:
+        return "identical", head
+    if at == head[3]:
+        return "contradiction", head
+    if tier > head[1] or tier == head[1] and at < head[3]:
+        return "precedence", head
+    if head[1] != 0 and head[2] and auto:
+        return "superseded", (clean, tier, auto, at, arrival, head[5] + 1)
+    return "needs review", head
+
+
 def fold(drafts: DataFrame) -> DataFrame:
     """``drafts`` with disposition, reason, head_arrival and owner_seq, each key's in the order of ``arrival``.
 
@@ -102,22 +119,7 @@ def fold(drafts: DataFrame) -> DataFrame:
                 if k != key:
                     key, head = k, None
                 arrivals.append(head[4] if head else None)
-                if bad:
-                    reason = bad
-                elif head is None:
-                    reason = "first version"
-                elif clean == head[0]:
-                    reason = "identical"
-                elif at == head[3]:
-                    reason = "contradiction"
-                elif tier > head[1] or tier == head[1] and at < head[3]:
-                    reason = "precedence"
-                elif head[1] != 0 and head[2] and auto:
-                    reason = "superseded"
-                else:
-                    reason = "needs review"
-                if reason in ("first version", "superseded"):
-                    head = (clean, tier, auto, at, arrival, head[5] + 1 if head else 0)
+                reason, head = step(head, bad, clean, tier, auto, at, arrival)
                 reasons.append(reason)
                 seqs.append(head[5] if head else None)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(reasons, pa.string()), pa.array(arrivals, pa.int64()), pa.array(seqs, pa.int64())], names=[*names, "reason", "head_arrival", "owner_seq"])

@@ -1,5 +1,6 @@
 """The gate's decisions, as folds, against given heads and on a stream."""
 
+import datetime
 import itertools
 
 import pytest
@@ -106,3 +107,33 @@ def test_window_stream_is_the_batch(spark, sf, tmp_path):
     assert q.awaitTermination(120)
     rows = lambda x: sorted((str(r.window_start), r.event_type, r.n) for r in x.collect())
     assert rows(spark.table("daily")) == rows(windows.tumbling(e, "1 day"))
+
+
+def test_a_stream_out_of_order_is_the_batch(spark, sf, tmp_path):
+    """Files that are shuffled within the delay give the batch's decisions; a draft that comes later comes out as late."""
+    import random
+
+    from factloom.plans import fixtures
+    from factloom.streaming import gate as stream_gate
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    drafts = fixtures.order_drafts(spark, sf).where("semantic_key < 'customer_12'").orderBy("arrival").limit(120).collect()
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    rows = [(*r, start + datetime.timedelta(seconds=10 * i)) for i, r in enumerate(drafts)]
+    schema = fixtures.order_drafts(spark, sf).schema.add("seen_at", "timestamp")
+    rng = random.Random(1)
+    mixed = sorted(rows, key=lambda r: (r[-1] - start).total_seconds() + rng.uniform(0, 90))  # out of order by less than 100 seconds
+    late = next(r for r in rows if r[0] == mixed[0][0])
+    far = lambda k, seconds: (*mixed[-1][:-2], 1 + k, start + datetime.timedelta(seconds=seconds))
+    files = [mixed[i : i + 20] for i in range(0, 120, 20)] + [[(*late[:-2], -7, start + datetime.timedelta(seconds=950))], [far(0, 9000)], [far(1, 9001)]]
+    (tmp_path / "in").mkdir()
+    for n, part in enumerate(files):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "raw" / str(n)))
+        (next((tmp_path / "raw" / str(n)).glob("part-*"))).rename(tmp_path / "in" / f"{n}.parquet")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
+    q = stream_gate.ordered_fold(stream, 100).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination(200)
+    got = {r.arrival: (r.semantic_key, r.reason, r.head_arrival, r.owner_seq, r.disposition) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got.pop(-7)[1::3] == ("late", "LATE")
+    want = {r.arrival: (r.semantic_key, r.reason, r.head_arrival, r.owner_seq, r.disposition) for r in gate.fold(spark.createDataFrame(drafts, fixtures.order_drafts(spark, sf).schema)).collect()}
+    assert {k: v for k, v in got.items() if k > 10} == want and len({v[1] for v in want.values()}) > 2
