@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
 from factloom.functions.frames import ensure_checkpoint_dir, table
-from factloom.operators import commit, gate, lifecycle
+from factloom.operators import commit, feed, gate, lifecycle
 from factloom.plans import fixtures as fx
 from factloom.plans import ledgers, words
 from factloom.plans.registry import registry
@@ -243,3 +243,38 @@ def stream_upserts(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*").select("user_id", "event_type", "value", "event_id")
     last.follow(stream, "events").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
     return last.read()
+
+
+@query("""WITH p AS (SELECT doc_id, source, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents)
+SELECT doc_id, source, CAST(n_chars AS BIGINT) AS n_chars, CASE WHEN place < round_even(n * 0.8, 0) THEN 'train' ELSE 'holdout' END AS part FROM p""")
+def case_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents fed as cases in batches, four fifths of them, from a table that is read back; the rest is the holdout."""
+    folder = f"{ensure_checkpoint_dir(spark)}/feed-{uuid.uuid4().hex}"
+    cases = table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("n_chars").cast("long").alias("n_chars"))
+    fed = keyed.KeyedTable(spark, f"{folder}/table", "doc_id long, source string, n_chars long, place long", ("doc_id",), "place", buckets=16)
+    feed.feed(cases, "doc_id", 0.8, fed, folder, lambda rows: rows.withColumn("place", F.col("doc_id")), size=300)
+    trained = fed.read().drop("place").withColumn("part", F.lit("train"))
+    return trained.unionByName(spark.read.schema(cases.schema).parquet(f"{folder}/holdout").withColumn("part", F.lit("holdout")))
+
+
+@query("""WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, (CASE WHEN o_orderstatus = 'F' THEN 'rec_archived_' ELSE 'rec_' END) || 'customer_' || o_custkey || '_ordered_' || o_orderkey AS id,
+  CASE WHEN o_orderstatus = 'F' THEN 'ARCHIVED' ELSE 'ACTIVE' END AS state FROM orders),
+b AS (SELECT * FROM o WHERE c % 3 = 0 AND k % 3 <> 0), a AS (SELECT * FROM o WHERE k % 2 = 0 AND c NOT IN (SELECT c FROM b)), f AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+s AS (SELECT arg_max(id, k) AS new, arg_min(id, k) AS old FROM b GROUP BY c)
+SELECT 'record' AS kind, id, state FROM f UNION ALL SELECT 'entity', 'customer_' || c, NULL FROM f GROUP BY c
+UNION ALL SELECT 'edge', id || '|SUBJECT|customer_' || c, NULL FROM f UNION ALL SELECT 'edge', id || '|OBJECT|' || k, NULL FROM f UNION ALL SELECT 'edge', new || '|SUPERSEDES|' || old, NULL FROM s WHERE new <> old""")
+def verified_population(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with half of their orders; every third customer is then replaced by other orders of its, the last of which supersedes the first."""
+    graph_ = keyed.KeyedTable(spark, f"{ensure_checkpoint_dir(spark)}/verified-{uuid.uuid4().hex}", feed.SUBGRAPH, ("kind", "id"), "seq", buckets=16, deleted="gone")
+    o = table(spark, d, "orders")
+    subject = F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("subject")
+    facts = o.select(
+        "o_custkey", "o_orderkey", subject, F.lit("ordered").alias("predicate"), F.col("o_orderkey").cast("string").alias("object"), F.when(F.col("o_orderstatus") == "F", "ARCHIVED").otherwise("ACTIVE").alias("state"),
+        F.array(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string"))).alias("sources"), F.array(F.col("o_orderdate").cast("timestamp")).alias("dates"),
+    )
+    first, later = facts.where("o_orderkey % 2 = 0"), facts.where("o_custkey % 3 = 0 and o_orderkey % 3 <> 0")
+    ends = later.groupBy("subject").agg(F.max("o_orderkey").cast("string").alias("new_object"), F.min("o_orderkey").cast("string").alias("old_object"))
+    replaced = ends.select("subject", F.lit("ordered").alias("new_predicate"), "new_object", F.lit("ordered").alias("old_predicate"), "old_object")
+    feed.replace_subjects(graph_, first, replaced.limit(0), 1)
+    feed.replace_subjects(graph_, later, replaced, 2)
+    return graph_.read().select("kind", "id", "state")
