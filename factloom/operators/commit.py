@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.operators import lifecycle
+from factloom.operators.ordering import running_total
 
 
 def missing_parents(drafts: DataFrame, known: DataFrame) -> DataFrame:
@@ -183,9 +184,8 @@ def lookup(keys: DataFrame, heads: DataFrame, records: DataFrame, states: DataFr
 def corroboration_so_far(relations: DataFrame) -> DataFrame:
     """``relations`` (subject, object, seq, ...) with ``corroboration``: the distinct subjects that pointed at the object before.
 
-    A subject counts from its first relation on; running sums go over the relations of one object.
+    A subject counts from its first relation on; sums run in ranges of seq, so that an object with very many relations is no single group.
     """
     first = F.row_number().over(W.partitionBy("object", "subject").orderBy("seq")) == 1
-    counts = F.sum(F.col("_first").cast("long")).over(W.partitionBy("object").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
-    own = relations.withColumn("_first", first & (F.col("subject") != F.col("object")))
-    return own.withColumn("corroboration", F.coalesce(counts, F.lit(0))).drop("_first")
+    own = relations.withColumn("_first", (first & (F.col("subject") != F.col("object"))).cast("long"))
+    return running_total(own, "object", "seq", "_first", "_total").withColumn("corroboration", F.col("_total") - F.col("_first")).drop("_first", "_total")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.functions.frames import checkpointed
+
 
 def numbered(df: DataFrame, ordinal: str, name: str, width: int = 1 << 16) -> DataFrame:
     """``df`` with ``name``: its place from 0 in the order of the distinct, non-negative integers ``ordinal``.
@@ -20,6 +22,26 @@ def numbered(df: DataFrame, ordinal: str, name: str, width: int = 1 << 16) -> Da
     return ranged.withColumn("_in", inside).join(offsets, "_range").withColumn(name, (F.col("_in") + F.col("_before")).cast("long")).drop("_range", "_in", "_before")
 
 
+def even_width(df: DataFrame, ordinal: str, ranges: int = 4096) -> int:
+    """The width that cuts the integers ``ordinal`` into at most ``ranges`` ranges between their ends, whatever their size."""
+    low, high = df.agg(F.min(ordinal), F.max(ordinal)).first()
+    return 1 if low is None else max(1, -(-(high - low + 1) // ranges))
+
+
+def running_total(df: DataFrame, by: str, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows of the same ``by`` up to and with its ``order``, equals together.
+
+    Rows are dealt by ranges of ``order`` that hold about as many each.  Sums run within ranges in parallel, and from range to range over one
+    row for each, so that a hub is no single group.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(df.repartitionByRange(tasks, order).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy(by, "_range").agg(F.sum(value).alias("_sum"))
+    before = sums.select(by, "_range", F.coalesce(F.sum("_sum").over(W.partitionBy(by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(W.partitionBy(by, "_range").orderBy(order))
+    return ranged.withColumn("_inside", inside).join(before, [by, "_range"]).withColumn(name, (F.col("_inside") + F.col("_before")).cast("long")).select(*df.columns, name)
+
+
 def ratio_split(df: DataFrame, order, shares: tuple[float, ...], names: tuple[str, ...], total: int) -> DataFrame:
     """``df`` cut by exact shares of its ``total`` rows in the order of the 32-bit hash ``order``.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom import schemas
 from factloom.functions import text as tx
 from factloom.functions.frames import table
-from factloom.operators import extract, gate, lifecycle, metrics, triples
+from factloom.operators import extract, gate, lifecycle, metrics, ordering, triples
 from factloom.plans import fixtures as fx
 from factloom.plans import ledgers, scores
 from factloom.plans.registry import registry
@@ -42,17 +42,14 @@ SELECT step, state, CAST(sum(n) AS BIGINT) AS n FROM (SELECT s.step, state, n FR
 def snapshots_by_step(spark: SparkSession, d: str) -> DataFrame:
     """How many nodes are in each state after each step of the audit log.
 
-    Changes are summed by state and step first; the running sums go over one row for each.
+    Changes are summed by state and step first; the sums run in ranges of steps.
     """
-    from pyspark.sql import Window as W
-
     audit = ledgers._audit(spark, d).withColumn("step", F.expr("seq div 4"))
     turns = audit.select("step", F.explode(F.array(F.struct(F.col("to_state").alias("state"), F.lit(1).alias("n")), F.struct(F.col("from_state").alias("state"), F.lit(-1).alias("n")))).alias("t")).select("step", "t.*")
     summed = turns.where("state is not null").groupBy("state", "step").agg(F.sum("n").alias("n"))
     # every step has a row for each of the few states, also where nothing changes
     full = audit.select("step").distinct().withColumn("state", F.explode(F.array(*map(F.lit, schemas.STATES)))).join(summed, ["state", "step"], "left")
-    running = F.sum(F.coalesce("n", F.lit(0))).over(W.partitionBy("state").orderBy("step"))
-    return full.select("step", "state", running.cast("long").alias("n")).where("n <> 0")
+    return ordering.running_total(full.select("state", "step", F.coalesce("n", F.lit(0)).alias("change")), "state", "step", "change", "n").select("step", "state", "n").where("n <> 0")
 
 
 @query("""SELECT event_id, event_type, user_id FROM events WHERE event_type IN ('error', 'purchase') AND contains(props, '7') ORDER BY ts DESC, event_id LIMIT 50""")

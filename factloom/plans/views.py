@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.functions.frames import table
+from factloom.functions.frames import checkpointed, table
 from factloom.operators import extract, graph, lifecycle, metrics, ordering, retrieval, triples, vector
 from factloom.plans import fixtures as fx
 from factloom.plans import graphs, ledgers, words
@@ -93,7 +93,8 @@ def validation_clock(spark: SparkSession, d: str) -> DataFrame:
     r = fx.order_records(spark, d)
     first = r.groupBy(F.col("semantic_key").alias("root")).agg(F.min("arrival").alias("a"))
     done = ledgers.planfence_outcomes(spark, d).where("outcome = 'AUTHORIZED'").join(first, "root")
-    return ordering.numbered(done, "a", "validated_at", 1 << 56).select("root", "validated_at")
+    done = checkpointed(done.select("root", "a"))
+    return ordering.numbered(done, "a", "validated_at", ordering.even_width(done, "a")).select("root", "validated_at")
 
 
 @query("""SELECT doc_id, coalesce(trim(html), '') = '' AS missing, CAST(length(coalesce(trim(html), '')) AS BIGINT) AS n FROM documents LEFT JOIN (SELECT page_id, html FROM pages WHERE page_id % 2 = 0) ON page_id = doc_id % 400""")

@@ -155,3 +155,14 @@ def test_snapshots(spark, tmp_path):
     for v in (1, 2):
         sinks.publish({"t": spark.range(v)}, root, v)
     assert sinks.load(spark, root, "t").count() == 2
+
+
+def test_running_total(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["hub"] * 8 + ["a", "b"]), rng.choice([0, 1 << 56]) + rng.randrange(200), rng.randrange(5), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, at long, n long, id long")
+    got = {r.id: r.total for r in ordering.running_total(df, "k", "at", "n", "total").collect()}
+    assert got == {i: sum(m for l, b, m, _ in rows if l == k and b <= at) for k, at, n, i in rows}
+    assert ordering.running_total(df.limit(0), "k", "at", "n", "total").count() == 0
