@@ -10,7 +10,9 @@ A merged span with enough votes is verified word by word: of its votes, whose wo
 and not only their hashes, the longest chain is taken in which the places in the text and those in the
 template both increase.  So each word pair of the template counts once, in its order, and within a
 stretch of the text about as long as the template; the chain's share of all the template's pairs is the
-span's score, and a span is accepted from ``COVERAGE`` on.  Words that merely repeat make no chain.
+span's score, and a span is accepted from ``COVERAGE`` on.  Words that merely repeat make no chain.  The word pairs that tell a
+license from its neighbours, such as version numbers, *noncommercial* or *lesser*, must all be among the votes: a notice of version 2 or of another
+license of the family is none of version 3, however much else they share.
 
 Everything is built from Spark SQL functions.  The templates are the only data that is broadcast; their
 number of words is bounded.  Pairs that hit nothing are dropped in the task that reads the text, and
@@ -57,15 +59,45 @@ NOTICES = (
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("gnu general public license version 2", "gpl-2.0"),
+    ("gnu general public license version 3", "gpl-3.0"),
+    ("gnu lesser general public license version 2 1", "lgpl-2.1"),
+    ("gnu lesser general public license version 3", "lgpl-3.0"),
+    ("gnu affero general public license version 3", "agpl-3.0"),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license", "agpl"),
+    ("subject to the terms of the mozilla public license v 1 1", "mpl-1.1"),
+    ("subject to the mozilla public license version 1 1", "mpl-1.1"),
+    ("creative commons attribution 4 0 international license", "cc-by-4.0"),
+    ("creative commons attribution noncommercial 4 0 international license", "cc-by-nc-4.0"),
+    ("creative commons attribution sharealike 4 0 international license", "cc-by-sa-4.0"),
+    ("creative commons attribution noderivatives 4 0 international license", "cc-by-nd-4.0"),
+    ("creative commons attribution noncommercial sharealike 4 0 international license", "cc-by-nc-sa-4.0"),
+    ("creative commons attribution noncommercial noderivatives 4 0 international license", "cc-by-nc-nd-4.0"),
 )
 #: Diagonals up to so far above another one are merged with it; short templates must stand on one.
 SLACK = 6
 #: The share of a template's word pairs that a span must have.
 COVERAGE = 0.8
+#: Templates of other labels are neighbours of one from this share of its word pairs in common.
+NEAR = 0.5
 #: The templates are broadcast; more words than this are refused.
 MAX_TEMPLATE_WORDS = 100_000
 
 
+def needed(templates: Sequence[tuple[str, str, bool]]) -> list[list[int]]:
+    """For each template the places of the word pairs without which it isn't that license: those with a number, and those that a neighbour lacks.
+
+    Only notices have such places; base phrases must stand whole.
+    """
+    pairs = [list(zip(p.split(" "), p.split(" ")[1:])) for p, _, _ in templates]
+    out = []
+    for own, (_, label, base) in zip(pairs, templates):
+        near = [set(other) for other, (_, x, b) in zip(pairs, templates) if x != label and not b and len(set(own) & set(other)) >= NEAR * len(set(own))]
+        out.append([] if base else [t for t, (a, b) in enumerate(own) if a.isdigit() or b.isdigit() or any((a, b) not in other for other in near)])
+    return out
+
+
 def template_pairs(spark: SparkSession, templates: Sequence[tuple[str, str, bool]]) -> DataFrame:
     """(h, a, b, t, template, label, base, pairs) for each word pair (a, b) of each template."""
     rows = []
@@ -120,7 +152,9 @@ def spans(docs: DataFrame, templates: Sequence[tuple[str, str, bool]], coverage:
     merged = by_diagonal.withColumn("near", near).withColumn("votes", F.size("ts"))
     enough = F.aggregate("near", F.lit(0), lambda a, g: a + F.size(g["ts"])) >= coverage * F.col("pairs")
     votes = F.flatten(F.transform("near", lambda g: F.transform(g["ts"], lambda t: F.struct(t.alias("t"), (-(g["start"] + t)).alias("back")))))
-    found = F.when(enough & F.col("template").isNotNull(), F.when(F.col("votes") == F.col("pairs"), F.col("pairs")).otherwise(_chain(votes))).otherwise(0)
+    need = F.get(F.array(*[F.array(*map(F.lit, x)).cast("array<int>") for x in needed(templates)]), F.col("template"))
+    telling = F.size(F.array_except(need, F.transform(votes, lambda v: v["t"]))) == 0
+    found = F.when(enough & telling & F.col("template").isNotNull(), F.when(F.col("votes") == F.col("pairs"), F.col("pairs")).otherwise(_chain(votes))).otherwise(0)
     return merged.select("row", "doc_id", "n_words", "template", "label", "base", "pairs", "start", "votes", found.alias("found")).withColumn("share", F.col("found") / F.col("pairs"))
 
 
@@ -155,9 +189,11 @@ def oracle_sql() -> str:
     """The default scan in DuckDB SQL, from the definitions: a place of a base phrase is where its words stand, and
     a notice's score is the best, over all starts, of the longest chains of its word pairs near that start."""
     base = ", ".join(f"({p.split(' ')!r}, '{x}')" for p, x in BASE)
-    notices = ", ".join(f"({k}, {p.split(' ')!r}, '{x}')" for k, (p, x) in enumerate(NOTICES))
+    need = needed(default_templates())[len(BASE) :]
+    notices = ", ".join(f"({k}, {p.split(' ')!r}, '{x}', {len(need[k])})" for k, (p, x) in enumerate(NOTICES))
+    needs = ", ".join(f"({k}, {t})" for k, places in enumerate(need) for t in places)
     return f"""
-WITH base(phrase, label) AS (VALUES {base}), notices(k, phrase, label) AS (VALUES {notices}),
+WITH base(phrase, label) AS (VALUES {base}), notices(k, phrase, label, telling) AS (VALUES {notices}), needs(k, t) AS (VALUES {needs}),
 pairs AS (SELECT k, phrase[t + 1] AS a, phrase[t + 2] AS b, t FROM (SELECT k, phrase, unnest(range(len(phrase) - 1)) AS t FROM notices)),
 docs AS (
   SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
@@ -166,13 +202,13 @@ placed AS (SELECT row, p, words[p + 1] AS w, words FROM (SELECT row, words, unne
 standing AS (SELECT row, p, label FROM placed JOIN base ON w = phrase[1] AND words[p + 1:p + len(phrase)] = phrase),
 based AS (SELECT row, count(*) AS n, min(p) AS first, max(p) AS last FROM standing GROUP BY row),
 hits AS (SELECT row, k, p, t FROM placed JOIN pairs ON w = a AND words[p + 2] = b),
-starts AS (SELECT DISTINCT row, k, p - t AS start, len(phrase) - 1 AS n FROM hits JOIN notices USING (k)),
+starts AS (SELECT DISTINCT row, k, p - t AS start, len(phrase) - 1 AS n, telling FROM hits JOIN notices USING (k)),
 near AS (
-  SELECT s.row, s.k, s.start, s.n, list([h.p] ORDER BY h.t, h.p DESC) AS places FROM starts s JOIN hits h
+  SELECT s.row, s.k, s.start, s.n, s.telling, list([h.p] ORDER BY h.t, h.p DESC) AS places, count(DISTINCT h.t) FILTER ((h.k, h.t) IN (FROM needs)) AS told FROM starts s JOIN hits h
   ON s.row = h.row AND s.k = h.k AND h.p - h.t BETWEEN s.start AND s.start + CASE WHEN s.n > {SLACK} THEN {SLACK} ELSE 0 END GROUP BY ALL),
 chains AS (
   SELECT row, k, len(list_reduce(places, lambda ends, v: list_concat(list_filter(ends, lambda x: x < v[1]), v, ends[len(list_filter(ends, lambda x: x < v[1])) + 2:]))) / n AS share
-  FROM near WHERE len(places) >= {COVERAGE} * n),
+  FROM near WHERE len(places) >= {COVERAGE} * n AND told = telling),
 noticed AS (SELECT row, label, max(share) AS share FROM chains JOIN notices USING (k) WHERE share >= {COVERAGE} GROUP BY ALL),
 labelled AS (SELECT row, label, true AS base, 1.0 AS share FROM standing UNION ALL SELECT row, label, false, share FROM noticed),
 per_row AS (

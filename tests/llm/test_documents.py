@@ -634,13 +634,15 @@ def test_licenses_with_changes(spark):
 def noticed(text):
     """Scores of the notices in a text, by definition: for each start the longest chain of the word pairs near it."""
     w = re.findall(licenses.WORD, re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
-    out = {}
-    for phrase, label in licenses.NOTICES:
+    out, need = {}, licenses.needed(licenses.default_templates())[len(licenses.BASE) :]
+    for k, (phrase, label) in enumerate(licenses.NOTICES):
         n = phrase.split()
         hits = [(t, p) for t in range(len(n) - 1) for p in range(len(w) - 1) if w[p : p + 2] == n[t : t + 2]]
         width = licenses.SLACK if len(n) - 1 > licenses.SLACK else 0
         for start in {p - t for t, p in hits}:
             near = sorted((t, p) for t, p in hits if start <= p - t <= start + width)
+            if not set(need[k]) <= {t for t, _ in near}:
+                continue
             best = []
             for i, (t, p) in enumerate(near):
                 best.append(1 + max([best[j] for j in range(i) if near[j][0] < t and near[j][1] < p], default=0))
@@ -659,6 +661,27 @@ ADVERSARIAL = [
 ]
 
 
+CC = "This work is licensed under a Creative Commons {} International License."
+PROGRAM = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License"
+NEIGHBOURS = [
+    (CC.format("Attribution 4.0"), "cc-by-4.0"), (CC.format("Attribution-NonCommercial 4.0"), "cc-by-nc-4.0"), (CC.format("Attribution-ShareAlike 4.0"), "cc-by-sa-4.0"), (CC.format("Attribution-NoDerivatives 4.0"), "cc-by-nd-4.0"),
+    (CC.format("Attribution-NonCommercial-ShareAlike 4.0"), "cc-by-nc-sa-4.0"), (CC.format("Attribution-NonCommercial-NoDerivatives 4.0"), "cc-by-nc-nd-4.0"), (CC.format("Attribution 3.0"), ""), (CC.format("Attribution-NonCommercial 2.5"), ""),
+    ("This work is licensed under the GNU General Public License version 2", "gpl,gpl-2.0"), ("This work is licensed under the GNU General Public License version 3", "gpl,gpl-3.0"), ("This work is licensed under the GNU General Public License version 9", "gpl"),
+    ("the GNU Lesser General Public License version 2.1", "lgpl,lgpl-2.1"), ("the GNU Lesser General Public License version 3", "lgpl,lgpl-3.0"), ("the GNU Affero General Public License version 3", "agpl,agpl-3.0"),
+    (PROGRAM.format(""), "gpl"), (PROGRAM.format("Lesser "), "lgpl"), (PROGRAM.format("Affero "), "agpl"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", "mpl-1.1"), ("The contents of this file are subject to the Mozilla Public License Version 1.1", "mpl-1.1"),
+    ("Licensed under the Apache License, Version 2.0", "apache,apache-2.0"), ("Licensed under the Apache License, Version 1.1", "apache"),
+    ("licensed under CC BY 4.0", "cc-by,cc-by-4.0"), ("licensed under CC BY-NC 4.0", "cc-by,cc-by-nc-4.0"), ("licensed under CC BY-SA 4.0", "cc-by,cc-by-sa-4.0"), ("licensed under CC BY-SA 3.0", "cc-by"), ("licensed under CC BY 3.0", "cc-by"),
+]
+
+
+def test_neighbouring_licenses_are_told_apart(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(NEIGHBOURS)] + [(100 + i, f"Some words before it. {t} And some after it, not a license.") for i, (t, _) in enumerate(NEIGHBOURS)]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (text, want) in enumerate(NEIGHBOURS):
+        assert (got[i], got[100 + i]) == (want, want), text
+
+
 def test_licenses_by_brute_force(spark, docs):
     rows = [(i, t) for i, t in enumerate(ADVERSARIAL)] + [(1000 + r.doc_id, r.text) for r in docs.where("length(text) < 20000").collect()]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
