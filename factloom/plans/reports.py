@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom import schemas
 from factloom.functions import text as tx
 from factloom.functions.frames import table
-from factloom.operators import extract, gate, lifecycle, metrics, ordering, triples
+from factloom.operators import extract, gate, history, lifecycle, metrics, ordering, triples
 from factloom.plans import fixtures as fx
 from factloom.plans import ledgers, scores
 from factloom.plans.registry import registry
@@ -104,6 +104,38 @@ def overlapping_chunks(spark: SparkSession, d: str) -> DataFrame:
     return each.select("doc_id", F.col("piece_no").cast("long").alias("piece_no"), F.char_length("piece").cast("long").alias("n_chars"))
 
 
+_STEPS = "asked AS (SELECT unnest(range(0, (SELECT max(seq) FROM audit) + 16, 16)) AS step)"
+
+
+def _asked(audit: DataFrame) -> DataFrame:
+    """Every sixteenth step of a log, from 0 to its end."""
+    return audit.agg(F.max("seq").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m").cast("long") + 15, F.lit(16).cast("long"))).alias("step"))
+
+
+@query(f"""WITH {ledgers._AUDIT}, {_STEPS}
+SELECT CAST(step AS BIGINT) AS step, node_id, arg_max(to_state, seq) AS state FROM audit JOIN asked ON seq <= step GROUP BY step, node_id""")
+def states_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """Every node's state at every sixteenth step."""
+    audit = ledgers._audit(spark, d)
+    return history.as_of(history.intervals(audit), _asked(audit))
+
+
+@query(f"""WITH {ledgers._AUDIT}, {_STEPS},
+held AS (SELECT step, node_id, arg_max(to_state, seq) AS state FROM audit JOIN asked ON seq <= step GROUP BY step, node_id),
+counts AS (SELECT step, string_agg(state || ':' || n, ',' ORDER BY state) AS states FROM (SELECT step, state, count(*) AS n FROM held GROUP BY ALL) GROUP BY step),
+pairs AS (SELECT CAST(ceil((owner_seq * 4 + 2) / 16.0) * 16 AS BIGINT) AS step, string_agg(next || '>' || record_id, ',' ORDER BY next || '>' || record_id) AS superseded FROM n WHERE next IS NOT NULL GROUP BY 1)
+SELECT CAST(step AS BIGINT) AS step, coalesce(states, '') AS states, md5(coalesce(superseded, '')) AS superseded FROM asked LEFT JOIN counts USING (step) LEFT JOIN pairs USING (step)""")
+def step_reports(spark: SparkSession, d: str) -> DataFrame:
+    """The number of nodes in each state at every sixteenth step, and a digest of what was superseded since the one before."""
+    audit = ledgers._audit(spark, d)
+    r = lifecycle.versions(fx.order_records(spark, d)).where("prior_id is not null")
+    pairs = r.select(F.col("record_id").alias("new_id"), F.col("prior_id").alias("old_id"), ((F.col("owner_seq") - 1) * 4 + 2).alias("seq"))
+    found = history.step_report(history.intervals(audit), _asked(audit), pairs)
+    states = F.array_join(F.transform(F.array_sort(F.map_entries("states")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    gone = F.array_join(F.array_sort(F.transform("superseded", lambda x: F.concat_ws(">", x["new_id"], x["old_id"]))), ",")
+    return found.select("step", states.alias("states"), F.md5(gone).alias("superseded"))
+
+
 @query(None)
 def recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
     """All texts in chunks that end at paragraphs, lines or words."""
