@@ -123,9 +123,6 @@ def test_reply_variants():
     assert extract.parse_plain(f"[{five}, ('x',)]") == [("a", "X", "has_age", "b", "Y")] and extract.parse_plain("no") is None and extract.parse_plain("['abcde']") == [tuple("abcde")]
     assert extract.parse_plain("[1]") is None and extract.parse_plain(None) is None
     assert extract.parse_bracketed(f"{five}, {five}]") == [("a", "X", "has_age", "b", "Y")] * 2 and extract.parse_bracketed("oops") is None
-    assert extract.parse_scored(f"[{five}]") == (True, True, [("a", "X", "has_age", "b", "Y")])
-    assert extract.parse_scored(f"Well:\n```\n[{five}, ('s', 'p', 'o')]\n```") == (False, False, [("a", "X", "has_age", "b", "Y"), ("s", "UNKNOWN", "p", "o", "UNKNOWN")])
-    assert extract.parse_scored("nothing") == (False, False, []) and extract.parse_scored("[]<|eot_id|>x") == (True, False, [])
 
 
 def test_prose(spark):
@@ -137,3 +134,16 @@ def test_prose(spark):
     assert one(prose.repaired(F.lit("Ünï\\ncödé — ok"))) == "Uni\ncode  ok"
     assert one(prose.json_slice(F.lit('x {"a": [1]} y'))) == '{"a": [1]}' and one(prose.json_slice(F.lit("none"))) is None
     assert one(prose.as_list(F.lit('["a","b"]'))) == ["a", "b"] and one(prose.as_list(F.lit("a"))) == ["a"] and one(prose.as_list(F.lit(""))) == []
+
+
+def test_scored_replies(spark):
+    five = "('a', 'X', 'Has_Age', 'b', 'Y')"
+    whole, three = ("a", "X", "Has_Age", "b", "Y"), ("s", "UNKNOWN", "p", "o", "UNKNOWN")
+    cases = [
+        (f"[{five}]", True, True, [whole]), (f"Well:\n```\n[{five}, ('s', 'p', 'o')]\n```", False, False, [whole, three]), ("nothing", False, False, []), ("[]<|eot_id|>x", True, False, []), (None, False, False, []), ("", False, False, []),
+        (f"first ```x``` then ```python\n[{five}]``` end", False, True, [whole]), (f"```python [{five}]", False, True, [whole]), (f"so [{five}] it is", False, True, [whole]), ("] [", False, False, []), (f" [{five}, 7, 'abcde', [1, 2]] ", True, True, [whole]),
+        ("[(None, 1, 'x', 2.5, ' y ')]", True, False, [("None", "1", "x", "2.5", "y")]), ("```\n```", False, False, []), ("{'a': 1}", False, False, []), ("[" * 300, False, False, []),
+    ]
+    df = spark.createDataFrame([(i, c[0], "x") for i, c in enumerate(cases)], "id int, reply string, strict_ string")
+    for r in extract.parse_scores(df).collect():
+        assert (r.strict, r.standard, [tuple(t) for t in r.triples]) == cases[r.id][1:], cases[r.id][0]
