@@ -58,19 +58,3 @@ def manifest(spark: SparkSession, path: str, counts: dict[str, DataFrame], **fac
     """One JSON row with the number of rows of each of ``counts`` and given facts, added to a folder."""
     row = spark.range(1).select(*[F.lit(df.count()).alias(f"n_{k}") for k, df in counts.items()], *[F.lit(v).alias(k) for k, v in facts.items()])
     row.coalesce(1).write.mode("append").json(path)
-
-
-def upsert_stream(stream: DataFrame, root: str, checkpoint: str, keys: tuple[str, ...]):
-    """Keep a table of the last row for each key of a stream (keys, seq, ...): each micro-batch publishes a new version.
-
-    A batch that comes again after a failure writes the version of its number again, from the one before it.
-    """
-
-    def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{root}/v{n - 1}") if n else batch.limit(0)
-        whole = [c for c in batch.columns if c not in keys]
-        last = before.unionByName(batch).groupBy(*keys).agg(F.max_by(F.struct(*whole), "seq").alias("_r")).select(*keys, "_r.*")
-        last.write.mode("overwrite").parquet(f"{root}/v{n}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -46,17 +46,6 @@ def test_csv_sinks_and_manifest(spark, tmp_path):
     assert (row.n_entities, row.cut) == (2, "x")
 
 
-def test_upsert_stream(spark, tmp_path):
-    s = "id int, v string, seq long"
-    for k, rows in enumerate([[(1, "a", 0), (2, "b", 1)], [(1, "c", 2)], [(3, "d", 3), (1, "e", 4)]]):
-        spark.createDataFrame(rows, s).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(s).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = sinks.upsert_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ("id",)).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
-    last = max(int(p.name[1:]) for p in (tmp_path / "out").iterdir())
-    assert sorted((r.id, r.v) for r in spark.read.parquet(str(tmp_path / "out" / f"v{last}")).collect()) == [(1, "e"), (2, "b"), (3, "d")]
-
-
 def test_refused_drafts(spark):
     s = "draft_id string, semantic_key string, predicate string, obj string, tier int, source_id string, valid_from timestamp, writer string, parent_ids array<string>"
     rows = [("1", "k", "p", "o", 1, "s", "w", ["r1", "r9", "r8"]), ("2", "k", "p", "o", 1, "s", " ", []), ("3", "", "p", "o", 1, "s", "", []), ("4", "k", "p", "o", 1, "s", "w", []), ("5", "lost", "p", "o", 1, "s", "w", None)]
