@@ -98,6 +98,42 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(n.withColumnRenamed("node", "src"), "src", "left_semi").join(n.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
+HISTORY = ("SUPERSEDES", "DERIVED_FROM", "REVERTED_FROM")
+
+
+def subjects_around(nodes: DataFrame, edges: DataFrame, subjects: DataFrame, history: bool = True) -> DataFrame:
+    """(subject, node) of the subgraph of each of ``subjects`` (subject): its anchor, its records, their objects and subjects, and one hop of history.
+
+    ``nodes`` is (node, kind, semantic_key, state), ``edges`` (src, dst, kind).  An anchor is an entity whose name, in any case, is the subject, the subject with _ for -,
+    or that with ``patient_`` before it; of several the least.  Records have a key that begins with the slug or the anchor.  With ``history``
+    records of all states count, and what they supersede, derive from or were reverted from comes with its object; without it active records only.
+    All subjects are found in the same joins, by keys that are equal; a subject without any node has no row.
+    """
+    low = F.lower("subject")
+    own = F.replace(low, F.lit("-"), F.lit("_"))
+    asked = subjects.select("subject").dropna().distinct()
+    spelled = asked.select("subject", F.explode(F.array_distinct(F.array(own, low, F.concat(F.lit("patient_"), own)))).alias("low"))
+    anchors = nodes.withColumn("low", F.lower("node")).join(spelled, "low").groupBy("subject").agg(F.min("node").alias("node"))
+    prefixes = asked.select("subject", own.alias("prefix")).unionByName(anchors.select("subject", F.col("node").alias("prefix"))).distinct()
+    records = nodes.where(F.coalesce(F.col("kind") != "entity", F.lit(True)) & F.col("semantic_key").contains("::"))
+    if not history:
+        records = records.where("state = 'ACTIVE'")
+    mine = checkpointed(records.withColumn("prefix", F.split_part("semantic_key", F.lit("::"), F.lit(1))).join(prefixes, "prefix").select("subject", "node").distinct())
+    out = lambda at, kinds: at.join(edges.where(F.col("kind").isin(*kinds)).select(F.col("src").alias("node"), F.col("dst").alias("to")), "node").select("subject", F.col("to").alias("node"))
+    into = mine.join(edges.where("kind = 'SUBJECT'").select(F.col("dst").alias("node"), F.col("src").alias("from")), "node").select("subject", F.col("from").alias("node"))
+    found = anchors.unionByName(mine).unionByName(out(mine, ["OBJECT"])).unionByName(into)
+    if history:
+        before = checkpointed(out(mine, HISTORY).distinct())
+        found = found.unionByName(before).unionByName(out(before, ["OBJECT"]))
+    return found.distinct()
+
+
+def subject_edges(around: DataFrame, edges: DataFrame) -> DataFrame:
+    """(subject, src, dst, kind): the edges with both ends in a subject's nodes (subject, node)."""
+    ends = lambda name: around.select("subject", F.col("node").alias(name))
+    return edges.select("src", "dst", "kind").join(ends("src"), "src").join(ends("dst"), ["subject", "dst"]).select("subject", "src", "dst", "kind")
+
+
 def bfs_edges(edges: DataFrame, root: str, depth: int) -> DataFrame:
     """(src, dst, hop) of a breadth-first tree from ``root``: each new node under its least parent."""
     step = checkpointed(edges.select("src", "dst").where("src <> dst").distinct())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
 from factloom.functions.frames import checkpointed
-from factloom.operators import commit, graph, lineage, retrieval, triples
+from factloom.operators import commit, graph, lifecycle, lineage, retrieval, triples
 from factloom.plans import fixtures as fx
 from factloom.plans.registry import registry
 
@@ -166,6 +166,23 @@ def patient_subgraph(spark: SparkSession, d: str) -> DataFrame:
     return graph.induced(t, around).select("ordinal", F.col("src").alias("subject"), "predicate", F.col("dst").alias("object"))
 
 
+@query(f"""WITH {fx.ORDER_RECORDS}, r AS (SELECT *, split_part(semantic_key, '::', 1) AS own FROM records WHERE CAST(substr(split_part(semantic_key, '::', 1), 10) AS BIGINT) % 7 = 0),
+n AS (SELECT own, own AS node FROM r UNION SELECT own, record_id FROM r UNION SELECT own, 'status ' || obj FROM r)
+SELECT 'Customer-' || substr(own, 10) AS subject, node FROM n""")
+def subject_subgraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The subgraphs of every seventh customer: the customer under another spelling, its records with their history, and their objects."""
+    r = lifecycle.versions(fx.order_records(spark, d)).withColumn("own", F.split_part("semantic_key", F.lit("::"), F.lit(1)))
+    status = F.concat(F.lit("status "), F.col("obj"))
+    none = F.lit(None).cast("string")
+    entity = lambda name: r.select(name.alias("node"), F.lit("entity").alias("kind"), none.alias("semantic_key"), none.alias("state")).distinct()
+    nodes = r.select(F.col("record_id").alias("node"), F.lit("record").alias("kind"), "semantic_key", F.lit("ACTIVE").alias("state")).unionByName(entity(F.col("own"))).unionByName(entity(status))
+    edge = lambda rows, dst, kind: rows.select(F.col("record_id").alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"))
+    edges = edge(r, status, "OBJECT").unionByName(edge(r.where("prior_id is not null"), F.col("prior_id"), "SUPERSEDES"))
+    number = F.substring("own", 10, 20).cast("long")
+    asked = r.where(number % 7 == 0).select(F.concat(F.lit("Customer-"), number.cast("string")).alias("subject")).distinct()
+    return graph.subjects_around(nodes, edges, asked)
+
+
 @query("""
 SELECT s_suppkey AS key, s_name AS src, 'NATION_' || s_nationkey AS dst FROM supplier WHERE s_acctbal >= 0
 UNION ALL SELECT 1000000000 + c_custkey, c_name, 'NATION_' || c_nationkey FROM customer WHERE c_acctbal < 0""")

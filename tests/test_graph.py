@@ -166,3 +166,24 @@ def test_running_total(spark):
     got = {r.id: r.total for r in ordering.running_total(df, "k", "at", "n", "total").collect()}
     assert got == {i: sum(m for l, b, m, _ in rows if l == k and b <= at) for k, at, n, i in rows}
     assert ordering.running_total(df.limit(0), "k", "at", "n", "total").count() == 0
+
+
+def test_subgraphs_of_subjects(spark):
+    nodes = [
+        ("Patient_p_1", "entity", None, None), ("patient_p_2", "entity", None, None), ("fever", "entity", None, None), ("old", "entity", None, None), ("alone", "entity", None, None), ("doc", "entity", None, None),
+        ("r1", "record", "p_1::has", "ACTIVE"), ("r0", "record", "p_1::has", "ARCHIVED"), ("x", "record", "other::has", "ARCHIVED"), ("r2", "record", "Patient_p_1::sex", "ACTIVE"), ("q1", "record", "p_2::has", "FLAGGED"), ("z", "record", "p_10::has", "ACTIVE"), ("n", "record", None, "ACTIVE"),
+    ]
+    edges = [("r1", "fever", "OBJECT"), ("r1", "r0", "SUPERSEDES"), ("r0", "old", "OBJECT"), ("r1", "x", "DERIVED_FROM"), ("x", "alone", "OBJECT"), ("doc", "r1", "SUBJECT"), ("q1", "fever", "OBJECT"), ("x", "z", "SUPERSEDES"), ("z", "fever", "OBJECT")]
+    g = spark.createDataFrame(nodes, "node string, kind string, semantic_key string, state string"), spark.createDataFrame(edges, "src string, dst string, kind string")
+    asked = spark.createDataFrame([("P-1",), ("p_2",), ("P-1",), ("ALONE",), ("nobody",), (None,)], "subject string")
+
+    def around(history):
+        got = {}
+        for r in graph.subjects_around(*g, asked, history).collect():
+            got.setdefault(r.subject, []).append(r.node)
+        return {k: sorted(v) for k, v in got.items()}
+
+    assert around(True) == {"P-1": sorted(["Patient_p_1", "r1", "r0", "r2", "fever", "old", "doc", "x", "alone"]), "p_2": ["fever", "patient_p_2", "q1"], "ALONE": ["alone"]}
+    assert around(False) == {"P-1": sorted(["Patient_p_1", "r1", "r2", "fever", "doc"]), "p_2": ["patient_p_2"], "ALONE": ["alone"]}
+    kept = graph.subject_edges(graph.subjects_around(*g, asked), g[1]).collect()
+    assert sorted((r.subject, r.src, r.dst) for r in kept) == sorted([("P-1", a, b) for a, b, _ in edges[:6]] + [("p_2", "q1", "fever")])
