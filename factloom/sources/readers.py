@@ -23,6 +23,25 @@ POLICIES = (
 )
 
 
+#: The policies of clinical authors by role, as of :data:`POLICIES`.
+CLINICAL_POLICIES = (
+    ("Primary_Care_Physician", 1, True, "clinical_physician"),
+    ("General_Surgeon", 1, True, "clinical_specialist"),
+    ("Nephrologist", 1, True, "clinical_specialist"),
+    ("Endocrinologist", 1, True, "clinical_specialist"),
+    ("ED_Attending_Physician", 1, True, "clinical_physician"),
+    ("Radiologist", 1, True, "clinical_imaging"),
+    ("Laboratory_System", 1, True, "clinical_lab"),
+    ("Triage_Nurse", 2, True, "clinical_triage"),
+)
+
+
+def clinical_policies(spark: SparkSession) -> DataFrame:
+    """The default policies with those of clinical roles over them."""
+    rows = [(*row, k) for k, row in enumerate(CLINICAL_POLICIES)]
+    return policies(spark, spark.createDataFrame(rows, "source string, tier int, auto_update boolean, tag string, seq long"))
+
+
 def policies(spark: SparkSession, overrides: DataFrame | None = None) -> DataFrame:
     """(source, tier, auto_update, tag): the default policies, with ``overrides`` (and seq) over them, the last winning."""
     base = spark.createDataFrame(list(POLICIES), "source string, tier int, auto_update boolean, tag string")
@@ -50,8 +69,8 @@ def conversation_texts(conversations: DataFrame) -> DataFrame:
 
 
 def emr_documents(spark: SparkSession, path: str, role_tiers: dict[str, int] | None = None) -> DataFrame:
-    """One row for each document of nested patient records, with the tier of its author's role."""
-    tiers = role_tiers or {}
+    """One row for each document of nested patient records, with the tier of its author's role: by ``role_tiers``, else that of clinical roles, else the weakest."""
+    tiers = {source: tier for source, tier, _, _ in CLINICAL_POLICIES} if role_tiers is None else role_tiers
     docs = spark.read.schema(schemas.EMR).option("multiLine", True).json(path).select("patient_id", F.explode("emr_documents").alias("d")).select("patient_id", "d.*")
     tier = F.lit(4)
     for role, t in tiers.items():

@@ -1,5 +1,7 @@
 """Text functions on small cases."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +113,14 @@ def test_readers(spark, tmp_path):
     html = F.lit("<title> T </title><script>x</script><p>a &amp; b</p><ix:nonNumeric name='dei:Cik'>007</ix:nonNumeric>")
     got = spark.range(1).select(readers.visible_text(html).alias("v"), readers.tag_text(html, "title").alias("t"), readers.tagged_value(html, "dei:Cik").alias("c"), readers.tagged_value(html, "none").alias("n")).first()
     assert (got.v, got.t, got.c, got.n) == ("T a & b 007", "T", "007", None)
+
+
+def test_clinical_policies(spark, tmp_path):
+    docs = [{"doc_id": f"d{i}", "timestamp": t, "author_role": r, "document_type": "n", "content": "c"} for i, (r, t) in enumerate([("Nephrologist", "2026-01-02T03:04:05Z"), ("Triage_Nurse", "not a time"), ("Porter", None)])]
+    (tmp_path / "e.json").write_text(json.dumps([{"patient_id": "P1", "description": "", "emr_documents": docs}]))
+    got = {r.doc_id: (r.tier, r.valid_from is None) for r in readers.emr_documents(spark, str(tmp_path / "e.json")).collect()}
+    assert got == {"d0": (1, False), "d1": (2, True), "d2": (4, True)}
+    items = spark.createDataFrame([("Triage_Nurse:7",), ("statute:1",), ("Radiologist",), ("Porter:2",)], "source_id string")
+    rows = {r.source_id: (r.tier, r.auto_update, r.tag) for r in readers.with_policy(items, readers.clinical_policies(spark)).collect()}
+    assert rows == {"Triage_Nurse:7": (2, True, "clinical_triage"), "statute:1": (0, False, "canonical"), "Radiologist": (1, True, "clinical_imaging"), "Porter:2": (4, True, "observational")}
+    assert readers.clinical_policies(spark).count() == len(readers.POLICIES) + len(readers.CLINICAL_POLICIES)
