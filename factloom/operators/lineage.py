@@ -13,22 +13,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.frames import checkpointed
+from factloom.functions.frames import written
 
 ROUNDS = 100_000
 
 
 def _raised(edges: DataFrame, ranks: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, rank) of all nodes that must be raised above ``ranks`` (node, rank) once ``seeds`` (node, rank) are, over edges (src, dst) without cycles."""
-    front = changed = checkpointed(seeds)
+    front = changed = written(seeds)
     for _ in range(ROUNDS):
         need = front.join(edges, front["node"] == edges["dst"]).groupBy("src").agg((F.max("rank") + 1).alias("need"))
         of = lambda df, name: df.select(F.col("node").alias("src"), F.col("rank").alias(name))
         known = need.join(of(ranks, "old"), "src", "left").join(of(changed, "new"), "src", "left")
-        front = checkpointed(known.where(F.col("need") > F.coalesce(F.greatest("old", "new"), F.lit(-1))).select(F.col("src").alias("node"), F.col("need").alias("rank")))
+        front = written(known.where(F.col("need") > F.coalesce(F.greatest("old", "new"), F.lit(-1))).select(F.col("src").alias("node"), F.col("need").alias("rank")))
         if front.isEmpty():
             return changed
-        changed = checkpointed(changed.join(front.select("node"), "node", "left_anti").unionByName(front))
+        changed = written(changed.join(front.select("node"), "node", "left_anti").unionByName(front))
     raise ValueError("ranks don't settle: the edges have a cycle")
 
 
@@ -44,16 +44,16 @@ def _at(nodes: DataFrame, rank: int) -> DataFrame:
 
 def ranks(edges: DataFrame) -> DataFrame:
     """(node, rank) of all nodes of ``edges`` (src, dst), which have no cycle: the longest way down."""
-    e = checkpointed(edges.select("src", "dst").dropna().distinct())
-    zero = checkpointed(_at(e.select(F.explode(F.array("src", "dst")).alias("node")), 0))
-    return checkpointed(_over(zero, _raised(e, zero, _at(e.select(F.col("src").alias("node")), 1))))
+    e = written(edges.select("src", "dst").dropna().distinct())
+    zero = written(_at(e.select(F.explode(F.array("src", "dst")).alias("node")), 0))
+    return written(_over(zero, _raised(e, zero, _at(e.select(F.col("src").alias("node")), 1))))
 
 
 def _reached(edges: DataFrame, start: DataFrame, src: str, dst: str) -> DataFrame:
     """(node) of ``start`` (node) and all that edges lead to from ``src`` to ``dst``."""
-    seen = front = checkpointed(start.distinct())
+    seen = front = written(start.distinct())
     while not front.isEmpty():
-        front = checkpointed(front.join(edges, front["node"] == edges[src]).select(F.col(dst).alias("node")).distinct().join(seen, "node", "left_anti"))
+        front = written(front.join(edges, front["node"] == edges[src]).select(F.col(dst).alias("node")).distinct().join(seen, "node", "left_anti"))
         seen = seen.unionByName(front)
     return seen
 
@@ -73,21 +73,21 @@ def _judged(base: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     An edge is refused if a way leads back over edges that are sure and came before it, and admitted if none does even over those that
     are still open; what is neither waits for the next round.  The first open edge is always settled.
     """
-    admitted, refused, open_ = asked.limit(0), asked.limit(0), checkpointed(asked)
+    admitted, refused, open_ = asked.limit(0), asked.limit(0), written(asked)
     kind = open_.select(_place().alias("at")).schema["at"].dataType
     old = base.select("src", "dst", F.lit(None).cast(kind).alias("at"), F.lit(True).alias("sure"))
     while not open_.isEmpty():
         step = lambda df, sure: df.select("src", "dst", _place().alias("at"), F.lit(sure).alias("sure"))
-        steps = checkpointed(old.unionByName(step(admitted, True)).unionByName(step(open_, False)).withColumnsRenamed({"src": "from", "dst": "to", "at": "when", "sure": "firm"}))
-        front = seen = checkpointed(open_.select(_place().alias("e"), F.col("src").alias("goal"), F.col("dst").alias("node"), F.lit(True).alias("sure")))
+        steps = written(old.unionByName(step(admitted, True)).unionByName(step(open_, False)).withColumnsRenamed({"src": "from", "dst": "to", "at": "when", "sure": "firm"}))
+        front = seen = written(open_.select(_place().alias("e"), F.col("src").alias("goal"), F.col("dst").alias("node"), F.lit(True).alias("sure")))
         while not front.isEmpty():
             on = (F.col("node") == F.col("from")) & (F.col("when").isNull() | (F.col("when") < F.col("e"))) & (F.col("node") != F.col("goal"))
             ways = front.join(steps, on).groupBy("e", "goal", F.col("to").alias("node")).agg(F.max(F.col("sure") & F.col("firm")).alias("sure"))
             met = ways.join(seen.select("e", "node", F.col("sure").alias("was")), ["e", "node"], "left").where(F.col("was").isNull() | (F.col("sure") & ~F.col("was")))
-            front = checkpointed(met.select("e", "goal", "node", "sure"))
-            seen = checkpointed(seen.join(front.select("e", "node"), ["e", "node"], "left_anti").unionByName(front))
+            front = written(met.select("e", "goal", "node", "sure"))
+            seen = written(seen.join(front.select("e", "node"), ["e", "node"], "left_anti").unionByName(front))
         back = seen.where("node = goal").select("e.src", "e.dst", "sure")
-        told = checkpointed(open_.join(back, ["src", "dst"], "left"))
+        told = written(open_.join(back, ["src", "dst"], "left"))
         admitted = admitted.unionByName(told.where("sure is null").drop("sure"))
         refused = refused.unionByName(told.where("sure").drop("sure"))
         open_ = told.where("not sure").drop("sure")
@@ -102,34 +102,34 @@ def admit(edges: DataFrame, known: DataFrame, batch: DataFrame) -> tuple[DataFra
     edges; a repeated edge counts at its first place, edges that are there already and edges without an end are neither.
     """
     new = batch.select("src", "dst", F.col("seq").cast("long").alias("seq")).dropna(subset=["src", "dst"]).groupBy("src", "dst").agg(F.min("seq").alias("seq"))
-    new = checkpointed(new.join(edges.select("src", "dst"), ["src", "dst"], "left_anti"))
+    new = written(new.join(edges.select("src", "dst"), ["src", "dst"], "left_anti"))
     loops = new.where("src = dst").withColumn("reason", F.lit("loop"))
     new = new.where("src <> dst")
     # a new node stands above what it points at; a few steps are enough for most batches, and wrong ranks cost a search only
-    fresh = checkpointed(_at(new.select(F.explode(F.array("src", "dst")).alias("node")).join(known, "node", "left_anti"), 0))
+    fresh = written(_at(new.select(F.explode(F.array("src", "dst")).alias("node")).join(known, "node", "left_anti"), 0))
     for _ in range(3):
         of = known.unionByName(fresh).select(F.col("node").alias("dst"), "rank")
         above = new.join(of, "dst").groupBy(F.col("src").alias("node")).agg((F.max("rank") + 1).alias("above"))
-        fresh = checkpointed(fresh.join(above, "node", "left").select("node", F.greatest("rank", F.coalesce("above", "rank")).alias("rank")))
+        fresh = written(fresh.join(above, "node", "left").select("node", F.greatest("rank", F.coalesce("above", "rank")).alias("rank")))
     ranked = known.select("node", "rank").unionByName(fresh)
     end = lambda name: ranked.select(F.col("node").alias(name), F.col("rank").alias(f"rank_{name}"))
-    new = checkpointed(new.join(end("src"), "src").join(end("dst"), "dst"))
+    new = written(new.join(end("src"), "src").join(end("dst"), "dst"))
     against = new.where("rank_src <= rank_dst")
     low = against.agg(F.min("rank_src")).first()[0]
     plain = new.select("src", "dst", "seq")
     if low is None:
         return plain, loops, ranked
     # below the lowest beginning of an edge against the ranks no way leads back to one
-    window = checkpointed(edges.select("src", "dst").join(end("dst"), "dst").where(F.col("rank_dst") >= low).select("src", "dst"))
-    ways = checkpointed(window.unionByName(new.where(F.col("rank_dst") >= low).select("src", "dst")))
-    after = checkpointed(_reached(ways, against.select(F.col("dst").alias("node")), "src", "dst"))
-    both = checkpointed(_reached(_within(ways, after), against.select(F.col("src").alias("node")).join(after, "node", "left_semi"), "dst", "src"))
-    asked = checkpointed(_within(plain, both))
-    admitted, refused = _judged(checkpointed(_within(window, both)), asked)
-    admitted = checkpointed(plain.join(asked.select("src", "dst"), ["src", "dst"], "left_anti").unionByName(admitted))
+    window = written(edges.select("src", "dst").join(end("dst"), "dst").where(F.col("rank_dst") >= low).select("src", "dst"))
+    ways = written(window.unionByName(new.where(F.col("rank_dst") >= low).select("src", "dst")))
+    after = written(_reached(ways, against.select(F.col("dst").alias("node")), "src", "dst"))
+    both = written(_reached(_within(ways, after), against.select(F.col("src").alias("node")).join(after, "node", "left_semi"), "dst", "src"))
+    asked = written(_within(plain, both))
+    admitted, refused = _judged(written(_within(window, both)), asked)
+    admitted = written(plain.join(asked.select("src", "dst"), ["src", "dst"], "left_anti").unionByName(admitted))
     seeds = admitted.join(against.select("src", "dst", "rank_dst"), ["src", "dst"]).groupBy(F.col("src").alias("node")).agg((F.max("rank_dst") + 1).alias("rank"))
-    changed = _raised(checkpointed(edges.select("src", "dst").unionByName(admitted.select("src", "dst"))), checkpointed(ranked), seeds)
-    return admitted, loops.unionByName(refused.withColumn("reason", F.lit("cycle"))), checkpointed(_over(ranked, changed))
+    changed = _raised(written(edges.select("src", "dst").unionByName(admitted.select("src", "dst"))), written(ranked), seeds)
+    return admitted, loops.unionByName(refused.withColumn("reason", F.lit("cycle"))), written(_over(ranked, changed))
 
 
 def nearest(reached: DataFrame) -> DataFrame:
@@ -144,20 +144,20 @@ def closure_delta(reached: DataFrame, new: DataFrame) -> DataFrame:
     edge and with what its end reached before; only pairs that came nearer go on, so that there are as many rounds as new edges on a shortest way.
     The new edges and their ends' rows are the small sides; the closure is read, never shuffled whole but for the pairs that are compared.
     """
-    edges = checkpointed(new.select("src", "dst").dropna().where("src <> dst").distinct())
+    edges = written(new.select("src", "dst").dropna().where("src <> dst").distinct())
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("root")).distinct()
-    own = checkpointed(nodes.join(reached.select("root"), "root", "left_anti").select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
+    own = written(nodes.join(reached.select("root"), "root", "left_anti").select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
     ends = edges.select(F.col("dst").alias("root")).distinct()
-    beyond = checkpointed(nearest(reached.join(ends, "root", "left_semi").unionByName(own.join(ends, "root", "left_semi"))).withColumnsRenamed({"root": "dst", "node": "far", "depth": "more"}))
+    beyond = written(nearest(reached.join(ends, "root", "left_semi").unionByName(own.join(ends, "root", "left_semi"))).withColumnsRenamed({"root": "dst", "node": "far", "depth": "more"}))
     begins = edges.select(F.col("src").alias("node")).distinct()
     front = nearest(reached.join(begins, "node", "left_semi").unionByName(own))
     found = own
     while True:
         steps = front.join(edges, front["node"] == edges["src"]).select("root", "dst", (F.col("depth") + 1).alias("depth"))
         ways = nearest(steps.join(beyond, "dst").select("root", F.col("far").alias("node"), (F.col("depth") + F.col("more")).alias("depth")))
-        ways = checkpointed(ways)
+        ways = written(ways)
         old = reached.join(ways.select("root", "node"), ["root", "node"], "left_semi").unionByName(found)
-        front = checkpointed(ways.join(nearest(old).withColumnRenamed("depth", "was"), ["root", "node"], "left").where(F.col("was").isNull() | (F.col("depth") < F.col("was"))).drop("was"))
+        front = written(ways.join(nearest(old).withColumnRenamed("depth", "was"), ["root", "node"], "left").where(F.col("was").isNull() | (F.col("depth") < F.col("was"))).drop("was"))
         if front.isEmpty():
             return nearest(found)
-        found = checkpointed(found.unionByName(front))
+        found = written(found.unionByName(front))
