@@ -41,8 +41,8 @@ def test_batches_equal_one_by_one(spark, seed):
     base = sorted({(f"n{a:02}", f"n{b:02}") for a, b in (rng.sample(range(n), 2) for _ in range(12)) if a > b})
     edges = edges_of(spark, base)
     known = lineage.ranks(edges)
-    for _ in range(1 + seed):
-        batch = [(f"n{rng.randrange(n + 3):02}", f"n{rng.randrange(n + 3):02}", rng.randrange(100)) for _ in range(16)]
+    for size in (12, 5)[: 1 + seed]:
+        batch = [(f"n{rng.randrange(n + 3):02}", f"n{rng.randrange(n + 3):02}", rng.randrange(100)) for _ in range(size)]
         admitted, refused, known = lineage.admit(edges, known, spark.createDataFrame(batch, "src string, dst string, seq int"))
         want = one_by_one(base, batch)
         got = sorted(map(tuple, admitted.collect())), sorted(map(tuple, refused.collect()))
