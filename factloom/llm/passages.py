@@ -15,8 +15,9 @@ and of whole copies costs no windows.  Contexts and windows are compared by 128
 Copies are settled within a batch of documents before anything is shuffled: of an anchor in one context only the least document
 goes on.  An anchor that has several contexts in a batch is known to be open; its contexts are then dealt by anchor and context, and
 the anchor itself tells this to the others once a batch.  So an anchor or context that very many documents share is a few rows a
-batch.  Windows are dealt by hash and document; what meets by hash alone is combined before the shuffle.  Texts are shuffled twice:
-those with open anchors, and all to take out what goes.
+batch.  Windows are settled among those that a task holds at once in the same way, so that of a window that very many documents share only
+the least document's goes on.  Of texts only those with open anchors are shuffled, and those from which something goes; the keys of either are broadcast
+up to a bound (:data:`BROADCAST_ROWS`), beyond which all texts are.
 
 Defined cases: a null text has no words; a null doc_id is neither smaller nor greater than another, and keeps all its words; rows of one
 doc_id don't remove from each other, and equal rows have equal results; white space is only ASCII's; texts of fewer words
@@ -32,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import checkpointed, fresh, stored, whole_text
+from factloom.llm.common import checkpointed, fresh, whole_text
 
 WINDOW = 50
 #: Sets of residues in which every difference modulo the period occurs.
@@ -40,6 +41,8 @@ COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12,
 #: Bytes of text that are split at once, rows of hashes that are held at once, and words that a task remembers.
 SLICE, ROWS, VOCABULARY = 1 << 20, 1 << 15, 1 << 20
 COLD, WARM, FLAG, RUN = range(4)
+#: Windows that a task settles among themselves at once, and keys up to which texts are parted by a broadcast.
+HELD, BROADCAST_ROWS = 1 << 19, 4_000_000
 
 
 def plan(window: int) -> tuple[int, int]:
@@ -203,14 +206,35 @@ def anchors(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _windows(window: int):
-    """Rows (h1, h2, d, th, at) from batches (d, th, text, opens): the windows around open anchors."""
+    """Rows (h1, h2, d, th, at, to) from batches (d, th, text, opens): the windows around open anchors, with ``to`` zero, after copies among
+    those that are held at once are settled; and stretches from ``at`` to ``to`` that go."""
     side = plan(window)[0] - 1
 
+    def settled(parts: list[list]) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        h1, h2, d, th, at = map(np.concatenate, zip(*parts))
+        by = np.lexsort((d, h2, h1))
+        new = np.append(True, (h1[by][1:] != h1[by][:-1]) | (h2[by][1:] != h2[by][:-1]))
+        more = d[by] > d[by][new][np.cumsum(new) - 1]  # sorted by document, so a window's first is its least
+        went = by[more]
+        went = went[np.lexsort((at[went], th[went], d[went]))]
+        cut = np.append(True, (d[went][1:] != d[went][:-1]) | (th[went][1:] != th[went][:-1]) | (at[went][1:] > at[went][:-1] + window)) if len(went) else np.zeros(0, bool)
+        begin, end = went[cut], went[np.append(np.flatnonzero(cut)[1:], len(went)) - 1] if len(went) else went
+        rest = np.sort(by[~more])  # rows of one document next to each other take less room
+        spread = Hasher.mixed((th[begin] ^ d[begin]).view(np.uint64))
+        columns = [(h1[rest], spread), (h2[rest], np.zeros(len(begin), np.int64)), (d[rest], d[begin]), (th[rest], th[begin]), (at[rest], at[begin]), (np.zeros(len(rest), np.int64), at[end] + window)]
+        arrays = [np.concatenate(x) for x in columns]
+        for j in range(0, len(arrays[0]), ROWS):
+            part = [x[j : j + ROWS] for x in arrays]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, part[:4]), *[pa.array(x.astype(np.int32)) for x in part[4:]]], names=["h1", "h2", "d", "th", "at", "to"])
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        hasher = Hasher()
+        hasher, parts, size = Hasher(), [], 0
         for batch in batches:
             ids, hashes = batch.column("d").to_numpy(), batch.column("th").to_numpy()
             seen = set()
@@ -224,22 +248,29 @@ def _windows(window: int):
                 np.add.at(change, np.maximum(open_ - side, 0), 1)
                 np.add.at(change, np.minimum(open_, len(h) - window) + 1, -1)
                 at = np.flatnonzero(np.cumsum(change) > 0)
-                h1, h2 = Hasher.runs(h, at, (0, window, 3), (0, window, 4))
-                for j in range(0, len(at), ROWS):
-                    n = len(at[j : j + ROWS])
-                    yield pa.RecordBatch.from_arrays([pa.array(h1[j : j + n]), pa.array(h2[j : j + n]), pa.array(np.full(n, ids[i])), pa.array(np.full(n, hashes[i])), pa.array(at[j : j + n].astype(np.int32))], names=["h1", "h2", "d", "th", "at"])
+                for j in range(0, len(at), HELD):
+                    part = at[j : j + HELD]
+                    parts.append([*Hasher.runs(h, part, (0, window, 3), (0, window, 4)), np.full(len(part), ids[i]), np.full(len(part), hashes[i]), part])
+                    size += len(part)
+                    if size >= HELD:
+                        yield from settled(parts)
+                        parts, size = [], 0
+        if parts:
+            yield from settled(parts)
 
     return run
 
 
-def copies(windows: DataFrame) -> DataFrame:
-    """(d, th, starts): of ``windows`` (h1, h2, d, th, at), the places of those that a smaller document has too."""
-    least = windows.groupBy("h1", "h2").agg(F.min("d").alias("d"))
-    return windows.join(least, ["h1", "h2", "d"], "left_anti").groupBy("d", "th").agg(F.collect_list("at").alias("starts"))
+def copies(windows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(d, th, runs): of ``windows`` (h1, h2, d, th, at, to), the stretches that go and those of windows that a smaller document has too."""
+    least = F.min(F.when(F.col("to") == 0, F.col("d"))).over(W.partitionBy("h1", "h2"))
+    gone = windows.withColumn("least", least).where((F.col("to") > 0) | (F.col("d") > F.col("least")))
+    end = F.when(F.col("to") > 0, F.col("to")).otherwise(F.col("at") + window)
+    return gone.groupBy("d", "th").agg(F.collect_list(F.struct(F.col("at").alias("s"), end.alias("e"))).alias("runs"))
 
 
-def _kept(window: int, at: int):
-    """Batches with the text, their column number ``at``, cut, and the numbers of words and removed words instead of the last two columns."""
+def _kept(at: int):
+    """Batches with the text, their column number ``at``, cut, and the numbers of words and removed words instead of the last column."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -247,46 +278,61 @@ def _kept(window: int, at: int):
 
         for batch in batches:
             texts, totals, removed = [], [], []
-            for text, runs, starts in zip(batch.column(at).cast(pa.binary()), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
+            for text, runs in zip(batch.column(at).cast(pa.binary()), batch.column(batch.num_columns - 1)):
                 text = text.as_buffer().to_pybytes() if text.is_valid else b""
                 words = [w for part in split(text) for w in part]
                 change = np.zeros(len(words) + 1, np.int64)
                 if runs.is_valid:
                     np.add.at(change, runs.values.field("s").to_numpy(), 1)
                     np.add.at(change, np.minimum(runs.values.field("e").to_numpy(), len(words)), -1)
-                if starts.is_valid:
-                    np.add.at(change, starts.values.to_numpy(), 1)
-                    np.add.at(change, starts.values.to_numpy() + window, -1)
                 gone = np.cumsum(change[:-1]) > 0
                 texts.append(b" ".join(words if not gone.any() else [w for w, g in zip(words, gone.tolist()) if not g]))
                 totals.append(len(words))
                 removed.append(int(gone.sum()))
-            columns = [*batch.columns[:-2], pa.array(totals, pa.int64()), pa.array(removed, pa.int64())]
+            columns = [*batch.columns[:-1], pa.array(totals, pa.int64()), pa.array(removed, pa.int64())]
             columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])
 
     return run
 
 
-def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def _sides(rows: DataFrame, keys: list[str], told: DataFrame, of: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with those that may meet ``told`` by ``keys`` (there named ``of``), and those that don't.
+
+    Rows are parted by a hash of the keys where they are, so that texts that nothing is told about aren't shuffled.  Above ``most`` keys,
+    eight bytes each, all rows may meet.
+    """
+    if told.count() > most:
+        return rows, rows.where("false")
+    key = fresh(rows, "key")
+    few = F.broadcast(told.select(F.xxhash64(*of).alias(key)).distinct())
+    keyed = rows.withColumn(key, F.xxhash64(*keys))
+    return keyed.join(few, key, "left_semi").drop(key), keyed.join(few, key, "left_anti").drop(key)
+
+
+def remove(docs: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and more), the text as the words that stay, joined by one space, and the columns n_words and n_removed.
 
-    The last two get underscores where ``docs`` has such names.
+    The last two get underscores where ``docs`` has such names.  ``broadcast_rows`` changes the joins only.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(whole_text()).alias("th"), whole_text().alias("text"))
     found = checkpointed(anchors(keyed, window))
-    open_ = keyed.join(found.where("size(opens) > 0").select("d", "th", "opens"), ["d", "th"])
-    windows = stored(open_.select("d", "th", "text", "opens").mapInArrow(_windows(window), "h1 long, h2 long, d long, th long, at int"))
+    opens = found.where("size(opens) > 0").select("d", "th", "opens")
+    open_ = _sides(keyed, ["d", "th"], opens, ["d", "th"], broadcast_rows)[0].join(opens, ["d", "th"])
+    windows = open_.select("d", "th", "text", "opens").mapInArrow(_windows(window), "h1 long, h2 long, d long, th long, at int, to int")
+    told = found.where("size(runs) > 0").select("d", "th", "runs").unionByName(copies(windows, window))
+    cuts = checkpointed(told.groupBy("d", "th").agg(F.flatten(F.collect_list("runs")).alias("runs")))
     names = list(docs.columns)
     for name in ("n_words", "n_removed"):
         while name.lower() in {n.lower() for n in names}:
             name += "_"
         names.append(name)
-    d, th = fresh(docs, "d"), fresh(docs, "th")
-    told = {"d": d, "th": th, "runs": fresh(docs, "runs"), "starts": fresh(docs, "starts")}
-    runs, starts = (x.withColumnsRenamed(told) for x in (found.where("size(runs) > 0").drop("opens"), copies(windows)))
-    met = docs.withColumns({d: F.col("doc_id").cast("long"), th: F.xxhash64(whole_text())}).join(runs, [d, th], "left").join(starts, [d, th], "left")
-    wanted = met.select(*[F.col(f"`{c}`") for c in docs.columns], told["runs"], told["starts"])
+    d, th, runs = (fresh(docs, x) for x in ("d", "th", "runs"))
+    cuts = cuts.withColumnsRenamed({"d": d, "th": th, "runs": runs})
+    rows = docs.withColumns({d: F.col("doc_id").cast("long"), th: F.xxhash64(whole_text())})
+    touched, rest = _sides(rows, [d, th], cuts, [d, th], broadcast_rows)
+    met = touched.join(cuts, [d, th], "left").unionByName(rest.withColumn(runs, F.lit(None).cast(cuts.schema[runs].dataType)))
+    wanted = met.select(*[F.col(f"`{c}`") for c in docs.columns], runs)
     fields = [T.StructField(f.name, T.StringType()) if f.name.lower() == "text" else f for f in docs.schema]
     schema = T.StructType([*fields, *[T.StructField(n, T.LongType()) for n in names[-2:]]])
-    return wanted.mapInArrow(_kept(window, [c.lower() for c in docs.columns].index("text")), schema)
+    return wanted.mapInArrow(_kept([c.lower() for c in docs.columns].index("text")), schema)

@@ -98,3 +98,25 @@ def test_slices():
     parts = list(passages.split(text.encode()))
     assert len(parts) > 3 and [w for p in parts for w in p] == text.encode().split()
     assert [w for p in passages.split(b"x" * (3 << 20)) for w in p] == [b"x" * (3 << 20)]
+
+
+def test_texts_and_windows_that_meet_nothing_stay(spark, monkeypatch):
+    """Only texts with open anchors or with something to take out are shuffled; of windows that many documents share a task passes on one document's."""
+    rng = random.Random(2)
+    some = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    passage = some(120)
+    rows = [(i, some(200)) for i in range(200)] + [(300 + i, f"{some(60)} {passage} {some(60)}") for i in range(30)] + [(None, some(80))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keyed = df.where("doc_id is not null").selectExpr("doc_id as d", "xxhash64(text) as th", "text")
+    told = passages.anchors(keyed)
+    met, rest = passages._sides(keyed, ["d", "th"], told, ["d", "th"], 1000)
+    assert {r.d for r in met.collect()} == set(range(300, 330)) and rest.count() == 200
+    assert passages._sides(keyed, ["d", "th"], told, ["d", "th"], 5)[0].count() == 230
+    shared = keyed.where("d >= 300").coalesce(1).join(told.where("size(opens) > 0").select("d", "th", "opens"), ["d", "th"]).coalesce(1)
+    windows = shared.mapInArrow(passages._windows(50), "h1 long, h2 long, d long, th long, at int, to int").collect()
+    by_hash = collections.Counter((r.h1, r.h2) for r in windows if not r.to)
+    assert set(by_hash.values()) == {1} and sum(1 for r in windows if r.to) >= 29
+    monkeypatch.setattr(passages, "HELD", 100)
+    for most in (1000, 0):
+        got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in passages.remove(df, 50, most).collect())
+        assert got == brute(rows, 50)
