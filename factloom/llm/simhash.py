@@ -14,13 +14,14 @@ each once: from the first of the cells in which both meet.
 Equal fingerprints are merged before the join, so that thousands of copies are one point.
 
 With a ``similarity`` (the pipeline's stage: 0.8 over five-word shingles) :func:`keep_one` links by the
-Jaccard similarity of the sets of shingles instead.  64 bits that differ in at most two don't reach such
-pairs, so there is one fingerprint for each of 24 bands of five min-hashes, and sets meet that share one
-band's.  A pair of similarity s meets with probability 1 - (1 - s^5)^24, 0.99993 at 0.8; every pair that
-is decided is decided by the exact similarity of the two sets (of 64-bit hashes).
+Jaccard similarity of the sets of shingles instead, in two steps that each end in the exact similarity of two sets (of 64-bit hashes).
+First the method above: each set has its fingerprint, the grid finds those at most two bits apart, and each set meets one that is
+near (:func:`by_prints`).  Two bits don't reach every pair of similarity 0.8, whose fingerprints differ in about ten, so
+what that step has not put together goes on to bands: 24 of five min-hashes, and sets of different components meet that share one
+band's.  A pair of similarity s meets there with probability 1 - (1 - s^5)^24, 0.99993 at 0.8.
 
 Here too a popcount is a lower bound: each set has a bitmap of 512 bits in which every shingle flips one, and two
-sets differ in at least as many shingles as their bitmaps do in bits.  At first each set meets one other set,
+sets differ in at least as many shingles as their bitmaps do in bits.  Of what fingerprints left apart each set first meets one other,
 the head of one of its bands' cells: in the first turn the set that shares most cells with others, which for edited
 copies of one text is that text, in the next one a random set.  What a component holds together already is passed
 over from then on, and of the rest those pairs of a cell come out of its join whose sizes and bitmaps leave a
@@ -63,41 +64,45 @@ TURNS = 2
 WORDS = 8
 
 
+def _shingles(text: bytes | None, shingle: int):
+    """The hashes of a text's (UTF-8) shingles, repeats included."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = (text or b"").lower().split()  # of bytes: ASCII letters and ASCII white space only
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.fromiter(map(xxh64_intdigest, grams, repeat(SEED)), np.uint64, max(1, len(words) - shingle + 1))
+
+
+def _fingerprint(hashes) -> int:
+    """The bits that are set in over half of the hashes, as a signed 64-bit integer; zero for none."""
+    import numpy as np
+
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):  # bits of a slice at a time: memory stays small for very long texts
+        part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def _fingerprints(raw: list[bytes | None], shingle: int):
     """The fingerprint of each text (UTF-8), as a signed 64-bit integer."""
     import numpy as np
-    from xxhash import xxh64_intdigest
 
-    out = np.zeros(len(raw), np.uint64)
-    for i, text in enumerate(raw):
-        words = (text or b"").lower().split()  # of bytes: ASCII letters and ASCII white space only
-        if not words:
-            continue
-        n = max(1, len(words) - shingle + 1)
-        grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-        h = np.fromiter(map(xxh64_intdigest, grams, repeat(SEED)), np.uint64, n)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, n, 1 << 16):  # bits of a slice at a time: memory stays small for very long texts
-            part = h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[i] = np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]
-    return out.view(np.int64)
+    return np.array([_fingerprint(_shingles(text, shingle)) for text in raw], np.int64)
 
 
 def _hashes(text: bytes | None, shingle: int):
     """The distinct hashes of a text's shingles, in order."""
     import numpy as np
-    from xxhash import xxh64_intdigest
 
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxh64_intdigest, grams, repeat(SEED)), np.uint64, max(1, len(words) - shingle + 1)))
+    return np.unique(_shingles(text, shingle))
 
 
 def _bands(hashes):
-    """A 64-bit fingerprint of the min-hashes of each band; none for an empty set."""
+    """A 64-bit hash of the min-hashes of each band; none for an empty set."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
@@ -120,12 +125,12 @@ def _bitmap(hashes):
 
 
 def shingle_sets(rows: DataFrame, shingle: int, bands: bool) -> DataFrame:
-    """doc_id and row of ``rows`` (doc_id, row, text), with ``f``, a 128-bit hash of the set of shingles, the
-    set's size ``n``, its bands' fingerprints ``bands`` and its bitmap ``bits``; or else row and the set itself as ``hashes``."""
+    """doc_id and row of ``rows`` (doc_id, row, text), with ``f``, a 128-bit hash of the set of shingles, its fingerprint ``s``, the
+    set's size ``n``, its bands' hashes ``bands`` and its bitmap ``bits``; or else row and the set itself as ``hashes``."""
     keep = ["doc_id", "row"] if bands else ["row"]
     table = rows.select(*keep, F.col("text").cast("string").cast("binary").alias("text"))
     longs = T.ArrayType(T.LongType())
-    more = [("f", T.BinaryType()), ("n", T.LongType()), ("bands", longs), ("bits", longs)] if bands else [("hashes", longs)]
+    more = [("f", T.BinaryType()), ("s", T.LongType()), ("n", T.LongType()), ("bands", longs), ("bits", longs)] if bands else [("hashes", longs)]
     names = [*keep, *(n for n, _ in more)]
 
     def run(batches: Iterator) -> Iterator:
@@ -141,7 +146,7 @@ def shingle_sets(rows: DataFrame, shingle: int, bands: bool) -> DataFrame:
             sets = [_hashes(t, shingle) for t in batch.column("text").to_pylist()]
             kept = [batch.column(c) for c in keep]
             if bands:
-                found = [pa.array([xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64()), lists([_bands(s) for s in sets]), lists([_bitmap(s) for s in sets])]
+                found = [pa.array([xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(list(map(_fingerprint, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int64()), lists([_bands(s) for s in sets]), lists([_bitmap(s) for s in sets])]
             else:
                 found = [lists([s.view(np.int64) for s in sets])]
             yield pa.RecordBatch.from_arrays([*kept, *found], names=names)
@@ -149,15 +154,29 @@ def shingle_sets(rows: DataFrame, shingle: int, bands: bool) -> DataFrame:
     return table.mapInArrow(run, T.StructType([*(f for f in table.schema if f.name != "text"), *(T.StructField(*x) for x in more)]))
 
 
-def _rooted(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``cells`` (id, cell, ...) with each id's ``root``; later only cells with several roots."""
-    if roots is None:
-        return cells.withColumn("root", F.col("id"))
+def _rooted(cells: DataFrame, roots: DataFrame) -> DataFrame:
+    """``cells`` (id, cell, ...) with each id's ``root``, only those with several roots."""
     known = cells.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = known.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
     return checkpointed(known.join(mixed, "cell", "left_semi"))
 
 
+def by_prints(points: DataFrame) -> DataFrame:
+    """Pairs (u, v) of ids of the sets ``points`` (id, s) whose fingerprints ``s`` are at most two bits apart, u < v.
+
+    One for each set that is not the least of its fingerprint, with the least, and one for each fingerprint with others
+    near it, with the smallest of these: m sets make at most m pairs, and each set that has a near one is in a pair.
+    """
+    prints = checkpointed(points.groupBy("s").agg(F.min("id").alias("head")))
+    same = salted_join(points.select("id", "s"), prints, "s").where(F.col("id") > F.col("head")).select(F.col("head").alias("u"), F.col("id").alias("v"))
+    found = links(prints.select(F.col("s").alias("f")))
+    both = found.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+    near = both.groupBy("v").agg(F.min("u").alias("u"))
+    of = lambda x: prints.select(F.col("s").alias(x), F.col("head").alias(f"of_{x}"))
+    apart = near.join(of("u"), "u").join(of("v"), "v").select(F.least("of_u", "of_v").alias("u"), F.greatest("of_u", "of_v").alias("v")).distinct()
+    return same.unionByName(apart)
+
+
 def _possible(a: str, b: str, similarity: float) -> Column:
     """Whether two sets with sizes ``n`` and bitmaps ``bits`` may be so similar: they differ in no more than a share of all."""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
@@ -166,18 +185,27 @@ def _possible(a: str, b: str, similarity: float) -> Column:
 
 
 def similar(points: DataFrame, sets_of, similarity: float, turns: int = TURNS) -> DataFrame:
-    """(node, root) of the sets ``points`` (id, n, bands, bits) that link to any other, by exact similarity.
+    """(node, root) of the sets ``points`` (id, s, n, bands, bits) that link to any other, by exact similarity.
 
     ``sets_of`` gives the table (row, hashes) of the ids in a table (row).
     """
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = checkpointed(pairs)
+        sets = checkpointed(sets_of(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()))
+        first, second = (sets.select(F.col("row").alias(x), F.col("hashes").alias(f"of_{x}")) for x in "uv")
+        both = F.size(F.array_intersect("of_u", "of_v"))
+        near = both >= F.lit(similarity) * (F.size("of_u") + F.size("of_v") - both)
+        return pairs.join(first, "u").join(second, "v").where(near).select("u", "v")
+
+    roots = checkpointed(components(linked(by_prints(points))))
     cells = points.select("id", F.explode("bands").alias("cell"))
     cells = checkpointed(cells.join(cells.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1"), "cell"))
     degrees = cells.groupBy("id").agg(F.sum("c").alias("degree")).join(points.select("id", "n", "bits"), "id")
     cells = checkpointed(cells.join(degrees, "id").select("id", "n", "bits", "degree", "cell"))
-    roots = None
     for turn in range(turns + 1):
         known = _rooted(cells, roots)
-        if roots is not None and known.isEmpty():
+        if known.isEmpty():
             break
         if turn < turns:
             rank = F.struct(F.when(F.lit(turn == 0), F.col("degree")).otherwise(F.xxhash64(F.lit(turn), "root")).alias("a"), F.xxhash64(F.lit(turn), "id").alias("b"), "id", "n", "root", "bits")
@@ -189,15 +217,8 @@ def similar(points: DataFrame, sets_of, similarity: float, turns: int = TURNS) -
             a, b = known.alias("a"), known.alias("b")
             met = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & _possible("a.", "b.", similarity))
             pairs = met.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
-        pairs = checkpointed(pairs)
-        sets = checkpointed(sets_of(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()))
-        first, second = (sets.select(F.col("row").alias(x), F.col("hashes").alias(f"of_{x}")) for x in "uv")
-        both = F.size(F.array_intersect("of_u", "of_v"))
-        near = both >= F.lit(similarity) * (F.size("of_u") + F.size("of_v") - both)
-        found = pairs.join(first, "u").join(second, "v").where(near).select("u", "v")
         # a component's links so far are those to its root
-        links = found if roots is None else found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots = checkpointed(components(links))
+        roots = checkpointed(components(linked(pairs).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))))
     return roots
 
 
@@ -317,7 +338,7 @@ def keep_one(docs: DataFrame, broadcast_rows: int = 1_000_000, shingle: int = SH
     else:
         texts = numbered.select("doc_id", F.col(row).alias("row"), "text")
         prints = checkpointed(shingle_sets(texts, shingle, True))
-        points = checkpointed(prints.groupBy("f").agg(best.alias("best"), F.min("row").alias("id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")))
+        points = checkpointed(prints.groupBy("f").agg(best.alias("best"), F.min("row").alias("id"), F.any_value("s").alias("s"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")))
 
         def sets_of(rows: DataFrame) -> DataFrame:
             rows = checkpointed(rows)

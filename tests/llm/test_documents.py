@@ -239,6 +239,34 @@ def test_near_copies_by_similarity(spark, docs, odd, tmp_path):
     assert simhash.keep_one(docs.limit(0), shingle=5, similarity=0.8).count() == 0
 
 
+def test_near_copies_meet_by_fingerprints(spark, tmp_path, monkeypatch):
+    """The stage on similarity goes through fingerprints and the grid first: each set meets one that is at most two bits away."""
+    import random
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(8)
+    base = [[f"w{b}_{i}" for i in range(900)] for b in range(3)]
+    rows = []
+    for n in range(90):
+        w = list(base[n % 3])
+        w[rng.randrange(len(w))] = f"x{n % 40}"
+        rows.append((n, " ".join(w)))
+    rows += [(100 + n, f"only {n} stands here") for n in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    points = simhash.shingle_sets(df.selectExpr("doc_id", "doc_id as row", "text"), 5, True).selectExpr("doc_id as id", "s")
+    s = {r.id: r.s for r in points.collect()}
+    apart = lambda a, b: ((s[a] ^ s[b]) & (2**64 - 1)).bit_count()
+    pairs = [(r.u, r.v) for r in simhash.by_prints(points).collect()]
+    assert all(u < v and apart(u, v) <= 2 for u, v in pairs) and len(pairs) <= len(rows)
+    near = {i for i in s if any(i != j and apart(i, j) <= 2 for j in s)}
+    assert len(near) > 40 and {i for p in pairs for i in p} == near
+    seen, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **b: seen.append(1) or links(*a, **b))
+    assert ids(cp.distinct(spark, df, None)) == jaccard_groups(rows) and seen
+
+
 def test_near_duplicate_stage(spark, sf, docs):
     import corpus_pipeline as cp
 
