@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import checkpointed, fresh, needs_stored
+from factloom.llm.common import checkpointed, fresh, needs_stored, packed
 from factloom.llm.components import components
 
 SEED = 42
@@ -60,6 +60,8 @@ BANDS = 24
 WIDTH = 5
 #: Turns in which a set meets one other.
 TURNS = 2
+#: Up to so many sets that are linked to others, their roots are broadcast; more meet the cells through a shuffle.
+BROADCAST_ROWS = 100_000
 #: The words of 64 bits of a set's bitmap.
 WORDS = 8
 
@@ -154,9 +156,9 @@ def shingle_sets(rows: DataFrame, shingle: int, bands: bool) -> DataFrame:
     return table.mapInArrow(run, T.StructType([*(f for f in table.schema if f.name != "text"), *(T.StructField(*x) for x in more)]))
 
 
-def _rooted(cells: DataFrame, roots: DataFrame) -> DataFrame:
-    """``cells`` (id, cell, ...) with each id's ``root``, only those with several roots."""
-    known = cells.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+def _rooted(cells: DataFrame, roots: DataFrame, few: bool) -> DataFrame:
+    """``cells`` (id, cell, ...) with each id's ``root``, only those with several roots; a ``few`` roots are broadcast."""
+    known = cells.join((F.broadcast(roots) if few else roots).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = known.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
     return checkpointed(known.join(mixed, "cell", "left_semi"))
 
@@ -167,8 +169,9 @@ def by_prints(points: DataFrame) -> DataFrame:
     One for each set that is not the least of its fingerprint, with the least, and one for each fingerprint with others
     near it, with the smallest of these: m sets make at most m pairs, and each set that has a near one is in a pair.
     """
-    prints = checkpointed(points.groupBy("s").agg(F.min("id").alias("head")))
-    same = salted_join(points.select("id", "s"), prints, "s").where(F.col("id") > F.col("head")).select(F.col("head").alias("u"), F.col("id").alias("v"))
+    prints = checkpointed(points.groupBy("s").agg(F.min("id").alias("head"), F.count("*").alias("c")))
+    several = prints.where("c > 1").select("s", "head")
+    same = salted_join(points.select("id", "s"), several, "s").where(F.col("id") > F.col("head")).select(F.col("head").alias("u"), F.col("id").alias("v"))
     found = links(prints.select(F.col("s").alias("f")))
     both = found.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
     near = both.groupBy("v").agg(F.min("u").alias("u"))
@@ -187,38 +190,46 @@ def _possible(a: str, b: str, similarity: float) -> Column:
 def similar(points: DataFrame, sets_of, similarity: float, turns: int = TURNS) -> DataFrame:
     """(node, root) of the sets ``points`` (id, s, n, bands, bits) that link to any other, by exact similarity.
 
-    ``sets_of`` gives the table (row, hashes) of the ids in a table (row).
+    ``sets_of`` gives the table (row, hashes) of the ids in a table (row), of which there are no more than a number.
     """
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = checkpointed(pairs)
-        sets = checkpointed(sets_of(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()))
+        n = pairs.count()
+        pairs = packed(pairs, n)
+        sets = checkpointed(sets_of(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), 2 * n))
         first, second = (sets.select(F.col("row").alias(x), F.col("hashes").alias(f"of_{x}")) for x in "uv")
         both = F.size(F.array_intersect("of_u", "of_v"))
         near = both >= F.lit(similarity) * (F.size("of_u") + F.size("of_v") - both)
         return pairs.join(first, "u").join(second, "v").where(near).select("u", "v")
 
-    roots = checkpointed(components(linked(by_prints(points))))
+    def merged(edges: DataFrame) -> tuple[DataFrame, bool]:
+        roots = checkpointed(components(edges))
+        n = roots.count()
+        return packed(roots, n), n <= BROADCAST_ROWS
+
+    roots, few = merged(linked(by_prints(points)))
     cells = points.select("id", F.explode("bands").alias("cell"))
     cells = checkpointed(cells.join(cells.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1"), "cell"))
     degrees = cells.groupBy("id").agg(F.sum("c").alias("degree")).join(points.select("id", "n", "bits"), "id")
     cells = checkpointed(cells.join(degrees, "id").select("id", "n", "bits", "degree", "cell"))
     for turn in range(turns + 1):
-        known = _rooted(cells, roots)
-        if known.isEmpty():
+        known = _rooted(cells, roots, few)
+        if not known.select("id").take(1):
             break
+        cells = known.drop("root")  # the sets of a cell with one root will always have one
         if turn < turns:
             rank = F.struct(F.when(F.lit(turn == 0), F.col("degree")).otherwise(F.xxhash64(F.lit(turn), "root")).alias("a"), F.xxhash64(F.lit(turn), "id").alias("b"), "id", "n", "root", "bits")
             heads = known.groupBy("cell").agg(F.max(rank).alias("head"))
             met = known.join(heads, "cell").where((F.col("root") != F.col("head.root")) & _possible("", "head.", similarity))
             best = met.groupBy("id").agg(F.max(F.struct("head.a", "head.b", "head.id")).alias("head"))
-            pairs = best.select(F.least("id", "head.id").alias("u"), F.greatest("id", "head.id").alias("v")).distinct()
+            pairs = best.select(F.least("id", "head.id").alias("u"), F.greatest("id", "head.id").alias("v"))
         else:
             a, b = known.alias("a"), known.alias("b")
             met = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & _possible("a.", "b.", similarity))
             pairs = met.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
         # a component's links so far are those to its root
-        roots = checkpointed(components(linked(pairs).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))))
+        roots, few = merged(linked(pairs).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     return roots
 
 
@@ -340,9 +351,8 @@ def keep_one(docs: DataFrame, broadcast_rows: int = 1_000_000, shingle: int = SH
         prints = checkpointed(shingle_sets(texts, shingle, True))
         points = checkpointed(prints.groupBy("f").agg(best.alias("best"), F.min("row").alias("id"), F.any_value("s").alias("s"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")))
 
-        def sets_of(rows: DataFrame) -> DataFrame:
-            rows = checkpointed(rows)
-            wanted = texts.join(F.broadcast(rows) if rows.count() <= broadcast_rows else rows, "row", "left_semi")
+        def sets_of(rows: DataFrame, most: int) -> DataFrame:
+            wanted = texts.join(F.broadcast(rows) if most <= broadcast_rows else rows, "row", "left_semi")
             return shingle_sets(wanted, shingle, False)
 
         roots = similar(points, sets_of, similarity).select(F.col("node").alias("id"), "root")

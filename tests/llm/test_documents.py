@@ -300,6 +300,39 @@ def test_long_chain_is_one_component(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_few_links_leave_few_files(spark, monkeypatch):
+    """What a few edges leave on disk doesn't follow the session's number of partitions; more edges take the same shuffles without broadcasts."""
+    from factloom.llm import components as c
+
+    rows = [(10 * n + 1, 10 * n + 2) for n in range(30)] + [(10 * n + 2, 10 * n + 3) for n in range(30)] + [(5, 400 + n) for n in range(40)]
+    want = {x: 10 * n + 1 for n in range(30) for x in (10 * n + 1, 10 * n + 2, 10 * n + 3)} | dict.fromkeys([5, *range(400, 440)], 5)
+    edges = spark.createDataFrame(rows, "u long, v long")
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        before = disk.getAllFiles().size()
+        assert {r.node: r.root for r in c.components(edges).collect()} == want
+        assert disk.getAllFiles().size() - before < 6 * 64
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    monkeypatch.setattr(c, "BROADCAST_ROWS", 0)
+    assert {r.node: r.root for r in c.components(edges).collect()} == want
+
+
+def test_near_copies_without_broadcast_roots(spark, sf, docs, monkeypatch):
+    """Roots that are too many to be broadcast meet the cells through a shuffle: the same documents stay."""
+    from factloom.llm import components as c
+
+    kept = ids(simhash.keep_one(docs, shingle=5, similarity=0.8))
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(c, "BROADCAST_ROWS", -1)
+    assert ids(simhash.keep_one(docs, shingle=5, similarity=0.8)) == kept
+
+
 def test_simhash_of_nothing(docs):
     assert simhash.group(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
 
