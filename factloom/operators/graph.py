@@ -7,9 +7,10 @@ checkpoint folder, so lineage stays short and a lost executor costs one round.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.functions.frames import checkpointed
+from factloom.functions.frames import checkpointed, written
 
 
 def neighbours(triples: DataFrame) -> DataFrame:
@@ -34,20 +35,62 @@ def corroboration(triples: DataFrame) -> DataFrame:
     return live.where("subject <> object").groupBy(F.col("object").alias("entity")).agg(F.countDistinct("subject").alias("corroboration"))
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """(root, node, depth): all that ``roots`` (root) reach over edges (src, dst), at the least depth; a root reaches itself at 0."""
-    step = checkpointed(edges.select("src", "dst").where("src <> dst").distinct())
-    front = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
-    seen = front
+def _levels(edges: DataFrame, roots: DataFrame, max_depth: int, more: DataFrame | None = None) -> tuple[list[tuple[DataFrame, DataFrame, bool]], DataFrame]:
+    """What a closure is put together from: levels (starts, pairs, several), and the closure (root, node, depth) of the last level's ends.
+
+    A level's ``starts`` (root, ...) are distinct, ``pairs`` (root, dst, n, ...) its starts with the ends of their edges and their number; ``several`` says
+    whether any start has more than one.  The ends are the next level's starts as long as they are at most half as many, so that what very
+    many nodes share is searched once; from there on each start is followed hop by hop.  ``more`` (root, ...) has further columns of starts.
+    """
+    step = written(edges.select("src", "dst").where("src <> dst"))
+    starts, levels = roots.select("root").distinct(), []
+    while True:
+        starts = written(starts if more is None else starts.join(more, "root", "left"))
+        met = starts.join(step, starts["root"] == step["src"]).drop("src")
+        pairs = written(met.withColumn("n", F.count("*").over(W.partitionBy("root"))))
+        edges_of, begun, most = pairs.agg(F.count("*"), F.sum(1 / F.col("n")), F.max("n")).first()
+        if not edges_of:
+            return levels, starts.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
+        if max_depth - len(levels) <= 1:
+            raise ValueError(f"the closure goes deeper than {max_depth}")
+        ends = written(pairs.select(F.col("dst").alias("root")).distinct())
+        if 2 * ends.count() > round(begun):
+            return levels, _followed(step, starts.select("root"), pairs.select("root", F.col("dst").alias("node")).distinct(), max_depth - len(levels))
+        if edges_of == step.count():  # what lies below starts at the ends
+            step = written(step.join(ends.withColumnRenamed("root", "src"), "src", "left_semi"))
+        levels.append((starts, pairs, most > 1))
+        starts = ends
+
+
+def _followed(step: DataFrame, roots: DataFrame, first: DataFrame, max_depth: int) -> DataFrame:
+    """(root, node, depth) of all that ``roots`` (root) reach over ``step`` (src, dst), hop by hop, after their ``first`` one (root, node)."""
+    seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
+    reached = first
     for depth in range(1, max_depth + 1):
-        reached = front.join(step, front["node"] == step["src"]).select("root", F.col("dst").alias("node")).distinct()
-        front = checkpointed(reached.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = written(reached.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
+        reached = front.join(step, front["node"] == step["src"]).select("root", F.col("dst").alias("node")).distinct()
     raise ValueError(f"the closure goes deeper than {max_depth}")
 
 
+def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """(root, node, depth): all that ``roots`` (root) reach over edges (src, dst), at the least depth; a root reaches itself at 0.
+
+    The last joins are left to the reader, so that a closure that is only written out isn't stored before; one that is read again and again should be.
+    """
+    levels, below = _levels(edges, roots, max_depth)
+    for starts, pairs, several in reversed(levels):
+        below = written(below) if several else below  # it is read twice
+        ways = lambda at: pairs.where(at).join(below.withColumnRenamed("root", "dst"), "dst").where("node <> root").select("root", "node", (F.col("depth") + 1).alias("depth"))  # noqa: E731, B023
+        found = ways("n = 1")
+        if several:
+            found = found.unionByName(ways("n > 1").groupBy("root", "node").agg(F.min("depth").alias("depth")))
+        below = starts.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).unionByName(found)
+    return below
+
+
 def frontier(reached: DataFrame, records: DataFrame) -> DataFrame:
     """(root, semantic_key, record_id) of a closure: for each key the nearest version, of equals the newest.
 

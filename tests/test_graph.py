@@ -1,10 +1,13 @@
 """Graph, retrieval and lifecycle on the small cases that define them."""
 
 import datetime
+import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions.frames import ensure_checkpoint_dir
 from factloom.operators import graph, lifecycle, metrics, ordering, retrieval, triples, vector
 from factloom.sources import sinks
 
@@ -187,3 +190,43 @@ def test_subgraphs_of_subjects(spark):
     assert around(False) == {"P-1": sorted(["Patient_p_1", "r1", "r2", "fever", "doc"]), "p_2": ["patient_p_2"], "ALONE": ["alone"]}
     kept = graph.subject_edges(graph.subjects_around(*g, asked), g[1]).collect()
     assert sorted((r.subject, r.src, r.dst) for r in kept) == sorted([("P-1", a, b) for a, b, _ in edges[:6]] + [("p_2", "q1", "fever")])
+
+
+def all_ways(edges, roots):
+    """(root, node): depth, hop by hop."""
+    out = {}
+    for root in roots:
+        front, depth, seen = {root}, 0, {root: 0}
+        while front:
+            depth += 1
+            front = {b for a, b in edges if a in front and b not in seen}
+            seen |= {n: depth for n in front}
+        out |= {(root, n): k for n, k in seen.items()}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_closures_that_share_nodes(spark, seed):
+    """Layers of fewer and fewer nodes with several parents each, repeated edges, loops, a cycle at the bottom and roots without edges."""
+    rng = random.Random(seed)
+    layers = [[f"{c}{i}" for i in range(n)] for c, n in zip("abcde", (60, 25, 9, 4, 2))]
+    edges = [(x, y) for up, down in zip(layers, layers[1:]) for x in up for y in rng.sample(down, 1 + (seed > 0 and rng.random() < 0.3))]
+    edges += [("a1", "c1"), ("a1", "a1"), edges[0], ("e0", "d0"), ("e1", "c2"), ("b3", "a5")]
+    asked = [x for up in layers[: 1 + seed] for x in up] + ["lone"]
+    e = spark.createDataFrame([*edges, (None, "a1"), ("a2", None)], "src string, dst string")
+    roots = spark.createDataFrame([(x,) for x in asked + asked[:3]], "root string")
+    reached = graph.closure(e, roots).checkpoint()
+    got = [tuple(r) for r in reached.collect()]
+    assert len(got) == len(set(got)) and {r[:2]: r[2] for r in got} == all_ways(edges, asked)
+
+
+def test_a_closure_stores_less_than_it_has(spark):
+    """What many roots share is stored once, not for each of them."""
+    tail = [(f"t{i}", f"t{i + 1}") for i in range(12)]
+    e = spark.createDataFrame([(f"leaf {i}", "t0") for i in range(3000)] + tail, "src string, dst string")
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = size()
+    reached = graph.closure(e, e.select(F.col("src").alias("root")))
+    assert reached.count() == 3000 * 14 + sum(range(2, 14))
+    assert size() - before < 500_000
