@@ -91,6 +91,25 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFr
     return below
 
 
+def frontiers(edges: DataFrame, roots: DataFrame, records: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """:func:`frontier` of the closure of ``roots`` (root) over ``edges`` (src, dst), without making that closure: what a node's ends found, one
+    step farther, against its own versions, which are nearest to it."""
+    own = F.struct("semantic_key", F.struct(F.lit(0).alias("depth"), (-F.col("owner_seq")).alias("back"), "record_id").alias("at"))
+    mine = written(records.where("record_id is not null").groupBy(F.col("record_id").alias("root")).agg(F.array_agg(own).alias("mine")))
+    levels, below = _levels(edges, roots, max_depth, mine)
+    met = below.join(mine.withColumnRenamed("root", "node"), "node").select("root", "depth", F.inline("mine"))
+    nearest = lambda df: df.groupBy("root", "semantic_key").agg(F.min("at").alias("at"))
+    farther = lambda steps: F.struct((F.col("at.depth") + steps).alias("depth"), "at.back", "at.record_id").alias("at")
+    best = nearest(met.select("root", "semantic_key", farther(F.col("depth"))))
+    for starts, pairs, several in reversed(levels):
+        best = written(best) if several else best  # it is read twice
+        held = F.exists(F.coalesce("mine", F.array()), lambda x: x["semantic_key"].eqNullSafe(F.col("semantic_key")))
+        ways = lambda at: pairs.where(at).join(best.withColumnRenamed("root", "dst"), "dst").where(~held).select("root", "semantic_key", farther(F.lit(1)))  # noqa: E731, B023
+        found = ways("n = 1").unionByName(nearest(starts.select("root", F.inline("mine"))))
+        best = found.unionByName(nearest(ways("n > 1"))) if several else found
+    return best.select("root", "semantic_key", F.col("at.record_id").alias("record_id"))
+
+
 def frontier(reached: DataFrame, records: DataFrame) -> DataFrame:
     """(root, semantic_key, record_id) of a closure: for each key the nearest version, of equals the newest.
 

@@ -218,6 +218,10 @@ def test_closures_that_share_nodes(spark, seed):
     reached = graph.closure(e, roots).checkpoint()
     got = [tuple(r) for r in reached.collect()]
     assert len(got) == len(set(got)) and {r[:2]: r[2] for r in got} == all_ways(edges, asked)
+    rows = [(x, x[0] if x[0] < "d" else "low", rng.randrange(3)) for up in layers for x in up if rng.random() < 0.8] + [("a1", "also", 0), ("c1", "also", 1)]
+    records = spark.createDataFrame(rows, "record_id string, semantic_key string, owner_seq long")
+    want = sorted(map(tuple, graph.frontier(reached, records).collect()))
+    assert sorted(map(tuple, graph.frontiers(e, roots, records).collect())) == want and len(want) > 60
 
 
 def test_a_closure_stores_less_than_it_has(spark):
