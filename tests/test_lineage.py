@@ -96,6 +96,20 @@ def test_closure_after_batches_equals_a_rebuild(spark, seed):
     assert lineage.closure_delta(reached, edges_of(spark, rows[:5])).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_appended_edges_leave_one_row_a_pair(spark, monkeypatch, few):
+    """Long ways are cut short by later edges, and new nodes come above and below."""
+    monkeypatch.setattr(lineage, "FEW", few)
+    batches = [[("a", "b"), ("b", "c"), ("c", "d"), ("x", "a")], [("a", "d"), ("new", "x"), ("d", "under")], [("x", "under"), ("new", "b"), ("b", "b"), (None, "a")]]
+    first = edges_of(spark, batches[0])
+    nodes = lambda e: e.where("src <> dst").select(F.explode(F.array("src", "dst")).alias("root")).distinct()
+    kept = graph.closure(first, nodes(first)).checkpoint()
+    for batch in batches[1:]:
+        kept = lineage.appended(kept, edges_of(spark, batch))
+    every = edges_of(spark, sum(batches, []))
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, graph.closure(every, nodes(every)).collect()))
+
+
 def test_plan_checks(spark):
     table = lambda rows, schema: spark.createDataFrame(rows, schema)
     used = table([("p", "k1", "r1"), ("p", "k2", "r2"), ("q", "k1", "r0"), ("s", "k1", "r1"), ("t", "k1", "r1"), ("u", "k3", "r3")], "root string, semantic_key string, record_id string")
