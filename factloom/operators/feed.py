@@ -7,9 +7,11 @@ a tag and is fed once, however often the feed is broken off and started again; a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from factloom.functions.frames import checkpointed
 from factloom.functions.text import slug
@@ -42,10 +44,11 @@ def line_split(lines: DataFrame, key: str, train: float = 0.8, valid: float = 0.
     return placed.withColumn("part", F.explode(F.filter(F.array(*[p.cast("string") for p in parts]), lambda x: x.isNotNull()))).drop("_place")
 
 
-def feed(cases: DataFrame, ordinal: str, share: float, table: KeyedTable, folder: str, ingest: Callable[[DataFrame], DataFrame], size: int = 1000, source: str = "feed") -> dict:
+def feed(cases: DataFrame, ordinal: str, share: float, table: KeyedTable, folder: str, ingest: Callable[[DataFrame], DataFrame], size: int = 1000, source: str = "feed", together: int = 1) -> dict:
     """Feed the training part of ``cases`` into ``table``, ``size`` of them a batch in their order; the holdout goes to ``folder``/holdout.
 
-    ``ingest(rows)`` gives a batch's rows of the table.  A feed that was broken off goes on after the last batch that the table's manifest has.
+    ``ingest(rows)`` gives a batch's rows of the table.  So many batches as ``together`` says are ingested each by itself but in one job, and seen at once:
+    for an ``ingest`` that doesn't read the table.  A feed that was broken off goes on after the last batch that the table's manifest has.
     The result says how many cases there are, how many are for training, and which batches were fed this time.
     """
     split = ordered_split(cases, ordinal, share)
@@ -56,10 +59,32 @@ def feed(cases: DataFrame, ordinal: str, share: float, table: KeyedTable, folder
     if done + 1 < batches:  # what is left, by batch, so that each is read alone
         left = split.where(F.col("part") == "train").withColumn("_batch", F.expr(f"place div {size}")).where(F.col("_batch") > done)
         left.drop("place", "part").write.mode("overwrite").partitionBy("_batch").parquet(f"{folder}/train")
-    for k in range(done + 1, batches):
-        rows = table.spark.read.schema(cases.schema).parquet(f"{folder}/train/_batch={k}")
-        table.commit(checkpointed(ingest(rows)), source=source, tag=k)
-        fed.append(k)
+        train = table.spark.read.schema(StructType([*cases.schema.fields, StructField("_batch", LongType())])).parquet(f"{folder}/train")
+
+    def commit(parts: list[DataFrame], first: int) -> None:
+        rows = reduce(DataFrame.unionByName, parts)
+        rows = rows.repartition(-(-len(parts) // 16)) if len(parts) > 1 else rows  # else each bucket gets a file from each batch
+        table.commit(checkpointed(rows), source=source, tag=first + len(parts) - 1)
+
+    for first in range(done + 1, batches, together):
+        parts, broke = [], None
+        for k in range(first, min(first + together, batches)):
+            try:
+                parts.append(ingest(train.where(F.col("_batch") == k).drop("_batch")))
+            except Exception as e:
+                broke = e
+                break
+        try:
+            if parts:
+                commit(parts, first)
+        except Exception:
+            if len(parts) == 1:
+                raise
+            for i, part in enumerate(parts):  # those before the one that fails are fed
+                commit([part], first + i)
+        fed += range(first, first + len(parts))
+        if broke:
+            raise broke
     return {"cases": n, "train": n_train, "fed": fed}
 
 

@@ -252,7 +252,7 @@ def case_feed(spark: SparkSession, d: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark)}/feed-{uuid.uuid4().hex}"
     cases = table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("n_chars").cast("long").alias("n_chars"))
     fed = keyed.KeyedTable(spark, f"{folder}/table", "doc_id long, source string, n_chars long, place long", ("doc_id",), "place", buckets=16)
-    feed.feed(cases, "doc_id", 0.8, fed, folder, lambda rows: rows.withColumn("place", F.col("doc_id")), size=300)
+    feed.feed(cases, "doc_id", 0.8, fed, folder, lambda rows: rows.withColumn("place", F.col("doc_id")), size=300, together=64)
     trained = fed.read().drop("place").withColumn("part", F.lit("train"))
     return trained.unionByName(spark.read.schema(cases.schema).parquet(f"{folder}/holdout").withColumn("part", F.lit("holdout")))
 

@@ -46,6 +46,31 @@ def test_a_feed_that_breaks_anywhere_goes_on(spark, tmp_path):
         assert everything(table(spark, here), here) == want
 
 
+def test_batches_that_are_fed_together(spark, tmp_path):
+    """One commit for several batches, each ingested by itself; what comes before a batch that fails, when planned or when run, is fed."""
+    whole = table(spark, tmp_path / "whole")
+    assert feed.feed(cases(spark), "ordinal", 0.8, whole, str(tmp_path / "whole"), ingest, size=2, together=4)["fed"] == list(range(9))
+    assert whole.manifest()["version"] == 3
+    want = everything(whole, tmp_path / "whole")
+    assert len(want[0]) == 18 and want[2] == {"feed": 8}
+    seen = []
+
+    def breaks(rows):
+        seen.append(rows.count())
+        if len(seen) == 7:
+            raise RuntimeError("killed")
+        return ingest(rows)
+
+    fails = lambda rows: ingest(rows).withColumn("n", F.when(F.col("ordinal") == 7 * 15 + 3, F.raise_error(F.lit("no"))).otherwise(F.col("n")))
+    for here, bad, last in ((tmp_path / "plan", breaks, 5), (tmp_path / "run", fails, 6)):
+        with pytest.raises(Exception):
+            feed.feed(cases(spark), "ordinal", 0.8, table(spark, here), str(here), bad, size=2, together=4)
+        assert table(spark, here).manifest()["tags"] == {"feed": last}
+        assert feed.feed(cases(spark), "ordinal", 0.8, table(spark, here), str(here), ingest, size=2, together=4)["fed"] == list(range(last + 1, 9))
+        assert everything(table(spark, here), here) == want
+    assert seen == [2] * 7
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 25])
 @pytest.mark.parametrize("least", [True, False])
 def test_line_split(spark, n, least):
