@@ -6,7 +6,7 @@ triples name, takes mini-batch steps on its own copies, and returns them; each p
 over the tasks that changed it, summed before the shuffle, so that a hub is as many small rows as there are tasks.  Negatives are
 drawn by a key made of triple and epoch.  Nothing but each epoch's loss reaches the driver, and every epoch's table is a checkpoint.
 
-Ranks are filtered: an answer that is a known triple isn't counted as better.  Blocks of queries meet blocks of nodes in tasks.
+Ranks are filtered: an answer that is a known triple isn't counted as better.  Blocks of points (a head and a relation) meet blocks of nodes in tasks.
 """
 
 from __future__ import annotations
@@ -15,14 +15,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.functions.frames import checkpointed
+from factloom.functions.frames import checkpointed, written
 from factloom.operators.ordering import numbered
 
 NODE, RELATION, PROJECTION, LOSS = range(4)
 #: Triples that one task trains on, and rows in the blocks that meet for ranks.
-TRIPLES, BLOCK = 50_000, 1024
+TRIPLES, BLOCK = 50_000, 4096
 
 
 @dataclass(frozen=True)
@@ -165,75 +166,114 @@ def train(triples: DataFrame, nodes: DataFrame, relations: DataFrame, model: Mod
     return parameters.where(F.col("kind") < LOSS), losses
 
 
-def _distances(q, e, m):
-    """Distances of the rows of ``q`` from those of ``e``, projected by ``m`` where there is one."""
+def _projected(e, m):
+    """The rows of ``e``, projected by ``m`` where there is one."""
+    return e if m is None else (e[:, None, :] * m[None]).sum(axis=-1)  # row by row, whatever the block
+
+
+def _apart(a, b):
+    """Distances of rows."""
+    import numpy as np
+
+    return np.sqrt(((a - b) ** 2).sum(axis=-1))
+
+
+def _rows(column, width: int):
+    """An Arrow column of lists of ``width`` numbers as an array."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _nearer(at, own, e, slack: int = 64):
+    """For each of the points ``at`` how many rows of ``e`` are nearer than each of its distances ``own`` (a list for each point).
+
+    Squared distances come from one product of matrices; what is so near to a bound that rounding could decide is measured again.
+    """
     import numpy as np
 
-    if m is not None:
-        e = (e[:, None, :] * m[None]).sum(axis=-1)  # row by row, whatever the block
-    return np.sqrt(((q[:, None, :] - e[None, :, :]) ** 2).sum(axis=-1))
+    dim, found = at.shape[1], []
+    right = np.concatenate([e, (e * e).sum(axis=1)[:, None]], axis=1).T.copy()
+    reach = float(np.sqrt(right[-1].max(initial=0.0)))
+    for i in range(0, len(at), 32):
+        some = at[i : i + 32]
+        squares = np.concatenate([-2 * some, np.ones((len(some), 1))], axis=1) @ right  # less the point's own square
+        for p, row, bounds in zip(some, squares, own[i : i + 32]):
+            base = float(p @ p)
+            doubt = slack * dim * 2.0**-53 * (base**0.5 + reach + max(bounds)) ** 2
+            counts = []
+            for d in bounds:
+                low, high = d * d - base - doubt, d * d - base + doubt
+                n = np.count_nonzero(row < low)
+                if np.count_nonzero(row <= high) != n:
+                    n += int((_apart(p[None], e[(row >= low) & (row <= high)]) < d).sum())
+                counts.append(n)
+            found.append(counts)
+    return found
 
 
 def ranks(test: DataFrame, known: DataFrame, parameters: DataFrame, model: Model = Model(), block: int = BLOCK) -> DataFrame:
     """``test`` (h, r, t) with ``rank``: one more than the number of nodes that are nearer to head plus relation than the tail is.
 
     Nodes that make a triple of ``known`` or ``test`` with the same head and relation aren't counted.  Triples with a node or
-    relation that the parameters lack are left out.
+    relation that the parameters lack are left out.  Every triple is measured once; those of one head and relation are put in order,
+    which says how many known ones are nearer, and share the distances from their point to blocks of nodes.
     """
     listed = F.array(*model.columns)
     of = lambda k, id_, v: parameters.where(F.col("kind") == k).select(F.col("id").alias(id_), listed.alias(v))
-    asked = test.distinct().join(of(NODE, "h", "hv"), "h").join(of(RELATION, "r", "rv"), "r").join(of(NODE, "t", "tv"), "t")
+    asked = test.select("h", "r", "t").distinct().withColumn("asked", F.lit(True))
+    near = known.select("h", "r", "t").join(asked.select("h", "r").distinct(), ["h", "r"], "left_semi").withColumn("asked", F.lit(False))
+    each = asked.unionByName(near).groupBy("h", "r", "t").agg(F.max("asked").alias("asked"))
+    relations = of(RELATION, "r", "rv")
     if model.projected:
         rows = parameters.where(F.col("kind") == PROJECTION).select(F.expr(f"id div {model.dim}").alias("r"), F.struct("id", listed.alias("v")).alias("row"))
-        asked = asked.join(rows.groupBy("r").agg(F.flatten(F.transform(F.array_sort(F.collect_list("row")), lambda x: x["v"])).alias("m")), "r")  # dim rows a relation
+        relations = relations.join(rows.groupBy("r").agg(F.flatten(F.transform(F.array_sort(F.collect_list("row")), lambda x: x["v"])).alias("m")), "r")  # dim rows a relation
     else:
-        asked = asked.withColumn("m", F.array().cast("array<double>"))
-    asked = checkpointed(asked)
-    all_known = known.select("h", "r", "t").unionByName(test.select("h", "r", "t")).distinct()
-    filtered = asked.join(all_known.withColumnRenamed("t", "e"), ["h", "r"]).where("e <> t").join(of(NODE, "e", "ev"), "e")
-    queries = asked.select(F.struct("h", "r", "t", "hv", "rv", "tv", "m").alias("q"), F.pmod(F.xxhash64("h", "r", "t"), F.lit(max(1, -(-asked.count() // block)))).alias("b"))
-    packed = checkpointed(queries.groupBy("b").agg(F.collect_list("q").alias("qs")))
-    nodes = parameters.where(F.col("kind") == NODE)
-    node_blocks = nodes.select(F.struct("id", listed.alias("v")).alias("e"), F.pmod(F.xxhash64("id"), F.lit(max(1, -(-nodes.count() // block)))).alias("c"))
-    packed_nodes = checkpointed(node_blocks.groupBy("c").agg(F.collect_list("e").alias("es")))
+        relations = relations.withColumn("m", F.array().cast("array<double>"))
+    dim, projected = model.dim, model.projected
 
-    def vectors(q: dict):
-        import numpy as np
-
-        m = np.array(q["m"]).reshape(model.dim, model.dim) if q["m"] else None
-        head = np.array([q["hv"]])
-        return (head if m is None else (head[:, None, :] * m[None]).sum(axis=-1)) + np.array([q["rv"]]), m
-
-    def count(batches: Iterator) -> Iterator:
+    def measured(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, e = np.array([x["id"] for x in row["es"]]), np.array([x["v"] for x in row["es"]])
-                better = []
-                for q in row["qs"]:
-                    at, m = vectors(q)
-                    own = _distances(at, np.array([q["tv"]]), m)[0, 0]
-                    better.append(int(((_distances(at, e, m)[0] < own) & (ids != q["t"])).sum()))
-                yield pa.RecordBatch.from_pydict({c: pa.array([q[c] for q in row["qs"]], pa.int64()) for c in "hrt"} | {"better": pa.array(better, pa.int64())})
-
-    def uncount(batches: Iterator) -> Iterator:
+            head, tail, step = (_rows(batch[c], dim) for c in ("hv", "tv", "rv"))
+            if projected:
+                m = _rows(batch["m"], dim * dim).reshape(-1, dim, dim)
+                head, tail = ((x[:, None, :] * m).sum(axis=-1) for x in (head, tail))
+            at = head + step
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype="int32") * dim), pa.array(at.reshape(-1)))
+            yield pa.RecordBatch.from_pydict({c: batch[c] for c in ("h", "r", "t", "asked")} | {"own": pa.array(_apart(at, tail)), "at": lists})
+
+    shape = "h long, r long, t long, asked boolean, own double, at array<double>"
+    vectors = each.join(relations, "r").join(of(NODE, "h", "hv"), "h").join(of(NODE, "t", "tv"), "t")
+    found = vectors.select("h", "r", "t", "asked", "hv", "rv", "tv", "m").mapInArrow(measured, shape)
+    better = F.rank().over(W.partitionBy("h", "r").orderBy("own")) - 1  # of the known ones
+    scored = written(found.withColumn("known", better).where("asked"))
+    points = scored.groupBy("h", "r").agg(F.first("at").alias("at"), F.sort_array(F.collect_set("own")).alias("owns")).join(relations.select("r", "m"), "r")  # the known ones of one head and relation
+    parts = lambda df: F.lit(max(1, -(-df.count() // block)))
+    queries = points.select(F.struct("h", "r", "at", "owns", "m").alias("q"), F.pmod(F.xxhash64("h", "r"), parts(scored)).alias("b"))
+    packed = written(queries.groupBy("b").agg(F.collect_list("q").alias("qs")))
+    nodes = parameters.where(F.col("kind") == NODE)
+    node_blocks = nodes.select(listed.alias("v"), F.pmod(F.xxhash64("id"), parts(nodes)).alias("c"))
+    packed_nodes = written(node_blocks.groupBy("c").agg(F.flatten(F.collect_list("v")).alias("es")))
+
+    def count(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            found = batch.to_pylist()
-            better = []
-            for q in found:
-                at, m = vectors(q)
-                better.append(-int(_distances(at, np.array([q["ev"]]), m)[0, 0] < _distances(at, np.array([q["tv"]]), m)[0, 0]))
-            yield pa.RecordBatch.from_pydict({c: pa.array([q[c] for q in found], pa.int64()) for c in "hrt"} | {"better": pa.array(better, pa.int64())})
-
-    shape = "h long, r long, t long, better long"
-    # blocks of the stated queries with all blocks of nodes
-    nearer = packed.select("qs").crossJoin(packed_nodes.select("es")).mapInArrow(count, shape).unionByName(filtered.select("h", "r", "t", "hv", "rv", "tv", "m", "ev").mapInArrow(uncount, shape))
-    return nearer.groupBy("h", "r", "t").agg((1 + F.sum("better")).alias("rank"))
+            for i in range(batch.num_rows):
+                qs, e = batch["qs"][i].values, _rows(batch["es"].slice(i, 1), 1).reshape(-1, dim)
+                h, r, at = qs.field("h").to_numpy(), qs.field("r").to_numpy(), _rows(qs.field("at"), dim)
+                owns, ms = qs.field("owns").to_pylist(), _rows(qs.field("m"), dim * dim).reshape(-1, dim, dim) if projected else None
+                for one in np.unique(r) if projected else (None,):
+                    mine = np.flatnonzero(r == one) if projected else np.arange(len(r))
+                    counts = _nearer(at[mine], [owns[x] for x in mine], _projected(e, ms[mine[0]] if projected else None))
+                    n = [len(x) for x in counts]
+                    yield pa.RecordBatch.from_pydict({"h": np.repeat(h[mine], n), "r": np.repeat(r[mine], n), "own": np.concatenate([owns[x] for x in mine]), "nearer": np.concatenate(counts).astype("int64")})
+
+    # blocks of the points with all blocks of nodes
+    nearer = packed.select("qs").crossJoin(packed_nodes.select("es")).mapInArrow(count, "h long, r long, own double, nearer long").groupBy("h", "r", "own").agg(F.sum("nearer").alias("nearer"))
+    return scored.join(nearer, ["h", "r", "own"]).select("h", "r", "t", (1 + F.col("nearer") - F.col("known")).alias("rank"))
 
 
 def hits(found: DataFrame, ks: tuple[int, ...] = (1, 3, 10)) -> DataFrame:

@@ -2,10 +2,13 @@
 
 import math
 import random
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions.frames import ensure_checkpoint_dir
 from factloom.operators import embedding as em
 from factloom.operators import vector
 
@@ -112,6 +115,34 @@ def test_ranks_equal_plain_python(spark, projected):
         assert x["rank"] == 1 + sum(far(x.h, x.r, e) < own - 1e-12 for e in range(n) if (x.h, x.r, e) not in known)
 
 
+def test_nearer_counts_what_rounding_could_decide():
+    """Points with several distances among nodes of which many are equally far, against distances one by one."""
+    rng = np.random.default_rng(3)
+    e = rng.normal(size=(300, 4)).round(1)
+    e = np.concatenate([e, e[:50], -e[:50]])
+    at = np.concatenate([rng.normal(size=(40, 4)), np.zeros((1, 4))])
+    own = [sorted(em._apart(p[None], e[rng.integers(0, len(e), 1 + i % 5)]).tolist()) for i, p in enumerate(at)]
+    assert em._nearer(at, own, e) == [[int((em._apart(p[None], e) < d).sum()) for d in ds] for p, ds in zip(at, own)]
+
+
+def test_triples_of_one_head_share_their_distances(spark, monkeypatch):
+    """A point is measured against the nodes once, however many of its triples are asked for."""
+    nodes, relations, triples = em.indexed(spark.createDataFrame([("hub", "has", f"t{i}") for i in range(40)], "subject string, predicate string, object string"))
+    model = em.Model(dim=4)
+    start = em.started(nodes, relations, model)
+    got = em.ranks(triples, triples, start, model, block=8)
+    assert {r["rank"] for r in got.collect()} <= {1, 2} and got.count() == 40  # only the hub itself isn't known
+    sent = [r.n for r in spark.read.parquet(*[str(p) for p in last_written(spark, "qs")]).select(F.size("qs").alias("n")).collect()]
+    assert sum(sent) == 1
+
+
+def last_written(spark, column):
+    """The newest written table with ``column``."""
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    found = sorted((p for p in folder.glob("written-*") if column in spark.read.parquet(str(p)).columns), key=lambda p: p.stat().st_mtime)
+    return found[-1:]
+
+
 def test_empty_and_null_triples(spark):
     none = spark.createDataFrame([(None, "r", "b"), ("a", None, "b"), ("a", "r", None)], "subject string, predicate string, object string")
     nodes, relations, triples = em.indexed(none)
