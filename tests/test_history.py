@@ -1,5 +1,6 @@
 """States as of any step against a replay of the log."""
 
+import hashlib
 import random
 
 from factloom.operators import history
@@ -44,3 +45,25 @@ def test_step_report(spark):
     assert got[0].states == {} and got[0].superseded == []
     assert [tuple(x) for x in got[10].superseded] == [("b", "a"), ("c", "b")] and [tuple(x) for x in got[350].superseded] == [("d", "c")]
     assert sum(got[350].states.values()) == len({n for n, _, s in rows if s <= 350})
+
+
+def test_digests_of_steps_are_read_piece_by_piece(spark, monkeypatch):
+    """A step whose texts lie in many ranges and pieces, small steps, and one without any."""
+    monkeypatch.setattr(history, "PIECE", 40)
+    rng = random.Random(5)
+    rows = [(f"n{rng.randrange(10**6)}", f"ö{i}", rng.choice([3, 16, 17, 40])) for i in range(500)] + [("last", "one", 80), ("too", "late", 97)]
+    steps = spark.createDataFrame([(s,) for s in (0, 16, 32, 48, 64, 80, 96)], "step long")
+    want = {}
+    for new, old, seq in rows:
+        want.setdefault(-(-seq // 16) * 16, []).append(f"{new}>{old}")
+    got = {r.step: r.digest for r in history.step_digests(steps, spark.createDataFrame(rows, "new_id string, old_id string, seq long"), 7).collect()}
+    assert got == {s: hashlib.md5(",".join(sorted(x)).encode()).hexdigest() for s, x in want.items() if s <= 96} and len(got) == 4
+
+
+def test_counts_of_steps_equal_a_replay(spark):
+    rows, audit = log(spark, 3)
+    steps = [0, 1, 2, 50, 200, 399, 400, 1000]
+    got = {r.step: r.states for r in history.step_counts(history.intervals(audit), spark.createDataFrame([(s,) for s in steps + [50]], "step int")).collect()}
+    for s in steps:
+        now = {node: state for node, state, seq in rows if seq <= s}
+        assert got.get(s, {}) == {x: list(now.values()).count(x) for x in set(now.values())}
