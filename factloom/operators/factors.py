@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.frames import checkpointed
+from factloom.functions.frames import bucketed, checkpointed
 
 EPSILON = 1e-9
 #: Nodes in a block, and of each side those among which a first bound is sought.
@@ -46,22 +46,25 @@ def _gram(factors: DataFrame, rank: int) -> list[list[float]]:
     return [[at[min(i, j), max(i, j)] for j in range(rank)] for i in range(rank)]
 
 
-def _updated(factors: DataFrame, other: DataFrame, entries: DataFrame, near: str, far: str, rank: int) -> DataFrame:
-    """One multiplicative update of ``factors`` by the node ``near`` of each of ``entries``, with ``other`` by the node ``far``."""
+def _updated(factors: DataFrame, other: DataFrame, entries: DataFrame, rank: int) -> DataFrame:
+    """One multiplicative update of ``factors`` by the node ``src`` of each of ``entries``, with ``other`` by the node ``dst``."""
     gram, names = _gram(other, rank), _columns(rank)
-    met = entries.join(other.withColumnRenamed("node", far), far)
-    sums = met.groupBy(F.col(near).alias("node")).agg(*[F.sum(F.col("weight") * F.col(c)).alias(f"s{i}") for i, c in enumerate(names)])
+    met = entries.join(other.withColumnRenamed("node", "dst"), "dst")
+    sums = met.groupBy(F.col("src").alias("node")).agg(*[F.sum(F.col("weight") * F.col(c)).alias(f"s{i}") for i, c in enumerate(names)])
     below = [sum((F.col(c) * F.lit(gram[j][i]) for j, c in enumerate(names)), F.lit(0.0)) for i in range(rank)]
     return checkpointed(factors.join(sums, "node").select("node", *[(F.col(c) * F.col(f"s{i}") / (below[i] + EPSILON)).alias(c) for i, c in enumerate(names)]))
 
 
 def factorise(entries: DataFrame, rank: int = 10, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(node, v0, v1, ...) for the rows and for the columns of ``entries`` (src, dst, weight), whose product comes near to them."""
-    entries = checkpointed(entries)
-    rows, columns = (checkpointed(_started(entries.select(F.col(end).alias("node")).distinct(), side, rank)) for end, side in (("src", "w"), ("dst", "h")))
-    for _ in range(rounds):
-        rows = _updated(rows, columns, entries, "src", "dst", rank)
-        columns = _updated(columns, rows, entries, "dst", "src", rank)
+    """(node, v0, v1, ...) for the rows and for the columns of ``entries`` (src, dst, weight), which hold both directions of each pair; their product comes near to them.
+
+    Both factors are updated over entries that are stored in buckets of ``dst``: only factors and sums are shuffled in a round, and the other direction is the same table.
+    """
+    with bucketed(entries.select("src", "dst", "weight"), "dst") as stored:
+        rows, columns = (checkpointed(_started(stored.select(F.col("dst").alias("node")).distinct(), side, rank)) for side in "wh")
+        for _ in range(rounds):
+            rows = _updated(rows, columns, stored, rank)
+            columns = _updated(columns, rows, stored, rank)
     return rows, columns
 
 
@@ -96,8 +99,9 @@ def new_edges(entries: DataFrame, rows: DataFrame, columns: DataFrame, k: int, r
     packed = lambda df, b, all_, most: df.groupBy(F.col("block").alias(b)).agg(F.max("norm").alias(most), F.array_sort(F.collect_list(F.struct("node", "v"))).alias(all_))
     wb, hb = checkpointed(packed(w, "bw", "ws", "mw")), checkpointed(packed(h, "bh", "hs", "mh"))
     pairs = wb.select("bw", "mw").crossJoin(hb.select("bh", "mh")).where(F.col("mw") * F.col("mh") * (1 + 1e-9) >= bound).select("bw", "bh")  # of blocks
-    in_block = lambda df, end, b: df.select(F.col("node").alias(end), F.col("block").alias(b))
-    held = entries.where("src < dst").join(in_block(w, "src", "bw"), "src").join(in_block(h, "dst", "bh"), "dst").groupBy("bw", "bh").agg(F.collect_list(F.struct("src", "dst")).alias("held"))
+    pairs = checkpointed(pairs)
+    in_block = lambda df, end, b: df.select(F.col("node").alias(end), F.col("block").alias(b)).join(F.broadcast(pairs.select(b).distinct()), b, "left_semi")
+    held = entries.where("src < dst").join(in_block(w, "src", "bw"), "src").join(in_block(h, "dst", "bh"), "dst").join(F.broadcast(pairs), ["bw", "bh"], "left_semi").groupBy("bw", "bh").agg(F.collect_list(F.struct("src", "dst")).alias("held"))
     met = pairs.join(held, ["bw", "bh"], "left").join(wb.select("bw", "ws"), "bw").join(hb.select("bh", "hs"), "bh").select("ws", "hs", "held")
 
     def best(batches: Iterator) -> Iterator:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.functions.frames import table
+from factloom.functions.frames import table, written
 from factloom.operators import embedding, factors, metrics, vector
 from factloom.plans import fixtures as fx
 from factloom.plans.registry import registry
@@ -100,7 +100,7 @@ s AS (SELECT a.node AS src, b.node AS dst, list_inner_product(a.v, b.v) AS score
 SELECT src, dst, round(score, 6) AS score FROM s ANTI JOIN adj USING (src, dst) ORDER BY s.score DESC, src, dst LIMIT 50""")
 def link_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The fifty likeliest pairs of suppliers and parts that aren't linked."""
-    entries = factors.adjacency(_supplies(spark, d))
+    entries = written(factors.adjacency(_supplies(spark, d)))
     rows, columns = factors.factorise(entries, 6, 4)
     return factors.new_edges(entries, rows, columns, 50, 6).withColumn("score", F.round("score", 6))
 

@@ -61,6 +61,21 @@ def test_rounds_are_multiplicative_updates_and_come_nearer(skewed):
         before = now
 
 
+def test_rounds_don_t_shuffle_the_entries(spark, skewed, monkeypatch):
+    """Entries are stored by the node that joins them to the factors, and nothing stays behind in the catalogue."""
+    plans, updated = [], factors._updated
+
+    def seen(w, h, entries, rank):
+        met = entries.hint("merge").join(h.withColumnRenamed("node", "dst"), "dst")
+        plans.append(met._jdf.queryExecution().executedPlan().toString())
+        return updated(w, h, entries, rank)
+
+    monkeypatch.setattr(factors, "_updated", seen)
+    factors.factorise(factors.adjacency(skewed), 3, 1)
+    assert len(plans) == 2 and all("SortMergeJoin" in p and p.count("Exchange") == 1 for p in plans)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+
+
 @pytest.mark.parametrize("block, seed", [(2048, 512), (7, 3), (30, 60)])
 def test_new_edges_equal_all_pairs(skewed, block, seed):
     entries = factors.adjacency(skewed)
