@@ -73,6 +73,16 @@ def test_a_refused_edge_frees_later_ones(spark):
     assert (sorted(map(tuple, admitted.collect())), sorted(map(tuple, refused.collect()))) == one_by_one([("b", "a")], batch)
 
 
+def test_ranks_are_found_from_below(spark, monkeypatch):
+    """The longest way down, each node placed once; a cycle is told as soon as nothing can be taken away."""
+    monkeypatch.setattr(lineage, "_raised", lambda *a: pytest.fail("raised"))
+    rows = [("d", "c"), ("c", "b"), ("b", "a"), ("d", "a"), ("e", "a"), ("d", "c"), (None, "a")]
+    assert {r.node: r["rank"] for r in lineage.ranks(edges_of(spark, rows)).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 1}
+    assert lineage.ranks(edges_of(spark, [])).count() == 0
+    with pytest.raises(ValueError):
+        lineage.ranks(edges_of(spark, [*rows, ("a", "d"), ("x", "d")]))
+
+
 def test_ranks_refuse_cycles(spark, monkeypatch):
     monkeypatch.setattr(lineage, "ROUNDS", 4)
     with pytest.raises(ValueError):
